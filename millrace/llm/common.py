@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: The multipliers of the public splitmix64 finaliser, and an odd base for polynomial hashes.
@@ -28,12 +27,15 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; a temporary one is made only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        key = spark.sparkContext.applicationId
+        found = _OWN.get(key) or _OWN.setdefault(key, f"file://{tempfile.mkdtemp(prefix='millrace-')}")
     return found.rstrip("/")
 
 
@@ -142,7 +144,3 @@ def size_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a table's size; exact for files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
-
-def row_key(*columns: str):
-    """Keys a document by doc_id and the hash of its text: identical rows share a key, and other rows don't."""
-    return F.xxhash64(*columns)
