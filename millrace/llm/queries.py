@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import license_scan, pieces, toxicity, url_filter
+from millrace.llm import license_scan, pieces, resample, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
@@ -28,5 +32,5 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op6_license_scan, op7_toxicity, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op1_resample, op4_url_filter, op6_license_scan, op7_toxicity, op9_pieces)}
 ORACLES = {"op6_license_scan": license_scan.oracle()}
