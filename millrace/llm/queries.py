@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import license_scan, pieces, resample, toxicity, url_filter
+from millrace.llm import license_scan, pieces, resample, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
@@ -32,5 +37,5 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resample, op4_url_filter, op6_license_scan, op7_toxicity, op9_pieces)}
-ORACLES = {"op6_license_scan": license_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_resample, op3_topk, op4_url_filter, op6_license_scan, op7_toxicity, op9_pieces)}
+ORACLES = {"op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
