@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import license_scan, pieces, resample, topk, toxicity, url_filter
+from millrace.llm import license_scan, line_dedup, pieces, resample, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where("vec_id % 20 = 0"))
@@ -37,5 +43,5 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resample, op3_topk, op4_url_filter, op6_license_scan, op7_toxicity, op9_pieces)}
-ORACLES = {"op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op6_license_scan, op7_toxicity, op9_pieces)}
+ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
