@@ -106,12 +106,16 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (never across documents), and the index of each document's first word."""
-    inside = ~separators[data]
+    return runs(~separators[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the runs of bytes that are inside a word."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
-    cuts = offsets[(offsets > 0) & (offsets < len(data))]
+    cuts = offsets[(offsets > 0) & (offsets < len(inside))]
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1

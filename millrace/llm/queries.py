@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import license_scan, line_dedup, pieces, resample, topk, toxicity, url_filter
+from millrace.llm import decontam, license_scan, line_dedup, pieces, resample, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op6_license_scan, op7_toxicity, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op5_decontam, op6_license_scan, op7_toxicity, op9_pieces)}
 ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
