@@ -34,7 +34,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 400_000  # segments and pairs that a worker keeps
+REMEMBERED = 500_000  # segments in each of two generations that a worker keeps
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -73,7 +73,12 @@ class PieceModel:
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.scores.values(), default=0.0) - 10.0
+        # Boundaries that no piece crosses: before a space mark after another character, and after a run of letters.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        letter = re.compile(r"[^\W\d_]")
+        self.odd = {a for p in self.ids for a, b in zip(p, p[1:]) if letter.match(a) and not letter.match(b)}
+        self.odd |= {a for p in self.ids for a, b in zip(p, p[1:]) if b in self.odd and letter.match(a)}
+        self.letters_end = not any(a not in self.odd and letter.match(a) and (b in self.odd or not letter.match(b)) for p in self.ids for a, b in zip(p, p[1:]))
         self.surface = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces
         ]
@@ -100,7 +105,8 @@ class PieceModel:
 class Encoder:
     def __init__(self, model: PieceModel):
         self.model = model
-        self.segments: dict[str, bytes] = {}
+        self.segments: dict[str, tuple[bytes, bool]] = {}
+        self.older: dict[str, tuple[bytes, bool]] = {}
         self.pairs: dict[int, bool] = {}
         self.size = len(model.pieces)
         # Each node maps a character to the next node and the id of the piece that ends there.
@@ -111,7 +117,11 @@ class Encoder:
                 below, known = node.get(c, ({}, None))
                 node[c] = (below, i if k == len(piece) - 1 else known)
                 node = below
-        self.pattern = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        # Letters, without the few that some piece has before another character.
+        odd = re.escape("".join(sorted(model.odd)))
+        letter, other = rf"[^\W\d_{odd}]", rf"(?:[^\w{SPACE}]|[\d_{odd}])"
+        words = rf"{SPACE}*{other}*{letter}+|{SPACE}*{other}+|{SPACE}+"
+        self.pattern = re.compile(words if model.letters_end else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the best pair of neighbours is merged, the leftmost of equals, until none is a piece."""
@@ -144,7 +154,7 @@ class Encoder:
         committed = 0
         for i in range(n):
             before, node = last[i], trie
-            if text[i] not in trie or not trie[text[i]][1]:
+            if text[i] not in trie or trie[text[i]][1] is None:
                 j, score = i + 1, total[i] + model.floor
                 if j not in start or (unigram and score > total[j]):
                     start[j], last[j], total[j] = i, -1, score
@@ -181,41 +191,72 @@ class Encoder:
         yield from self.path(text, start, committed, n)
 
     @staticmethod
-    def path(text: str, start: dict[int, int], first: int, end: int) -> list[str]:
+    def path(text: str, start, first: int, end: int) -> list[str]:
         out = []
         while end > first:
             out.append(text[start[end] : end])
             end = start[end]
         return out[::-1]
 
-    def segment(self, text: str) -> bytes:
+    def short(self, text: str) -> list[str]:
+        """The same for a text of a few pieces' length, where nothing is committed before its end."""
+        model, pairs, size, trie = self.model, self.pairs, self.size, self.trie
+        if model.kind == UNIGRAM:
+            return list(self.lattice(text))
+        n = len(text)
+        start, last = [-1] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            before, node, j = last[i], trie, i
+            for c in text[i:]:
+                found = node.get(c)
+                if found is None:
+                    break
+                node, piece = found
+                j += 1
+                if piece is not None and start[j] < 0 and (before < 0 or (ok := pairs.get(before * size + piece)) or (ok is None and self.agree(before, piece))):
+                    start[j], last[j] = i, piece
+            if start[i + 1] < 0 and (text[i] not in trie or trie[text[i]][1] is None):
+                start[i + 1] = i
+        return self.path(text, start, 0, n)
+
+    def segment(self, text: str) -> tuple[bytes, bool]:
+        """Ids, and whether their surface is the segment's."""
         model, ids = self.model, array("i")
-        for piece in self.lattice(text):
+        for piece in self.short(text) if len(text) <= 4 * model.longest else self.lattice(text):
             if piece in model.ids:
                 ids.append(model.ids[piece])
             elif model.bytes:
                 ids.extend(model.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
             else:
                 ids.append(model.unknown)
-        return ids.tobytes()
+        return ids.tobytes(), b"".join(map(model.surface.__getitem__, ids)) == text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+
+    def remembered(self, word: str) -> tuple[bytes, bool]:
+        """A segment's result; of two generations of segments the older goes when the younger is full."""
+        found = self.older.get(word) or self.segment(word)
+        if len(word) <= 64:
+            if len(self.segments) >= REMEMBERED:
+                self.older, self.segments = self.segments, {}
+            self.segments[word] = found
+        return found
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """Ids, and whether decoding them gives the text again."""
         if not text:
-            return np.zeros(0, dtype=np.int32)
-        text = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
+            return np.zeros(0, dtype=np.int32), True
+        marked = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
+        exact = SPACE not in text
         if not self.model.splits:
-            return np.frombuffer(self.segment(text), dtype=np.int32)
-        known, out = self.segments, []
-        for word in self.pattern.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.segment(word)
-                if len(word) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+            ids, same = self.segment(marked)
+            return np.frombuffer(ids, dtype=np.int32), exact and same
+        get, out = self.segments.get, []
+        for word in self.pattern.findall(marked):
+            found = get(word)
+            if found is None:
+                found = self.remembered(word)
+                get = self.segments.get
+            out.append(found)
+        return np.frombuffer(b"".join([x for x, _ in out]), dtype=np.int32), exact and all([same for _, same in out])
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.model.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -243,8 +284,9 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
         for batch in batches:
             ids, exact = [], []
             for text in batch.column("text").to_pylist():
-                ids.append(coder.encode(text))
-                exact.append(coder.decode(ids[-1].tolist()) == (text or ""))
+                found, same = coder.encode(text)
+                ids.append(found)
+                exact.append(same)
             sizes = np.array([len(x) for x in ids], dtype=np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
