@@ -18,22 +18,20 @@ gets the same result. All other columns, whatever their names, are handed on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import drop_staged, staged
+from millrace.llm.common import drop_staged, staged, tuned
 
 MIN_CHARS = 50
 KEYS = ("doc_id", "text_key")
 
 
-def _filled(lines: Column) -> Column:
-    """Places of the lines that aren't blank."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
-
-
 def sequences(docs: DataFrame) -> DataFrame:
     """A row for each line that isn't blank: its document, its place among them, two hashes and its length."""
     lines = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("text_key"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
@@ -75,22 +73,39 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return runs.select(*KEYS, F.array_sort(F.array_distinct(places)).alias("removed"))
 
 
+def without(text: str, removed: list[int]) -> tuple[str, int]:
+    """The text without the lines at these places among those that aren't blank, and the number of the latter."""
+    gone, kept, place = set(removed), [], 0
+    for line in text.split("\n"):
+        if line.strip(" "):
+            place += 1
+            if place - 1 in gone:
+                continue
+        kept.append(line)
+    return ("\n".join(kept) if any(x.strip(" ") for x in kept) or not gone else ""), place
+
+
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents with later copies taken out of text, and n_lines and n_removed_lines beside."""
+    """The documents with later copies taken out of text, and n_lines and n_removed_lines beside (in place of columns of these names)."""
     removed = removed_lines(docs, min_chars).alias("r")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text")).alias("d")
-    both = keyed.join(removed, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._text_key") == F.col("r.text_key")), "left").select("d.*", F.col("r.removed").alias("_removed"))
-    lines = F.split("text", "\n")
-    filled = _filled(lines)
-    gone = F.transform("_removed", lambda i: F.get(filled, i))
-    runs = F.filter(
-        F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))), lambda a, b: F.struct((a + 2).alias("start"), (b - a - 1).alias("n"))), lambda r: r["n"] > 0
-    )
-    kept = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"], r["n"]))), "\n")
-    kept = F.when(F.trim(F.replace(kept, F.lit("\n"), F.lit(""))) == "", F.lit("")).otherwise(kept)
-    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.filter(lines, lambda x: F.trim(x) != "")))
-    out = both.withColumns({"n_lines": n_lines.cast("long"), "n_removed_lines": F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long")})
-    return out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)).drop("_removed", "_text_key")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).alias("d")
+    both = keyed.join(removed, F.col("d.id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.key") == F.col("r.text_key")), "left").select("d.row", "r.removed")
+    fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed_lines")]
+    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed_lines", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("row")
+            names = [rows.type.field(k).name for k in range(rows.type.num_fields)]
+            columns = dict(zip(names, rows.flatten()))
+            lists = [x or [] for x in batch.column("removed").to_pylist()]
+            done = [(None, 0) if t is None else without(t, r) for t, r in zip(columns["text"].to_pylist(), lists)]
+            columns["text"] = pa.array([t for t, _ in done], columns["text"].type)
+            columns |= {"n_lines": pa.array([n for _, n in done], pa.int64()), "n_removed_lines": pa.array([len(x) for x in lists], pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema.names)
+
+    tuned(docs.sparkSession)
+    return both.mapInArrow(run, schema)
 
 
 def oracle(min_chars: int = MIN_CHARS, longest: int = 12) -> str:
