@@ -6,6 +6,7 @@ chunk of documents. Chunks are bounded by bytes (a longer document is a chunk of
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,12 @@ def drop_staged(*tables: DataFrame) -> None:
                 at.getFileSystem(conf).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that are done."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser over a uint64 array."""
     x = x ^ (x >> U64(30))
@@ -146,5 +153,5 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def size_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a table's size; exact for files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, jaccard_join, license_scan, line_dedup, pieces, resample, topk, toxicity, url_filter
+from millrace.llm import decontam, jaccard_join, license_scan, line_dedup, pieces, resample, suffix_dedup, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,9 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op5_decontam, op6_license_scan, op7_toxicity, op8_jaccard_join, op9_pieces)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op5_decontam, op6_license_scan, op7_toxicity, op8_jaccard_join, op9_pieces, op10_suffix_dedup)}
 ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
