@@ -1,4 +1,624 @@
 """Queries over the driver's tables, by inventory id, and the same in SQL."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import embed, events, fuzzy, geo, gtin, price, text
+from millrace.operators import matching, medallion, planner, quality, runs
+from millrace.operators.tables import LakeTable, first_of_key
+from millrace.plans import tables as t
+from millrace.plans.tables import ROUND, sql
+from millrace.session import table
+from millrace.sources import generators
+from millrace.streaming import jobs, routing
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+RUN, NOW, SOURCE = "run1", t.NOW, "openfoodfacts"
+CENTRE = generators.CENTRE
+
+
+def query(body: str | None = None, *needed: str):
+    """Registers a function by its name, with its SQL where SQL can say the same."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if body is not None:
+            ORACLES[f.__name__] = sql(body, *needed)
+        return f
+
+    return register
+
+
+# Staging and filters
+
+
+@query("SELECT trim(barcode) AS barcode, trim(product_name) AS product_name, brands, categories_tags, quantity, lang, last_modified_t, taxonomy_key, ingested_at FROM raw_products", "raw_products")
+def p1_stage_products(spark, d):
+    return medallion.stage_products(t.raw_products(spark, d))
+
+
+@query("SELECT store_id, trim(name) AS name, trim(chain) AS chain, lat, lon, ingested_at FROM raw_stores", "raw_stores")
+def p2_stage_stores(spark, d):
+    return medallion.stage_stores(t.raw_stores(spark, d))
+
+
+@query("SELECT event_id, store_id, barcode, price, in_stock, observed_at FROM price_events", "price_events")
+def p3_stage_price_events(spark, d):
+    return medallion.stage_price_events(t.price_events(spark, d))
+
+
+@query("SELECT barcode AS product_id, product_name, brands, category, product_group, size_value, size_unit, base_price, search_terms FROM products", "products")
+def p4_product_catalog(spark, d):
+    return medallion.product_catalog(t.products(spark, d))
+
+
+@query("SELECT barcode, product_name FROM raw_products WHERE length(barcode) > 0 AND length(product_name) > 0", "raw_products")
+def p5_filled(spark, d):
+    return t.raw_products(spark, d).where(medallion.filled("barcode", "product_name")).select("barcode", "product_name")
+
+
+@query("SELECT barcode, taxonomy_key FROM raw_products WHERE taxonomy_key IN (SELECT taxonomy_key FROM category_map)", "raw_products", "category_map")
+def p6_known_keys(spark, d):
+    return t.raw_products(spark, d).join(F.broadcast(medallion.category_map(spark)), "taxonomy_key", "left_semi").select("barcode", "taxonomy_key")
+
+
+@query("SELECT barcode, lang FROM raw_products WHERE lang IS NULL OR lang IN ('en', '')", "raw_products")
+def p7_language(spark, d):
+    return t.raw_products(spark, d).where(F.col("lang").isNull() | F.col("lang").isin("en", "")).select("barcode", "lang")
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS ascii FROM documents")
+def p8_ascii(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.is_ascii(F.col("text")).alias("ascii"))
+
+
+@query("SELECT * FROM stores", "stores")
+def p9_w3_dim_store(spark, d):
+    return t.stores(spark, d)
+
+
+@query("SELECT store_id, product_id, price FROM offers WHERE in_stock", "offers")
+def p10_in_stock(spark, d):
+    return t.offers(spark, d).where("in_stock").select("store_id", "product_id", "price")
+
+
+@query(f"SELECT '{RUN}' AS run_id, barcode, product_name, taxonomy_key, CASE WHEN length(barcode) = 0 THEN 'missing_barcode' ELSE 'missing_name' END AS quarantine_reason, '{NOW}' AS quarantined_at FROM raw_products WHERE length(barcode) = 0 OR length(product_name) = 0", "raw_products")
+def p11_quarantine(spark, d):
+    return quality.quarantine(t.raw_products(spark, d), RUN, NOW)
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice IS NULL OR p_retailprice <= 0 OR p_retailprice > 1000")
+def p12_bad_prices(spark, d):
+    return table(spark, d, "part").where(quality.bad_price(F.col("p_retailprice"))).select("p_partkey", "p_retailprice")
+
+
+@query("SELECT event_id, price FROM price_events WHERE event_date = '1995-06-17'", "price_events")
+def p13_one_day(spark, d):
+    return t.price_events(spark, d).where(F.col("event_date") == "1995-06-17").select("event_id", "price")
+
+
+@query("SELECT barcode, taxonomy_key, last_modified_t FROM raw_products WHERE last_modified_t > CASE taxonomy_key WHEN 'milk' THEN 5000 WHEN 'rice' THEN 800 ELSE 0 END", "raw_products")
+def p14_since_watermark(spark, d):
+    marks = spark.createDataFrame([("milk", 5000), ("rice", 800)], "category string, watermark_ts long")
+    return runs.since(t.raw_products(spark, d), marks).select("barcode", "taxonomy_key", "last_modified_t")
+
+
+@query("SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def p15_latest_run(spark, d):
+    orders = table(spark, d, "orders")
+    last = orders.agg(F.max("o_orderdate").alias("o_orderdate"))
+    return orders.join(F.broadcast(last), "o_orderdate", "left_semi").select("o_orderkey", "o_orderdate", "o_orderstatus")
+
+
+@query("SELECT barcode, category, base_price FROM products WHERE category IN ('milk', 'rice', 'eggs')", "products")
+def p20_categories(spark, d):
+    return t.products(spark, d).where(F.col("category").isin("milk", "rice", "eggs")).select("barcode", "category", "base_price")
+
+
+# Joins
+
+
+@query("SELECT * FROM offers", "offers")
+def j1_j2_offers(spark, d):
+    return t.offers(spark, d)
+
+
+@query("SELECT r.barcode, c.term, c.product_group FROM raw_products r JOIN category_map c USING (taxonomy_key)", "raw_products", "category_map")
+def j3_categories(spark, d):
+    return t.raw_products(spark, d).join(F.broadcast(medallion.category_map(spark)), "taxonomy_key").select("barcode", "term", "product_group")
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def j7_relationships(spark, d):
+    parents = table(spark, d, "part").where("p_size > 10")
+    return quality.relationships(table(spark, d, "lineitem"), "l_partkey", parents, "p_partkey").select("l_orderkey", "l_partkey")
+
+
+@query("SELECT * FROM (VALUES ('added_column', 'new_field', 'info'), ('removed_column', 'brands', 'error')) AS v(change, column_name, severity)")
+def j10_drift(spark, d):
+    actual = [c for c in quality.PRODUCT_COLUMNS if c != "brands"] + ["new_field"]
+    return quality.detect_drift(spark, quality.PRODUCT_COLUMNS, actual).withColumnRenamed("column", "column_name")
+
+
+# Aggregates
+
+STATS = f"""SELECT category, count(DISTINCT product_id) AS num_products, count(*) AS num_offers, {ROUND('min(price)')} AS min_price, {ROUND('avg(price)')} AS avg_price,
+  {ROUND('max(price)')} AS max_price, arg_min(store_name, {{'p': price, 'n': store_name}}) AS cheapest_store FROM offers WHERE in_stock GROUP BY category"""
+
+
+@query(STATS, "offers")
+def a1_category_stats(spark, d):
+    return medallion.category_price_stats(t.offers(spark, d))
+
+
+@query(f"SELECT product_id, min(product_name) AS product_name, min(category) AS category, min(search_terms) AS search_terms, count(*) FILTER (in_stock) AS num_stores_in_stock, {ROUND('min(price)')} AS min_price FROM offers GROUP BY product_id", "offers")
+def a2_search_index(spark, d):
+    return medallion.product_search_index(t.offers(spark, d))
+
+
+@query(f"SELECT count(*) AS n, {ROUND('avg(l_extendedprice)', 3)} AS avg_price FROM lineitem")
+def a3_global(spark, d):
+    return table(spark, d, "lineitem").agg(F.count("*").alias("n"), text.half_up(F.avg("l_extendedprice"), 3).alias("avg_price"))
+
+
+@query(f"SELECT '{SOURCE}|' || taxonomy_key AS wm_key, '{SOURCE}' AS source, taxonomy_key AS category, max(coalesce(last_modified_t, 0)) AS watermark_ts, '{NOW}' AS updated_at FROM raw_products GROUP BY taxonomy_key", "raw_products")
+def a4_m2_watermarks(spark, d):
+    return runs.watermarks(t.raw_products(spark, d), SOURCE, NOW)
+
+
+@query("SELECT count(*) AS n FROM raw_products WHERE coalesce(length(barcode), 0) = 0 OR coalesce(length(product_name), 0) = 0", "raw_products")
+def a5_rejected(spark, d):
+    return runs.rejected(t.raw_products(spark, d))
+
+
+@query("SELECT count(*) - count(DISTINCT l_orderkey) AS failed_count, count(*) AS total_count FROM lineitem")
+def a6_duplicates(spark, d):
+    return quality.duplicates(table(spark, d, "lineitem"), "l_orderkey")
+
+
+GTIN = "(10 - list_sum(list_transform(range(1, 14), lambda i: substring(lpad({0}, 14, '0'), i::INT, 1)::INT * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10) % 10 = substring(lpad({0}, 14, '0'), 14, 1)::INT"
+CHECKS = [
+    ("malformed_records", "bronze", "raw_products", "warn", "SELECT count(*) FILTER (length(barcode) = 0 OR length(product_name) = 0) AS f, count(*) AS n FROM raw_products", "empty barcode or product_name"),
+    ("duplicate_products", "silver", "dim_product", "error", "SELECT count(*) - count(DISTINCT barcode) AS f, count(*) AS n FROM products", "barcode must be unique"),
+    ("missing_categories", "silver", "dim_product", "error", "SELECT count(*) FILTER (category IS NULL OR category = '') AS f, count(*) AS n FROM products", "category must be set"),
+    ("invalid_upcs", "silver", "dim_product", "warn", f"SELECT count(*) FILTER (NOT {GTIN.format('barcode')}) AS f, count(*) AS n FROM products", "GTIN check digit failed"),
+    ("invalid_prices", "gold", "store_product_offers", "error", "SELECT count(*) FILTER (price IS NULL OR price <= 0 OR price > 1000) AS f, count(*) AS n FROM offers", "price must be in (0, 1000]"),
+]
+CHECK_SQL = " UNION ALL ".join(f"""SELECT '{RUN}' AS run_id, '{n}' AS check_name, '{l}' AS layer, '{tb}' AS "table", '{s}' AS severity, f AS failed_count, n AS total_count, f = 0 AS passed, '{dt}' AS detail, '{NOW}' AS checked_at FROM ({q})""" for n, l, tb, s, q, dt in CHECKS)
+
+
+def _checks(spark, d):
+    return quality.run_checks(t.raw_products(spark, d), t.products(spark, d), t.offers(spark, d), RUN, NOW)
+
+
+@query(CHECK_SQL, "raw_products", "offers")
+def a7_q1_q6_checks(spark, d):
+    return _checks(spark, d)
+
+
+@query(f"SELECT count(*) FILTER (severity = 'error' AND NOT passed) AS n FROM ({CHECK_SQL})", "raw_products", "offers")
+def a16_q8_hard_failures(spark, d):
+    return quality.hard_failures(_checks(spark, d))
+
+
+COUNTS = ["customer", "lineitem", "orders", "part", "supplier"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{RUN}' AS run_id, 'row_count' AS metric, '{n}' AS target, count(*)::DOUBLE AS value, '{NOW}' AS captured_at FROM {n}" for n in COUNTS))
+def a8_m3_row_counts(spark, d):
+    return runs.row_counts({n: table(spark, d, n) for n in COUNTS}, RUN, NOW)
+
+
+@query(f"SELECT {ROUND('(2000000000 - max(last_modified_t)) / 3600.0::DOUBLE', 1)} AS hours FROM raw_products", "raw_products")
+def a9_freshness(spark, d):
+    return t.raw_products(spark, d).agg(runs.freshness_hours(F.max("last_modified_t"), 2_000_000_000).alias("hours"))
+
+
+@query("SELECT max(o_totalprice) < 480000 AS fresh FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def a10_freshness_gate(spark, d):
+    metrics = table(spark, d, "orders").select(F.lit("freshness_hours").alias("metric"), F.col("o_orderdate").alias("run_id"), F.col("o_orderdate").alias("captured_at"), F.col("o_totalprice").alias("value"))
+    return runs.is_fresh(metrics, 480000)
+
+
+@query("SELECT event_date AS \"partition\", 1::BIGINT AS files FROM (SELECT DISTINCT 'event_date=' || strftime(ts, '%Y-%m-%d') AS event_date FROM events)")
+def a11_k10_compacted_files(spark, d):
+    """Appends in small batches, then one file for each day."""
+    lake = LakeTable(spark, t.scratch(spark, "events"))
+    rows = table(spark, d, "events").select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("event_date"))
+    for k in range(3):
+        lake.write(rows.where(F.col("event_id") % 3 == k), "append", ["event_date"])
+    lake.compact()
+    return lake.files_by_partition()
+
+
+@query("SELECT CASE WHEN event_id % 50 IN (7, 8, 9) OR (event_id % 16 = 3 AND -value <= 0) OR (event_id % 16 <> 3 AND value + 1 <= 0) THEN 'dlq' ELSE 'ok' END AS route, count(*) AS n FROM events GROUP BY 1")
+def a17_t1_route_counts(spark, d):
+    return routing.counts(routing.route(t.messages(spark, d)))
+
+
+# Windows
+
+
+@query("SELECT * FROM latest_products", "latest_products")
+def w1_latest_product(spark, d):
+    return medallion.latest(medallion.stage_products(t.raw_products(spark, d)).where(medallion.filled("barcode", "product_name")), ["barcode"], ["last_modified_t", "ingested_at"])
+
+
+@query("SELECT * FROM inventory", "inventory")
+def w2_latest_price(spark, d):
+    return t.inventory(spark, d)
+
+
+@query(f"SELECT product_id, product_name, category, {ROUND('price')} AS cheapest_price, store_name AS cheapest_store FROM offers WHERE in_stock QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, store_id) = 1", "offers")
+def w4_cheapest(spark, d):
+    return medallion.cheapest_products(t.offers(spark, d))
+
+
+@query("SELECT event_id, coalesce(top > 0 AND s < top - 3600, false) AS late FROM (SELECT event_id, s, max(s) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT event_id, epoch(ts) AS s, (event_id * 7919) % 1000003 AS o FROM events))")
+def w5_t4_late_flags(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.unix_timestamp("ts").cast("double").alias("s"), (F.col("event_id") * 7919 % 1000003).alias("o"))
+    return routing.late_in_order(rows, "o", seconds=F.col("s")).select("event_id", F.col("_late").alias("late"))
+
+
+# Sorts, limits, sets
+
+
+@query("SELECT category, min_price FROM (" + STATS + ") ORDER BY category", "offers")
+def o1_stats_by_category(spark, d):
+    return medallion.category_price_stats(t.offers(spark, d)).select("category", "min_price").orderBy("category")
+
+
+HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2), 1.0)))"
+KM = HAVERSINE.format(a=f"{CENTRE[0]}::DOUBLE", b=f"({CENTRE[1]}::DOUBLE)", c="lat", d="lon")
+
+
+def _near(spark, d) -> DataFrame:
+    return t.stores(spark, d).withColumn("km", geo.haversine_km(F.lit(CENTRE[0]), F.lit(CENTRE[1]), F.col("lat"), F.col("lon")))
+
+
+@query(f"SELECT store_id, {ROUND(KM, 4)} AS km FROM stores ORDER BY 2, 1", "stores")
+def o3_x8_stores_by_distance(spark, d):
+    return _near(spark, d).select("store_id", text.half_up(F.col("km"), 4).alias("km")).orderBy("km", "store_id")
+
+
+@query("SELECT store_id, product_id, price FROM offers WHERE in_stock QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY price, product_id) <= 5", "offers")
+def o9_store_cap(spark, d):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("store_id").orderBy("price", "product_id"))
+    return t.offers(spark, d).where("in_stock").withColumn("n", rank).where("n <= 5").select("store_id", "product_id", "price")
+
+
+@query()
+def o8_seeded_order(spark, d):
+    return table(spark, d, "part").select("p_partkey").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6")
+def o10_head(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(6)
+
+
+@query("SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def u1_append(spark, d):
+    return reduce(DataFrame.unionByName, [table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))])
+
+
+@query("SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+def u2_difference(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).subtract(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS stores FROM lineitem GROUP BY l_orderkey")
+def u3_distinct_stores(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("stores"))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def u5_one_a_key(spark, d):
+    return first_of_key(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.asc("o_orderkey")])
+
+
+# Kernels
+
+
+@query(f"SELECT barcode, last_modified_t, {t.SIZE_VALUE} AS size_value, {t.SIZE_UNIT} AS size_unit FROM raw_products", "raw_products")
+def x1_quantity(spark, d):
+    q = F.col("quantity")
+    return t.raw_products(spark, d).select("barcode", "last_modified_t", text.quantity_value(q).alias("size_value"), text.quantity_unit(q).alias("size_unit"))
+
+
+@query(f"SELECT barcode, p_retailprice, {t.BASE_PRICE} AS base FROM (SELECT lpad(p_partkey::VARCHAR, 12, '0') AS barcode, p_retailprice, p_retailprice AS base_price FROM part)")
+def x2_base_price(spark, d):
+    return table(spark, d, "part").select(t.code("p_partkey").alias("barcode"), "p_retailprice").withColumn("base", price.base_price(F.col("p_retailprice"), F.col("barcode")))
+
+
+@query("SELECT barcode, search_terms FROM products", "products")
+def x3_search_terms(spark, d):
+    return t.products(spark, d).select("barcode", "search_terms")
+
+
+PLAIN = "NOT (taxonomy_key = 'milk' AND (lower(product_name) LIKE '%almond%' OR lower(product_name) LIKE '%oat%' OR lower(product_name) LIKE '%soy%' OR lower(product_name) LIKE '%coconut%'))"
+
+
+@query(f"SELECT barcode, last_modified_t, CASE WHEN {PLAIN} THEN term || '|' || w ELSE w END AS terms FROM (SELECT *, lower(regexp_replace(trim(product_name), '\\s+', '|', 'g')) AS w FROM raw_products JOIN category_map USING (taxonomy_key))", "raw_products", "category_map")
+def x4_p17_raw_terms(spark, d):
+    rows = t.raw_products(spark, d).join(F.broadcast(medallion.category_map(spark)), "taxonomy_key")
+    plain = ~((F.col("taxonomy_key") == "milk") & F.lower("product_name").rlike("almond|oat|soy|coconut"))
+    return rows.select("barcode", "last_modified_t", text.raw_terms(F.col("product_name"), F.col("term"), plain).alias("terms"))
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(html, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS digest FROM pages")
+def x5_squeeze(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(text.squeeze(F.col("html"))).alias("digest"))
+
+
+CODES = "SELECT c_custkey, lpad((c_custkey * 7919)::VARCHAR, CASE c_custkey % 5 WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 13 WHEN 3 THEN 14 ELSE 10 END, '0') AS code FROM customer"
+
+
+def _codes(spark, d):
+    size = F.when(F.col("c_custkey") % 5 == 0, 8).when(F.col("c_custkey") % 5 == 1, 12).when(F.col("c_custkey") % 5 == 2, 13).when(F.col("c_custkey") % 5 == 3, 14).otherwise(10)
+    return table(spark, d, "customer").select("c_custkey", F.lpad((F.col("c_custkey") * 7919).cast("string"), size, F.lit("0")).alias("code"))
+
+
+@query(f"SELECT c_custkey, length(code) IN (8, 12, 13, 14) AND {GTIN.format('code')} AS valid, length(code) IN (8, 12, 13, 14) AS shaped FROM ({CODES})")
+def x6_x7_gtin(spark, d):
+    return _codes(spark, d).select("c_custkey", gtin.valid_gtin(F.col("code")).alias("valid"), gtin.has_gtin_length(F.col("code")).alias("shaped"))
+
+
+LCS = """list_last(list_reduce(string_split(a, ''), lambda row, c: list_reduce(range(1, length(b) + 1), lambda acc, j:
+  list_append(acc, CASE WHEN substring(b, j::INT, 1) = c THEN row[j::INT] + 1 ELSE greatest(row[j::INT + 1], list_last(acc)) END), [0::BIGINT]), list_transform(range(0, length(b) + 1), lambda x: 0::BIGINT)))"""
+SORTED = "array_to_string(list_sort(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> '')), ' ')"
+NAMES = "SELECT DISTINCT p_name AS name FROM part"
+
+
+def _names(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("query", F.lit("rice milk"))
+
+
+@query(f"SELECT name, {ROUND(f'2.0::DOUBLE * {LCS} / (length(a) + length(b))', 6)} AS ratio FROM (SELECT name, {SORTED.format('name')} AS a, {SORTED.format(chr(39) + 'rice milk' + chr(39))} AS b FROM ({NAMES}))")
+def x10_token_sort_ratio(spark, d):
+    return _names(spark, d).select("name", text.half_up(fuzzy.token_sort_ratio(F.lower("name"), F.col("query")), 6).alias("ratio"))
+
+
+@query(ORACLES["x10_token_sort_ratio"])
+def x10_token_sort_ratio_arrow(spark, d):
+    return _names(spark, d).select("name", text.half_up(fuzzy.token_sort_ratio_arrow(F.lower("name"), F.col("query")), 6).alias("ratio"))
+
+
+@query()
+def x11_x14_embedding(spark, d):
+    return _names(spark, d).select("name", embed.ngram_embedding(F.col("name"), 64).alias("embedding"))
+
+
+@query(f"SELECT e.vec_id, {ROUND('list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])', 6)} AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def x13_cosine(spark, d):
+    rows = table(spark, d, "embeddings")
+    probe = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return rows.crossJoin(F.broadcast(probe)).select("vec_id", text.half_up(embed.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
+@query("SELECT barcode, product_name || ' ' || search_terms AS candidate FROM products", "products")
+def x15_candidate_text(spark, d):
+    return t.products(spark, d).select("barcode", F.concat_ws(" ", "product_name", "search_terms").alias("candidate"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, '{\"event_id\":' || event_id || '}' AS body FROM events")
+def x17_json(spark, d):
+    rows = table(spark, d, "events")
+    return rows.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.to_json(F.struct("event_id")).alias("body"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, epoch(date_trunc('second', ts))::DOUBLE AS seconds FROM events")
+def x18_x19_times(spark, d):
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, d, "events").select("event_id", events.event_date(stamp).alias("day"), events.event_seconds(stamp).alias("seconds"))
+
+
+@query("SELECT barcode, list_filter(string_split(search_terms, '|'), lambda x: x <> '') AS terms FROM products", "products")
+def x22_split_terms(spark, d):
+    return t.products(spark, d).select("barcode", text.split_terms(F.col("search_terms")).alias("terms"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), '|') AS tags FROM lineitem GROUP BY l_orderkey")
+def x23_join_tags(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(text.join_tags(F.array_sort(F.collect_set("l_returnflag"))).alias("tags"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal IS NULL OR c_acctbal <= 0")
+def x25_q9_positive(spark, d):
+    return quality.only_positive(table(spark, d, "customer"), "c_acctbal").select("c_custkey", "c_acctbal")
+
+
+@query("SELECT o_custkey, count(*) AS n_records FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def q9_unique(spark, d):
+    return quality.unique(table(spark, d, "orders"), "o_custkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+def q9_accepted_values(spark, d):
+    return quality.accepted_values(table(spark, d, "orders"), "o_orderstatus", ["O", "F"]).select("o_orderkey", "o_orderstatus")
+
+
+# Table layer
+
+
+def _versions(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    old = orders.where("o_orderkey % 3 <> 0")
+    new = orders.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return old, new
+
+
+MERGED = "SELECT o_orderkey, o_custkey, CASE WHEN {upd} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0"
+
+
+@query(MERGED.format(upd="o_orderkey % 2 = 0"))
+def k2_j4_upsert(spark, d):
+    lake = LakeTable(spark, t.scratch(spark, "orders"))
+    old, new = _versions(spark, d)
+    lake.upsert(old, "o_orderkey", partition_by=["o_orderstatus"])
+    lake.upsert(new.unionByName(new), "o_orderkey")
+    return lake.read()
+
+
+@query(MERGED.format(upd="o_orderkey % 2 = 0 AND o_orderkey % 3 = 0"))
+def k3_j5_insert_new(spark, d):
+    lake = LakeTable(spark, t.scratch(spark, "orders"))
+    old, new = _versions(spark, d)
+    lake.insert_new(old, "o_orderkey")
+    lake.insert_new(new, "o_orderkey")
+    return lake.read()
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
+def s1_k13_time_travel(spark, d):
+    lake = LakeTable(spark, t.scratch(spark, "orders"))
+    old, new = _versions(spark, d)
+    lake.write(old, "overwrite", ["o_orderstatus"])
+    lake.upsert(new, "o_orderkey")
+    return lake.read(version=0).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0")
+def s4_k4_k11_partition_read(spark, d):
+    lake = LakeTable(spark, t.scratch(spark, "orders"))
+    lake.write(_versions(spark, d)[0], "overwrite", ["o_orderstatus"])
+    lake.zorder(["o_custkey", "o_totalprice"], files=4)
+    return lake.read().where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def s2_sql_on_frames(spark, d):
+    from millrace.sources.files import query as run
+
+    return run(spark, "SELECT n_regionkey, count(*) AS n FROM {nations} GROUP BY n_regionkey", nations=table(spark, d, "nation"))
+
+
+@query()
+def s15_scale_events(spark, d):
+    return generators.scale_events(spark, 10_000)
+
+
+@query()
+def s14_x12_modelled_prices(spark, d):
+    return generators.modelled_prices(t.products(spark, d), generators.modelled_stores(spark))
+
+
+# Streaming
+
+PRICE = "CASE WHEN event_id % 16 = 3 THEN -value ELSE value + 1 END"
+OK = f"event_id % 50 NOT IN (7, 8, 9) AND {PRICE} > 0"
+ACCEPTED = f"""SELECT 2 AS schema_version, event_id, (user_id % 50)::INT AS store_id, (event_id % 97)::INT AS product_id, {PRICE} AS price, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS observed_at,
+  CASE WHEN event_id % 10 = 0 THEN true ELSE event_id % 9 <> 0 END AS in_stock, CASE WHEN event_id % 10 = 0 THEN 'USD' ELSE 'EUR' END AS currency FROM events WHERE {OK}"""
+
+
+@query(ACCEPTED)
+def t1_t2_t3_accepted(spark, d):
+    return routing.accepted(routing.route(t.messages(spark, d)))
+
+
+@query(f"SELECT CASE WHEN event_id % 50 = 7 THEN 'deserialize' WHEN event_id % 50 = 8 THEN 'missing fields: observed_at, price, product_id, store_id' WHEN event_id % 50 = 9 THEN 'unknown schema_version' ELSE 'invalid price' END AS error, count(*) AS n FROM events WHERE NOT ({OK}) GROUP BY 1")
+def t9_k8_dead_letters(spark, d):
+    return routing.dead_letters(routing.route(t.messages(spark, d)), F.lit(0)).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, store_id, price FROM ({ACCEPTED})")
+def t6_t8_stream_bronze(spark, d):
+    """Messages written as files, streamed into a bronze table twice: the second delivery changes nothing."""
+    source, state = t.scratch(spark, "messages"), t.scratch(spark, "checkpoint")
+    t.messages(spark, d).select("value").write.text(source)
+    bronze, dead = LakeTable(spark, t.scratch(spark, "bronze")), LakeTable(spark, t.scratch(spark, "dead"))
+    for k in range(2):
+        jobs.start_bronze(jobs.file_messages(spark, source), bronze, dead, f"{state}/{k}", once=True).awaitTermination()
+    return bronze.read().select("event_id", "store_id", "price")
+
+
+# Matching and planning
+
+CART = ["milk", "rice", "chicken breast", "spinach", "oat drink"]
+
+
+def _cart(spark):
+    return spark.createDataFrame([(q,) for q in CART], "query string")
+
+
+@query()
+def b2_x9_match(spark, d):
+    return matching.match_at_stores(_cart(spark), t.offers(spark, d))
+
+
+@query()
+def b3_a12_match_items(spark, d):
+    return matching.match_items(matching.match_at_stores(_cart(spark), t.offers(spark, d)))
+
+
+OPTIONS = f"""cart(item, qty) AS (VALUES ('milk', 2), ('rice', 1), ('eggs', 1), ('bread', 3), ('caviar', 1)),
+near AS (SELECT store_id, {KM} AS km FROM stores ORDER BY 2, 1 LIMIT 6),
+opts AS (SELECT category AS item, store_id, price, 0.9::DOUBLE AS score FROM offers WHERE in_stock AND store_id IN (SELECT store_id FROM near) QUALIFY row_number() OVER (PARTITION BY category, store_id ORDER BY price, product_id) = 1),
+sets AS (SELECT [] ::VARCHAR[] AS s, 0.0::DOUBLE AS km UNION ALL SELECT [store_id], 2 * km FROM near
+  UNION ALL SELECT [a.store_id, b.store_id], 2 * a.km + 2 * b.km FROM near a JOIN near b ON a.store_id < b.store_id
+  UNION ALL SELECT [a.store_id, b.store_id, c.store_id], 2 * a.km + 2 * b.km + 2 * c.km FROM near a JOIN near b ON a.store_id < b.store_id JOIN near c ON b.store_id < c.store_id),
+costs AS (SELECT s, item, min(1.0::DOUBLE * qty * price + 6.0::DOUBLE * (1.0::DOUBLE - score)) AS cost FROM sets JOIN opts ON list_contains(s, store_id) JOIN cart USING (item) GROUP BY s, item),
+plans AS (SELECT array_to_string(sets.s, '|') AS set_id, len(sets.s)::INT AS size, coalesce(sum(cost) FILTER (cost < 25), 0.0::DOUBLE) AS items_cost, 5 - count(cost) FILTER (cost < 25) AS missing, any_value(km) AS km
+  FROM sets LEFT JOIN costs ON sets.s = costs.s GROUP BY sets.s),
+priced AS (SELECT set_id, size, items_cost, missing, {ROUND('items_cost + 25.0::DOUBLE * missing + 2.5::DOUBLE * size + 0.4::DOUBLE * km', 3)} AS objective FROM plans)"""
+
+
+def _plans(spark, d):
+    cart = spark.createDataFrame([("milk", 2), ("rice", 1), ("eggs", 1), ("bread", 3), ("caviar", 1)], "item string, qty int")
+    near = planner.nearest(_near(spark, d), 6)
+    stocked = t.offers(spark, d).where("in_stock").join(F.broadcast(near.select("store_id")), "store_id")
+    cheapest = stocked.groupBy(F.col("category").alias("item"), "store_id").agg(F.min("price").alias("price")).withColumn("score", F.lit(0.9))
+    return cart, cheapest, planner.plan_costs(cart, cheapest, planner.store_sets(near, 3))
+
+
+def _planned(body: str) -> str:
+    return sql("", "offers").rstrip() + ", " + OPTIONS + "\n" + body
+
+
+def planned(body: str):
+    def register(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, _planned(body)
+        return f
+
+    return register
+
+
+@planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, objective FROM priced")
+def a13_x20_plan_costs(spark, d):
+    return _plans(spark, d)[2].withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
+
+
+@planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, objective FROM priced ORDER BY objective, size, set_id LIMIT 1")
+def a15_b5_b6_best_plan(spark, d):
+    return planner.best_plan(_plans(spark, d)[2]).withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
+
+
+@planned("SELECT set_id, objective FROM priced WHERE size = 1 ORDER BY objective, size, set_id LIMIT 1")
+def b4_single_store(spark, d):
+    return planner.single_store_plan(_plans(spark, d)[2]).select("set_id", "objective")
+
+
+@planned(f"SELECT s.objective AS single_objective, s.set_id AS single_set, m.objective AS multi_objective, m.set_id AS multi_set, {ROUND('s.objective - m.objective', 3)} AS savings, CASE WHEN m.objective < s.objective THEN 'multi_store' ELSE 'single_store' END AS recommended FROM (SELECT * FROM priced WHERE size = 1 ORDER BY objective, size, set_id LIMIT 1) s, (SELECT * FROM priced WHERE size >= 1 ORDER BY objective, size, set_id LIMIT 1) m")
+def b7_b8_recommended(spark, d):
+    return planner.recommended(_plans(spark, d)[2])
+
+
+@query()
+def o6_b7_assignments(spark, d):
+    cart, options, costs = _plans(spark, d)
+    return planner.assignments(planner.best_plan(costs), cart, options)
+
+
+@query(f"""SELECT c.*, s.num_products, s.avg_price FROM (SELECT product_id, product_name, category, {ROUND('price')} AS cheapest_price, store_name AS cheapest_store FROM offers WHERE in_stock
+  QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, store_id) = 1) c JOIN ({STATS}) s USING (category)""", "offers")
+def flagship_cheapest_with_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The cheapest current offer of each product, with its category's statistics."""
+    rows = t.offers(spark, d)
+    return medallion.cheapest_products(rows).join(medallion.category_price_stats(rows).select("category", "num_products", "avg_price"), "category")
