@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: The multipliers of the public splitmix64 finaliser, and an odd base for polynomial hashes.
 MIX_1, MIX_2, BASE = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -91,7 +91,7 @@ def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
 #: Lower-cases A-Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Separators of words of ASCII digits, letters and any other script.
+#: Separators, in lower-cased text, of words of ASCII digits, letters and any other script.
 NOT_WORD = byte_table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 SPACES = byte_table((0x20, 0x20), (0x09, 0x0D))
 
@@ -152,6 +152,12 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def size_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size; exact for files."""
+    """Catalyst's estimate of a table's size; exact for files, and very large where nothing is known."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
+
+def parts_for(df: DataFrame, part_bytes: int, least: int) -> int:
+    """Parts of about part_bytes of input each; where the size is unknown, as many as Spark shuffles to."""
+    size = size_bytes(df)
+    known = -(-size // part_bytes) if size < 1 << 56 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(known, 1 << 20))

@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import BASE, U64, drop_staged, mixed, powers, size_bytes, staged, text_chunks, tuned
+from millrace.llm.common import BASE, U64, drop_staged, mixed, parts_for, powers, staged, text_chunks, tuned
 
 WINDOW, K = 50, 20
 SPAN = WINDOW - K + 1  # k-mers of a window
-FLUSH_ROWS, PART_BYTES, LEAST_PARTS = 1_500_000, 4 << 20, 64
+FLUSH_ROWS, PART_BYTES, LEAST_PARTS = 400_000, 4 << 20, 64
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 LONGEST = (1 << 24) - 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -47,7 +47,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _cached(name: str, n: int, base: np.uint64) -> np.ndarray:
     if len(_POWERS.get(name, ())) < n:
-        _POWERS[name] = powers(max(n, 1 << 21), base)
+        _POWERS[name] = powers(max(n, 1 << 18), base)
     return _POWERS[name][:n]
 
 
@@ -80,7 +80,8 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     off = anchor - start
     ends = start + count + WINDOW - 1
     own = mixed((sums[ends] - sums[start]) * down[start] + (off * 64 + count).astype(U64) * INVERSE)
-    return doc, start - offsets[doc], count, off, kmers[anchor], own
+    # Anchors are least hashes; hashed again they spread evenly over the parts.
+    return doc, start - offsets[doc], count, off, mixed(kmers[anchor] ^ BASE), own
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -405,7 +406,7 @@ def _exchanged(runs: DataFrame, parts: int) -> DataFrame:
 
 def covered_spans(docs: DataFrame) -> DataFrame:
     """doc_id, variant, covered: the packed spans to remove. docs: doc_id long, variant int, text."""
-    parts = max(LEAST_PARTS, -(-size_bytes(docs) // PART_BYTES))
+    parts = parts_for(docs, PART_BYTES, LEAST_PARTS)
     runs = docs.select("doc_id", "variant", "text").mapInArrow(_runs(parts), "part int, kind int, run binary")
     found = staged(_exchanged(runs, parts).mapInArrow(_merge_hashes, FOUND), "blocks")
     open_ = found.where(F.col("kind") == OPEN).groupBy("doc_id", "variant").agg(F.collect_list("span").alias("open"))
