@@ -47,12 +47,13 @@ UNIT_HASHES = _unit_hashes()
 
 def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template hashes, slot values, kinds, and each document's first token."""
-    inside = ~NOT_WORD[data]
+    lowered = LOWER[data]
+    inside = ~NOT_WORD[lowered]
     if len(data) > 2:
         digit = DIGITS[data]
         inside[1:-1] |= ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
     starts, ends, first = runs(inside, offsets)
-    values = word_hashes(LOWER[data], starts, ends)
+    values = word_hashes(lowered, starts, ends)
     kinds = np.full(len(starts), LITERAL, dtype=np.int8)
     if len(starts):
         stops = np.concatenate([[0], np.cumsum(ENDS[data])])
