@@ -9,7 +9,7 @@ other documents, and of those that hardly occur in other documents a greedy cove
 only if it explains toxic documents that the terms before it don't, so that copied text brings in no
 words of its own. ``EXCEPTIONS`` are phrases in which a term is harmless: the automaton matches them
 too, and terms inside are not counted. The hits' weights are divided by the length (a document
-of up to ``FREE_WORDS`` words counts as that long), and score = x / (1 + x).
+of up to ``FREE_WORDS`` words counts as that long); what is over ``CHANCE``, x, gives score = x / (1 + x).
 
 The fit takes a bounded sample: at most ``MAX_TRAIN`` labelled rows, the first by a hash of doc_id.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Labels that are null teach nothing; null and
@@ -34,15 +34,16 @@ from millrace.llm.common import tuned
 MAX_TRAIN = 12_000
 FREE_WORDS = 400
 THRESHOLD = 0.7
+CHANCE = 2.0
 STEM = (4, 8)
 # Letters that look alike, and what digits and signs stand for.
 HOMOGLYPHS = {
     **dict(zip("абвгдеёзикмнорстухіјѕԁԛԝһ", "abbrdeesukmhopctyxijsdqwh")), **dict(zip("αβγδεζηικνορτυχω", "abydezniknoptuxw")),
-    **dict(zip("ıłøđħŧþðßæœ", ["i", "l", "o", "d", "h", "t", "p", "d", "ss", "ae", "oe"])), "@": "a", "$": "s", "€": "e", "£": "l", "!": "i", "|": "i",
+    **dict(zip("ıłøđħŧþðßæœ", ["i", "l", "o", "d", "h", "t", "p", "d", "ss", "ae", "oe"])),
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
 }
 # Words to start from, each with a weight, and phrases in which they are harmless.
-SEED = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "scum": 3.0, "pathetic": 2.5, "worthless": 2.5, "disgusting": 2.5, "loser": 3.0, "trash": 1.5, "clown": 1.5}
+SEED = {"idiot": 5.0, "moron": 5.0, "stupid": 4.5, "scum": 5.0, "pathetic": 4.5, "worthless": 4.5, "disgusting": 4.5, "loser": 5.0, "trash": 3.0, "clown": 3.0}
 EXCEPTIONS = ("pond scum", "sore loser", "not stupid", "worthless currency", "clown fish", "trash can", "trash bin", "recycling and trash", "sympathetic pathetic fallacy", "pathetic fallacy")
 
 
@@ -61,12 +62,17 @@ def _table() -> dict[int, str]:
 TABLE = _table()
 # Without accents and homoglyphs a text needs only the ASCII part, which is much faster.
 ASCII_TABLE = str.maketrans({c: x for c, x in TABLE.items() if c < 128})
+# Signs stand for letters only within a word.
+SIGNS = {"@": "a", "$": "s", "€": "e", "£": "i", "!": "i", "|": "i"}
+SIGNS_WITHIN = re.compile(r"(?<=\w)[@$€£!|](?=\w)")
 GAPS = re.compile(r"[\W_]+")
 
 
 def fold(text: str | None) -> str:
     """Folded words between single spaces, with a space at either end."""
     lowered = (text or "").lower()
+    if any(c in lowered for c in SIGNS):
+        lowered = SIGNS_WITHIN.sub(lambda m: SIGNS[m[0]], lowered)
     return " " + GAPS.sub(" ", lowered.translate(ASCII_TABLE if lowered.isascii() else TABLE)).strip() + " "
 
 
@@ -83,7 +89,7 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least: int = 5, odds: float = 4.2) -> dict[str, float]:
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least: int = 5, odds: float = 2.0) -> dict[str, float]:
     """Patterns and weights from the labelled rows that are not held out."""
     spark = tuned(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -125,12 +131,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least:
     return lexicon | cover([s & weights.keys() for s in found if not s & lexicon.keys()], weights)
 
 
-def cover(found: list[set[str]], weights: dict[str, float], least: int = 2) -> dict[str, float]:
-    """Greedily, by documents and weight, the terms that explain at least ``least`` documents more; of equals the longest."""
+def cover(found: list[set[str]], weights: dict[str, float], least: int = 5, sure: float = 4.2) -> dict[str, float]:
+    """Greedily, by documents and weight, the terms that explain ``least`` documents more, or two if their weight is ``sure``; of equals the longest."""
     left, kept = found, {}
     while True:
-        counts = {t: n for t, n in Counter(t for s in left for t in s).items() if n >= least}
-        best = max(counts, key=lambda t: (counts[t] * weights[t], len(t), t), default=None)
+        counts = {t: n for t, n in Counter(t for s in left for t in s).items() if n >= (2 if weights[t] >= sure else least)}
+        best = max(counts, key=lambda t: (counts[t] * weights[t] ** 2, len(t), t), default=None)
         if best is None:
             return kept
         kept[best] = weights[best]
@@ -160,7 +166,7 @@ def score_text(text: str | None, machine: ahocorasick.Automaton) -> tuple[float,
             hits[start] = max(hits.get(start, 0.0), weight)
     if free:
         hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in free)}
-    x = sum(hits.values()) * FREE_WORDS / max(FREE_WORDS, folded.count(" ") - 1)
+    x = max(0.0, sum(hits.values()) * FREE_WORDS / max(FREE_WORDS, folded.count(" ") - 1) - CHANCE)
     return x / (1 + x) if math.isfinite(x) else 1.0, len(hits)
 
 
