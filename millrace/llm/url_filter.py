@@ -100,3 +100,33 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES)
     no_rule = F.lit(None).cast("string")
     by_model = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return df.select("page_id", "host", "path", (no_rule if rule is None else rule).alias("rule"), F.coalesce(no_rule if verdict is None else verdict, by_model).alias("verdict"), "score")
+
+
+def oracle() -> str:
+    """The same with the fit as a recursive query."""
+    part = "coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', {1}), '')"
+    low = f"translate({{0}}, '{UPPER}', '{LOWER}')"
+    host, path = low.format(part.format("url", 1)), part.format("url", 2)
+    codes = f"list_transform(string_split('^' || {low.format('{0}')} || '$', ''), lambda c: unicode(c)::BIGINT)"
+    step = "{1}"
+    for k in range(GRAM):
+        step = f"(({step} * 257 + c[i + {k}]) % 1000003)"
+    grams = f"(SELECT list_transform(range(1, len(c) - {GRAM - 2}), lambda i: ({step}) % {BUCKETS}) FROM (SELECT {codes} AS c))"
+    features = f"list_distinct({grams.format('host', 1)} || {grams.format('path', 2)})"
+    labelled = ", ".join(f"('{u}', {y}::DOUBLE)" for u, y in LABELLED)
+    z = f"(w[{BUCKETS + 1}] + coalesce(list_sum(list_transform({{0}}, lambda b: w[b + 1])), 0))"
+    names = [f"'{h}{p}'" for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
+    rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda values: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {v}" for (h, p, _), v in zip(rules, values)) + " END"
+    return f"""
+WITH RECURSIVE l(url, y) AS (VALUES {labelled}),
+x AS (SELECT y, {features} AS f FROM (SELECT y, {host} AS host, {path} AS path FROM l)),
+t AS (SELECT list(y ORDER BY n) AS y, list(f ORDER BY n) AS f, count(*) AS n FROM (SELECT *, row_number() OVER () AS n FROM x)),
+h AS (SELECT y, f, n, list_transform(range(0, {BUCKETS + 1}), lambda b: list_filter(range(1, n + 1), lambda r: b = {BUCKETS} OR list_contains(f[r], b))) AS has FROM t),
+g(k, w) AS (SELECT 0, list_transform(range(0, {BUCKETS + 1}), lambda b: 0.0::DOUBLE) UNION ALL
+  SELECT k + 1, list_transform(range(0, {BUCKETS + 1}), lambda b: w[b + 1] * {1 - DECAY}::DOUBLE + coalesce(list_sum(list_transform(has[b + 1], lambda r: e[r])), 0) * {RATE}::DOUBLE / n)
+  FROM (SELECT k, w, has, n, list_transform(range(1, n + 1), lambda r: y[r] - 1 / (1 + exp(-{z.format('f[r]')}))) AS e FROM g, h WHERE k < {STEPS})),
+p AS (SELECT page_id, host, path, {features} AS f FROM (SELECT page_id, {host} AS host, {path} AS path FROM pages)),
+s AS (SELECT page_id, host, path, 1 / (1 + exp(-{z.format('f')})) AS score FROM p, (SELECT w FROM g WHERE k = {STEPS}))
+SELECT page_id, host, path, {case(names)} AS rule, coalesce({case([f"'{r[2]}'" for r in rules])}, CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  floor(score * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM s"""
