@@ -548,12 +548,30 @@ def _cart(spark):
     return spark.createDataFrame([(q,) for q in CART], "query string")
 
 
-@query()
+MATCH = f"""stocked AS (SELECT * FROM offers WHERE in_stock), q(query) AS (VALUES {", ".join(f"('{c}')" for c in CART)}),
+texts AS (SELECT product_id, unnest(list_append(list_filter(string_split(coalesce(search_terms, ''), '|'), lambda x: x <> ''), coalesce(product_name, ''))) AS candidate
+  FROM (SELECT DISTINCT product_id, product_name, search_terms FROM stocked)),
+pairs AS (SELECT query, candidate, {SORTED.format('query')} AS a, {SORTED.format('candidate')} AS b FROM q, (SELECT DISTINCT candidate FROM texts)),
+scored AS (SELECT query, candidate, CASE WHEN lower(trim(query)) = lower(trim(candidate)) THEN 1.0::DOUBLE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {LCS} / (length(a) + length(b)) END AS score FROM pairs),
+best AS (SELECT query, product_id, max(score) AS score FROM texts JOIN scored USING (candidate) GROUP BY query, product_id),
+matches AS (SELECT query, store_id, product_id, product_name, price, CASE WHEN score >= 0.72 THEN {ROUND('score', 3)} END AS score, CASE WHEN score >= 0.72 THEN 'fuzzy' ELSE 'none' END AS method, score >= 0.72 AS available
+  FROM stocked JOIN best USING (product_id) QUALIFY row_number() OVER (PARTITION BY query, store_id ORDER BY score DESC, price, product_id) = 1)"""
+
+
+def matched(body: str):
+    def register(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql("", "offers").rstrip() + ", " + MATCH + "\n" + body
+        return f
+
+    return register
+
+
+@matched("SELECT * FROM matches")
 def b2_x9_match(spark, d):
     return matching.match_at_stores(_cart(spark), t.offers(spark, d))
 
 
-@query()
+@matched(f"SELECT query, arg_min(product_name, k) AS product_name, arg_min(store_id, k) AS store_id, max(score) AS score, count(*) AS num_stores, {ROUND('min(price)')} AS min_price, {ROUND('max(price)')} AS max_price FROM (SELECT *, {{'s': -score, 'p': price, 't': store_id, 'i': product_id}} AS k FROM matches WHERE available) GROUP BY query")
 def b3_a12_match_items(spark, d):
     return matching.match_items(matching.match_at_stores(_cart(spark), t.offers(spark, d)))
 
