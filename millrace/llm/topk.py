@@ -11,6 +11,8 @@ in blocks of ``BLOCK`` rows, and each block meets all candidates:
 3. their remaining partial scores are resolved exactly, and those that reach the cutoff compete; each
    task sends k a query at most, and the k best of all are ranked.
 
+Each block's answers are written to the shared folder, so a lost executor costs one block at most.
+
 A component x counts as floor(64 * x), x as double, and scores are integers; equal scores go to the
 smaller vec_id. Vectors that are null or hold null or non-finite components take no part, nor do rows
 without vec_id. Where lengths differ, missing components count as 0. A query's own row is every row of its
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import tuned
+from millrace.llm.common import shared_path, tuned
 
 K, LISTS, BLOCK, ROWS = 20, 2, 2048, 2048
 NONE = np.iinfo(np.int64).min
@@ -127,7 +129,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = tuned(candidates.sparkSession)
     rows = vectors(candidates)
     asked = vectors(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
-    out, block = spark.createDataFrame([], SCHEMA), []
+    path, block = shared_path(spark, "topk"), []
 
     def answered(block: list) -> DataFrame:
         ids = np.array([r.vec_id for r in block], dtype=np.int64)
@@ -147,8 +149,11 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     for r in asked.toLocalIterator(prefetchPartitions=False):
         block.append(r)
         if len(block) == BLOCK:
-            out, block = out.unionByName(answered(block)), []
-    return out.unionByName(answered(block)) if block else out
+            answered(block).write.mode("append").parquet(path)
+            block = []
+    rest = answered(block) if block else spark.createDataFrame([], SCHEMA)
+    rest.write.mode("append").parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def oracle(k: int = K) -> str:
