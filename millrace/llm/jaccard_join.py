@@ -6,8 +6,8 @@ class, and one set of each class goes on. Two sets of n and m shingles link when
 The order puts shingles that a task found in many documents last, by hash otherwise. So only sets that share
 a prefix shingle are compared:
 
-1. all sets of a shingle's group are compared with the least of the group (a pivot), which links
-   copies of one text in as many comparisons as there are copies;
+1. each set is compared with up to three of the least and greatest sets (pivots) of its shingles' groups,
+   which links copies of one text in about as many comparisons as there are copies;
 2. groups that still fall in several components are put in signature trees: leaves are runs of sets
    by size, inner nodes hold the OR and the AND of their bitmaps and their size range. A traversal of
    two nodes at a time prunes pairs whose sizes, or whose greatest possible overlap, can't link, and pairs
@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE, LOWER, SPACES, drop_staged, gram_hashes, mixed, staged, text_chunks, tuned, word_hashes, words
+from millrace.llm.common import BASE, LOWER, SPACES, drop_staged, gram_hashes, mixed, parts_for, release, staged, text_chunks, trimmed, tuned, word_hashes, words
 from millrace.llm.components import components
 
-N, BLOCK, LEAF, FAN = 5, 512, 16, 4
-MAX_HOT, LOCAL_HOT, FLUSH = 500_000, 6, 4_000_000
+N, BLOCK, LEAF, FAN, LEAST_BITS, FINE = 5, 512, 16, 4, 512, 8
+MAX_HOT, LOCAL_HOT, FLUSH = 1_000_000, 3, 4_000_000
+FILTER_BITS = 1 << 23
+SALTS, FLUSH_ENTRIES, PART_BYTES, LEAST_PARTS, VERIFY = 64, 500_000, 4 << 20, 64, 500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -61,9 +63,9 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the set, of the least power of two of bits that isn't below its size (64 at least), as uint64 words."""
-    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+def signature(tokens: np.ndarray, times: int = 1) -> np.ndarray:
+    """A bitmap of the set, of the least power of two of bits that isn't below its size (LEAST_BITS at least), times a power of two, as uint64 words."""
+    bits = times * max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length())
     out = np.zeros(bits, dtype=bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -78,7 +80,7 @@ def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp of each document; rows with n = -1 hold shingles that many of a task's documents have."""
+    """doc_id, n, fp, bitmap of each document; rows with n = -1 hold shingles that many of a task's documents have."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,37 +92,54 @@ def _sizes(docs: DataFrame) -> DataFrame:
         def hot() -> pa.RecordBatch:
             tokens = np.sort(np.concatenate(pile)) if pile else np.zeros(0, dtype=np.uint64)
             many = tokens[: len(tokens) - LOCAL_HOT + 1][tokens[LOCAL_HOT - 1 :] == tokens[: len(tokens) - LOCAL_HOT + 1]] if len(tokens) >= LOCAL_HOT else tokens[:0]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, id_type or pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([np.unique(many).view(np.int64).tolist()], pa.list_(pa.int64()))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, id_type or pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.unique(many).view(np.int64).tolist()], pa.list_(pa.int64()))], names)
 
-        names = ["doc_id", "n", "fp", "hot"]
+        names = ["doc_id", "n", "fp", "bitmap", "hot"]
         for batch in batches:
             id_type = batch.column("doc_id").type
-            n, fp = [], []
+            n, fp, maps = [], [], []
             for _, _, data, offsets in text_chunks(batch):
                 for tokens in shingle_sets(data, offsets):
                     n.append(len(tokens))
                     fp.append(fingerprint(tokens) if len(tokens) else 0)
+                    maps.append(signature(tokens).tobytes() if len(tokens) else None)
                     if len(tokens) and fp[-1] not in seen:
                         seen.add(fp[-1])
                         pile.append(tokens)
                         size += len(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], names)
             if size >= FLUSH:
                 yield hot()
                 pile, size = [], 0
         if id_type is not None:
             yield hot()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n int, fp long, hot array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind.simpleString()}, n int, fp long, bitmap binary, hot array<long>")
 
 
-def _entries(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """token, fp: the prefix shingles of each set, once a task. ``hot`` is bounded by MAX_HOT."""
+def _runs(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """part, run: the prefix shingles of each set, once a task, packed by the part that their hash falls in.
+
+    ``hot`` is bounded by MAX_HOT. A hot shingle's sets are spread over SALTS parts by their fingerprints.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, int]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            tokens = np.concatenate([t for t, _ in held])
+            fps = np.repeat(np.array([f for _, f in held], dtype=np.int64), [len(t) for t, _ in held])
+            salt = np.where(_among(tokens, hot), (fps % SALTS).astype(np.uint64), np.uint64(0))
+            part = (mixed(tokens ^ (salt * BASE)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            tokens, fps, part = tokens[order], fps[order], part[order]
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            blobs = [tokens[x:y].tobytes() + fps[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "run"])
+
         for batch in batches:
-            tokens_out, fps, sizes = [], [], []
             for _, _, data, offsets in text_chunks(batch):
                 for tokens in shingle_sets(data, offsets):
                     if not len(tokens) or (fp := fingerprint(tokens)) in seen:
@@ -128,32 +147,87 @@ def _entries(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     seen.add(fp)
                     p = prefix_size(len(tokens))
                     if len(hot):
-                        late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+                        late = _among(tokens, hot)
                         tokens = np.concatenate([tokens[~late][:p], tokens[late][:p]])
-                    tokens_out.append(tokens[:p])
-                    fps.append(fp)
-                    sizes.append(p)
-            if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens_out).view(np.int64)), pa.array(np.repeat(np.array(fps, dtype=np.int64), sizes))], ["token", "fp"])
+                    held.append((tokens[:p].copy(), fp))
+                    size += p
+            if size >= FLUSH_ENTRIES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, fp long")
+    return docs.select("text").mapInArrow(trimmed(run), "part int, run binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp, n, tokens, bitmap of the sets in ``wanted`` (cid, fp), where cid is a document of the class."""
+def _among(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens if len(hot) else np.zeros(len(tokens), dtype=bool)
+
+
+def _shared(runs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """token, fp, pivot, other, is_hot: sets that share a prefix shingle, with the least and the greatest of them; of a hot one, those in one part."""
+
+    def groups(blobs: list[bytes]) -> pa.RecordBatch:
+        pairs = [np.frombuffer(b, dtype=np.uint64).reshape(2, -1) for b in blobs]
+        tokens, fps = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]).view(np.int64)
+        order = np.lexsort((fps, tokens))
+        tokens, fps = tokens[order], fps[order]
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (fps[1:] != fps[:-1])])
+        tokens, fps = tokens[new], fps[new]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        sizes = np.diff(np.concatenate([first, [len(tokens)]]))
+        is_hot = _among(tokens, hot)
+        keep = (np.repeat(sizes, sizes) > 1) | is_hot
+        low, high = np.repeat(fps[first], sizes), np.repeat(fps[first + sizes - 1], sizes)
+        columns = (tokens.view(np.int64), fps, low, high, is_hot)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["token", "fp", "pivot", "other", "is_hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            rows, want = [], batch.column("want").to_pylist()
-            for a, _, data, offsets in text_chunks(batch):
-                for k, tokens in enumerate(shingle_sets(data, offsets)):
-                    if len(tokens) and (fp := fingerprint(tokens)) == want[a + k]:
-                        rows.append((fp, len(tokens), tokens.tobytes(), signature(tokens).tobytes()))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["fp", "n", "tokens", "bitmap"])
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist()):
+                if part != now and held:
+                    yield groups(held)
+                    held = []
+                now = part
+                held.append(blob)
+        if held:
+            yield groups(held)
 
-    rows = docs.select("doc_id", "text").join(wanted.select(F.col("cid").alias("doc_id"), F.col("fp").alias("want")), "doc_id").select("text", "want")
-    return rows.mapInArrow(run, "fp long, n int, tokens binary, bitmap binary").dropDuplicates(["fp"])
+    return runs.mapInArrow(trimmed(run), "token long, fp long, pivot long, other long, is_hot boolean")
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with those that the column ``bit`` names: what reaches the driver is bounded, whatever the number of ids."""
+    words = ids.select((F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, fine: bool) -> DataFrame:
+    """fp, n, body (tokens or, if ``fine``, a bitmap of FINE times the bits) of the sets in ``wanted`` (cid, fp), where cid is a document of the class; and of some others.
+
+    A bitmap of hashed cids tells tasks which documents to take, so that no text is shuffled. It is of a fixed
+    size: with very many cids more documents pass, and joins on fp leave them out.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int").alias("bit")
+    bitmap = np.packbits(_bits(wanted.select(bit("cid"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(bitmap).astype(bool)
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for _, _, data, offsets in text_chunks(batch.filter(pa.array(known[batch.column("bit").to_numpy()]))):
+                for tokens in shingle_sets(data, offsets):
+                    if len(tokens) and (fp := fingerprint(tokens)) not in seen:
+                        seen.add(fp)
+                        rows.append((fp, len(tokens), (signature(tokens, FINE) if fine else tokens).tobytes()))
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["fp", "n", "body"])
+
+    return docs.where("doc_id IS NOT NULL").select(bit("doc_id"), "text").mapInArrow(trimmed(run), "fp long, n int, body binary")
 
 
 def _possible(n: np.ndarray, m: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -177,19 +251,68 @@ def _pairs_possible(pairs: DataFrame) -> DataFrame:
     return near.select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link: finer bitmaps rule most others out, and whole sets decide the rest."""
+    possible = _compared(docs, classes, pairs, True)
+    return _compared(docs, classes, possible, False)
+
+
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, fine: bool) -> DataFrame:
+    """The pairs that may link by fine bitmaps, or that do by their sets; of the latter, in a component, enough to connect it.
+
+    Sets go to blocks of pairs rather than to pairs: the candidate graph's components are split into blocks
+    of about VERIFY shingles, and a task holds two blocks' sets at a time.
+    """
+    parts = staged(components(pairs), "candidates")
+    weighed = parts.join(classes.select(F.col("fp").alias("node"), "n", "cid"), "node")
+    sizes = weighed.groupBy("component").agg(F.ceil(F.sum("n") / (VERIFY * (FINE if fine else 1))).cast("int").alias("blocks"))
+    nodes = staged(weighed.join(sizes, "component").select("node", "cid", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "nodes")
+    sets = staged(_sets(docs, nodes.select("cid"), fine), "sets")
+    ends = [nodes.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"), F.col("block").alias(f"block_{c}")) for c in "ab"]
+    keyed = pairs.join(ends[0], "a").join(ends[1], "b")
+    low, high = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
+    keyed = staged(keyed.select(F.col("part_a").alias("part"), low.alias("x"), high.alias("y"), "a", "b"), "keyed")
+    members = keyed.select("part", "x", "y", F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets, "fp")
+    none = F.lit(None)
+    rows = members.select("part", "x", "y", F.lit(0).alias("kind"), F.col("fp").alias("a"), F.col("n").cast("long").alias("b"), "body")
+    rows = rows.unionByName(keyed.select("part", "x", "y", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist()):
-                x, y = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        key, held, found = None, {}, {}
+
+        def root(node: int) -> int:
+            while found.get(node, node) != node:
+                found[node] = node = found.get(found[node], found[node])
+            return node
+
+        def links(a: int, b: int) -> bool:
+            (p, n), (q, m) = held[a], held[b]
+            if fine:
+                size = min(len(p), len(q))
+                return bool(_possible(n, m, int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum())))
+            if root(a) == root(b):
+                return False
+            if 9 * len(np.intersect1d(p, q, assume_unique=True)) < 4 * (n + m):
+                return False
+            found[root(a)] = root(b)
+            return True
 
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("p")), "a").join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("q")), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            out = []
+            for part, x, y, kind, a, b, body in zip(*(batch.column(c).to_pylist() for c in ("part", "x", "y", "kind", "a", "b", "body"))):
+                if (part, x, y) != key:
+                    key, held, found = (part, x, y), {}, {}
+                if kind == 0:
+                    held[a] = np.frombuffer(body, dtype=np.uint64), b
+                elif links(a, b):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    dealt = rows.repartition("part", "x", "y").sortWithinPartitions("part", "x", "y", "kind")
+    links = staged(dealt.mapInArrow(trimmed(run), "a long, b long"), "links")
+    drop_staged(sets, keyed, nodes, parts)
+    release(docs.sparkSession)
+    return links
 
 
 class Node:
@@ -212,6 +335,24 @@ def tree(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray) -> Node:
 
 def traverse(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray, blocks: np.ndarray, one: bool) -> Iterator[tuple[int, int]]:
     """Pairs of rows of different components that may link; of different blocks unless ``one``. Rows are in order of size."""
+
+    def leaves(xs: int, xe: int, ys: int, ye: int, same: bool) -> Iterator[tuple[int, int]]:
+        i, j = np.repeat(np.arange(xs, xe), ye - ys), np.tile(np.arange(ys, ye), xe - xs)
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (parts[i] != parts[j]) & (5 * small >= 4 * large)
+        if same:
+            ok &= i < j
+        if not one:
+            ok &= blocks[i] != blocks[j]
+        i, j = i[ok], j[ok]
+        if len(i):
+            differing = np.bitwise_count(bitmaps[i] ^ bitmaps[j]).sum(axis=1, dtype=np.int64)
+            good = _possible(n[i], n[j], differing)
+            yield from zip(i[good].tolist(), j[good].tolist())
+
+    if len(n) <= LEAF:
+        yield from leaves(0, len(n), 0, len(n), True)
+        return
     root = tree(n, parts, bitmaps)
     todo = [(root, root)]
     while todo:
@@ -228,63 +369,64 @@ def traverse(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray, blocks: np.n
         if x.below or y.below:
             left, right = x.below or [x], y.below or [y]
             todo += [(a, b) for k, a in enumerate(left) for b in (right[k:] if x is y else right)]
-            continue
-        i, j = np.meshgrid(np.arange(x.start, x.end), np.arange(y.start, y.end), indexing="ij")
-        i, j = i.ravel(), j.ravel()
-        ok = (parts[i] != parts[j]) & (i < j if x is y else True) & (one | (blocks[i] != blocks[j]))
-        i, j = i[ok], j[ok]
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        near = 5 * small >= 4 * large
-        i, j = i[near], j[near]
-        differing = np.bitwise_count(bitmaps[i] ^ bitmaps[j]).sum(axis=1, dtype=np.int64)
-        good = _possible(n[i], n[j], differing)
-        yield from zip(i[good].tolist(), j[good].tolist())
+        else:
+            yield from leaves(x.start, x.end, y.start, y.end, x is y)
 
 
 def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: what the trees of the groups (token, x, y) leave. Rows: token, x, y, block, fp, n, part, bitmap."""
-
-    def group(part: pa.Table) -> list[tuple[int, int]]:
-        part = part.sort_by("n")
-        n = part.column("n").to_numpy().astype(np.int64)
-        fp, parts, blocks = (part.column(c).to_numpy() for c in ("fp", "part", "block"))
-        maps = [np.frombuffer(b, dtype=np.uint64) for b in part.column("bitmap").to_pylist()]
-        one = part.column("x")[0].as_py() == part.column("y")[0].as_py()
-        found = []
-        # Sizes in runs, so that bitmaps are folded no further than a partner's own size asks for.
-        for size in sorted({len(m) for m in maps}):
-            here = np.array([k for k, m in enumerate(maps) if len(m) in (size, 2 * size)])
+    """a, b: what the trees of the groups (token, x, y) leave. Rows: pivot, token, x, y, block, fp, n, part, bitmap."""
+
+    def group(n: np.ndarray, fp: np.ndarray, parts: np.ndarray, blocks: np.ndarray, maps: list[bytes], one: bool) -> set[tuple[int, int]]:
+        near = 5 * n[:-1] >= 4 * n[1:]
+        if not near.any() or (parts == parts[0]).all():
+            return set()
+        found: set[tuple[int, int]] = set()
+        sizes = np.array([len(m) for m in maps])
+        # Bitmaps are folded no further than a partner's own size asks for; sets that link differ by one doubling at most.
+        for size in np.unique(sizes):
+            here = np.flatnonzero((sizes == size) | (sizes == 2 * size))
             if len(here) > 1:
-                bits = np.stack([folded(maps[k], size) for k in here])
-                found += [(fp[here[i]], fp[here[j]]) for i, j in traverse(n[here], parts[here], bits, blocks[here], one)]
-        return [(int(min(p)), int(max(p))) for p in set(found)]
+                bits = np.stack([folded(np.frombuffer(maps[k], dtype=np.uint64), size // 8) for k in here])
+                for i, j in traverse(n[here], parts[here], bits, blocks[here], one):
+                    a, b = int(fp[here[i]]), int(fp[here[j]])
+                    found.add((min(a, b), max(a, b)))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            table = pa.Table.from_batches(held)
-            keys = [table.column(c).to_numpy() for c in ("token", "x", "y")]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if len(table) else []
-            edges = [0, *cuts, len(table)]
-            last = edges[-2]
-            for a, b in zip(edges[:-2], edges[1:-1]):
-                out.extend(group(table.slice(a, b - a)))
-            held[:] = table.slice(last).combine_chunks().to_batches()
+        held: pa.Table | None = None
+        seen: set[tuple[int, int]] = set()
+
+        def closed(table: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
+            """The pairs of the groups that are whole, and the rest. Rows are sorted by group and size."""
+            columns = {c: table.column(c).to_numpy() for c in ("pivot", "token", "x", "y", "block", "fp", "n", "part")}
+            cut = np.flatnonzero((columns["pivot"][1:] != columns["pivot"][:-1]) | (columns["token"][1:] != columns["token"][:-1]) | (np.diff(columns["x"]) != 0) | (np.diff(columns["y"]) != 0)) + 1
+            edges = [0, *cut.tolist(), *([table.num_rows] if last else [])]
+            maps = table.column("bitmap").to_pylist() if len(edges) > 1 else []
+            out = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b - a > 1:
+                    n, fp, parts, blocks = (columns[c][a:b] for c in ("n", "fp", "part", "block"))
+                    out += group(n.astype(np.int64), fp, parts, blocks, maps[a:b], columns["x"][a] == columns["y"][a])
+            return out, table.slice(edges[-1])
+
+        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            new = [p for p in dict.fromkeys(pairs) if p not in seen]
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            held.append(batch)
-            close()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-                out.clear()
-        if held:
-            out.extend(group(pa.Table.from_batches(held)))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            now = pa.Table.from_batches([batch])
+            pairs, held = closed(pa.concat_tables([held, now]) if held is not None else now, False)
+            yield batch_of(pairs)
+        if held is not None and held.num_rows:
+            yield batch_of(closed(held, True)[0])
 
-    sorted_rows = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return sorted_rows.select("token", "x", "y", "block", "fp", "n", "part", "bitmap").mapInArrow(run, "a long, b long").distinct()
+    # Groups with one pivot share most of their sets: they go to one task, which tells each pair once.
+    keys = ["pivot", "x", "y"]
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, "token", "n")
+    return sorted_rows.select("pivot", "token", "x", "y", "block", "fp", "n", "part", "bitmap").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -296,32 +438,36 @@ def linked(docs: DataFrame) -> DataFrame:
     hot = np.sort(tokens.select("token").toArrow().column("token").to_numpy().view(np.uint64))
     sized = sized.where("n >= 0").drop("hot")
     known = sized.where("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"))
-
-    entries = staged(_entries(docs.where("doc_id IS NOT NULL"), hot), "entries")
-    groups = entries.groupBy("token").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other")).where("pivot <> other").drop("other")
-    shared = staged(entries.join(groups, "token"), "shared")
-    drop_staged(entries)
-    stars = staged(shared.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
-    active = stars.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = staged(_sets(docs, classes.join(active, "fp")), "sets")
-    maps = sets.select("fp", "n", "bitmap")
-    a, b = maps.select(F.col("fp").alias("a"), "n", F.col("bitmap").alias("p")), maps.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("q"))
-    links = staged(_verified(_pairs_possible(stars.join(a, "a").join(b, "b")), sets), "links")
+    classes = staged(known.groupBy("fp").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "classes")
+    sized = sized.drop("bitmap")
+
+    parts = parts_for(docs, PART_BYTES, LEAST_PARTS)
+    runs = _runs(docs.where("doc_id IS NOT NULL"), hot, parts).repartition(parts, "part").sortWithinPartitions("part")
+    found = staged(_shared(runs, hot), "shared")
+    release(spark)
+    ends = found.where("is_hot").groupBy("token").agg(F.min("pivot").alias("pivot"), F.max("other").alias("other")).where("pivot <> other")
+    hot_rows = found.where("is_hot").select("token", "fp").distinct().join(ends, "token").select("token", "fp", "pivot", "other")
+    shared = staged(found.where("NOT is_hot").select("token", "fp", "pivot", "other").unionByName(hot_rows), "groups")
+    drop_staged(found)
+    # Up to three of a set's pivots; what they don't connect is for the second phase.
+    few = shared.groupBy("fp").agg(F.array(F.min("pivot"), F.max("pivot"), F.max("other")).alias("ends"))
+    stars = few.select(F.explode("ends").alias("e"), "fp").where("e <> fp").select(F.least("e", "fp").alias("a"), F.greatest("e", "fp").alias("b")).distinct()
+    a = classes.select(F.col("fp").alias("a"), "n", F.col("bitmap").alias("p"))
+    b = classes.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("q"))
+    links = _verified(docs, classes, staged(_pairs_possible(stars.join(a, "a").join(b, "b")), "stars"))
 
     # Second phase: groups that fall in several components.
     first = staged(components(links), "components")
-    rows = shared.select("token", "fp").distinct().join(first.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", F.coalesce("component", "fp").alias("part"))
+    rows = shared.select("token", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", F.coalesce("component", "fp").alias("part"))
     rows = staged(rows, "parts")
     drop_staged(shared)
-    mixed_groups = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low <> high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(mixed_groups.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.col("fp"), F.col("blocks")).cast("int"))
+    several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), F.min("fp").alias("pivot")).where("low <> high")
+    rows = rows.join(several.select("token", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "token").withColumn("block", F.pmod(F.col("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    rows = rows.select("token", "fp", "part", "block", other).select("token", "fp", "part", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y")).join(maps, "fp")
-    more = staged(_verified(_tree_pairs(rows), sets), "links")
-    every = links.unionByName(more)
-    final = components(every)
+    rows = rows.select("token", "pivot", "fp", "part", "block", other).select("token", "pivot", "fp", "part", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
+    pairs = staged(_tree_pairs(rows.join(classes.select("fp", "n", "bitmap"), "fp")), "pairs")
+    release(spark)
+    final = components(links.unionByName(_verified(docs, classes, pairs)))
 
     # The least doc_id of each class, then of each component, then back.
     labelled = classes.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "cid", F.coalesce("component", "fp").alias("part"))
@@ -330,3 +476,19 @@ def linked(docs: DataFrame) -> DataFrame:
     # Rows of one doc_id are one node: the smallest of what they reach.
     out = sized.join(named, "fp", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def oracle() -> str:
+    """The same by an inverted index over all shingles and a recursive closure."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * n >= 80 * (na + nb - n)),
+t AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.b, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON s.doc_id = m.a"""
