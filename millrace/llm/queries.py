@@ -27,7 +27,8 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_filter(_table(spark, sf_dir, "pages"))
+    judged = url_filter.url_filter(_table(spark, sf_dir, "pages"))
+    return judged.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op5_decontam, op6_license_scan, op7_toxicity, op8_jaccard_join, op9_pieces, op10_suffix_dedup)}
-ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
+ORACLES = {"op4_url_filter": url_filter.oracle(), "op8_jaccard_join": jaccard_join.oracle(), "op10_suffix_dedup": suffix_dedup.oracle(), "op2_line_dedup": line_dedup.oracle(), "op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
