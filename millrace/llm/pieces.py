@@ -28,13 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import tuned
+from millrace.llm.common import trimmed, tuned
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 500_000  # segments in each of two generations that a worker keeps
+REMEMBERED = 200_000  # segments in each of two generations that a worker keeps
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -294,7 +294,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
     tuned(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids int, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, ids array<int>, n_ids int, exact boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -310,4 +310,4 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
     tuned(encoded.sparkSession)
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), f"doc_id {kind}, text string")
