@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import LOWER, NOT_WORD, byte_table, gram_hashes, mixed, runs, text_chunks, tuned, word_hashes
+from millrace.llm.common import LOWER, NOT_WORD, byte_table, gram_hashes, mixed, runs, text_chunks, trimmed, tuned, word_hashes
 
 WINDOW, COVERAGE, MAX_WINDOWS, SHORTEST = 8, 0.5, 500_000, 4
 # Common units of measure, time and money.
@@ -178,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         return run
 
     for index in _blocks(benchmark):
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(finder(index), schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(trimmed(finder(index)), schema))
     return out
 
 
@@ -195,5 +195,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         return run
 
     for index in _blocks(benchmark):
-        docs = docs.mapInArrow(cleaner(index), docs.schema)
+        docs = docs.mapInArrow(trimmed(cleaner(index)), docs.schema)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import drop_staged, staged, tuned
+from millrace.llm.common import drop_staged, staged, trimmed, tuned
 
 MIN_CHARS = 50
 KEYS = ("doc_id", "text_key")
@@ -105,7 +105,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema.names)
 
     tuned(docs.sparkSession)
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(trimmed(run), schema)
 
 
 def oracle(min_chars: int = MIN_CHARS, longest: int = 12) -> str:

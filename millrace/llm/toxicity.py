@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import tuned
+from millrace.llm.common import trimmed, tuned
 
 MAX_TRAIN = 12_000
 FREE_WORDS = 400
@@ -113,7 +113,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least:
             part = items[k : k + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array([c[0] for _, c in part], pa.int64()), pa.array([c[1] for _, c in part], pa.int64())], ["term", "clean", "toxic"])
 
-    counts = rows.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.select("text", "toxic").mapInArrow(trimmed(count), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n_toxic = sum(t for _, t in picked)
     n_clean = len(picked) - n_toxic
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
@@ -181,7 +181,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS) ->
 
     tuned(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_hits int")
+    scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, score double, n_hits int")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits")
 
 
@@ -195,4 +195,4 @@ def keep_clean(docs: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     tuned(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
