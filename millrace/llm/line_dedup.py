@@ -4,11 +4,15 @@ A document is the sequence of its lines that aren't blank. Round k has, for each
 sequence, the rank of its first 2^k lines among all such runs (a suffix array to that depth). The next
 round ranks the pairs (rank at i, rank at i + 2^k): distinct pairs are dealt out by range and sorted, and
 a pair's place in this global order is its rank, so that no group of equal suffixes meets in one
-task. Suffixes with a common rank form an interval of the suffix array whose common prefix is 2^k
-lines at least. Those that no other suffix equals have no longer repeats and drop out; doubling ends
-when none are left. Each maximal repeated run is the union of intervals of these lengths.
+task. Suffixes that no other suffix equals have no longer repeats and drop out.
 
-A run counts from ``min_chars`` characters on, line breaks aside. Its first copy, by doc_id (null first), then text hash
+A run counts from ``min_chars`` characters on, line breaks aside, whatever its number of lines. A maximal
+repeated run is the union of its shortest windows of min_chars characters: for each line, the one that
+begins and the one that ends with it (where the run leaves no room for the former, the one that ends with
+the run has the line). These alone are looked up. A window of n lines, 2^k < n < 2^(k+1), is told by the ranks
+of its first and its last 2^k lines; doubling ends when no suffix left has a longer window.
+
+A run's first copy, by doc_id (null first), then text hash
 and line, stays; the lines of every later copy are deleted, also where copies lie in one document or overlap.
 Blank lines stay. A text of which only blanks would remain becomes empty.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,43 +37,74 @@ MIN_CHARS = 50
 KEYS = ("doc_id", "text_key")
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """A row for each line that isn't blank: its document, its place among them, two hashes and its length."""
+def shortest(chars: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and number of lines of the shortest windows of min_chars characters that begin or end with each line, by first line."""
+    total, n = np.concatenate([[0], np.cumsum(chars)]), len(chars)
+    at, counts = np.arange(n), np.diff(offsets)
+    begin, end = np.repeat(offsets[:-1], counts), np.repeat(offsets[1:], counts)
+    stop = np.maximum(np.searchsorted(total, total[:-1] + min_chars), at + 1)
+    start = np.minimum(np.searchsorted(total, total[1:] - min_chars, side="right") - 1, at)
+    ahead, behind = stop <= end, start >= begin
+    pairs = np.unique(np.stack([np.concatenate([at[ahead], start[behind]]), np.concatenate([(stop - at)[ahead], (at + 1 - start)[behind]])]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def sequences(docs: DataFrame, min_chars: int) -> DataFrame:
+    """A row for each line that isn't blank: its document, its place among them, two hashes and the sizes of the windows to look up from it."""
     lines = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("text_key"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    rows = lines.select(*KEYS, F.posexplode("lines").alias("at", "line"))
-    return rows.select(*KEYS, "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").cast("long").alias("chars"))
+    hashed = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.length(x).cast("long").alias("chars"))
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("text_key long, at int, a long, b long, sizes array<int>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("lines")
+            offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            a, b, chars = lists.flatten().flatten()
+            starts, sizes = shortest(chars.to_numpy(), offsets, min_chars)
+            row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            bounds = np.searchsorted(starts, np.arange(len(row) + 1)).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(bounds), pa.array(sizes.astype(np.int32)))
+            places = pa.array((np.arange(len(row)) - offsets[row]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), places, a, b, own], schema.names)
+
+    tuned(docs.sparkSession)
+    return lines.select(*KEYS, F.transform("lines", hashed).alias("lines")).mapInArrow(trimmed(run), schema)
 
 
 def _ranked(rows: DataFrame, name: str) -> DataFrame:
-    """a, b, rank, first: the pairs of more than one suffix, by their place in the global order, with the first suffix of each."""
+    """a, b, size, rank, first: the pairs of more than one window, by their place in the global order, with the first window of each."""
     first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_key", "at"))
-    pairs = rows.groupBy("a", "b").agg(first.alias("first"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_key", "at")).alias("last"))
+    pairs = rows.groupBy("a", "b", "size").agg(first.alias("first"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_key", "at")).alias("last"))
     repeated = pairs.where("first <> last").drop("last")
     ordered = repeated.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
     return staged(ordered, name)
 
 
-def intervals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, at, size, chars: every suffix start whose next ``size`` lines (a power of two) stand earlier too."""
-    rows, size, found, used = sequences(docs), 1, [], []
+def repeats(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, text_key, at, size: every shortest window of min_chars characters that stands earlier too."""
+    rows, size, found = sequences(docs, min_chars).withColumn("size", F.lit(1)), 1, []
     while True:
         ranks = _ranked(rows, f"ranks{size}")
-        level = staged(rows.join(ranks, ["a", "b"]).dropDuplicates([*KEYS, "at"]).select(*KEYS, "at", "chars", "rank", "first"), f"suffixes{size}")
+        level = staged(rows.join(ranks, ["a", "b", "size"]).dropDuplicates([*KEYS, "at", "size"]).select(*KEYS, "at", "size", "sizes", "rank", "first"), f"suffixes{size}")
         drop_staged(ranks)
-        used.append(level)
         later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("at") == F.col("first.at")))
-        found.append(level.where(later).select(*KEYS, "at", F.lit(size).alias("size"), "chars"))
-        ahead = F.first(F.struct("rank", "chars")).over(Window.partitionBy(*KEYS).orderBy("at").rangeBetween(size, size))
-        pairs = level.withColumn("ahead", ahead).where("ahead IS NOT NULL")
-        rows = pairs.select(*KEYS, "at", F.col("rank").alias("a"), F.col("ahead.rank").alias("b"), (F.col("chars") + F.col("ahead.chars")).alias("chars"))
-        if level.isEmpty():
+        found.append(level.where(later & F.array_contains("sizes", F.col("size"))).select(*KEYS, "at", "size"))
+        suffixes = level.where(F.col("size") == size)
+        if suffixes.where(F.array_max("sizes") > size).isEmpty():
             return reduce(DataFrame.unionByName, found)
+        ahead = F.first("rank").over(Window.partitionBy(*KEYS).orderBy("at").rangeBetween(size, size))
+        pairs = suffixes.select(*KEYS, "at", "sizes", F.col("rank").alias("a"), ahead.alias("b"), F.lit(2 * size).alias("size")).where("b IS NOT NULL")
+        between = F.explode(F.filter("sizes", lambda x: (x > size) & (x < 2 * size)))
+        wanted = suffixes.select(*KEYS, "at", "sizes", F.col("rank").alias("a"), between.alias("size")).alias("w")
+        ends = suffixes.select(*KEYS, "at", "rank").alias("e")
+        same = F.col("w.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("w.text_key") == F.col("e.text_key")) & (F.col("w.at") + F.col("w.size") - size == F.col("e.at"))
+        rows = pairs.unionByName(wanted.join(ends, same).select("w.*", F.col("e.rank").alias("b")))
         size *= 2
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text_key, removed: the sorted places, among the lines that aren't blank, of the lines to delete."""
-    runs = intervals(docs).where(F.col("chars") >= min_chars).groupBy(*KEYS).agg(F.collect_set(F.struct("at", "size")).alias("runs"))
+    runs = repeats(docs, min_chars).groupBy(*KEYS).agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     places = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["size"] - 1)))
     return runs.select(*KEYS, F.array_sort(F.array_distinct(places)).alias("removed"))
 

@@ -67,6 +67,37 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def line_brute_any(texts, min_chars):
+    """Deletes lines of windows of any number of lines with min_chars characters that stand earlier."""
+    seqs = [[x for x in (t or "").split("\n") if x.strip(" ")] for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for k, lines in enumerate(seqs):
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:j])
+                if first.setdefault(run, (k, i)) != (k, i) and sum(map(len, run)) >= min_chars:
+                    gone[k].update(range(i, j))
+    return gone
+
+
+def test_line_dedup_runs_of_any_length(spark):
+    """Runs of 3, 5, 6, 7, 11 lines that reach the minimum only as a whole, and random ones with short edge lines."""
+    texts = []
+    for n in (3, 5, 6, 7, 11):
+        run = [(chr(97 + n) + chr(97 + k)).ljust(50 // n + (k < 50 % n), "x") for k in range(n)]
+        assert sum(map(len, run)) == 50
+        texts += ["\n".join(["before", *run, "after"]), "\n".join(["other", *run, "end"]), "\n".join(["less", *run[:-1], "end"])]
+    rng = random.Random(7)
+    base = [f"{k}" + "y" * rng.choice([0, 1, 3, 9, 20, 45, 60]) for k in range(8)]
+    texts += ["\n".join(rng.choice(base) for _ in range(rng.randint(1, 20))) for _ in range(30)] + ["z\n" * 130, "z\n" * 49]
+    want = line_brute_any(texts, 50)
+    got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if x.strip(" ")]
+        assert got[k].n_removed_lines == len(want[k]), (k, t)
+        assert [x for x in got[k].text.split("\n") if x] == [x for i, x in enumerate(lines) if i not in want[k]]
+
+
 # Jaccard join
 
 
