@@ -2,13 +2,20 @@
 
 Numbers, names and units become typed placeholders: a number is a token that starts with a digit (points and
 commas between digits belong to it), a unit one of ``UNITS``, a name a capitalised token that doesn't begin
-a sentence or line. Other tokens are lower-cased (A-Z). The windows of ``WINDOW`` template tokens of every
+a sentence or line. Other tokens are lower-cased (A-Z). A character from U+0800 on (scripts without spaces are
+there) is a token of its own. The windows of ``WINDOW`` template tokens of every
 benchmark item, at least half of them literal, are hashed and joined with those of every document; an
 item shorter than that is one window. A matching window must also be slot consistent: along one alignment of
 document and item, each slot value of the item stands for one value of the document and the other
 way round. A document leaks an item when consistent windows along its alignments cover at least
 ``COVERAGE`` of the item's windows: ``exact`` if all slot values are equal, else ``reparameterised``.
 
+Beside that, windows of unmasked tokens (with ``SYMBOLS`` as tokens too, so that the operators of a formula count)
+are joined as they stand, for every item, however short or rich in slots. A document also leaks an item, as
+``exact``, when these cover ``COVERAGE`` of the item's windows, or when one consecutive match has ``VERBATIM`` words,
+whatever its share of the item; a character of its own counts as half a word and a symbol as none. n_windows and
+coverage then tell of these windows. So a document that holds a whole item always leaks it, even an item of one word.
+
 Benchmark windows go to all tasks in blocks of ``MAX_WINDOWS``, so what is sent is bounded however large the
 benchmark is. Null and empty texts on either side match nothing. Repeated items and repeated rows
 are reported each. Of the benchmark only item_id and text are read, of documents doc_id and text.
@@ -25,13 +32,14 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import LOWER, NOT_WORD, byte_table, gram_hashes, mixed, runs, text_chunks, trimmed, tuned, word_hashes
 
-WINDOW, COVERAGE, MAX_WINDOWS, SHORTEST = 8, 0.5, 500_000, 4
+WINDOW, COVERAGE, MAX_WINDOWS, SHORTEST, VERBATIM = 8, 0.5, 500_000, 4, 13
 # Common units of measure, time and money.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces "
     "ml cl l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees mph kmh km/h"
 ).split()
 DIGITS, CAPITALS, ENDS = byte_table((48, 57)), byte_table((65, 90)), byte_table((10, 10), (13, 13), (33, 33), (46, 46), (63, 63))
+SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"+-*/=<>^%()[]{}|&~#@$\\", dtype=np.uint8))
 LITERAL, NUMBER, UNIT, NAME = range(4)
 PLACEHOLDERS = mixed(np.arange(4, dtype=np.uint64) + np.uint64(1000))
 
@@ -45,14 +53,27 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, slot values, kinds, and each document's first token."""
+def tokens(data: np.ndarray, offsets: np.ndarray, symbols: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of the tokens, and each document's first token."""
     lowered = LOWER[data]
     inside = ~NOT_WORD[lowered]
     if len(data) > 2:
         digit = DIGITS[data]
         inside[1:-1] |= ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
-    starts, ends, first = runs(inside, offsets)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    alone = data[heads] >= 0xE0
+    if symbols:
+        own = SYMBOLS[data]
+        inside |= own
+        alone |= own[heads]
+    after = np.concatenate([[False], alone[:-1]]) if len(alone) else alone
+    starts, ends, _ = runs(inside, np.union1d(offsets, heads[alone | after]))
+    return lowered, starts, ends, np.searchsorted(starts, offsets)
+
+
+def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, slot values, kinds, and each document's first token."""
+    lowered, starts, ends, first = tokens(data, offsets, False)
     values = word_hashes(lowered, starts, ends)
     kinds = np.full(len(starts), LITERAL, dtype=np.int8)
     if len(starts):
@@ -80,6 +101,13 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, first: np.ndarray, n: int) ->
     return grams[good], good
 
 
+def unmasked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens, twice the words each counts for, and each document's first token."""
+    lowered, starts, ends, first = tokens(data, offsets, True)
+    head = data[starts]
+    return word_hashes(lowered, starts, ends), np.where(SYMBOLS[head], 0, np.where(head >= 0xE0, 1, 2)), first
+
+
 class Item:
     def __init__(self, item_id: int, text: str | None):
         data = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -87,6 +115,18 @@ class Item:
         hashes, self.values, self.kinds, first = template(data, np.array([0, len(data)]))
         self.n = min(WINDOW, len(hashes))
         self.grams, self.places = windows(hashes, self.kinds, first, self.n) if self.n >= SHORTEST else (hashes[:0], np.zeros(0, dtype=np.int64))
+        plain, counts, _ = unmasked(data, np.array([0, len(data)]))
+        self.plain_n = min(WINDOW, len(plain))
+        self.plain = gram_hashes(plain, self.plain_n) if self.plain_n else plain
+        self.words = np.concatenate([[0], np.cumsum(counts)])
+        worded = self.words[self.plain_n :] > self.words[: len(self.words) - self.plain_n]
+        self.plain_places = np.flatnonzero(worded) if worded.any() else np.arange(len(self.plain))
+
+    def longest(self, places: list[int]) -> float:
+        """Words of the longest run of consecutive windows among these, in order."""
+        cuts = np.flatnonzero(np.diff(places) > 1)
+        a, b = np.take(places, [0, *(cuts + 1)]), np.take(places, [*cuts, -1])
+        return float((self.words[b + self.plain_n] - self.words[a]).max() / 2)
 
 
 class Index:
@@ -94,32 +134,44 @@ class Index:
 
     def __init__(self, items: list[Item]):
         self.items = items
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        for n in {x.n for x in items if len(x.grams)}:
+        self.by_size = self._tables([(x.n, x.grams, x.places) for x in items])
+        self.plain_by_size = self._tables([(x.plain_n, x.plain[x.plain_places], x.plain_places) for x in items])
+
+    @staticmethod
+    def _tables(items: list[tuple[int, np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]]:
+        out = {}
+        for size in {n for n, grams, _ in items if len(grams)}:
             where = defaultdict(list)
-            for k, x in enumerate(items):
-                if x.n == n:
-                    for h, p in zip(x.grams.tolist(), x.places.tolist()):
+            for k, (n, grams, places) in enumerate(items):
+                if n == size:
+                    for h, p in zip(grams.tolist(), places.tolist()):
                         where[h].append((k, p))
             known = np.array(sorted(where), dtype=np.uint64)
             seen = np.zeros(1 << 16, dtype=bool)
             seen[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.by_size[n] = (known, seen, dict(where))
+            out[size] = (known, seen, dict(where))
+        return out
+
+    @staticmethod
+    def _matches(grams: np.ndarray, at: np.ndarray, first: np.ndarray, table: tuple, matched: dict) -> None:
+        """Adds to matched[document, item][shift] the item's windows; at has the first token of each of grams."""
+        known, seen, where = table
+        maybe = np.flatnonzero(seen[(grams & np.uint64(0xFFFF)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(known, grams[maybe]), len(known) - 1)
+        hit = maybe[known[place] == grams[maybe]]
+        token = at[hit]
+        docs = np.searchsorted(first, token, side="right") - 1
+        for doc, t, h in zip(docs.tolist(), token.tolist(), grams[hit].tolist()):
+            for k, p in where[h]:
+                matched[doc, k][t - p].append(p)
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray, coverage: float) -> list[tuple[int, int, int, float, str]]:
-        """(document, item id, consistent windows, coverage, kind) of a chunk of documents."""
+        """(document, item id, windows, coverage, kind) of a chunk of documents."""
         hashes, values, kinds, first = template(data, offsets)
         matched: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for n, (known, seen, where) in self.by_size.items():
-            grams, at = windows(hashes, kinds, first, n)
-            maybe = np.flatnonzero(seen[(grams & np.uint64(0xFFFF)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(known, grams[maybe]), len(known) - 1)
-            hit = maybe[known[place] == grams[maybe]]
-            docs = np.searchsorted(first, at[hit], side="right") - 1
-            for doc, token, h in zip(docs.tolist(), at[hit].tolist(), grams[hit].tolist()):
-                for k, p in where[h]:
-                    matched[doc, k][token - p].append(p)
-        out = []
+        for n, table in self.by_size.items():
+            self._matches(*windows(hashes, kinds, first, n), first, table, matched)
+        out = {}
         for (doc, k), alignments in matched.items():
             item, covered, same = self.items[k], set(), True
             for shift, places in sorted(alignments.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -128,7 +180,26 @@ class Index:
                 covered.update(good)
             share = len(covered) / len(item.grams)
             if share >= coverage:
-                out.append((doc, item.item_id, len(covered), share, "exact" if same else "reparameterised"))
+                out[doc, k] = (doc, item.item_id, len(covered), share, "exact" if same else "reparameterised")
+        for (doc, k), found in self._verbatim(data, offsets, coverage).items():
+            out.setdefault((doc, k), (doc, self.items[k].item_id, *found, "exact"))
+        return list(out.values())
+
+    def _verbatim(self, data: np.ndarray, offsets: np.ndarray, coverage: float) -> dict[tuple[int, int], tuple[int, float]]:
+        """Windows and coverage, by document and item, of verbatim matches that are long or cover enough of the item."""
+        plain, _, first = unmasked(data, offsets)
+        matched: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for n, table in self.plain_by_size.items():
+            grams = gram_hashes(plain, n)
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            at = np.flatnonzero(doc[: len(grams)] == doc[n - 1 : n - 1 + len(grams)])
+            self._matches(grams[at], at, first, table, matched)
+        out = {}
+        for (doc, k), alignments in matched.items():
+            item, covered = self.items[k], {p for places in alignments.values() for p in places}
+            share = len(covered) / len(item.plain_places)
+            if share >= coverage or any(item.longest(places) >= VERBATIM for places in alignments.values()):
+                out[doc, k] = len(covered), share
         return out
 
 
@@ -152,7 +223,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
     items, total = [], 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         items.append(Item(r.item_id, r.text))
-        total += len(items[-1].grams)
+        total += len(items[-1].grams) + len(items[-1].plain)
         if total >= MAX_WINDOWS:
             yield Index(items)
             items, total = [], 0

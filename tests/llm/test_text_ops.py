@@ -60,6 +60,24 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in frame.collect()} - {r[0] for r in whole} and clean.columns == frame.columns
 
 
+def test_verbatim_copies_without_literal_windows(spark):
+    """Arithmetic, title case, unspaced scripts, one word; other operators or numbers are no copy of a formula."""
+    items = ["Compute 3 + 5 * 7 - 2", "The Great Old Tower Of London By Night And Day", "小明有三个苹果，他吃了一个，还剩几个？", "ゆきは本を12冊もっている", "2 + 2", "Xylograph"]
+    texts = [f"Some words before. {t}\nand after" for t in items] + [f"前文{items[2]}后文", "Compute 3 * 5 + 7 - 2", "compute 3 + 5 * 7 - 4", "ゆきは本を15冊もっている。", "2 - 2 and 小明有三个", "the tower of london"]
+    assert leaks(spark, texts, *items) == {**{(k, k): "exact" for k in range(6)}, (6, 2): "exact", (9, 3): "reparameterised"}
+    clean = decontam.keep_clean(docs(spark, texts), bench(spark, *items))
+    assert {r.doc_id for r in clean.collect()} == {7, 8, 10, 11}
+
+
+def test_long_verbatim_passages(spark):
+    """25 consecutive words of 60 are a leak, 13 too, 12 or scattered ones aren't; characters count half."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    part = lambda a, b: " ".join(["x", *words[a:b], "y"])
+    han = "".join(chr(0x4E00 + k) for k in range(120))
+    texts = [part(20, 45), part(20, 33), part(20, 32), part(0, 9) + part(20, 29) + part(40, 49), han[30:56], han[30:55]]
+    assert leaks(spark, texts, " ".join(words), han) == {(0, 0): "exact", (1, 0): "exact", (4, 1): "exact"}
+
+
 # SentencePiece
 
 
