@@ -105,8 +105,8 @@ class PieceModel:
 class Encoder:
     def __init__(self, model: PieceModel):
         self.model = model
-        self.segments: dict[str, tuple[bytes, bool]] = {}
-        self.older: dict[str, tuple[bytes, bool]] = {}
+        self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.size = len(model.pieces)
         # Each node maps a character to the next node and the id of the piece that ends there.
@@ -219,8 +219,8 @@ class Encoder:
                 start[i + 1] = i
         return self.path(text, start, 0, n)
 
-    def segment(self, text: str) -> tuple[bytes, bool]:
-        """Ids, and whether their surface is the segment's."""
+    def segment(self, text: str) -> bytes:
+        """Ids."""
         model, ids = self.model, array("i")
         for piece in self.short(text) if len(text) <= 4 * model.longest else self.lattice(text):
             if piece in model.ids:
@@ -229,9 +229,9 @@ class Encoder:
                 ids.extend(model.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
             else:
                 ids.append(model.unknown)
-        return ids.tobytes(), b"".join(map(model.surface.__getitem__, ids)) == text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        return ids.tobytes()
 
-    def remembered(self, word: str) -> tuple[bytes, bool]:
+    def remembered(self, word: str) -> bytes:
         """A segment's result; of two generations of segments the older goes when the younger is full."""
         found = self.older.get(word) or self.segment(word)
         if len(word) <= 64:
@@ -241,22 +241,23 @@ class Encoder:
         return found
 
     def encode(self, text: str | None) -> tuple[np.ndarray, bool]:
-        """Ids, and whether decoding them gives the text again."""
+        """Ids, and whether decoding them, as a whole, gives the text again."""
         if not text:
             return np.zeros(0, dtype=np.int32), True
         marked = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-        exact = SPACE not in text
         if not self.model.splits:
-            ids, same = self.segment(marked)
-            return np.frombuffer(ids, dtype=np.int32), exact and same
-        get, out = self.segments.get, []
-        for word in self.pattern.findall(marked):
-            found = get(word)
-            if found is None:
-                found = self.remembered(word)
-                get = self.segments.get
-            out.append(found)
-        return np.frombuffer(b"".join([x for x, _ in out]), dtype=np.int32), exact and all([same for _, same in out])
+            ids = self.segment(marked)
+        else:
+            get, out = self.segments.get, []
+            for word in self.pattern.findall(marked):
+                found = get(word)
+                if found is None:
+                    found = self.remembered(word)
+                    get = self.segments.get
+                out.append(found)
+            ids = b"".join(out)
+        ids = np.frombuffer(ids, dtype=np.int32)
+        return ids, self.decode(ids.tolist()) == text
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.model.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -275,7 +276,7 @@ def encoder(data: bytes) -> Encoder:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """doc_id, ids, n_ids, and exact: whether decoding the ids gives the text again."""
+    """doc_id, ids, n_ids, and exact: whether the text decoded from the row's ids is the text again."""
     with open(model_path, "rb") as file:  # a parameter file of the driver, bounded by the vocabulary
         data = file.read()
 

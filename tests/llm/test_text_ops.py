@@ -143,6 +143,17 @@ def test_round_trip_in_spark(spark):
     assert pieces.encode(docs(spark, [])).count() == 0 and coded.where("n_ids = 0").count() == sum(not t for t in texts)
 
 
+def test_exact_is_told_from_the_decoded_text():
+    """Segments that were remembered as faithful don't hide a fault in decoding the row's ids."""
+    with open(pieces.MODEL_PATH, "rb") as file:
+        own = pieces.Encoder(pieces.PieceModel.from_bytes(file.read()))
+    ids, exact = own.encode(" the cat  sat é漢")
+    assert exact and own.decode(ids.tolist()) == " the cat  sat é漢" and not own.encode("a▁b")[1]
+    whole = own.decode
+    own.decode = lambda ids: whole(ids)[1:]
+    assert not own.encode(" the cat  sat é漢")[1]
+
+
 # Pipeline
 
 
