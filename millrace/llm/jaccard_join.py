@@ -18,8 +18,8 @@ Components come from distributed star contraction; nothing but hot shingles, at
 and for the order alone, reaches the driver.
 
 A document with fewer than 5 words has its whole sequence as one shingle; null and empty texts have none and
-link with nothing. Rows with one doc_id are one node, identical or not. A null doc_id gives a null
-component_id and takes no part. Only doc_id and text are read.
+link with nothing. Rows with one doc_id are one node, identical or not: whatever one of them links with, all
+do. A null doc_id gives a null component_id and takes no part. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -467,15 +467,19 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = rows.select("token", "pivot", "fp", "part", "block", other).select("token", "pivot", "fp", "part", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
     pairs = staged(_tree_pairs(rows.join(classes.select("fp", "n", "bitmap"), "fp")), "pairs")
     release(spark)
-    final = components(links.unionByName(_verified(docs, classes, pairs)))
+    # Rows of one doc_id are one node: their classes are linked by the least of them.
+    least = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
+    own = known.select("doc_id", F.col("fp").alias("b")).join(least, "doc_id").where("a <> b").select("a", "b").distinct()
+    final = components(links.unionByName(_verified(docs, classes, pairs)).unionByName(own))
 
     # The least doc_id of each class, then of each component, then back.
     labelled = classes.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "cid", F.coalesce("component", "fp").alias("part"))
     least = labelled.groupBy("part").agg(F.min("cid").alias("component_id"))
     named = labelled.join(least, "part").select("fp", "component_id")
-    # Rows of one doc_id are one node: the smallest of what they reach.
-    out = sized.join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # By doc_id, for a row without shingles is of its doc_id's node too.
+    nodes = known.select("doc_id", "fp").join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = sized.join(nodes, "doc_id", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def oracle() -> str:

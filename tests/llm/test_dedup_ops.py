@@ -140,6 +140,14 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.linked(docs(spark, [])).count() == 0
 
 
+def test_jaccard_one_doc_id_with_other_texts(spark):
+    """Rows of one doc_id are one node, through which others link; one of them may be empty."""
+    a, b, c = "a b c d e f", "k l m n o p", "u v w x y z"
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, None), (12, c), (9, c), (20, "t"), (None, a), (None, c)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.linked(docs(spark, rows)).collect())
+    assert got == sorted([("3", 2, 3), ("5", 2, 3), ("5", 2, 3), ("9", 2, 3), ("9", 0, 3), ("12", 2, 3), ("9", 2, 3), ("20", 1, 20), ("None", 2, None), ("None", 2, None)])
+
+
 def test_hot_shingles_and_blocks(spark, monkeypatch):
     """A passage that all documents have, and a group of near copies, with tiny blocks and a low bound for hot shingles."""
     rng = random.Random(9)
