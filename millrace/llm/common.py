@@ -150,9 +150,14 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes; in pieces of about CHUNK_BYTES, so that a long text takes little more than its hashes."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
+    cuts = [0, *(np.flatnonzero(np.diff(starts // CHUNK_BYTES)) + 1).tolist(), len(starts)]
+    return np.concatenate([_word_hashes(lowered, starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+
+
+def _word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)

@@ -11,15 +11,23 @@ a prefix shingle are compared:
 2. groups that still fall in several components are put in signature trees: leaves are runs of sets
    by size, inner nodes hold the OR and the AND of their bitmaps and their size range. A traversal of
    two nodes at a time prunes pairs whose sizes, or whose greatest possible overlap, can't link, and pairs
-   within one component. A group of over ``BLOCK`` sets is dealt out as pairs of blocks.
+   within one component. A first traversal, on coarse bitmaps, tells the sets that have a possible partner;
+   only their shingles are fetched, and a second, on finer bitmaps, compares whole sets, merges components as it
+   goes and tells the links that merged some. So neither tells pairs: a task's answer is as long as its input at most.
 
-Surviving pairs are verified on whole sets, so results are exact but for collisions of 64-bit hashes.
-Components come from distributed star contraction; nothing but hot shingles, at most ``MAX_HOT``
-and for the order alone, reaches the driver.
+Groups of one pivot are one group. A group of over ``BLOCK`` sets or ``VERIFY`` shingles is dealt out as pairs of
+blocks, which are runs of sizes (``BAND`` apart: only neighbours can link) and fingerprints; blocks within the group's
+largest component need not meet.
+
+Links are verified on whole sets, so results are exact but for collisions of 64-bit hashes.
+Components come from distributed star contraction. To the driver go hot shingles, at most ``MAX_HOT`` and for the order
+and the split of their groups alone (any other stands in fewer than one of MAX_HOT of the entries, so its group
+needs no split), and a bitmap of the documents to fetch, of ``FILTER_BITS``; where more than ``LISTED`` are wanted, a join fetches them.
 
 A document with fewer than 5 words has its whole sequence as one shingle; null and empty texts have none and
 link with nothing. Rows with one doc_id are one node, identical or not: whatever one of them links with, all
-do. A null doc_id gives a null component_id and takes no part. Only doc_id and text are read.
+do. A null doc_id gives a null component_id and takes no part. Only doc_id and text are read. Of a long text
+only its word hashes are held, about 30 bytes a word.
 """
 
 from __future__ import annotations
@@ -36,7 +44,8 @@ from millrace.llm.components import components
 
 N, BLOCK, LEAF, FAN, LEAST_BITS, FINE = 5, 512, 16, 4, 512, 8
 MAX_HOT, LOCAL_HOT, FLUSH = 1_000_000, 3, 4_000_000
-FILTER_BITS = 1 << 23
+FILTER_BITS, LISTED = 1 << 23, 1 << 20
+BAND = 1.3  # over 1 / 0.8, so that sets that link are in one band or in neighbours
 SALTS, FLUSH_ENTRIES, PART_BYTES, LEAST_PARTS, VERIFY = 64, 500_000, 4 << 20, 64, 500_000
 
 
@@ -90,9 +99,9 @@ def _sizes(docs: DataFrame) -> DataFrame:
         id_type = None
 
         def hot() -> pa.RecordBatch:
-            tokens = np.sort(np.concatenate(pile)) if pile else np.zeros(0, dtype=np.uint64)
-            many = tokens[: len(tokens) - LOCAL_HOT + 1][tokens[LOCAL_HOT - 1 :] == tokens[: len(tokens) - LOCAL_HOT + 1]] if len(tokens) >= LOCAL_HOT else tokens[:0]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, id_type or pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.unique(many).view(np.int64).tolist()], pa.list_(pa.int64()))], names)
+            tokens, times = np.unique(np.concatenate(pile) if pile else np.zeros(0, dtype=np.uint64), return_counts=True)
+            many = np.stack([tokens.view(np.int64), times], axis=1)[times >= LOCAL_HOT]
+            return pa.RecordBatch.from_arrays([pa.nulls(1, id_type or pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([many.tolist()], pa.list_(pa.list_(pa.int64())))], names)
 
         names = ["doc_id", "n", "fp", "bitmap", "hot"]
         for batch in batches:
@@ -107,14 +116,14 @@ def _sizes(docs: DataFrame) -> DataFrame:
                         seen.add(fp[-1])
                         pile.append(tokens)
                         size += len(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(len(n), pa.list_(pa.list_(pa.int64())))], names)
             if size >= FLUSH:
                 yield hot()
                 pile, size = [], 0
         if id_type is not None:
             yield hot()
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind.simpleString()}, n int, fp long, bitmap binary, hot array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind.simpleString()}, n int, fp long, bitmap binary, hot array<array<long>>")
 
 
 def _runs(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
@@ -205,29 +214,33 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, fine: bool) -> DataFrame:
-    """fp, n, body (tokens or, if ``fine``, a bitmap of FINE times the bits) of the sets in ``wanted`` (cid, fp), where cid is a document of the class; and of some others.
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp, n, body (the shingles) of the sets in ``wanted`` (cid, fp), where cid is a document of the class; and of some others.
 
-    A bitmap of hashed cids tells tasks which documents to take, so that no text is shuffled. It is of a fixed
-    size: with very many cids more documents pass, and joins on fp leave them out.
+    A bitmap of hashed cids tells tasks which documents to take, so that no text is shuffled. Where cids would fill it,
+    the documents are joined. Joins on fp leave other sets out.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int").alias("bit")
-    bitmap = np.packbits(_bits(wanted.select(bit("cid"))))
+    docs = docs.where("doc_id IS NOT NULL")
+    listed = wanted.count() <= LISTED
+    bitmap = np.packbits(_bits(wanted.select(bit("cid")))) if listed else None
+    if not listed:
+        docs = docs.join(wanted.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(bitmap).astype(bool)
+        known = np.unpackbits(bitmap).astype(bool) if listed else None
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for _, _, data, offsets in text_chunks(batch.filter(pa.array(known[batch.column("bit").to_numpy()]))):
+            for _, _, data, offsets in text_chunks(batch.filter(pa.array(known[batch.column("bit").to_numpy()])) if listed else batch):
                 for tokens in shingle_sets(data, offsets):
                     if len(tokens) and (fp := fingerprint(tokens)) not in seen:
                         seen.add(fp)
-                        rows.append((fp, len(tokens), (signature(tokens, FINE) if fine else tokens).tobytes()))
+                        rows.append((fp, len(tokens), tokens.tobytes()))
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["fp", "n", "body"])
 
-    return docs.where("doc_id IS NOT NULL").select(bit("doc_id"), "text").mapInArrow(trimmed(run), "fp long, n int, body binary")
+    return docs.select(bit("doc_id"), "text").mapInArrow(trimmed(run), "fp long, n int, body binary")
 
 
 def _possible(n: np.ndarray, m: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -236,7 +249,7 @@ def _possible(n: np.ndarray, m: np.ndarray, missing: np.ndarray) -> np.ndarray:
 
 
 def _pairs_possible(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs (with n, m, bitmaps p, q) that sizes and bitmaps don't rule out."""
+    """pivot, fp of the pairs (with n, m, bitmaps p, q) that sizes and bitmaps don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,96 +258,76 @@ def _pairs_possible(pairs: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
                 size = min(len(x), len(y))
                 keep.append(bool(_possible(n, m, int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()))))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["pivot", "fp"]).filter(pa.array(keep, pa.bool_()))
 
     near = pairs.where("5 * least(n, m) >= 4 * greatest(n, m)")
-    return near.select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link: finer bitmaps rule most others out, and whole sets decide the rest."""
-    possible = _compared(docs, classes, pairs, True)
-    return _compared(docs, classes, possible, False)
+    return near.select("pivot", "fp", "n", "m", "p", "q").mapInArrow(run, "pivot long, fp long")
 
 
-def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, fine: bool) -> DataFrame:
-    """The pairs that may link by fine bitmaps, or that do by their sets; of the latter, in a component, enough to connect it.
-
-    Sets go to blocks of pairs rather than to pairs: the candidate graph's components are split into blocks
-    of about VERIFY shingles, and a task holds two blocks' sets at a time.
-    """
-    parts = staged(components(pairs), "candidates")
-    weighed = parts.join(classes.select(F.col("fp").alias("node"), "n", "cid"), "node")
-    sizes = weighed.groupBy("component").agg(F.ceil(F.sum("n") / (VERIFY * (FINE if fine else 1))).cast("int").alias("blocks"))
-    nodes = staged(weighed.join(sizes, "component").select("node", "cid", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "nodes")
-    sets = staged(_sets(docs, nodes.select("cid"), fine), "sets")
-    ends = [nodes.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"), F.col("block").alias(f"block_{c}")) for c in "ab"]
-    keyed = pairs.join(ends[0], "a").join(ends[1], "b")
-    low, high = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
-    keyed = staged(keyed.select(F.col("part_a").alias("part"), low.alias("x"), high.alias("y"), "a", "b"), "keyed")
-    members = keyed.select("part", "x", "y", F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets, "fp")
-    none = F.lit(None)
-    rows = members.select("part", "x", "y", F.lit(0).alias("kind"), F.col("fp").alias("a"), F.col("n").cast("long").alias("b"), "body")
-    rows = rows.unionByName(keyed.select("part", "x", "y", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("body")))
+def _star_links(docs: DataFrame, classes: DataFrame, stars: DataFrame) -> DataFrame:
+    """a, b: the pairs (pivot, fp) that link. A pivot's set goes to each block of its partners, which pass by it one at a time."""
+    wanted = stars.select("fp").unionByName(stars.select(F.col("pivot").alias("fp"))).distinct().join(classes.select("fp", "cid"), "fp")
+    sets = staged(_sets(docs, staged(wanted, "wanted")).dropDuplicates(["fp"]), "sets")
+    blocks = staged(stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    block = F.pmod("fp", "blocks").cast("int").alias("block")
+    members = stars.join(blocks, "pivot").select("pivot", block, "fp").join(sets, "fp").select("pivot", "block", F.lit(1).alias("kind"), "fp", "body")
+    pivots = blocks.join(sets, F.col("pivot") == F.col("fp")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "fp", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, {}, {}
-
-        def root(node: int) -> int:
-            while found.get(node, node) != node:
-                found[node] = node = found.get(found[node], found[node])
-            return node
-
-        def links(a: int, b: int) -> bool:
-            (p, n), (q, m) = held[a], held[b]
-            if fine:
-                size = min(len(p), len(q))
-                return bool(_possible(n, m, int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum())))
-            if root(a) == root(b):
-                return False
-            if 9 * len(np.intersect1d(p, q, assume_unique=True)) < 4 * (n + m):
-                return False
-            found[root(a)] = root(b)
-            return True
-
+        now, held = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             out = []
-            for part, x, y, kind, a, b, body in zip(*(batch.column(c).to_pylist() for c in ("part", "x", "y", "kind", "a", "b", "body"))):
-                if (part, x, y) != key:
-                    key, held, found = (part, x, y), {}, {}
+            for pivot, kind, fp, body in zip(*(batch.column(c).to_pylist() for c in ("pivot", "kind", "fp", "body"))):
+                tokens = np.frombuffer(body, dtype=np.uint64)
                 if kind == 0:
-                    held[a] = np.frombuffer(body, dtype=np.uint64), b
-                elif links(a, b):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
-    dealt = rows.repartition("part", "x", "y").sortWithinPartitions("part", "x", "y", "kind")
+                    now, held = pivot, tokens
+                elif now != pivot:
+                    raise RuntimeError(f"no set of pivot {pivot}")
+                elif _links(held, tokens):
+                    out.append((pivot, fp))
+            yield _pair_batch(out)
+
+    dealt = pivots.unionByName(members).repartition("pivot", "block").sortWithinPartitions("pivot", "block", "kind")
     links = staged(dealt.mapInArrow(trimmed(run), "a long, b long"), "links")
-    drop_staged(sets, keyed, nodes, parts)
+    drop_staged(sets, blocks)
     release(docs.sparkSession)
     return links
 
 
+def _links(a: np.ndarray, b: np.ndarray) -> bool:
+    n, m = len(a), len(b)
+    return 5 * min(n, m) >= 4 * max(n, m) and 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (n + m)
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+
 class Node:
     """A node of a signature tree over rows [start, end)."""
 
-    def __init__(self, start: int, end: int, below: list[Node], n: np.ndarray, parts: np.ndarray, any_of: np.ndarray, all_of: np.ndarray):
+    def __init__(self, start: int, end: int, below: list[Node], n: np.ndarray, any_of: np.ndarray, all_of: np.ndarray):
         self.start, self.end, self.below = start, end, below
         self.least, self.most = int(n[start:end].min()), int(n[start:end].max())
-        self.part = int(parts[start]) if (parts[start:end] == parts[start]).all() else None
         self.any_of, self.all_of = any_of, all_of
 
+    def of(self, values: np.ndarray) -> np.ndarray:
+        return values[self.start : self.end]
+
 
-def tree(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray) -> Node:
-    level = [Node(s, min(s + LEAF, len(n)), [], n, parts, np.bitwise_or.reduce(bitmaps[s : s + LEAF]), np.bitwise_and.reduce(bitmaps[s : s + LEAF])) for s in range(0, len(n), LEAF)]
+def tree(n: np.ndarray, bitmaps: np.ndarray) -> Node:
+    level = [Node(s, min(s + LEAF, len(n)), [], n, np.bitwise_or.reduce(bitmaps[s : s + LEAF]), np.bitwise_and.reduce(bitmaps[s : s + LEAF])) for s in range(0, len(n), LEAF)]
     while len(level) > 1:
         groups = [level[k : k + FAN] for k in range(0, len(level), FAN)]
-        level = [Node(g[0].start, g[-1].end, g, n, parts, np.bitwise_or.reduce([x.any_of for x in g]), np.bitwise_and.reduce([x.all_of for x in g])) for g in groups]
+        level = [Node(g[0].start, g[-1].end, g, n, np.bitwise_or.reduce([x.any_of for x in g]), np.bitwise_and.reduce([x.all_of for x in g])) for g in groups]
     return level[0]
 
 
-def traverse(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray, blocks: np.ndarray, one: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of different components that may link; of different blocks unless ``one``. Rows are in order of size."""
+def traverse(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray, blocks: np.ndarray, one: bool, done: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different components that may link; of different blocks unless ``one``. Rows are in order of size.
+
+    The caller may merge ``parts``, or mark rows as ``done`` (pairs of two such are of no interest), while it reads.
+    """
 
     def leaves(xs: int, xe: int, ys: int, ye: int, same: bool) -> Iterator[tuple[int, int]]:
         i, j = np.repeat(np.arange(xs, xe), ye - ys), np.tile(np.arange(ys, ye), xe - xs)
@@ -344,6 +337,8 @@ def traverse(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray, blocks: np.n
             ok &= i < j
         if not one:
             ok &= blocks[i] != blocks[j]
+        if done is not None:
+            ok &= ~(done[i] & done[j])
         i, j = i[ok], j[ok]
         if len(i):
             differing = np.bitwise_count(bitmaps[i] ^ bitmaps[j]).sum(axis=1, dtype=np.int64)
@@ -353,14 +348,17 @@ def traverse(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray, blocks: np.n
     if len(n) <= LEAF:
         yield from leaves(0, len(n), 0, len(n), True)
         return
-    root = tree(n, parts, bitmaps)
+    root = tree(n, bitmaps)
     todo = [(root, root)]
     while todo:
         x, y = todo.pop()
-        if x.part is not None and x.part == y.part:
-            continue
         if 5 * x.most < 4 * y.least or 5 * y.most < 4 * x.least:
             continue
+        p, q = x.of(parts), y.of(parts)
+        if (p == q[0]).all() and (q == q[0]).all():
+            continue
+        if done is not None and x.of(done).all() and y.of(done).all():
+            continue
         # Each bit of all of one side's sets that none of the other has stands for a shingle outside the overlap.
         missing = int(np.bitwise_count(x.all_of & ~y.any_of).sum()), int(np.bitwise_count(y.all_of & ~x.any_of).sum())
         overlap = min(x.most - missing[0], y.most - missing[1])
@@ -373,68 +371,135 @@ def traverse(n: np.ndarray, parts: np.ndarray, bitmaps: np.ndarray, blocks: np.n
             yield from leaves(x.start, x.end, y.start, y.end, x is y)
 
 
-def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: what the trees of the groups (token, x, y) leave. Rows: pivot, token, x, y, block, fp, n, part, bitmap."""
-
-    def group(n: np.ndarray, fp: np.ndarray, parts: np.ndarray, blocks: np.ndarray, maps: list[bytes], one: bool) -> set[tuple[int, int]]:
-        near = 5 * n[:-1] >= 4 * n[1:]
-        if not near.any() or (parts == parts[0]).all():
-            return set()
-        found: set[tuple[int, int]] = set()
-        sizes = np.array([len(m) for m in maps])
-        # Bitmaps are folded no further than a partner's own size asks for; sets that link differ by one doubling at most.
-        for size in np.unique(sizes):
-            here = np.flatnonzero((sizes == size) | (sizes == 2 * size))
-            if len(here) > 1:
-                bits = np.stack([folded(np.frombuffer(maps[k], dtype=np.uint64), size // 8) for k in here])
-                for i, j in traverse(n[here], parts[here], bits, blocks[here], one):
-                    a, b = int(fp[here[i]]), int(fp[here[j]])
-                    found.add((min(a, b), max(a, b)))
-        return found
+def _by_size(n: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows whose bitmaps are of one size or its double, with the bitmaps folded to that size; sets that link differ by one doubling at most."""
+    sizes = np.array([len(m) for m in maps])
+    for size in np.unique(sizes):
+        here = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+        if len(here) > 1:
+            yield here, np.stack([folded(maps[k], size) for k in here])
+
+
+def with_partner(n: np.ndarray, parts: np.ndarray, blocks: np.ndarray, maps: list[np.ndarray], one: bool) -> np.ndarray:
+    """Whether each row has a possible partner. Rows are in order of size."""
+    found = np.zeros(len(n), dtype=bool)
+    for here, bits in _by_size(n, maps):
+        done = found[here]
+        for i, j in traverse(n[here], parts[here], bits, blocks[here], one, done):
+            done[i] = done[j] = True
+        found[here] |= done
+    return found
+
+
+def merging_links(n: np.ndarray, parts: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], one: bool) -> list[tuple[int, int]]:
+    """Pairs of rows that link and connect all components that links connect. Rows are in order of size."""
+    _, parts = np.unique(parts, return_inverse=True)
+    out = []
+    for here, bits in _by_size(n, [signature(s, FINE) for s in sets]):
+        own = parts[here]
+        for i, j in traverse(n[here], own, bits, blocks[here], one):
+            a, b = here[i], here[j]
+            if parts[a] != parts[b] and _links(sets[a], sets[b]):
+                out.append((int(a), int(b)))
+                parts[parts == parts[b]] = parts[a]
+                own[:] = parts[here]
+    return out
+
+
+KEYS = ["pivot", "x", "y"]
+
+
+def _each_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """The groups (pivot, x, y) of sorted batches, those that end with each batch together."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        table = (pa.concat_tables([held, now]) if held is not None else now).combine_chunks()
+        keys = [table.column(c).to_numpy() for c in KEYS]
+        new = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+        for k in keys:
+            new |= k[1:] != k[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        yield [table.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
+        held = table.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield [held]
+
+
+def _ordered(table: pa.Table, body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], bool]:
+    """fp, n, part, block and bodies of a group by size, and whether it is one block."""
+    fp, n, part, block = (table.column(c).to_numpy() for c in ("fp", "n", "part", "block"))
+    order = np.argsort(n, kind="stable")
+    column = table.column(body)
+    one = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+    return fp[order], n[order].astype(np.int64), part[order], block[order], [np.frombuffer(column[int(k)].as_py(), dtype=np.uint64) for k in order], one
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def _possible_rows(rows: DataFrame) -> DataFrame:
+    """pivot, x, y, block, fp, part of the rows (with n and bitmap) that have a possible partner in their group."""
+    names = [*KEYS, "block", "fp", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        seen: set[tuple[int, int]] = set()
-
-        def closed(table: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
-            """The pairs of the groups that are whole, and the rest. Rows are sorted by group and size."""
-            columns = {c: table.column(c).to_numpy() for c in ("pivot", "token", "x", "y", "block", "fp", "n", "part")}
-            cut = np.flatnonzero((columns["pivot"][1:] != columns["pivot"][:-1]) | (columns["token"][1:] != columns["token"][:-1]) | (np.diff(columns["x"]) != 0) | (np.diff(columns["y"]) != 0)) + 1
-            edges = [0, *cut.tolist(), *([table.num_rows] if last else [])]
-            maps = table.column("bitmap").to_pylist() if len(edges) > 1 else []
+        for tables in _each_group(batches):
             out = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b - a > 1:
-                    n, fp, parts, blocks = (columns[c][a:b] for c in ("n", "fp", "part", "block"))
-                    out += group(n.astype(np.int64), fp, parts, blocks, maps[a:b], columns["x"][a] == columns["y"][a])
-            return out, table.slice(edges[-1])
-
-        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            new = [p for p in dict.fromkeys(pairs) if p not in seen]
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64())], ["a", "b"])
+            for table in tables:
+                parts = table.column("part").to_numpy()
+                if len(parts) < 2 or (parts == parts[0]).all():
+                    continue
+                fp, n, part, block, maps, one = _ordered(table, "bitmap")
+                if (5 * n[:-1] >= 4 * n[1:]).any() and (found := with_partner(n, part, block, maps, one)).any():
+                    k = int(found.sum())
+                    out.append([np.full(k, table.column(c)[0].as_py()) for c in KEYS] + [block[found], fp[found], part[found]])
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            pairs, held = closed(pa.concat_tables([held, now]) if held is not None else now, False)
-            yield batch_of(pairs)
-        if held is not None and held.num_rows:
-            yield batch_of(closed(held, True)[0])
+    return _dealt(rows).select(*KEYS, "block", "fp", "n", "part", "bitmap").mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
 
-    # Groups with one pivot share most of their sets: they go to one task, which tells each pair once.
-    keys = ["pivot", "x", "y"]
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, "token", "n")
-    return sorted_rows.select("pivot", "token", "x", "y", "block", "fp", "n", "part", "bitmap").mapInArrow(trimmed(run), "a long, b long").distinct()
+
+def _group_links(rows: DataFrame) -> DataFrame:
+    """a, b: links that merge components, of each group of rows (with n and body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tables in _each_group(batches):
+            out = []
+            for table in tables:
+                if table.num_rows > 1:
+                    fp, n, part, block, sets, one = _ordered(table, "body")
+                    out += [(int(fp[i]), int(fp[j])) for i, j in merging_links(n, part, block, sets, one)]
+            yield _pair_batch(out)
+
+    return _dealt(rows).select(*KEYS, "block", "fp", "n", "part", "body").mapInArrow(trimmed(run), "a long, b long")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """pivot, x, y, block, fp, part: each row (pivot, fp, part, n) once for each pair of blocks that it is to be compared in."""
+    by_part = rows.groupBy("pivot", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = by_part.groupBy("pivot").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("total"), F.sum("s").alias("weight"))
+    whole = (F.col("total") <= BLOCK) & (F.col("weight") <= VERIFY)
+    band = F.when(whole, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(BAND)))).cast("int").alias("band")
+    rest = F.when(whole | (F.col("part") != F.col("main")), F.lit(1)).otherwise(F.lit(0)).alias("rest")
+    rows = rows.join(sizes, "pivot").select("pivot", "fp", "part", "n", band, rest)
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VERIFY)).cast("int").alias("blocks")
+    # A group has a cell for each band of sizes, twice: some 160 at most.
+    cells = rows.groupBy("pivot", "band", "rest").agg(blocks).groupBy("pivot").agg(F.collect_list(F.struct("band", "rest", "blocks")).alias("cells"))
+    code = lambda band, rest, block: (band * 2 + rest).cast("long") * F.lit(1 << 32) + block.cast("long")
+    own = F.element_at(F.filter("cells", lambda c: (c["band"] == F.col("band")) & (c["rest"] == F.col("rest"))), 1)["blocks"]
+    near = F.filter("cells", lambda c: (F.abs(c["band"] - F.col("band")) <= 1) & ((c["rest"] == 1) | (F.col("rest") == 1)))
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: code(c["band"], c["rest"], b))))
+    rows = rows.join(cells, "pivot").select("pivot", "fp", "part", code(F.col("band"), F.col("rest"), F.pmod("fp", own)).alias("block"), F.explode(others).alias("with"))
+    return rows.select("pivot", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "fp", "part")
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark = tuned(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sized = staged(_sizes(docs), "sizes")
-    tokens = sized.where("n = -1").select(F.explode("hot").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(MAX_HOT)
+    kept = sized = staged(_sizes(docs), "sizes")
+    tokens = sized.where("n = -1").select(F.explode("hot").alias("t")).groupBy(F.col("t")[0].alias("token")).agg(F.sum(F.col("t")[1]).alias("times")).orderBy(F.desc("times"), "token").limit(MAX_HOT)
     hot = np.sort(tokens.select("token").toArrow().column("token").to_numpy().view(np.uint64))
     sized = sized.where("n >= 0").drop("hot")
     known = sized.where("n > 0 AND doc_id IS NOT NULL")
@@ -451,26 +516,32 @@ def linked(docs: DataFrame) -> DataFrame:
     drop_staged(found)
     # Up to three of a set's pivots; what they don't connect is for the second phase.
     few = shared.groupBy("fp").agg(F.array(F.min("pivot"), F.max("pivot"), F.max("other")).alias("ends"))
-    stars = few.select(F.explode("ends").alias("e"), "fp").where("e <> fp").select(F.least("e", "fp").alias("a"), F.greatest("e", "fp").alias("b")).distinct()
-    a = classes.select(F.col("fp").alias("a"), "n", F.col("bitmap").alias("p"))
-    b = classes.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("q"))
-    links = _verified(docs, classes, staged(_pairs_possible(stars.join(a, "a").join(b, "b")), "stars"))
+    stars = few.select(F.explode("ends").alias("pivot"), "fp").where("pivot <> fp").distinct()
+    p = classes.select(F.col("fp").alias("pivot"), "n", F.col("bitmap").alias("p"))
+    q = classes.select("fp", F.col("n").alias("m"), F.col("bitmap").alias("q"))
+    stars = staged(_pairs_possible(stars.join(p, "pivot").join(q, "fp")), "stars")
+    links = _star_links(docs, classes, stars)
+    drop_staged(stars)
 
     # Second phase: groups that fall in several components.
     first = staged(components(links), "components")
-    rows = shared.select("token", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", F.coalesce("component", "fp").alias("part"))
-    rows = staged(rows, "parts")
-    drop_staged(shared)
-    several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), F.min("fp").alias("pivot")).where("low <> high")
-    rows = rows.join(several.select("token", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "token").withColumn("block", F.pmod(F.col("fp"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    rows = rows.select("token", "pivot", "fp", "part", "block", other).select("token", "pivot", "fp", "part", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
-    pairs = staged(_tree_pairs(rows.join(classes.select("fp", "n", "bitmap"), "fp")), "pairs")
+    rows = staged(shared.select("token", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", F.coalesce("component", "fp").alias("part")), "parts")
+    drop_staged(shared, first)
+    several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("fp").alias("pivot")).where("low <> high").select("token", "pivot")
+    groups = staged(rows.join(several, "token").select("pivot", "fp", "part").distinct().join(classes.select("fp", "n"), "fp"), "rows")
+    blocks = _in_blocks(groups).join(classes.select("fp", "n", "bitmap"), "fp")
+    found = staged(_possible_rows(blocks), "possible")
+    drop_staged(rows, groups)
+    release(spark)
+    wanted = staged(found.select("fp").distinct().join(classes.select("fp", "cid"), "fp"), "wanted")
+    sets = staged(_sets(docs, wanted).dropDuplicates(["fp"]), "sets")
+    more = staged(_group_links(found.join(sets, "fp")), "more")
+    drop_staged(found, wanted, sets)
     release(spark)
     # Rows of one doc_id are one node: their classes are linked by the least of them.
     least = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
     own = known.select("doc_id", F.col("fp").alias("b")).join(least, "doc_id").where("a <> b").select("a", "b").distinct()
-    final = components(links.unionByName(_verified(docs, classes, pairs)).unionByName(own))
+    final = components(links.unionByName(more).unionByName(own))
 
     # The least doc_id of each class, then of each component, then back.
     labelled = classes.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "cid", F.coalesce("component", "fp").alias("part"))
@@ -479,7 +550,9 @@ def linked(docs: DataFrame) -> DataFrame:
     # By doc_id, for a row without shingles is of its doc_id's node too.
     nodes = known.select("doc_id", "fp").join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = sized.join(nodes, "doc_id", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    done = staged(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "linked")
+    drop_staged(kept, classes, links, more)
+    return done
 
 
 def oracle() -> str:
