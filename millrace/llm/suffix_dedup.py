@@ -19,7 +19,7 @@ they stand. Then, in two exchanges:
 Blocks are identified by 40 bits of the anchor's hash, those its part stands for, and 48 bits of their own.
 
 Null texts count as empty. A null doc_id is neither smaller nor greater than another: such rows stay whole and are
-no source. Rows of one doc_id never remove each other's bytes, be their texts equal or not. Only doc_id and
+no source. A text of any length is worked on in slices of ``SLICE`` bytes. Rows of one doc_id never remove each other's bytes, be their texts equal or not. Only doc_id and
 text are read; other columns are handed on by ``deduplicated``.
 """
 
@@ -39,7 +39,7 @@ from millrace.llm.common import BASE, U64, drop_staged, mixed, parts_for, powers
 
 WINDOW, K = 50, 20
 SPAN = WINDOW - K + 1  # k-mers of a window
-FLUSH_ROWS, PART_BYTES, LEAST_PARTS = 400_000, 4 << 20, 64
+FLUSH_ROWS, PART_BYTES, LEAST_PARTS, SLICE = 400_000, 4 << 20, 64, 1 << 20
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 LONGEST = (1 << 24) - 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -84,6 +84,17 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, start - offsets[doc], count, off, mixed(kmers[anchor] ^ BASE), own
 
 
+def sliced_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same; a document of over SLICE bytes in slices of so many windows, which bounds memory. A block at a cut is two, and those are compared as any that differ."""
+    if len(offsets) != 2 or len(data) <= SLICE:
+        yield blocks(data, offsets)
+        return
+    for at in range(0, len(data) - WINDOW + 1, SLICE):
+        part = data[at : at + SLICE + WINDOW - 1]
+        doc, start, *rest = blocks(part, np.array([0, len(part)]))
+        yield doc, start + at, *rest
+
+
 def _planes(x: np.ndarray, size: int) -> bytes:
     """The lowest bytes of integers, a plane for each byte, so that zeros lie together."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8)[:, :size].T.tobytes()
@@ -175,12 +186,12 @@ def _runs(parts: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             variants = batch.column("variant").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, _, data, offsets in text_chunks(batch):
-                doc, start, count, off, anchor, own = blocks(data, offsets)
-                if len(doc):
-                    rows.append([ids[a + doc], variants[a + doc], start, count, off, anchor, own])
-                    size += len(doc)
-            if size >= FLUSH_ROWS:
-                yield from out()
+                for doc, start, count, off, anchor, own in sliced_blocks(data, offsets):
+                    if len(doc):
+                        rows.append([ids[a + doc], variants[a + doc], start, count, off, anchor, own])
+                        size += len(doc)
+                    if size >= FLUSH_ROWS:
+                        yield from out()
         yield from out()
 
     def batch_of(rows: list) -> pa.RecordBatch:
