@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,15 +28,9 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_OWN: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is made only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        key = spark.sparkContext.applicationId
-        found = _OWN.get(key) or _OWN.setdefault(key, f"file://{tempfile.mkdtemp(prefix='millrace-')}")
+    """The folder in spark.checkpoint.dir; where none is set, as in tests, one in the warehouse, which is shared too."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/")
 
 
