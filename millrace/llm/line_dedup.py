@@ -16,6 +16,9 @@ A run's first copy, by doc_id (null first), then text hash
 and line, stays; the lines of every later copy are deleted, also where copies lie in one document or overlap.
 Blank lines stay. A text of which only blanks would remain becomes empty.
 
+The first 2^k lines of suffixes of one rank are equal: such a rank is an interval of the suffix array whose longest
+common prefix has 2^k lines at least, and a pair of ranks one of a window's lines. The array is sorted as deep as windows go.
+
 Null texts stay null and empty texts empty. Identical rows (doc_id and text) are one document here: each
 gets the same result. All other columns, whatever their names, are handed on.
 """
@@ -82,16 +85,19 @@ def _ranked(rows: DataFrame, name: str) -> DataFrame:
 
 def repeats(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, text_key, at, size: every shortest window of min_chars characters that stands earlier too."""
-    rows, size, found = sequences(docs, min_chars).withColumn("size", F.lit(1)), 1, []
+    rows, size, found, levels = sequences(docs, min_chars).withColumn("size", F.lit(1)), 1, [], []
     while True:
         ranks = _ranked(rows, f"ranks{size}")
         level = staged(rows.join(ranks, ["a", "b", "size"]).dropDuplicates([*KEYS, "at", "size"]).select(*KEYS, "at", "size", "sizes", "rank", "first"), f"suffixes{size}")
         drop_staged(ranks)
+        levels.append(level)
         later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("at") == F.col("first.at")))
         found.append(level.where(later & F.array_contains("sizes", F.col("size"))).select(*KEYS, "at", "size"))
         suffixes = level.where(F.col("size") == size)
         if suffixes.where(F.array_max("sizes") > size).isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            every = staged(reduce(DataFrame.unionByName, found), "repeats")
+            drop_staged(*levels)
+            return every
         ahead = F.first("rank").over(Window.partitionBy(*KEYS).orderBy("at").rangeBetween(size, size))
         pairs = suffixes.select(*KEYS, "at", "sizes", F.col("rank").alias("a"), ahead.alias("b"), F.lit(2 * size).alias("size")).where("b IS NOT NULL")
         between = F.explode(F.filter("sizes", lambda x: (x > size) & (x < 2 * size)))
@@ -123,7 +129,8 @@ def without(text: str, removed: list[int]) -> tuple[str, int]:
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with later copies taken out of text, and n_lines and n_removed_lines beside (in place of columns of these names)."""
-    removed = removed_lines(docs, min_chars).alias("r")
+    # The lists are the hashed side, so that texts are dealt out but not sorted.
+    removed = removed_lines(docs, min_chars).hint("shuffle_hash").alias("r")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).alias("d")
     both = keyed.join(removed, F.col("d.id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.key") == F.col("r.text_key")), "left").select("d.row", "r.removed")
     fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed_lines")]
@@ -144,17 +151,16 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return both.mapInArrow(trimmed(run), schema)
 
 
-def oracle(min_chars: int = MIN_CHARS, longest: int = 12) -> str:
-    """The same by grouping the texts of all runs of 1, 2, 4, ... lines."""
-    sizes = ", ".join(f"({2**k})" for k in range(longest))
+def oracle(min_chars: int = MIN_CHARS) -> str:
+    """The same by grouping the texts of the shortest runs of min_chars characters that begin or end with each line, of any number of lines."""
     return f"""
 WITH d AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS f FROM documents),
-p(size) AS (VALUES {sizes}),
-w AS (SELECT doc_id, size, pos, f[pos + 1 : pos + size] AS run
-      FROM (SELECT doc_id, f, size, unnest(range(0, len(f) - size + 1)) AS pos FROM d JOIN p ON len(f) >= size)),
-g AS (SELECT *, min({{'d': doc_id, 'a': pos}}) OVER (PARTITION BY run) AS first FROM w),
-r AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS place FROM g
-      WHERE (first.d <> doc_id OR first.a <> pos) AND len(array_to_string(run, '')) >= {min_chars}),
+l AS (SELECT doc_id, pos, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS after, length(line) AS n FROM (SELECT doc_id, unnest(f) AS line, generate_subscripts(f, 1) AS pos FROM d)),
+e AS (SELECT doc_id, pos, after, (after - n)::BIGINT AS before, (after - n + {min_chars})::BIGINT AS least, (after - {min_chars})::BIGINT AS most FROM l),
+w AS (SELECT a.doc_id, a.pos AS i, b.pos AS j FROM e a ASOF JOIN e b ON a.doc_id = b.doc_id AND a.least <= b.after
+  UNION SELECT a.doc_id, b.pos, a.pos FROM e a ASOF JOIN e b ON a.doc_id = b.doc_id AND a.most >= b.before),
+g AS (SELECT doc_id, i, j, min({{'d': doc_id, 'i': i}}) OVER (PARTITION BY f[i:j]) AS first FROM w JOIN d USING (doc_id)),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) - 1 AS place FROM g WHERE first.d <> doc_id OR first.i <> i),
 n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
 x AS (SELECT doc_id, line, nr, CASE WHEN trim(line) <> '' THEN count(*) FILTER (trim(line) <> '') OVER (PARTITION BY doc_id ORDER BY nr) - 1 END AS place
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents)),

@@ -16,23 +16,9 @@ from tests.llm.helpers import corpus, docs, lowered
 
 
 def line_brute(rows, min_chars):
-    """Deletes lines of windows of 1, 2, 4, ... lines with min_chars characters that stand earlier."""
-    seqs = {key: [x for x in (key[1] or "").split("\n") if x.strip(" ")] for key in rows}
-    first, gone = {}, {k: set() for k in rows}
-    order = sorted(seqs, key=lambda k: (k[0] is not None, k[0] or 0, xx(k)))
-    size = 1
-    while size <= max(map(len, seqs.values()), default=0):
-        for k in order:
-            for i in range(len(seqs[k]) - size + 1):
-                run = (size, *seqs[k][i : i + size])
-                if first.setdefault(run, (k, i)) != (k, i) and sum(map(len, run[1:])) >= min_chars:
-                    gone[k].update(range(i, i + size))
-        size *= 2
-    return gone
-
-
-def xx(key):
-    return 0
+    """Deletes lines of windows of any number of lines with min_chars characters that stand earlier; rows have different doc_ids."""
+    order = sorted(set(rows), key=lambda k: (k[0] is not None, k[0] or 0))
+    return dict(zip(order, line_brute_any([t for _, t in order], min_chars)))
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -98,6 +84,13 @@ def test_line_dedup_runs_of_any_length(spark):
         assert [x for x in got[k].text.split("\n") if x] == [x for i, x in enumerate(lines) if i not in want[k]]
 
 
+def test_line_dedup_other_texts_of_one_doc_id(spark):
+    """Texts of one doc_id are documents of their own: one copy of the run stays, in one of them."""
+    run = "a line of more than fifty characters, which is enough to count as a run"
+    got = line_dedup.dedup(docs(spark, [(7, f"one\n{run}"), (7, f"two\n{run}\n{run}"), (8, run)])).collect()
+    assert sum(r.text.count(run) for r in got) == 1 and sum(r.n_removed_lines for r in got) == 3 and {r.doc_id for r in got if run in r.text} == {7}
+
+
 # Jaccard join
 
 
@@ -169,6 +162,41 @@ def test_hot_shingles_and_blocks(spark, monkeypatch):
     assert got == jaccard_brute(list(enumerate(texts)))
 
 
+def test_documents_joined_where_many_are_wanted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LISTED", 0)
+    texts = corpus(11, 40)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(docs(spark, texts)).collect()} == jaccard_brute(list(enumerate(texts)))
+
+
+def test_a_very_long_text(spark):
+    """20 MB in one row, among short ones and a copy with a few other words."""
+    rng = random.Random(12)
+    words = [f"{k:x}y" for k in rng.sample(range(1 << 24), 400_000)] * 7
+    other = words[:]
+    for k in range(0, 400_000, 4000):
+        other[k] = "changed"
+    texts = [" ".join(words), "short", " ".join(other), "a b c d e f"]
+    assert len(texts[0]) > 20 << 20
+    got = {r.doc_id: r.component_id for r in jaccard_join.linked(docs(spark, texts).repartition(4)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
+def test_merging_links_connect_what_brute_force_connects():
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        base = [rng.integers(0, 1 << 63, 80).astype(np.uint64) for _ in range(4)]
+        sets = sorted((np.unique(np.concatenate([base[k % 4][rng.random(80) < 0.9], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for k in range(120)), key=len)
+        n, blocks, parts = np.array([len(s) for s in sets]), np.arange(120) % 2, np.arange(120) // 3
+        for one in (True, False):
+            edges = [(i, j) for i in range(120) for j in range(i + 1, 120) if (one or blocks[i] != blocks[j]) and jaccard_join._links(sets[i], sets[j])]
+            held = [(k, k - k % 3) for k in range(120)]
+            got = jaccard_join.merging_links(n, parts.copy(), blocks, sets, one)
+            assert set(got) <= set(edges) and len(got) < 40 and brute_components(got + held, range(120)) == brute_components(edges + held, range(120))
+            maps = [jaccard_join.signature(s) for s in sets]
+            found = jaccard_join.with_partner(n, np.arange(120), blocks, maps, one)
+            assert all(found[i] and found[j] for i, j in edges)
+
+
 def test_signature_trees_lose_no_pair():
     rng = np.random.default_rng(0)
     for _ in range(3):
@@ -236,6 +264,19 @@ def test_suffix_dedup_one_doc_id_twice(spark):
     assert suffix_dedup.report(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_in_slices(spark, monkeypatch):
+    """Texts longer than a slice, with passages that lie across cuts."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 97)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    filler = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(k, filler(rng.randint(0, 300)) + passage[rng.randint(0, 60) :] + filler(rng.randint(0, 200))) for k in range(12)] + [(20, "z" * 500), (21, "z" * 260)]
+    text = np.frombuffer(rows[0][1].encode(), np.uint8)
+    covered = [k for _, start, count, *_ in suffix_dedup.sliced_blocks(text, np.array([0, len(text)])) for s, c in zip(start, count) for k in range(s, s + c)]
+    assert covered == list(range(len(text) - 49))
+    assert sorted(tuple(r) for r in suffix_dedup.report(docs(spark, rows)).collect()) == suffix_brute(rows)
+
+
 def test_front_coding_and_loser_tree():
     rng = random.Random(2)
     entries = [(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))), b"l", k, 0, k) for k in range(300)]
