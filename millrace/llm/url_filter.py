@@ -1,11 +1,11 @@
 """URL filter: host and path rules first, then logistic regression on hashed character n-grams; built-in functions only.
 
 The classifier is fitted by gradient descent inside one expression, from a small labelled table
-(``LABELLED``, or any DataFrame of url and label with up to ``MAX_LABELLED`` rows). Its weights, one
+(``LABELLED``, made by a rule, or any DataFrame of url and label with up to ``MAX_LABELLED`` rows). Its weights, one
 for each of ``BUCKETS``, are then a literal of the scoring plan, which is a scan and a projection.
 
 Null urls and those without ``://`` have an empty host and path and are judged by the classifier's
-intercept. Repeated rows are judged alike. Only page_id and url are read.
+intercept. Urls of any length are judged whole. Repeated rows are judged alike. Only page_id and url are read.
 """
 
 from __future__ import annotations
@@ -15,24 +15,19 @@ from pyspark.sql import functions as F
 
 # The rules of the contract.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-BUCKETS, GRAM, STEPS, RATE, DECAY, MAX_LABELLED = 1021, 4, 150, 0.5, 0.002, 500
-# The small labelled table: 1 blocks.
-LABELLED = (
-    *((u, 1) for u in (
-        "http://cheap-pills.test/buy-now", "https://spam-farm.test/links/1", "http://casino-bonus.test/spin", "https://www.free-money.test/claim?id=7", "http://win-prizes.test/click-here",
-        "https://adult-cams.test/live", "http://replica-watches.test/sale", "https://payday-loans.test/apply", "http://seo-links.test/spam/9", "https://online-pharmacy.test/viagra-pills",
-        "http://betting-tips.test/casino", "https://crypto-doubler.test/invest", "http://cheap-pharma.test/pills", "https://blog.spam-site.test/en/1", "http://poker-casino.test/bonus",
-        "https://hot-deals-win.test/free-gift", "http://miracle-diet.test/pills", "https://fake-degrees.test/order", "http://link-farm.test/links", "https://xxx-tube.test/video/4",
-        "http://spam-farm.test/page/2", "https://casino-royal.test/en/88", "http://cheap-meds.test/order", "https://m.free-casino.test/spin", "http://pills-store.test/en/77",
-    )),
-    *((u, 0) for u in (
-        "https://www.library.test/catalogue/12", "http://museum.test/en/visit", "https://blog.garden.test/2020/roses.html", "https://news.test/en/345", "http://weather.test/forecast?day=2",
-        "https://www.university.test/courses/math", "https://m.recipes.test/fr/soup", "http://history.test/es/123", "https://docs.software.test/guide/install.html", "https://www.city.test/council/minutes",
-        "http://birdwatch.test/de/456", "https://music.test/albums/9", "https://travel.test/en/821?page=2", "http://blog.astronomy.test/stars", "https://www.hospital.test/contact",
-        "https://school.test/calendar", "http://forum.chess.test/thread/31", "https://theatre.test/en/programme", "https://www.trains.test/timetable/77", "http://maps.test/fr/paris",
-        "https://science.test/article/640", "https://m.books.test/en/12.html", "http://theory.test/en/99#top", "https://www.charity.test/about", "https://river.test/es/204/",
-    )),
-)
+BUCKETS, GRAM, STEPS, RATE, DECAY, MAX_LABELLED = 1021, 4, 80, 0.5, 0.002, 500
+JUNK = "spam ads track click casino poker betting pills pharma loan prize free cheap adult xxx crypto replica diet farm banner popup win".split()
+FINE = "news library museum garden weather school city music history science travel books river theatre hospital forum docs blog university recipes chess astronomy".split()
+
+
+def _labelled(number: int = 64) -> tuple[tuple[str, int], ...]:
+    """The small labelled table, made by a rule: hosts and paths of two words of one list each; 1 blocks."""
+    shapes = ("http://{}-{}.test/{}/{}", "https://www.{}{}.test/{}?id={}", "https://{}.{}.test/{}-{}.html", "http://m.{}-{}.test/en/{}/{}", "https://{}{}.test/{}{}#top")
+    url = lambda words, k: shapes[k % len(shapes)].format(words[k % len(words)], words[(5 * k + 3) % len(words)], words[(3 * k + 1) % len(words)], 7 * k)
+    return tuple((url(words, k), label) for words, label in ((JUNK, 1), (FINE, 0)) for k in range(number))
+
+
+LABELLED = _labelled()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -50,13 +45,17 @@ def grams(text: Column, field: int) -> Column:
     codes = F.transform(F.split(F.concat(F.lit("^"), F.translate(text, UPPER, LOWER), F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
     codes = F.filter(codes, lambda c: c > 0)
 
-    def bucket(i: Column) -> Column:
-        h = F.lit(field).cast("long")
-        for k in range(GRAM):
-            h = (h * F.lit(257) + F.element_at(codes, (i + k).cast("int"))) % F.lit(1_000_003)
-        return (h % F.lit(BUCKETS)).cast("int")
+    def buckets(codes: Column) -> Column:
+        def bucket(i: Column) -> Column:
+            h = F.lit(field).cast("long")
+            for k in range(GRAM):
+                h = (h * F.lit(257) + F.element_at(codes, (i + k).cast("int"))) % F.lit(1_000_003)
+            return (h % F.lit(BUCKETS)).cast("int")
+
+        return F.when(F.size(codes) >= GRAM, F.transform(F.sequence(F.lit(1), F.size(codes) - GRAM + 1), bucket)).otherwise(F.array().cast("array<int>"))
 
-    return F.when(F.size(codes) >= GRAM, F.transform(F.sequence(F.lit(1), F.size(codes) - GRAM + 1), bucket)).otherwise(F.array().cast("array<int>"))
+    # The codes are bound by a lambda, for an expression would be computed again for each n-gram.
+    return F.element_at(F.transform(F.array(codes), buckets), 1)
 
 
 def features(host: Column, path: Column) -> Column:
@@ -72,16 +71,20 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None) -> list[float]:
     one = rows.agg(F.sort_array(F.collect_list(F.struct("url", "label", "f"))).alias("rows"))
     # For each bucket and, last, the intercept: the examples that have it.
     has = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS)), lambda b: F.filter(F.sequence(F.lit(1), F.size("rows")), lambda r: (b == BUCKETS) | F.array_contains(F.element_at("rows", r)["f"], b)))
-    one = one.select("rows", F.when(F.size("rows") > 0, has).otherwise(F.array().cast("array<array<int>>")).alias("has"))
+    has = F.when(F.size("rows") > 0, has).otherwise(F.array().cast("array<array<int>>"))
+
+    def descent(has: Column) -> Column:
+        def step(w: Column, _: Column) -> Column:
+            z = lambda r: F.aggregate(r["f"], F.element_at(w, BUCKETS + 1), lambda acc, b: acc + F.element_at(w, b + 1))
+            wrong = F.transform("rows", lambda r: r["label"] - F.lit(1.0) / (F.lit(1.0) + F.exp(-z(r))))
+            moved = F.transform(F.array(wrong), lambda e: F.zip_with(w, has, lambda x, at: x * F.lit(1 - DECAY) + F.aggregate(at, F.lit(0.0), lambda acc, r: acc + F.element_at(e, r)) * F.lit(RATE) / F.size("rows")))
+            return F.element_at(moved, 1)
 
-    def step(w: Column, _: Column) -> Column:
-        z = lambda r: F.aggregate(r["f"], F.element_at(w, BUCKETS + 1), lambda acc, b: acc + F.element_at(w, b + 1))
-        wrong = F.transform("rows", lambda r: r["label"] - F.lit(1.0) / (F.lit(1.0) + F.exp(-z(r))))
-        pairs = F.transform(F.array(wrong), lambda e: F.zip_with(w, F.col("has"), lambda x, at: x * F.lit(1 - DECAY) + F.aggregate(at, F.lit(0.0), lambda acc, r: acc + F.element_at(e, r)) * F.lit(RATE) / F.size("rows")))
-        return F.element_at(pairs, 1)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zero, step)
 
     zero = F.array_repeat(F.lit(0.0), BUCKETS + 1)
-    trained = F.when(F.size("rows") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zero, step)).otherwise(zero)
+    # The lists are bound by a lambda, or each step would make them anew.
+    trained = F.when(F.size("rows") > 0, F.element_at(F.transform(F.array(has), descent), 1)).otherwise(zero)
     return list(one.select(trained.alias("w")).first().w)
 
 
