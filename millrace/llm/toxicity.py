@@ -4,16 +4,17 @@ Folding lower-cases, takes accents off, maps homoglyphs (Cyrillic, Greek, full-w
 and digit or sign substitutions to letters, and joins l with i, for 1 stands for either. Words are
 then separated by single spaces, so a pattern " stem" finds a word's beginning and " word " a word.
 
-The lexicon is learned from labelled rows: words and word beginnings get the log-odds of toxic over
-other documents, and of those that hardly occur in other documents a greedy cover keeps a term
-only if it explains toxic documents that the terms before it don't, so that copied text brings in no
-words of its own. ``EXCEPTIONS`` are phrases in which a term is harmless: the automaton matches them
-too, and terms inside are not counted. The hits' weights are divided by the length (a document
+Lexicon and exceptions are learned from labelled rows; no word is given. Words and word beginnings that ``LEAST``
+toxic documents have get the log-odds of toxic over other documents, and those of ``ODDS`` and more are in the lexicon if they
+stand after ``LEAST`` different words, and before as many, in toxic documents: words that copied text brings in have few neighbours. A phrase (a
+matched word, with or without a neighbour) that ``HARMLESS`` clean documents and no toxic one have is an exception: the automaton
+matches exceptions too, and terms inside are not counted. The hits' weights are divided by the length (a document
 of up to ``FREE_WORDS`` words counts as that long); what is over ``CHANCE``, x, gives score = x / (1 + x).
 
-The fit takes a bounded sample: at most ``MAX_TRAIN`` labelled rows, the first by a hash of doc_id.
+The fit takes a bounded sample: at most ``MAX_TRAIN`` labelled rows, the first by a hash of doc_id, and of their terms and
+phrases the ``MAX_TERMS`` strongest. Only these and their counts reach the driver, no text does.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Labels that are null teach nothing; null and
-empty texts score 0. Identical rows get identical scores. Columns other than doc_id and text are not read.
+empty texts score 0. Without toxic labels the lexicon is empty and all score 0. Identical rows get identical scores. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,22 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import trimmed, tuned
+from millrace.llm.common import drop_staged, staged, trimmed, tuned
 
 MAX_TRAIN = 12_000
 FREE_WORDS = 400
 THRESHOLD = 0.7
 CHANCE = 2.0
 STEM = (4, 8)
+LEAST, ODDS, HARMLESS, MAX_TERMS = 8, 2.5, 3, 5_000
 # Letters that look alike, and what digits and signs stand for.
 HOMOGLYPHS = {
     **dict(zip("абвгдеёзикмнорстухіјѕԁԛԝһ", "abbrdeesukmhopctyxijsdqwh")), **dict(zip("αβγδεζηικνορτυχω", "abydezniknoptuxw")),
     **dict(zip("ıłøđħŧþðßæœ", ["i", "l", "o", "d", "h", "t", "p", "d", "ss", "ae", "oe"])),
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
 }
-# Words to start from, each with a weight, and phrases in which they are harmless.
-SEED = {"idiot": 5.0, "moron": 5.0, "stupid": 4.5, "scum": 5.0, "pathetic": 4.5, "worthless": 4.5, "disgusting": 4.5, "loser": 5.0, "trash": 3.0, "clown": 3.0}
-EXCEPTIONS = ("pond scum", "sore loser", "not stupid", "worthless currency", "clown fish", "trash can", "trash bin", "recycling and trash", "sympathetic pathetic fallacy", "pathetic fallacy")
 
 
 def _table() -> dict[int, str]:
@@ -89,62 +87,75 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least: int = 5, odds: float = 2.0) -> dict[str, float]:
-    """Patterns and weights from the labelled rows that are not held out."""
+def _hits(words: list[str], known) -> Iterator[tuple[int, list[str]]]:
+    """Places of words and, of each, its patterns among the known ones."""
+    for k, word in enumerate(words):
+        found = [t for t in (f" {word} ", *(f" {word[:n]}" for n in range(STEM[0], min(STEM[1], len(word) - 1) + 1))) if t in known]
+        if found:
+            yield k, found
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least: int = LEAST, odds: float = ODDS, harmless: int = HARMLESS) -> dict[str, float | None]:
+    """Patterns with weights, and exceptions with None, from the labelled rows that are not held out."""
     spark = tuned(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     # The sample is bounded by max_train, and so is the table that is broadcast.
     picked = [(r.doc_id, r.toxic) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()]
-    if not picked:
-        return {fold(w): x for w, x in SEED.items()}
-    sample = spark.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for term in terms_of(text):
-                    sums.setdefault(term, [0, 0])[toxic] += 1
-        # A term that this task has in clean documents only can't be in the lexicon unless another task has it in toxic ones.
-        items = list(sums.items())
-        for k in range(0, len(items), 20_000):
-            part = items[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array([c[0] for _, c in part], pa.int64()), pa.array([c[1] for _, c in part], pa.int64())], ["term", "clean", "toxic"])
-
-    counts = rows.select("text", "toxic").mapInArrow(trimmed(count), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n_toxic = sum(t for _, t in picked)
     n_clean = len(picked) - n_toxic
+    if not n_toxic:
+        return {}
+    sample = spark.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
+    rows = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").where("text <> ''"), "labelled")
+
+    def counted(of) -> DataFrame:
+        """term, clean, toxic: the documents that have each term."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, list[int]] = {}
+            for batch in batches:
+                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                    for term in of(text):
+                        sums.setdefault(term, [0, 0])[toxic] += 1
+            items = list(sums.items())
+            for k in range(0, len(items), 20_000):
+                part = items[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.string()), pa.array([c[0] for _, c in part], pa.int64()), pa.array([c[1] for _, c in part], pa.int64())], ["term", "clean", "toxic"])
+
+        return rows.mapInArrow(trimmed(count), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    seeds = [fold(w) for w in SEED]
-    # At most as many rows as the sample's toxic documents have terms.
-    strong = counts.where((F.col("toxic") >= least) | F.col("term").isin(seeds)).withColumn("weight", weight).where((F.col("weight") >= odds) | F.col("term").isin(seeds))
-    stats = {r.term: r for r in strong.collect()}
-    lexicon = {}
-    for word, start in zip(seeds, SEED.values()):
-        seen = stats.get(word)  # a seed that the sample knows gets the sample's weight
-        lexicon[word] = start if seen is None or seen.clean + seen.toxic < least else seen.weight
-    lexicon = {t: w for t, w in lexicon.items() if w >= 1}
-    weights = {t: r.weight for t, r in stats.items() if r.weight >= odds and r.toxic >= least}
-    found = [terms_of(r.text) for r in rows.where("toxic = 1").select("text").collect()]
-    return lexicon | cover([s & weights.keys() for s in found if not s & lexicon.keys()], weights)
-
-
-def cover(found: list[set[str]], weights: dict[str, float], least: int = 5, sure: float = 4.2) -> dict[str, float]:
-    """Greedily, by documents and weight, the terms that explain ``least`` documents more, or two if their weight is ``sure``; of equals the longest."""
-    left, kept = found, {}
-    while True:
-        counts = {t: n for t, n in Counter(t for s in left for t in s).items() if n >= (2 if weights[t] >= sure else least)}
-        best = max(counts, key=lambda t: (counts[t] * weights[t] ** 2, len(t), t), default=None)
-        if best is None:
-            return kept
-        kept[best] = weights[best]
-        left = [s for s in left if best not in s]
-
-
-def automaton(lexicon: dict[str, float], exceptions=EXCEPTIONS) -> ahocorasick.Automaton:
+    strong = counted(terms_of).where(F.col("toxic") >= least).withColumn("weight", weight).where(F.col("weight") >= odds)
+    weights = {r.term: r.weight for r in strong.orderBy(F.desc(F.col("weight") * F.col("toxic")), "term").limit(MAX_TERMS).collect()}
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for text in batch.column("text").to_pylist():
+                words = ["", *fold(text).split(), ""]
+                pairs.update((t, words[k - 1], words[k + 1]) for k, found in _hits(words, weights) for t in found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ((), (), ()))], ["term", "before", "after"])
+
+    between = rows.where("toxic = 1").select("text").mapInArrow(trimmed(neighbours), "term string, before string, after string")
+    wide = between.groupBy("term").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("n")).where(F.col("n") >= least)
+    lexicon = {r.term: weights[r.term] for r in wide.collect()}
+
+    def phrases(text: str | None) -> set[str]:
+        words, out = fold(text).split(), set()
+        for k, _ in _hits(words, lexicon):
+            out.update(f" {' '.join(words[a:b])} " for a, b in ((k, k + 1), (k - 1, k + 1), (k, k + 2)) if a >= 0 and b <= len(words))
+        return out
+
+    clean = counted(phrases).where((F.col("toxic") == 0) & (F.col("clean") >= harmless)).orderBy(F.desc("clean"), "term").limit(MAX_TERMS).collect()
+    drop_staged(rows)
+    return lexicon | {r.term: None for r in clean}
+
+
+def automaton(lexicon: dict[str, float | None], exceptions=()) -> ahocorasick.Automaton:
+    """Patterns with weights, or None for exceptions; further exceptions as phrases."""
     machine = ahocorasick.Automaton()
+    machine.add_word("\0", (1, None))  # folded texts don't have it; an automaton of no words can't be used
     for pattern, weight in lexicon.items():
         machine.add_word(pattern, (len(pattern), weight))
     for phrase in exceptions:
@@ -170,7 +181,7 @@ def score_text(text: str | None, machine: ahocorasick.Automaton) -> tuple[float,
     return x / (1 + x) if math.isfinite(x) else 1.0, len(hits)
 
 
-def score(docs: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS) -> DataFrame:
+def score(docs: DataFrame, lexicon: dict[str, float | None], exceptions=()) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +196,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS) ->
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits")
 
 
-def keep_clean(docs: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS) -> DataFrame:
+def keep_clean(docs: DataFrame, lexicon: dict[str, float | None], exceptions=()) -> DataFrame:
     """The rows, with all their columns, that score below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,6 +128,19 @@ def test_url_weights_equal_brute_force(spark):
     assert [r.verdict for r in url_filter.url_filter(pages).orderBy("page_id").collect()] == ["block", "allow"]
 
 
+def test_url_classifier_on_rows_left_out(spark):
+    """Fitted on four fifths of the labelled table, it decides the others; and a very long url is judged whole."""
+    schema = "url string, label int"
+    left = [r for k, r in enumerate(url_filter.LABELLED) if k % 5 == 0]
+    fitted = spark.createDataFrame([r for k, r in enumerate(url_filter.LABELLED) if k % 5], schema)
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(left)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, fitted, ()).collect()}
+    right = sum((got[k] == "block") == bool(label) for k, (_, label) in enumerate(left)) / len(left)
+    assert len(left) == 26 and right >= 0.9
+    long = spark.createDataFrame([(1, "http://spam-ads.test/" + "casino-" * 150_000), (2, "http://m.net/fr/" + "x" * 10**6)], "page_id long, url string")
+    assert [(r.verdict, len(r.path)) for r in url_filter.url_filter(long).orderBy("page_id").collect()] == [("block", 1_050_001), ("block", 10**6 + 4)]
+
+
 def test_url_fit_on_odd_tables(spark):
     schema = "url string, label int"
     assert set(url_filter.fit(spark, spark.createDataFrame([], schema))) == {0.0}
@@ -180,14 +193,68 @@ def test_toxicity_held_out(spark):
     assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() > 0.8
 
 
+def _labelled(spark, n=30):
+    """Documents with one of two insults among changing words, clean ones with a harmless phrase, and copies of a toxic passage."""
+    rng = random.Random(6)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    prose = lambda k: [rng.choice(words) for _ in range(k)]
+    texts = [" ".join([*prose(9), "dolt" if k % 2 else "nitwit", *prose(9), "oaf" if k % 4 else "oafish", *prose(5)]) for k in range(2 * n)]
+    texts += [" ".join([*prose(12), "seldom copied words of a passage", "dolt", *prose(3)]) for _ in range(n)]
+    texts += [" ".join([*prose(20), "oaf tree" if k % 40 == 0 else "plum tree", *prose(3)]) for k in range(8 * n)]
+    ids = [k for k in range(10**5) if zlib.crc32(str(k).encode()) % 3 != 1][: len(texts)]
+    labels = spark.createDataFrame([(i, 0, int(k < 3 * n)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    return docs(spark, list(zip(ids, texts))), labels, texts
+
+
+def test_toxicity_learner_against_brute_force(spark):
+    frame, labels, texts = _labelled(spark)
+    toxic, clean = [toxicity.fold(t) for t in texts[:90]], [toxicity.fold(t) for t in texts[90:]]
+    want = {}
+    for t in {t for x in texts[:90] for t in toxicity.terms_of(x)}:
+        a, b = sum(t in x for x in toxic), sum(t in x for x in clean)
+        weight = np.log((a + 0.5) / 91) - np.log((b + 0.5) / 241)
+        before, after = set(), set()
+        for x in toxic:
+            w = ["", *x.split(), ""]
+            here = [k for k in range(1, len(w) - 1) if f" {w[k]} ".startswith(t)]
+            before |= {w[k - 1] for k in here}
+            after |= {w[k + 1] for k in here}
+        if a >= toxicity.LEAST and weight >= toxicity.ODDS and min(len(before), len(after)) >= toxicity.LEAST:
+            want[t] = weight
+    got = toxicity.learn(frame, labels)
+    assert {t: w for t, w in got.items() if w is not None} == pytest.approx(want)
+    assert {" doit ", " nitwit ", " nitw"} <= want.keys() and not any("copied" in t or "seidom" in t or "passage" in t for t in want)
+    exceptions = {t for t, w in got.items() if w is None}
+    assert " oaf tree " in exceptions and " oaf " not in exceptions
+    assert all(sum(t in x for x in clean) >= toxicity.HARMLESS and not any(t in x for x in toxic) for t in exceptions)
+
+
+def test_toxicity_matcher_against_a_naive_scan():
+    rng = random.Random(2)
+    lexicon = {" do": 1.0, " dolt": 3.0, " dott ": 2.5, " a ": 0.5, " b dolt ": None, " a a ": None}
+    lexicon = {t.replace("l", "i"): w for t, w in lexicon.items()}
+    machine = toxicity.automaton(lexicon, ("dott b",))
+    for _ in range(300):
+        text = " ".join(rng.choice(["do", "dolt", "dolts", "dott", "a", "b", "Do1t", "x"]) for _ in range(rng.randint(0, 12)))
+        folded = toxicity.fold(text)
+        every = [(k, t, w) for t, w in [*lexicon.items(), (" dott b ", None)] for k in range(len(folded)) if folded.startswith(t, k)]
+        free = [(k, k + len(t) - 1) for k, t, w in every if w is None]
+        best = {}
+        for k, _, w in every:
+            if w is not None and not any(a <= k < b for a, b in free):
+                best[k] = max(best.get(k, 0), w)
+        x = max(0.0, sum(best.values()) - toxicity.CHANCE)
+        assert toxicity.score_text(text, machine) == (pytest.approx(x / (1 + x)), len(best)), text
+
+
 def test_toxicity_odd_rows(spark):
-    rows_ = [(1, "pure scum"), (None, "an idiot"), (2, None), (2, ""), (3, "a fine day")]
-    frame = docs(spark, rows_)
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    lexicon = toxicity.learn(frame, none)
-    got = toxicity.score(frame, lexicon).collect()
-    assert {(r.doc_id, r.predicted) for r in got} == {(1, 1), (None, 1), (2, 0), (3, 0)} and len(got) == 5
-    assert toxicity.keep_clean(frame, lexicon).columns == frame.columns and toxicity.keep_clean(frame, lexicon).count() == 3
-    nulls = spark.createDataFrame([(1, None, 1), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
-    assert toxicity.learn(frame, nulls)
+    frame, labels, _ = _labelled(spark)
+    lexicon = toxicity.learn(frame, labels)
+    odd = docs(spark, [(1, "pure dolt, nitwit"), (None, "a nitwit and a d0lt"), (2, None), (2, ""), (3, "a fine day"), (4, "dolt nitwit " + "word " * 2_000_000)])
+    got = toxicity.score(odd, lexicon).collect()
+    assert {(r.doc_id, r.predicted) for r in got} == {(1, 1), (None, 1), (2, 0), (3, 0), (4, 0)} and len(got) == 6
+    assert toxicity.keep_clean(odd, lexicon).columns == odd.columns and toxicity.keep_clean(odd, lexicon).count() == 4
+    for rows_ in ([], [(1, None, 1), (None, 1, 1), (3, 1, None)], [(1, 0, 0)]):
+        none = toxicity.learn(frame, spark.createDataFrame(rows_, "doc_id long, quality int, toxic int"))
+        assert none == {} and {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
     assert toxicity.score(docs(spark, []), lexicon).count() == 0
