@@ -13,6 +13,7 @@ from millrace.functions import fuzzy, text
 
 # The thresholds of the matcher.
 MIN_ACCEPT, SEMANTIC = 0.72, 0.55
+MAX_QUERIES = 10_000  # a cart's lines; they are broadcast
 
 
 def _plain(x: Column) -> Column:
@@ -22,12 +23,15 @@ def _plain(x: Column) -> Column:
 def fuzzy_scores(queries: DataFrame, products: DataFrame, arrow: bool = True) -> DataFrame:
     """query, product_id, score: 1 where the query equals the name or a search term, else the best token-sort ratio of name and terms.
 
-    queries: query. products: product_id, product_name, search_terms (pipe-joined).
+    queries: query, MAX_QUERIES different ones at most. products: product_id, product_name, search_terms (pipe-joined).
     """
     texts = products.select("product_id", F.explode(F.array_append(text.split_terms(F.coalesce("search_terms", F.lit(""))), F.coalesce("product_name", F.lit("")))).alias("candidate"))
     distinct = texts.select("candidate").distinct()
     # Every query meets every distinct text by definition; the queries are the bounded side.
-    pairs = distinct.crossJoin(F.broadcast(queries.select("query").distinct()))
+    asked = queries.select("query").distinct()
+    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries; match them in parts")
+    pairs = distinct.crossJoin(F.broadcast(asked))
     compare = fuzzy.token_sort_ratio_arrow if arrow else fuzzy.token_sort_ratio
     ratio = F.when(_plain(F.col("query")) == _plain(F.col("candidate")), F.lit(1.0)).otherwise(compare(F.lower("query"), F.lower("candidate")))
     scored = pairs.select("query", "candidate", ratio.alias("score"))

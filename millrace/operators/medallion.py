@@ -6,7 +6,7 @@ never hide a good one; bar codes are trimmed first; search terms are distinct an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import price, text
@@ -134,9 +134,9 @@ def category_price_stats(offers: DataFrame) -> DataFrame:
 
 def cheapest_products(offers: DataFrame) -> DataFrame:
     """The cheapest offer in stock of each product, null prices last; ties go to the least store_id."""
-    rank = F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("price").asc_nulls_last(), "store_id"))
-    best = offers.where("in_stock").withColumn("_rank", rank).where(F.col("_rank") == 1)
-    return best.select("product_id", "product_name", "category", text.half_up(F.col("price")).alias("cheapest_price"), F.col("store_name").alias("cheapest_store"))
+    rest = F.struct("product_name", "category", "price", "store_name")
+    best = offers.where("in_stock").groupBy("product_id").agg(F.min_by(rest, F.struct(F.col("price").isNull(), "price", "store_id")).alias("b"))
+    return best.select("product_id", "b.product_name", "b.category", text.half_up(F.col("b.price")).alias("cheapest_price"), F.col("b.store_name").alias("cheapest_store"))
 
 
 def product_search_index(offers: DataFrame) -> DataFrame:

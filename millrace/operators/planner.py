@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import geo
 from millrace.functions.text import half_up
+from millrace.operators import matching
 
 
 # The weights of the objective.
@@ -64,13 +66,14 @@ def plan_costs(cart: DataFrame, options: DataFrame, sets: DataFrame, w: Weights
     missing = (F.col("items") - F.coalesce("n", F.lit(0))).alias("missing")
     cost = F.coalesce("items_cost", F.lit(0.0))
     objective = cost + F.lit(w.coverage) * (F.col("items") - F.coalesce("n", F.lit(0))) + F.lit(w.store_visit) * F.col("size") + F.lit(w.distance) * F.col("fixed_km")
-    return every.select("set_id", "size", cost.alias("items_cost"), missing, half_up(objective, 3).alias("objective"))
+    share = F.when(F.col("items") > 0, half_up(F.coalesce("n", F.lit(0)) / F.col("items"), 4)).otherwise(F.lit(1.0)).alias("coverage")
+    return every.select("set_id", "size", cost.alias("items_cost"), missing, share, half_up(objective, 3).alias("objective"))
 
 
 def best_plan(costs: DataFrame) -> DataFrame:
     """The plan of least objective; ties go to fewer stores, then the least set_id."""
-    best = costs.agg(F.min(F.struct("objective", "size", "set_id", "items_cost", "missing")).alias("b"))
-    return best.where("b IS NOT NULL").select("b.set_id", "b.size", "b.items_cost", "b.missing", "b.objective")
+    best = costs.agg(F.min(F.struct("objective", "size", "set_id", "items_cost", "missing", "coverage")).alias("b"))
+    return best.where("b IS NOT NULL").select("b.set_id", "b.size", "b.items_cost", "b.missing", "b.coverage", "b.objective")
 
 
 def single_store_plan(costs: DataFrame) -> DataFrame:
@@ -96,3 +99,41 @@ def recommended(costs: DataFrame) -> DataFrame:
     both = single.crossJoin(multi)
     better = F.col("multi_objective") < F.col("single_objective")
     return both.select("*", half_up(F.col("single_objective") - F.col("multi_objective"), 3).alias("savings"), F.when(better, F.lit("multi_store")).otherwise(F.lit("single_store")).alias("recommended"))
+
+
+def summary(plan: DataFrame) -> DataFrame:
+    """The recommendation with a sentence for the shopper."""
+    where = F.when(F.col("recommended") == "multi_store", F.col("multi_set")).otherwise(F.col("single_set"))
+    saved = F.when(F.col("recommended") == "multi_store", F.format_string("shop at %s and save %.2f over one store", where, F.col("savings"))).otherwise(F.format_string("shop at %s", where))
+    return plan.withColumn("explanation", saved)
+
+
+@dataclass(frozen=True)
+class CartPlan:
+    """A cart's answer: lines are the recommended plan's, matches have every store's best offer of each item."""
+
+    matches: DataFrame
+    options: DataFrame
+    costs: DataFrame
+    recommendation: DataFrame
+    lines: DataFrame
+
+
+def lookup(offers: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The offers of given stores or products: ids has one column of that name."""
+    return offers.join(ids.select(column).distinct(), column, "left_semi")
+
+
+def optimize_cart(cart: DataFrame, offers: DataFrame, lat: float, lon: float, nearby: int = 12, max_stores: int = 3, w: Weights = Weights()) -> CartPlan:
+    """From a cart (item, qty) and all offers to a purchase plan: match the items at the nearest stores, price every store set, choose.
+
+    ``nearby`` bounds the number of store sets: 12 stores give 299 sets of up to 3. An item that no store has is missing at the coverage penalty.
+    """
+    stores = offers.select("store_id", "lat", "lon").distinct().withColumn("km", geo.haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")))
+    near = nearest(stores, nearby)
+    matches = matching.match_at_stores(cart.select(F.col("item").alias("query")), lookup(offers, near, "store_id"))
+    options = matches.where("available").select(F.col("query").alias("item"), "store_id", "product_id", "price", "score")
+    costs = plan_costs(cart, options, store_sets(near, max_stores), w)
+    plan = recommended(costs)
+    chosen = plan.select(F.when(F.col("recommended") == "multi_store", F.col("multi_set")).otherwise(F.col("single_set")).alias("set_id"))
+    return CartPlan(matches, options, costs, summary(plan), assignments(chosen, cart, options, w))

@@ -1,4 +1,4 @@
-"""Checks, expectations, quarantine and schema drift. Every check is an aggregate of one pass."""
+"""Checks, expectations, quarantine and schema drift. Checks of a table are aggregates of one pass over it."""
 
 from __future__ import annotations
 
@@ -20,32 +20,52 @@ def bad_price(price: Column) -> Column:
     return price.isNull() | (price <= 0) | (price > MAX_PRICE)
 
 
-def _check(df: DataFrame, name: str, layer: str, table: str, severity: str, failed: Column, detail: str, run_id: str, now: str) -> DataFrame:
-    counts = df.agg(F.coalesce(failed, F.lit(0)).cast("long").alias("failed_count"), F.count("*").alias("total_count"))
-    return counts.select(
-        F.lit(run_id).alias("run_id"), F.lit(name).alias("check_name"), F.lit(layer).alias("layer"), F.lit(table).alias("table"), F.lit(severity).alias("severity"),
-        "failed_count", "total_count", (F.col("failed_count") == 0).alias("passed"), F.lit(detail).alias("detail"), F.lit(now).alias("checked_at"),
-    )
-
-
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """failed_count, total_count: rows beyond the first of each key; nulls are one key. Counted by groups, so nothing is gathered."""
     return df.groupBy(key).count().agg((F.coalesce(F.sum("count"), F.lit(0)) - F.count("*")).alias("failed_count"), F.coalesce(F.sum("count"), F.lit(0)).alias("total_count"))
 
 
+# Name, layer, table, severity and detail of the standard checks.
+CHECKS = (
+    ("malformed_records", "bronze", "raw_products", "warn", "empty barcode or product_name"),
+    ("duplicate_products", "silver", "dim_product", "error", "barcode must be unique"),
+    ("missing_categories", "silver", "dim_product", "error", "category must be set"),
+    ("invalid_upcs", "silver", "dim_product", "warn", "GTIN check digit failed"),
+    ("invalid_prices", "gold", "store_product_offers", "error", "price must be in (0, 1000]"),
+)
+
+
 def run_checks(bronze: DataFrame, products: DataFrame, offers: DataFrame, run_id: str, now: str) -> DataFrame:
-    """One row for each of the five standard checks."""
-    doubles = F.sum("count") - F.count("*")
-    grouped = products.groupBy("barcode").count()
-    dup = _check(grouped, "duplicate_products", "silver", "dim_product", "error", doubles, "barcode must be unique", run_id, now)
-    dup = dup.crossJoin(products.agg(F.count("*").alias("_n"))).withColumn("total_count", F.col("_n")).drop("_n")
-    rest = [
-        _check(bronze, "malformed_records", "bronze", "raw_products", "warn", F.count_if(~filled("barcode", "product_name")), "empty barcode or product_name", run_id, now),
-        _check(products, "missing_categories", "silver", "dim_product", "error", F.count_if(~filled("category")), "category must be set", run_id, now),
-        _check(products, "invalid_upcs", "silver", "dim_product", "warn", F.count_if(~valid_gtin(F.col("barcode"))), "GTIN check digit failed", run_id, now),
-        _check(offers, "invalid_prices", "gold", "store_product_offers", "error", F.count_if(bad_price(F.col("price"))), "price must be in (0, 1000]", run_id, now),
-    ]
-    return reduce(DataFrame.unionByName, [dup, *rest])
+    """One row for each of the five standard checks; each input is read once."""
+    # By bar code first, so that nothing is gathered; nulls are one code.
+    codes = products.groupBy("barcode").agg(F.count("*").alias("n"), F.count_if(~filled("category")).alias("missing"))
+    counts = {
+        "malformed_records": F.count_if(~filled("barcode", "product_name")), "invalid_prices": F.count_if(bad_price(F.col("price"))),
+        "duplicate_products": F.sum("n") - F.count("*"), "missing_categories": F.sum("missing"), "invalid_upcs": F.sum(F.when(~valid_gtin(F.col("barcode")), F.col("n"))),
+    }
+    out = []
+    for table, df, total in (("raw_products", bronze, F.count("*")), ("dim_product", codes, F.sum("n")), ("store_product_offers", offers, F.count("*"))):
+        checks = [c for c in CHECKS if c[2] == table]
+        one = df.agg(F.coalesce(total, F.lit(0)).cast("long").alias("total"), *[F.coalesce(counts[name], F.lit(0)).cast("long").alias(name) for name, *_ in checks])
+        results = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("check_name", "layer", "table", "severity", "detail"), c)], F.col(c[0]).alias("failed_count")) for c in checks])
+        out.append(one.select(F.explode(results).alias("c"), "total"))
+    rows = reduce(DataFrame.unionByName, out)
+    return rows.select(
+        F.lit(run_id).alias("run_id"), "c.check_name", "c.layer", "c.table", "c.severity", "c.failed_count", F.col("total").alias("total_count"),
+        (F.col("c.failed_count") == 0).alias("passed"), "c.detail", F.lit(now).alias("checked_at"),
+    )
+
+
+class QualityGate(RuntimeError):
+    """Checks of severity error failed."""
+
+
+def gate(results: DataFrame) -> DataFrame:
+    """The results again, or QualityGate with the names of the failed checks of severity error; there are as many rows as checks."""
+    failed = sorted(r.check_name for r in results.where("severity = 'error' AND NOT passed").select("check_name").distinct().collect())
+    if failed:
+        raise QualityGate(", ".join(failed))
+    return results
 
 
 def hard_failures(results: DataFrame) -> DataFrame:

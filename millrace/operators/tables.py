@@ -3,20 +3,23 @@
 A table is a folder of data segments and of numbered manifests, each of which lists the segments of
 one version. A commit writes new segments first and then creates the next manifest, which fails if
 another writer has made it; readers see whole versions only, and a rewrite never touches files that
-are being read. All file access goes through Hadoop's FileSystem, so any store that Spark reads will do.
+are being read. A commit is as atomic as the store's create without overwrite: on a store that lacks it, give
+each table one writer. All file access goes through Hadoop's FileSystem, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+SEGMENT, FILE_BYTES = "millrace_segment", 128 << 20
+
+
 class ConcurrentCommit(RuntimeError):
     """Another writer has committed this version."""
 
@@ -63,7 +66,7 @@ class LakeTable:
         return version
 
     def _write(self, df: DataFrame, partition_by: list[str]) -> str:
-        segment = f"data/{uuid.uuid4().hex}"
+        segment = f"data/{SEGMENT}=s{uuid.uuid4().hex}"
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{segment}")
         return segment
@@ -76,8 +79,13 @@ class LakeTable:
         schema = StructType.fromJson(manifest["schema"])
         if not manifest["segments"]:
             return self.spark.createDataFrame([], schema)
-        # Each segment is a root of its own, with its own partition folders.
-        return reduce(DataFrame.union, [self.spark.read.schema(schema).parquet(f"{self.path}/{s}") for s in manifest["segments"]])
+        # A segment's folder is named like a partition's, so that one scan reads any number of them.
+        rows = self.spark.read.option("basePath", f"{self.path}/data").schema(schema).parquet(*[f"{self.path}/{s}" for s in manifest["segments"]])
+        return rows.select(*schema.names)
+
+    def size_bytes(self) -> int:
+        """Bytes of the current version's files."""
+        return sum(self._fs.getContentSummary(self._path(f"{self.path}/{s}")).getLength() for s in self._manifest()["segments"])
 
     def file_count(self) -> int:
         return len(self.read().inputFiles())
@@ -134,22 +142,23 @@ class LakeTable:
 
     # Maintenance
 
-    def compact(self, files_per_partition: int = 1) -> dict[str, int]:
-        """Rewrites each partition into a few files; rows are the same."""
+    def compact(self, files_per_partition: int | None = None) -> dict[str, int]:
+        """Rewrites each partition into a few files, by default of about FILE_BYTES; rows are the same."""
         manifest, before = self._manifest(), self.file_count()
-        df, keys = self.read(), self._manifest()["partition_by"]
-        if keys:
-            salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-            df = df.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt")
-        else:
-            df = df.coalesce(files_per_partition)
+        df, keys = self.read(), manifest["partition_by"]
+        if files_per_partition is None:
+            partitions = df.select(*keys).distinct().count() if keys else 1
+            files_per_partition = max(1, -(-self.size_bytes() // (FILE_BYTES * max(partitions, 1))))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
+        df = df.withColumn("_salt", salt)
+        df = (df.repartition(*keys, "_salt") if keys else df.repartition(files_per_partition, "_salt")).drop("_salt")
         self._commit([self._write(df, keys)], keys, StructType.fromJson(manifest["schema"]), self.version())
         return {"before": before, "after": self.file_count()}
 
-    def zorder(self, columns: list[str], files: int = 8) -> int:
-        """Rewrites the table clustered by the columns: by range for one, by interleaved rank bits for several."""
+    def zorder(self, columns: list[str], files: int | None = None) -> int:
+        """Rewrites the table clustered by the columns: by range for one, by interleaved rank bits for several; by default in files of about FILE_BYTES."""
         manifest, df = self._manifest(), self.read()
-        keys = manifest["partition_by"]
+        keys, files = manifest["partition_by"], files or max(1, -(-self.size_bytes() // FILE_BYTES))
         if len(columns) == 1:
             df = df.repartitionByRange(files, *keys, columns[0]).sortWithinPartitions(*keys, columns[0])
         else:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,10 +41,12 @@ def with_times(events: DataFrame) -> DataFrame:
     return stamped.withColumn("event_date", F.to_date("event_ts"))
 
 
-def bronze_sink(events: LakeTable, dead: LakeTable, update: bool = False) -> Callable[[DataFrame, int], None]:
+def bronze_sink(events: LakeTable, dead: LakeTable, update: bool = False, source: str = "") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: accepted events are inserted (or upserted) by event_id, the rest goes to the dead letters.
 
-    Running a batch again leaves the events table as it was, so at-least-once delivery has effects once.
+    Running a batch again leaves both tables as they were, so at-least-once delivery has effects once. A dead letter is told
+    by source, batch, content and its number among equal ones of the batch: other messages of a batch of the same
+    number, as after a restart with a new checkpoint, are letters of their own. Streams that share a table need different ``source`` names.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -56,20 +58,20 @@ def bronze_sink(events: LakeTable, dead: LakeTable, update: bool = False) -> Cal
                 events.upsert(rows, "event_id", order, ["event_date"])
             else:
                 events.insert_new(rows, "event_id", order, ["event_date"])
-            letters = dead_letters(routed).withColumn("batch_id", F.lit(batch_id))
-            if not dead.exists():
-                dead.write(letters)
-            else:
-                dead.write(letters.join(dead.read().select("batch_id").distinct(), "batch_id", "left_anti"), "append")
+            letters = dead_letters(routed).withColumns({"source": F.lit(source), "batch_id": F.lit(batch_id)})
+            content = F.sha2(F.to_json(F.struct("source", "batch_id", "error", "raw")), 256)
+            number = F.row_number().over(Window.partitionBy("_content").orderBy("dlq_at"))
+            letters = letters.withColumn("_content", content).withColumn("letter_id", F.concat_ws("-", "_content", number)).drop("_content")
+            dead.insert_new(letters, "letter_id")
         finally:
             routed.unpersist()
 
     return sink
 
 
-def start_bronze(messages: DataFrame, events: LakeTable, dead: LakeTable, checkpoint: str, update: bool = False, once: bool = False) -> StreamingQuery:
+def start_bronze(messages: DataFrame, events: LakeTable, dead: LakeTable, checkpoint: str, update: bool = False, once: bool = False, source: str = "") -> StreamingQuery:
     """The stream of messages into bronze; offsets are committed after the sink returns."""
-    writer = messages.writeStream.foreachBatch(bronze_sink(events, dead, update)).option("checkpointLocation", checkpoint)
+    writer = messages.writeStream.foreachBatch(bronze_sink(events, dead, update, source)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

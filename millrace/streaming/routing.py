@@ -18,31 +18,39 @@ ALLOWED_LATENESS = 3600.0
 
 
 def route(messages: DataFrame, value: str = "value") -> DataFrame:
-    """route (ok or dlq), error, raw, and the event upgraded to the latest version, beside the input's columns."""
-    raw = F.col(value).cast("string")
-    v = F.try_parse_json(raw)
-    # A JSON object has its keys and values as a map; anything else gives null.
-    fields = F.from_json(raw, "map<string,string>")
-    get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
-    version = get("schema_version", "int")
-    numeric = F.schema_of_variant(F.coalesce(F.try_variant_get(v, "$.price", "variant"), F.parse_json(F.lit('"none"')))).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
-    price = F.when(numeric, get("price", "double"))
-    needed = F.array()
-    for number, names in REQUIRED.items():
-        needed = F.when(version == number, F.array(*[F.lit(n) for n in names])).otherwise(needed.cast("array<string>"))
-    missing = F.array_sort(F.filter(needed, lambda n: F.coalesce(F.element_at(fields, n).isNull(), F.lit(True))))
+    """route (ok or dlq), error, raw, and the event upgraded to the latest version, beside the input's columns.
+
+    Each step is a projection of its own, so that a message is parsed once and each field read once.
+    """
+    names = sorted({n for needed in REQUIRED.values() for n in needed})
+    variant = lambda name: F.try_variant_get("_parsed", f"$.{name}", "variant")
+    rows = messages.withColumn("raw", F.col(value).cast("string")).withColumn("_parsed", F.try_parse_json("raw"))
+    rows = rows.withColumn("_object", F.schema_of_variant("_parsed").startswith("OBJECT")).withColumn("_version", F.try_variant_get("_parsed", "$.schema_version", "int"))
+    rows = rows.withColumn("_field", F.struct(*[variant(n).alias(n) for n in names]))
+    get = lambda name, kind: F.try_variant_get(F.col(f"_field.{name}"), "$", kind)
+    numeric = F.schema_of_variant(F.col("_field.price")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
+    absent = [F.when(F.col(f"_field.{n}").isNull() | F.is_variant_null(F.col(f"_field.{n}")), F.lit(n)) for n in names]
+    first = F.col("_version") == 1
+    rows = rows.withColumn("event", F.struct(
+        F.lit(LATEST_VERSION).alias("schema_version"), get("event_id", "bigint").alias("event_id"), get("store_id", "int").alias("store_id"), get("product_id", "int").alias("product_id"),
+        F.when(numeric, get("price", "double")).alias("price"), get("observed_at", "string").alias("observed_at"), F.coalesce(get("in_stock", "boolean"), F.when(first, F.lit(True))).alias("in_stock"),
+        F.coalesce(get("currency", "string"), F.when(first, F.lit("USD"))).alias("currency"),
+    )).withColumn("_absent", F.array_compact(F.array(*absent)))
+    needed = F.array().cast("array<string>")
+    for number, of in REQUIRED.items():
+        needed = F.when(F.col("_version") == number, F.array(*[F.lit(n) for n in of])).otherwise(needed)
+    rows = rows.withColumn("_missing", F.array_join(F.array_intersect("_absent", needed), ", "))
+    price = F.col("event.price")
     error = (
-        F.when(v.isNull() | fields.isNull(), F.lit("deserialize"))
-        .when(version.isNull() | ~version.isin(*REQUIRED), F.lit("unknown schema_version"))
-        .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
+        F.when(~F.coalesce("_object", F.lit(False)), F.lit("deserialize"))
+        .when(F.col("_version").isNull() | ~F.col("_version").isin(*REQUIRED), F.lit("unknown schema_version"))
+        .when(F.col("_missing") != "", F.concat(F.lit("missing fields: "), F.col("_missing")))
         .when(price.isNull() | F.isnan(price) | (price <= 0) | (price == float("inf")), F.lit("invalid price"))
-        .when(get("event_id", "bigint").isNull(), F.lit("invalid event_id"))
+        .when(F.col("event.event_id").isNull(), F.lit("invalid event_id"))
     )
-    event = F.struct(
-        F.lit(LATEST_VERSION).alias("schema_version"), get("event_id", "bigint").alias("event_id"), get("store_id", "int").alias("store_id"), get("product_id", "int").alias("product_id"), price.alias("price"),
-        get("observed_at", "string").alias("observed_at"), F.coalesce(get("in_stock", "boolean"), F.when(version == 1, F.lit(True))).alias("in_stock"), F.coalesce(get("currency", "string"), F.when(version == 1, F.lit("USD"))).alias("currency"),
-    )
-    return messages.withColumn("raw", raw).withColumn("error", error).withColumn("route", F.when(F.col("error").isNull(), "ok").otherwise("dlq")).withColumn("event", F.when(F.col("error").isNull(), event))
+    rows = rows.withColumn("error", error).withColumn("event", F.when(F.col("error").isNull(), F.col("event")))
+    route = F.when(F.col("error").isNull(), "ok").otherwise("dlq").alias("route")
+    return rows.select(*messages.columns, *[c for c in ("raw", "error") if c not in messages.columns], route, "event")
 
 
 def accepted(routed: DataFrame) -> DataFrame:
