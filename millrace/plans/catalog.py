@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import embed, events, fuzzy, geo, gtin, price, text
-from millrace.operators import matching, medallion, planner, quality, runs
+from millrace.operators import matching, medallion, pipeline, planner, quality, runs
 from millrace.operators.tables import LakeTable, first_of_key
 from millrace.plans import tables as t
 from millrace.plans.tables import ROUND, sql
 from millrace.session import table
-from millrace.sources import generators
+from millrace.sources import files, generators
 from millrace.streaming import jobs, routing
 
 QUERIES: dict = {}
@@ -92,14 +92,14 @@ def p11_quarantine(spark, d):
     return quality.quarantine(t.raw_products(spark, d), RUN, NOW)
 
 
-@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice IS NULL OR p_retailprice <= 0 OR p_retailprice > 1000")
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal IS NULL OR c_acctbal <= 0 OR c_acctbal > 1000")
 def p12_bad_prices(spark, d):
-    return table(spark, d, "part").where(quality.bad_price(F.col("p_retailprice"))).select("p_partkey", "p_retailprice")
+    return table(spark, d, "customer").where(quality.bad_price(F.col("c_acctbal"))).select("c_custkey", "c_acctbal")
 
 
 @query("SELECT event_id, price FROM price_events WHERE event_date = '1995-06-17'", "price_events")
 def p13_one_day(spark, d):
-    return t.price_events(spark, d).where(F.col("event_date") == "1995-06-17").select("event_id", "price")
+    return t.price_events(spark, d, "1995-06-17").select("event_id", "price")
 
 
 @query("SELECT barcode, taxonomy_key, last_modified_t FROM raw_products WHERE last_modified_t > CASE taxonomy_key WHEN 'milk' THEN 5000 WHEN 'rice' THEN 800 ELSE 0 END", "raw_products")
@@ -230,7 +230,7 @@ def a11_k10_compacted_files(spark, d):
     """Appends in small batches, then one file for each day."""
     lake = LakeTable(spark, t.scratch(spark, "events"))
     rows = table(spark, d, "events").select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("event_date"))
-    for k in range(3):
+    for k in range(3):  # every row is in one of the batches
         lake.write(rows.where(F.col("event_id") % 3 == k), "append", ["event_date"])
     lake.compact()
     return lake.files_by_partition()
@@ -273,6 +273,14 @@ def o1_stats_by_category(spark, d):
     return medallion.category_price_stats(t.offers(spark, d)).select("category", "min_price").orderBy("category")
 
 
+CHEAPEST = f"SELECT product_id, product_name, category, {ROUND('price')} AS cheapest_price, store_name AS cheapest_store FROM offers WHERE in_stock QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, store_id) = 1"
+
+
+@query(f"SELECT product_id, category, cheapest_price FROM ({CHEAPEST}) ORDER BY category, cheapest_price, product_id", "offers")
+def o2_cheapest_by_category(spark, d):
+    return medallion.cheapest_products(t.offers(spark, d)).select("product_id", "category", "cheapest_price").orderBy("category", "cheapest_price", "product_id")
+
+
 HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2), 1.0)))"
 KM = HAVERSINE.format(a=f"{CENTRE[0]}::DOUBLE", b=f"({CENTRE[1]}::DOUBLE)", c="lat", d="lon")
 
@@ -299,6 +307,13 @@ def o8_seeded_order(spark, d):
     return table(spark, d, "part").select("p_partkey").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey")
 
 
+@query("SELECT count(*) AS n, count(DISTINCT p_partkey) AS n_keys, sum(p_partkey)::BIGINT AS total, true AS shuffled FROM part")
+def o8_order_is_a_permutation(spark, d):
+    """All rows once, and not in the order of their keys."""
+    rows = o8_seeded_order(spark, d).withColumn("place", F.monotonically_increasing_id()).agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("n_keys"), F.sum("p_partkey").alias("total"), F.corr("place", F.col("p_partkey").cast("double")).alias("c"))
+    return rows.select("n", "n_keys", "total", (F.abs("c") < 0.5).alias("shuffled"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6")
 def o10_head(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(6)
@@ -309,9 +324,9 @@ def u1_append(spark, d):
     return reduce(DataFrame.unionByName, [table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))])
 
 
-@query("SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def u2_difference(spark, d):
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).subtract(table(spark, d, "supplier").select("s_nationkey"))
+    return table(spark, d, "orders").select("o_custkey").subtract(table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
 @query("SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS stores FROM lineitem GROUP BY l_orderkey")
@@ -396,6 +411,14 @@ def x11_x14_embedding(spark, d):
     return _names(spark, d).select("name", embed.ngram_embedding(F.col("name"), 64).alias("embedding"))
 
 
+@query(f"SELECT name, 64 AS size, 1.0::DOUBLE AS norm, 1.0::DOUBLE AS own FROM ({NAMES})")
+def x11_embedding_norms(spark, d):
+    """Embeddings have length one, and the same text the same one, in lower case or not."""
+    rows = _names(spark, d).select("name", embed.ngram_embedding(F.col("name"), 64).alias("e"), embed.ngram_embedding(F.upper("name"), 64).alias("u"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("name", F.size("e").alias("size"), text.half_up(norm, 6).alias("norm"), text.half_up(embed.cosine(F.col("e"), F.col("u")), 6).alias("own"))
+
+
 @query(f"SELECT e.vec_id, {ROUND('list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])', 6)} AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
 def x13_cosine(spark, d):
     rows = table(spark, d, "embeddings")
@@ -440,6 +463,11 @@ def q9_unique(spark, d):
     return quality.unique(table(spark, d, "orders"), "o_custkey")
 
 
+@query("SELECT barcode, taxonomy_key FROM raw_products WHERE lang IS NULL", "raw_products")
+def q9_not_null(spark, d):
+    return quality.not_null(t.raw_products(spark, d), "lang").select("barcode", "taxonomy_key")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
 def q9_accepted_values(spark, d):
     return quality.accepted_values(table(spark, d, "orders"), "o_orderstatus", ["O", "F"]).select("o_orderkey", "o_orderstatus")
@@ -476,33 +504,102 @@ def k3_j5_insert_new(spark, d):
     return lake.read()
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
 def s1_k13_time_travel(spark, d):
     lake = LakeTable(spark, t.scratch(spark, "orders"))
-    old, new = _versions(spark, d)
+    old, new = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), _versions(spark, d)[1]
     lake.write(old, "overwrite", ["o_orderstatus"])
     lake.upsert(new, "o_orderkey")
     return lake.read(version=0).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def s4_k4_k11_partition_read(spark, d):
     lake = LakeTable(spark, t.scratch(spark, "orders"))
-    lake.write(_versions(spark, d)[0], "overwrite", ["o_orderstatus"])
+    lake.write(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), "overwrite", ["o_orderstatus"])
     lake.zorder(["o_custkey", "o_totalprice"], files=4)
     return lake.read().where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
 @query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def s2_sql_on_frames(spark, d):
-    from millrace.sources.files import query as run
-
-    return run(spark, "SELECT n_regionkey, count(*) AS n FROM {nations} GROUP BY n_regionkey", nations=table(spark, d, "nation"))
+    return files.query(spark, "SELECT n_regionkey, count(*) AS n FROM {nations} GROUP BY n_regionkey", nations=table(spark, d, "nation"))
 
 
 @query()
 def s15_scale_events(spark, d):
-    return generators.scale_events(spark, 10_000)
+    return generators.scale_events(spark, table(spark, d, "lineitem").count())
+
+
+def simulate(spark: SparkSession, n_rows: int, n_days: int, n_batches: int) -> DataFrame:
+    """A table of events appended in batches, one file a day and batch: rows of all days and of one, files before and after compaction, files that one day opens."""
+    lake, day = LakeTable(spark, t.scratch(spark, "scale")), "2024-01-08"
+    events = generators.scale_events(spark, n_rows, n_days)
+    for k in range(n_batches):
+        lake.write(events.where(F.col("event_id") % n_batches == k).repartition("event_date"), "append", ["event_date"])
+    files = lake.compact()
+    opened = lake.read().where(F.col("event_date") == day).select(F.input_file_name().alias("file")).groupBy("file").count()
+    one = opened.agg(F.sum("count").alias("day_rows"), F.count("*").alias("day_files"))
+    every = lake.read().agg(F.count("*").alias("n_rows"), F.countDistinct("event_date").alias("n_days"))
+    return every.crossJoin(F.broadcast(one)).withColumns({"files_before": F.lit(files["before"]), "files_after": F.lit(files["after"])})
+
+
+@query("SELECT n AS n_rows, 30::BIGINT AS n_days, (SELECT count(*) FROM range(0, n) AS r(i) WHERE i * 30 // n = 7) AS day_rows, 1::BIGINT AS day_files, 120 AS files_before, 30 AS files_after FROM (SELECT count(*) AS n FROM lineitem)")
+def s15_k10_p13_scale_simulation(spark, d):
+    return simulate(spark, table(spark, d, "lineitem").count(), 30, 4)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{g}{chr(39)}, {chr(39)}{m}{chr(39)}, {p}::DOUBLE)' for k, g, m, p, _ in medallion.TAXONOMY)}) AS v(taxonomy_key, product_group, term, base_price)")
+def s13_csv_seed(spark, d):
+    path = t.scratch(spark, "seed")
+    medallion.category_map(spark).select("taxonomy_key", "product_group", "term", "base_price").write.option("header", True).csv(path)
+    return files.read_seed(spark, path)
+
+
+LOG = "SELECT epoch_us(ts) // 1000 AS ts_ms, user_id::VARCHAR AS key, event_id::VARCHAR AS value FROM events"
+
+
+@query(f"SELECT * FROM ({LOG}) WHERE ts_ms >= (SELECT (min(ts_ms) + max(ts_ms)) // 2 FROM ({LOG}))")
+def s7_t11_replay_from(spark, d):
+    log = table(spark, d, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"))
+    middle = log.agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("long")).first()[0]
+    return files.replay_from(log, middle)
+
+
+# Runs
+
+NEWER = "SELECT count(*) FROM part WHERE p_partkey % 4 = 0"
+MALFORMED = "length(barcode) = 0 OR length(product_name) = 0"
+
+
+def _lake(spark, d) -> pipeline.Lake:
+    """A full run, then an incremental one, for which every fourth product has a newer record."""
+    lake = pipeline.Lake(spark, t.scratch(spark, "lake"))
+    raw = t.raw_products(spark, d).drop("ingested_at")
+    newer = raw.where("last_modified_t % 40 = 0").withColumn("last_modified_t", F.col("last_modified_t") + 1_000_000_000)
+    sources = pipeline.Sources(raw, t.raw_stores(spark, d), t.price_events(spark, d))
+    pipeline.run(lake, sources, "full", "r1", "2024-01-01T00:00:00")
+    pipeline.run(lake, pipeline.Sources(raw.unionByName(newer), sources.stores, sources.events), "incremental", "r2", "2024-01-02T00:00:00")
+    return lake
+
+
+@query(f"SELECT 'r1' AS run_id, 'full' AS mode, 'success' AS status, count(*) AS rows_ingested, count(*) FILTER ({MALFORMED}) AS rows_rejected FROM raw_products UNION ALL SELECT 'r2', 'incremental', 'success', count(*), count(*) FILTER ({MALFORMED}) FROM first_products WHERE last_modified_t % 40 = 0", "raw_products")
+def m1_m4_k15_runs(spark, d):
+    return _lake(spark, d)["runs"].read().select("run_id", "mode", "status", "rows_ingested", "rows_rejected")
+
+
+@query("SELECT 'openfoodfacts|' || taxonomy_key AS wm_key, max(last_modified_t + CASE WHEN last_modified_t % 40 = 0 THEN 1000000000 ELSE 0 END) AS watermark_ts FROM raw_products GROUP BY taxonomy_key", "raw_products")
+def m2_watermarks_after_runs(spark, d):
+    return _lake(spark, d)["watermarks"].read().select("wm_key", "watermark_ts")
+
+
+@query("SELECT barcode AS product_id, category, base_price FROM products", "products")
+def k5_k14_k16_exported_mart(spark, d):
+    """The catalog after maintenance, as exported; newer records differ in their time alone."""
+    lake = _lake(spark, d)
+    pipeline.maintain_lake(lake, {"dim_product": ["base_price"]})
+    path = pipeline.export_marts(lake, t.scratch(spark, "marts"), ("product_catalog",))["product_catalog"]
+    return spark.read.parquet(path).select("product_id", "category", "base_price")
 
 
 @query()
@@ -539,6 +636,49 @@ def t6_t8_stream_bronze(spark, d):
     return bronze.read().select("event_id", "store_id", "price")
 
 
+BAD = f"SELECT CASE WHEN event_id % 50 = 7 THEN 'deserialize' WHEN event_id % 50 = 8 THEN 'missing fields: observed_at, price, product_id, store_id' WHEN event_id % 50 = 9 THEN 'unknown schema_version' ELSE 'invalid price' END AS error FROM events WHERE NOT ({OK})"
+
+
+def _streamed(spark, d, update: bool) -> tuple[LakeTable, LakeTable]:
+    """Messages of even and of odd offsets, each from a stream with a checkpoint of its own, and the first of them delivered again."""
+    bronze, dead, state = LakeTable(spark, t.scratch(spark, "bronze")), LakeTable(spark, t.scratch(spark, "dead")), t.scratch(spark, "checkpoint")
+    sources = [t.scratch(spark, f"messages{k}") for k in range(2)]
+    for k, path in enumerate(sources):
+        t.messages(spark, d).where(F.col("offset") % 2 == k).select("value").coalesce(1).write.text(path)
+    for k, (path, name) in enumerate(((sources[0], "even"), (sources[1], "odd"), (sources[0], "even"))):
+        jobs.start_bronze(jobs.file_messages(spark, path), bronze, dead, f"{state}/{k}", update=update, once=True, source=name).awaitTermination()
+    return bronze, dead
+
+
+@query(f"SELECT error, count(*) AS n FROM ({BAD}) GROUP BY error")
+def k8_dead_letters_after_restarts(spark, d):
+    return _streamed(spark, d, False)[1].read().groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, store_id, price FROM ({ACCEPTED})")
+def k9_t8_upserting_stream(spark, d):
+    return _streamed(spark, d, True)[0].read().select("event_id", "store_id", "price")
+
+
+@query(f"SELECT 'dlq' AS route, error, count(*) AS n FROM ({BAD}) GROUP BY error")
+def s8_replayed_dead_letters(spark, d):
+    """Dead letters routed anew fail as before."""
+    dead = routing.dead_letters(routing.route(t.messages(spark, d)), F.lit(0))
+    return routing.route(files.replay_dead_letters(dead)).groupBy("route", "error").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, observed_at::TIMESTAMP AS event_ts, left(observed_at, 10) AS event_date FROM ({ACCEPTED})")
+def t5_parsed_times(spark, d):
+    return jobs.parsed(t.messages(spark, d)).select("event_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), F.col("event_date").cast("string").alias("event_date"))
+
+
+@query(f"SELECT store_id::VARCHAR AS key, event_id, price FROM ({ACCEPTED})")
+def t10_k7_published(spark, d):
+    """Accepted events as messages, checked before they are sent, and read back."""
+    sent = routing.to_message(routing.accepted(routing.route(t.messages(spark, d))))
+    return sent.select("key", F.from_json("value", "event_id bigint, price double").alias("v")).select("key", "v.event_id", "v.price")
+
+
 # Matching and planning
 
 CART = ["milk", "rice", "chicken breast", "spinach", "oat drink"]
@@ -585,7 +725,7 @@ sets AS (SELECT [] ::VARCHAR[] AS s, 0.0::DOUBLE AS km UNION ALL SELECT [store_i
 costs AS (SELECT s, item, min(1.0::DOUBLE * qty * price + 6.0::DOUBLE * (1.0::DOUBLE - score)) AS cost FROM sets JOIN opts ON list_contains(s, store_id) JOIN cart USING (item) GROUP BY s, item),
 plans AS (SELECT array_to_string(sets.s, '|') AS set_id, len(sets.s)::INT AS size, coalesce(sum(cost) FILTER (cost < 25), 0.0::DOUBLE) AS items_cost, 5 - count(cost) FILTER (cost < 25) AS missing, any_value(km) AS km
   FROM sets LEFT JOIN costs ON sets.s = costs.s GROUP BY sets.s),
-priced AS (SELECT set_id, size, items_cost, missing, {ROUND('items_cost + 25.0::DOUBLE * missing + 2.5::DOUBLE * size + 0.4::DOUBLE * km', 3)} AS objective FROM plans)"""
+priced AS (SELECT set_id, size, items_cost, missing, {ROUND('(5 - missing) / 5.0::DOUBLE', 4)} AS coverage, {ROUND('items_cost + 25.0::DOUBLE * missing + 2.5::DOUBLE * size + 0.4::DOUBLE * km', 3)} AS objective FROM plans)"""
 
 
 def _plans(spark, d):
@@ -608,12 +748,12 @@ def planned(body: str):
     return register
 
 
-@planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, objective FROM priced")
+@planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, coverage, objective FROM priced")
 def a13_x20_plan_costs(spark, d):
     return _plans(spark, d)[2].withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
 
 
-@planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, objective FROM priced ORDER BY objective, size, set_id LIMIT 1")
+@planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, coverage, objective FROM priced ORDER BY objective, size, set_id LIMIT 1")
 def a15_b5_b6_best_plan(spark, d):
     return planner.best_plan(_plans(spark, d)[2]).withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
 
@@ -628,10 +768,50 @@ def b7_b8_recommended(spark, d):
     return planner.recommended(_plans(spark, d)[2])
 
 
-@query()
+@planned("""SELECT item, qty, l.store_id, l.price, l.score, l.cost, a.store_id AS alternative_store, a.price AS alternative_price
+FROM cart LEFT JOIN (SELECT item, arg_min(o, k) AS l FROM (SELECT item, {'store_id': store_id, 'price': price, 'score': score, 'cost': cost} AS o, {'c': cost, 's': store_id} AS k
+    FROM (SELECT item, store_id, price, score, 1.0::DOUBLE * qty * price + 6.0::DOUBLE * (1.0::DOUBLE - score) AS cost FROM opts JOIN cart USING (item)
+          WHERE store_id IN (SELECT unnest(string_split(set_id, '|')) FROM (SELECT set_id FROM priced ORDER BY objective, size, set_id LIMIT 1))) WHERE cost < 25) GROUP BY item) b USING (item)
+LEFT JOIN LATERAL (SELECT arg_min({'store_id': opts.store_id, 'price': opts.price}, {'p': opts.price, 's': opts.store_id}) AS a FROM opts WHERE opts.item = cart.item AND opts.store_id <> l.store_id) x ON true""")
 def o6_b7_assignments(spark, d):
     cart, options, costs = _plans(spark, d)
-    return planner.assignments(planner.best_plan(costs), cart, options)
+    return planner.assignments(planner.best_plan(costs), cart, options).drop("explanation")
+
+
+NEAR = f"near AS (SELECT store_id, {KM} AS km FROM (SELECT DISTINCT store_id, lat, lon FROM offers) ORDER BY 2, 1 LIMIT 12)"
+CART_OPTIONS = OPTIONS[OPTIONS.index("sets AS ("):]
+
+
+def carted(body: str):
+    def register(f):
+        rows = ", ".join(f"('{c}', {k % 3 + 1})" for k, c in enumerate(CART))
+        match = MATCH.replace("FROM offers WHERE in_stock", "FROM offers WHERE in_stock AND store_id IN (SELECT store_id FROM near)")
+        opts = "opts AS (SELECT query AS item, store_id, price, score FROM matches WHERE available)"
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql("", "offers").rstrip() + f", cart(item, qty) AS (VALUES {rows}), {NEAR}, {match}, {opts}, {CART_OPTIONS}\n{body}"
+        return f
+
+    return register
+
+
+def _answer(spark, d) -> planner.CartPlan:
+    cart = spark.createDataFrame([(c, k % 3 + 1) for k, c in enumerate(CART)], "item string, qty int")
+    return planner.optimize_cart(cart, t.offers(spark, d), *CENTRE)
+
+
+@carted(f"SELECT s.objective AS single_objective, s.set_id AS single_set, m.objective AS multi_objective, m.set_id AS multi_set, {ROUND('s.objective - m.objective', 3)} AS savings, CASE WHEN m.objective < s.objective THEN 'multi_store' ELSE 'single_store' END AS recommended FROM (SELECT * FROM priced WHERE size = 1 ORDER BY objective, size, set_id LIMIT 1) s, (SELECT * FROM priced WHERE size >= 1 ORDER BY objective, size, set_id LIMIT 1) m")
+def b1_b7_optimize_cart(spark, d):
+    return _answer(spark, d).recommendation.drop("explanation")
+
+
+@carted("SELECT set_id, size, missing, coverage, objective FROM priced")
+def a14_cart_coverage(spark, d):
+    return _answer(spark, d).costs.select("set_id", "size", "missing", "coverage", "objective")
+
+
+@query("SELECT store_id, product_id, price FROM offers WHERE product_id IN (SELECT product_id FROM offers WHERE store_id = '7')", "offers")
+def j8_lookup(spark, d):
+    offers = t.offers(spark, d)
+    return planner.lookup(offers, offers.where("store_id = '7'"), "product_id").select("store_id", "product_id", "price")
 
 
 @query(f"""SELECT c.*, s.num_products, s.avg_price FROM (SELECT product_id, product_name, category, {ROUND('price')} AS cheapest_price, store_name AS cheapest_store FROM offers WHERE in_stock

@@ -20,10 +20,14 @@ def code(column: str):
     return F.lpad(F.col(column).cast("string"), 12, "0")
 
 
-def price_events(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as price events of stores (suppliers) and products (parts)."""
+def price_events(spark: SparkSession, d: str, day: str | None = None) -> DataFrame:
+    """lineitem as price events of stores (suppliers) and products (parts); of one day, if given, by a filter that the scan takes."""
+    rows = table(spark, d, "lineitem")
+    if day:
+        begins = F.lit(day).cast(rows.schema["l_shipdate"].dataType)
+        rows = rows.where((F.col("l_shipdate") >= begins) & (F.col("l_shipdate") < F.date_add(F.lit(day).cast("date"), 1).cast(rows.schema["l_shipdate"].dataType)))
     event = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0"))
-    return table(spark, d, "lineitem").select(
+    return rows.select(
         event.alias("event_id"), F.col("l_suppkey").cast("string").alias("store_id"), code("l_partkey").alias("barcode"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         (F.col("l_returnflag") != "R").alias("in_stock"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("observed_at"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("event_date"),
     )
