@@ -1,7 +1,7 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A score is the sum of partial scores, one for each of ``LISTS`` groups of dimensions. Queries are taken
-in blocks of ``BLOCK`` rows, and each block meets all candidates:
+``JOB`` at a time, and each meets all candidates, in blocks of ``BLOCK`` queries and ``ROWS`` candidates:
 
 1. every candidate task takes, per query and list, its local best partial scores, resolves those
    candidates' whole scores and sends the k best; the k-th of all of them is a safe cutoff, as k
@@ -11,10 +11,11 @@ in blocks of ``BLOCK`` rows, and each block meets all candidates:
 3. their remaining partial scores are resolved exactly, and those that reach the cutoff compete; each
    task sends k a query at most, and the k best of all are ranked.
 
-Each block's answers are written to the shared folder, so a lost executor costs one block at most.
+A list's partial scores are computed for all candidates, being what the list is; a whole score only for entries that a
+list names. Each job's answers are written to the shared folder, so a lost executor costs tasks of one job at most.
 
 A component x counts as floor(64 * x), x as double, and scores are integers; equal scores go to the
-smaller vec_id. Vectors that are null or hold null or non-finite components take no part, nor do rows
+smaller vec_id. A score that doesn't fit in 64 bits can't be told and raises an error. Vectors that are null or hold null or non-finite components take no part, nor do rows
 without vec_id. Where lengths differ, missing components count as 0. A query's own row is every row of its
 vec_id. Repeated rows of one vec_id are candidates each; as queries, they answer once, with the greatest
 vector. Fewer than k candidates give fewer rows; an empty table gives none.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import shared_path, tuned
 
-K, LISTS, BLOCK, ROWS = 20, 2, 2048, 2048
+K, LISTS, BLOCK, JOB, ROWS = 20, 2, 2048, 16384, 2048
 NONE = np.iinfo(np.int64).min
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 
@@ -55,9 +56,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _products(queries: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Exact integer inner products, in floating point where that is exact."""
     most = float(queries.shape[1]) * float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0))
+    if most >= 2.0**62 and np.where(own, 0.0, np.abs(queries.astype(float)) @ np.abs(rows.astype(float)).T).max(initial=0) >= 2.0**62:
+        raise OverflowError("scores of over 64 bits")
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     return (queries.astype(kind) @ rows.astype(kind).T).astype(np.int64)
 
@@ -67,32 +70,35 @@ def _lists(width: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _partials(ids: np.ndarray, queries: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Candidate ids, partial scores of each list, whole scores and a mask of each query's own row."""
+def _partials(ids: np.ndarray, queries: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Of each block of queries and candidates: the queries' places, candidate ids, partial scores of each list and a mask of each query's own row."""
     lists = _lists(queries.shape[1])
     for at in range(0, batch.num_rows, ROWS):
         part = batch.slice(at, ROWS)
         rows, found = _matrix(part.column("v"), queries.shape[1]), part.column("vec_id").to_numpy()
-        parts = [_products(queries[:, s], rows[:, s]) for s in lists]
-        yield found, parts, sum(parts[1:], parts[0]), ids[:, None] == found[None, :]
+        for first in range(0, len(ids), BLOCK):
+            block = slice(first, first + BLOCK)
+            own = ids[block, None] == found[None, :]
+            yield block, found, [_products(queries[block, s], rows[:, s], own) for s in lists], own
 
 
 def _first_phase(ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(ids), k), NONE)
         for batch in batches:
-            for _, parts, whole, own in _partials(ids, queries, batch):
-                n = whole.shape[1]
-                chosen = np.zeros(whole.shape, dtype=bool)
+            for block, found, parts, own in _partials(ids, queries, batch):
+                n = len(found)
+                tops = []
                 for p in parts:
                     p = np.where(own, NONE, p)
-                    top = np.argpartition(p, n - k, axis=1)[:, n - k :] if n > k else np.tile(np.arange(n), (len(ids), 1))
-                    np.put_along_axis(chosen, top, True, axis=1)
-                scores = np.where(chosen & ~own, whole, NONE)
-                if n > k:
-                    scores = np.partition(scores, n - k, axis=1)[:, n - k :]
-                both = np.concatenate([best, scores], axis=1)
-                best = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                    tops.append(np.argpartition(p, n - k, axis=1)[:, n - k :] if n > k else np.tile(np.arange(n), (len(p), 1)))
+                # The lists' entries, each candidate once a query.
+                top = np.sort(np.concatenate(tops, axis=1), axis=1)
+                again = np.concatenate([np.zeros((len(top), 1), dtype=bool), top[:, 1:] == top[:, :-1]], axis=1)
+                whole = sum(np.take_along_axis(p, top, axis=1) for p in parts)
+                scores = np.where(again | np.take_along_axis(own, top, axis=1), NONE, whole)
+                both = np.concatenate([best[block], scores], axis=1)
+                best[block] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
         q, at = np.nonzero(best > NONE)
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, at])], ["q", "score"])
 
@@ -105,13 +111,15 @@ def _last_phases(ids: np.ndarray, queries: np.ndarray, cutoffs: np.ndarray, k: i
         kept = [np.zeros(0, dtype=np.int64)] * 3
         n_lists = len(_lists(queries.shape[1]))
         for batch in batches:
-            for found, parts, whole, own in _partials(ids, queries, batch):
-                uniform = np.where(bar == NONE, NONE, -((-bar) // n_lists))[:, None]
-                enough = np.zeros(whole.shape, dtype=bool)
-                for p in parts:
-                    enough |= p >= uniform
-                q, at = np.nonzero(enough & (whole >= bar[:, None]) & ~own)
-                q, vec, score = (np.concatenate(x) for x in zip(kept, (q, found[at], whole[q, at])))
+            for block, found, parts, own in _partials(ids, queries, batch):
+                here = bar[block]
+                uniform = np.where(here == NONE, NONE, -((-here) // n_lists))[:, None]
+                enough = ~own & np.logical_or.reduce([p >= uniform for p in parts])
+                q, at = np.nonzero(enough)
+                score = sum(p[q, at] for p in parts)
+                good = score >= here[q]
+                q, at, score = q[good] + block.start, at[good], score[good]
+                q, vec, score = (np.concatenate(x) for x in zip(kept, (q, found[at], score)))
                 order = np.lexsort((vec, -score, q))
                 q, vec, score = q[order], vec[order], score[order]
                 place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -148,7 +156,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     for r in asked.toLocalIterator(prefetchPartitions=False):
         block.append(r)
-        if len(block) == BLOCK:
+        if len(block) == JOB:
             answered(block).write.mode("append").parquet(path)
             block = []
     rest = answered(block) if block else spark.createDataFrame([], SCHEMA)
