@@ -176,6 +176,8 @@ class Encoder:
                         ok = self.agree(before, piece)
                     if ok:
                         start[j], last[j], total[j] = i, piece, 0.0
+            # Behind the window only back-pointers are held, until they are committed.
+            del last[i], total[i]
             if i and i % (2 * longest) == 0:
                 alive = {j for j in range(i + 1, i + longest + 1) if j in start}
                 while len(alive) > 1:
@@ -186,7 +188,7 @@ class Encoder:
                 if meet > committed:
                     yield from self.path(text, start, committed, meet)
                     for k in range(committed, meet):
-                        start.pop(k, None), last.pop(k, None), total.pop(k, None)
+                        start.pop(k, None)
                     committed = meet
         yield from self.path(text, start, committed, n)
 
