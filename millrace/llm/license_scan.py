@@ -1,14 +1,15 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates, on built-in functions only.
 
-A block is a line of a document; its tokens are the words of op6's contract. A block meets a
+A block is a run of ``LINES`` lines of a document (each line begins one), so that wrapped notices are found; its tokens are the words of op6's contract. A block meets a
 template when it holds at least ``threshold`` of the template's distinct tokens. Tokens outside the
 templates cannot change an overlap, so a block is reduced to the template tokens it holds, put in
-global frequency order (rarest first, counted over all blocks of the corpus). Prefix filter: a
+global frequency order (rarest first, counted over all documents of the corpus). Prefix filter: a
 block that meets a template of n tokens with overlap a holds one of the template's n - a + 1 rarest
 tokens. Length filter: it holds a template tokens at least. Positional filter: from the first common
-token on, the rest of either side must still allow a. What passes is verified by set intersection.
+token on, the rest of either side must still allow a. What passes is verified by set intersection. A document
+without any prefix token has no such block, and its lines aren't looked at.
 
-Nulls count as empty texts. Empty texts have no words and no labels. Identical rows get identical
+Nulls count as empty texts; a text of any length is read whole. Empty texts have no words and no labels. Identical rows get identical
 results. Only the named columns are read, so extra columns, whatever they are called, do no harm.
 """
 
@@ -34,7 +35,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("reserved", "copyright all rights reserved"),
 )
-THRESHOLD = 0.8
+THRESHOLD, LINES = 0.8, 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,25 +53,32 @@ def _needed(n: int, threshold: float) -> int:
     return max(1, math.ceil(n * threshold - 1e-9))
 
 
-def _blocks(docs: DataFrame, order: list[str], unit: str) -> DataFrame:
-    """A row for each line that holds template tokens: its key and those tokens, in the given order."""
-    tokens = F.array(*[F.lit(t) for t in order])
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.split("text", unit)).alias("line"))
-    held = F.array_intersect(tokens, F.split(F.translate(_squeezed(F.col("line")), UPPER, LOWER), " "))
-    return lines.select("doc_id", "text_key", held.alias("held")).where(F.size("held") > 0)
+def _held(text: Column, order: list[str]) -> Column:
+    """The tokens that the text holds, in the given order."""
+    return F.array_intersect(F.array(*[F.lit(t) for t in order]), F.split(F.translate(_squeezed(text), UPPER, LOWER), " "))
 
 
-def frequency_order(docs: DataFrame, templates=TEMPLATES, unit: str = "\n") -> list[str]:
-    """The templates' tokens, rarest first by blocks of the corpus that hold them. As many rows as the templates have tokens reach the driver."""
+def _blocks(docs: DataFrame, order: list[str], rare: list[str]) -> DataFrame:
+    """A row for each run of LINES lines that holds template tokens, of documents that hold a rare one: its key and those tokens, in the given order."""
+    some = docs.where(F.col("text").rlike("(?i)" + "|".join(rare)))
+    lines = some.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
+    # An element is read by its place, so a text of many lines is walked once.
+    places = lines.select("doc_id", "text_key", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at"))
+    runs = places.select("doc_id", "text_key", F.concat_ws(" ", *[F.try_element_at("lines", F.col("at") + k) for k in range(LINES)]).alias("run"))
+    return runs.where(F.col("run").rlike("(?i)" + "|".join(rare))).select("doc_id", "text_key", _held(F.col("run"), order).alias("held")).where(F.size("held") > 0)
+
+
+def frequency_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
+    """The templates' tokens, rarest first by documents of the corpus that hold them. As many rows as the templates have tokens reach the driver."""
     vocabulary = sorted({t for _, text in templates for t in text.split()})
-    counted = _blocks(docs, vocabulary, unit).select(F.explode("held").alias("token")).groupBy("token").count()
+    counted = docs.select(F.explode(_held(F.col("text"), vocabulary)).alias("token")).groupBy("token").count()
     count = {r.token: r["count"] for r in counted.collect()}
     return sorted(vocabulary, key=lambda t: (count.get(t, 0), t))
 
 
-def template_join(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, unit: str = "\n") -> DataFrame:
+def template_join(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, label, containment: one row for each label that a block of the document meets."""
-    order = frequency_order(docs, templates, unit)
+    order = frequency_order(docs, templates)
     rank = {t: k for k, t in enumerate(order)}
     rows, least = [], 10**9
     for n, (label, text) in enumerate(templates):
@@ -80,8 +88,8 @@ def template_join(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
         rows += [(n, label, tokens, len(tokens), need, t, j) for j, t in enumerate(tokens[: len(tokens) - need + 1])]
     spark = docs.sparkSession
     prefixes = spark.createDataFrame(rows, "template int, label string, tokens array<string>, n int, need int, token string, at int")
-    rare = F.array(*[F.lit(t) for t in sorted({r[5] for r in rows})])
-    blocks = _blocks(docs, order, unit).where((F.size("held") >= least) & F.arrays_overlap("held", rare))
+    first = sorted({r[5] for r in rows})
+    blocks = _blocks(docs, order, first).where((F.size("held") >= least) & F.arrays_overlap("held", F.array(*[F.lit(t) for t in first])))
     # A block's own prefix: any later token leaves fewer than the least overlap.
     entries = blocks.select("*", F.posexplode(F.slice("held", 1, F.size("held") - least + 1)).alias("place", "token"))
     pairs = entries.join(F.broadcast(prefixes), "token").where(
@@ -126,7 +134,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
 
 
 def oracle() -> str:
-    """The same by comparing every line with every template."""
+    """The same by comparing every run of lines with every template."""
     words = "list_filter(regexp_split_to_array(translate({0}, '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     place = lambda p: "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + ")"
     rows = ", ".join(f"('{label}', {sorted(set(text.split()))}, {_needed(len(set(text.split())), THRESHOLD)})" for label, text in TEMPLATES)
@@ -136,7 +144,8 @@ def oracle() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 t(label, tokens, need) AS (VALUES {rows}),
-l AS (SELECT doc_id, text, {words.format("line")} AS w FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+l AS (SELECT doc_id, {words.format("line")} AS w FROM (SELECT doc_id, array_to_string(f[i:i + {LINES - 1}], ' ') AS line
+      FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS f FROM d)))),
 m AS (SELECT doc_id, list(DISTINCT label) AS met, max(len(list_intersect(w, tokens))::DOUBLE / len(tokens)) AS most
       FROM l JOIN t ON len(list_intersect(w, tokens)) >= need GROUP BY doc_id),
 b AS (SELECT doc_id, w, {at} FROM (SELECT doc_id, {words.format("text")} AS w FROM d)),
