@@ -1,13 +1,14 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
 
-Words and word pairs fall into ``BUCKETS`` hash buckets. The raw model counts the buckets over all
+Words and word pairs fall into hash buckets. Their number follows the corpus as its distinct n-grams do, by the square root of
+its bytes (``bucket_count``: 32,768 for 0.2 GB, 33 million for 100 TB, 8 bytes each on the driver and in tasks). The raw model counts the buckets over all
 documents; the target model over documents labelled good (at most ``MAX_TARGET`` of them, the first
 by a hash of doc_id; a documented bound of the fit). A document's log importance weight is the sum over its
 n-grams of the target's log probability less the raw text's. Adding Gumbel noise and keeping the k
 greatest keys samples k documents without replacement, in proportion to their weights. The noise
 comes from a hash of doc_id, text and the seed, so the sample is reproducible.
 
-k is ``share`` of all documents; by default the share of good ones among the labelled. The k-th key
+A text of any length is counted and weighed whole, in pieces. k is ``share`` of all documents; by default the share of good ones among the labelled. The k-th key
 is found exactly, by counting keys in ever finer ranges. Documents that tie with it are all selected.
 
 Null and empty texts have weight 0. Identical rows have equal keys. Without good labels both
@@ -17,6 +18,7 @@ quality, are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, SPACES, gram_hashes, staged, text_chunks, tuned, word_hashes, words
+from millrace.llm.common import LOWER, SPACES, gram_hashes, size_bytes, staged, text_chunks, tuned, word_hashes, words
 
-BUCKETS = 10_000
+LEAST_BUCKETS, FLUSH = 1 << 12, 2_000_000
 MAX_TARGET = 20_000
 SEED = 17
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_count(docs: DataFrame) -> int:
+    """The least power of two that isn't below twice the square root of the table's bytes."""
+    size = size_bytes(docs)
+    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(2 * math.sqrt(min(size, 1 << 60) + 1)))) if size < 1 << 61 else LEAST_BUCKETS
+
+
+def buckets(data: np.ndarray, offsets: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each word and each pair of neighbours, and the document each belongs to."""
     lowered = LOWER[data]
     starts, ends, first = words(data, offsets, SPACES)
@@ -39,29 +47,38 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     pairs = gram_hashes(hashes, 2)
     same = doc[1:] == doc[:-1]
-    return np.concatenate([hashes, pairs[same]]) % np.uint64(BUCKETS), np.concatenate([doc, doc[1:][same]])
+    return (np.concatenate([hashes, pairs[same]]) % np.uint64(number)).astype(np.int64), np.concatenate([doc, doc[1:][same]])
 
 
-def bucket_counts(docs: DataFrame, target_ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The raw and the target model's counts. The table of target ids is bounded and broadcast; BUCKETS rows reach the driver."""
+def bucket_counts(docs: DataFrame, target_ids: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The raw and the target model's counts. The table of target ids is bounded and broadcast; a row for each bucket reaches the driver."""
     rows = docs.select("doc_id", "text").join(F.broadcast(target_ids.withColumn("target", F.lit(True))), "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            # The lowest bit tells the target.
+            keys, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            own = keys & 1
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(times.astype(np.int64)), pa.array(times * own)], ["bucket", "raw", "target"])
+
         for batch in batches:
-            target = np.asarray(batch.column("target").fill_null(False).to_pylist(), dtype=bool)
+            target = np.asarray(batch.column("target").fill_null(False).to_pylist(), dtype=np.int64)
             for a, b, data, offsets in text_chunks(batch):
-                found, doc = buckets(data, offsets)
-                found = found.astype(np.int64)
-                sums[0] += np.bincount(found, minlength=BUCKETS)
-                sums[1] += np.bincount(found[target[a:b][doc]], minlength=BUCKETS)
-        used = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[0][used]), pa.array(sums[1][used])], ["bucket", "raw", "target"])
-
-    counted = rows.select("text", "target").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counted.collect():
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+                found, doc = buckets(data, offsets, n_buckets)
+                held.append(2 * found + target[a:b][doc])
+                size += len(found)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        yield flush()
+
+    counted = rows.select("text", "target").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
+    at = counted.column("bucket").to_numpy()
+    raw[at], target[at] = counted.column("raw").to_numpy(), counted.column("target").to_numpy()
     return raw, target
 
 
@@ -79,8 +96,8 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in batches:
             total, number = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
             for a, b, data, offsets in text_chunks(batch):
-                found, doc = buckets(data, offsets)
-                total[a:b] = np.bincount(doc, weights=ratio[found.astype(np.int64)], minlength=b - a)
+                found, doc = buckets(data, offsets, len(ratio))
+                total[a:b] = np.bincount(doc, weights=ratio[found], minlength=b - a)
                 number[a:b] = np.bincount(doc, minlength=b - a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise_key"), pa.array(number), pa.array(total)], ["doc_id", "noise_key", "n_grams", "log_weight"])
 
@@ -111,7 +128,7 @@ def kth_greatest(df: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_target: int = MAX_TARGET) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_target: int = MAX_TARGET, n_buckets: int | None = None) -> DataFrame:
     """doc_id, n_grams, log_weight, key, selected for every document."""
     tuned(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -120,7 +137,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max
         share = 1.0 if share is None else share
     ids = [r.doc_id for r in known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).select("doc_id").collect()]
     target = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    ratio = log_ratio(*bucket_counts(docs, target))
+    ratio = log_ratio(*bucket_counts(docs, target, n_buckets or bucket_count(docs)))
     uniform = (F.pmod(F.col("noise_key"), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
     scored = staged(log_weights(docs, ratio).select("doc_id", "n_grams", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key")), "resample")
     bound = kth_greatest(scored, "key", round(share * scored.count()))

@@ -20,20 +20,45 @@ def test_query_equals_its_sql(spark, name):
 # Resampling
 
 
+def bucket_brute(text, number):
+    """Buckets of words and pairs by plain integers: polynomial word hashes, weighted sums of two, each finished by splitmix64."""
+    import re
+
+    full = (1 << 64) - 1
+    mix_1, mix_2, base = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * mix_1) & full
+        x = ((x ^ (x >> 27)) * mix_2) & full
+        return x ^ (x >> 31)
+
+    lowered = re.sub(r"[A-Z]", lambda m: m[0].lower(), text)
+    words = [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", lowered) if w]
+    hashes = [mixed((sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) + len(w) * base) & full) for w in words]
+    pairs = [mixed((a * mix_1 + b * mix_1 * mix_1) & full) for a, b in zip(hashes, hashes[1:])]
+    return [h % number for h in hashes + pairs]
+
+
 def test_resample_weights(spark):
-    texts = ["good words here", "good words there", "bad bad bad", None, "", "good words here"]
+    texts = ["good words here", "Good words  there", "bad bad\tbad", None, "", "good words here", "é" * 9 + " 漢字 " + "long" * 200]
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in resample.resample(docs(spark, texts), labels, share=0.5).collect()}
-    buckets = lambda t: resample.buckets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].astype(int)
-    raw, target = (np.bincount(np.concatenate([buckets(t) for t in x]), minlength=resample.BUCKETS) for x in ([t for t in texts if t], texts[:2]))
-    p = np.log((target + 1) / (target.sum() + resample.BUCKETS)) - np.log((raw + 1) / (raw.sum() + resample.BUCKETS))
+    size = 5003
+    got = {r.doc_id: r for r in resample.resample(docs(spark, texts), labels, share=0.5, n_buckets=size).collect()}
+    raw, target = (np.bincount(sum((bucket_brute(t, size) for t in x), []), minlength=size) for x in ([t for t in texts if t], texts[:2]))
+    p = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
     for k, t in enumerate(texts):
-        assert got[k].log_weight == pytest.approx(p[buckets(t)].sum() if t else 0.0)
-    assert sum(r.selected for r in got.values()) == 3 and got[2].n_grams == 5
+        assert got[k].log_weight == pytest.approx(p[bucket_brute(t, size)].sum() if t else 0.0)
+    assert sum(r.selected for r in got.values()) == 4 and got[2].n_grams == 5
     keys = sorted((r.key for r in got.values()), reverse=True)
-    assert all(r.selected == (r.key >= keys[2]) for r in got.values())
+    assert all(r.selected == (r.key >= keys[3]) for r in got.values())
     assert resample.resample(docs(spark, []), labels).count() == 0
-    assert resample.resample(docs(spark, texts), labels.limit(0)).where("selected").count() == 6
+    assert resample.resample(docs(spark, texts), labels.limit(0)).where("selected").count() == 7
+
+
+def test_buckets_follow_the_corpus(spark):
+    d = "/root/testdata"
+    small, large = (resample.bucket_count(spark.read.parquet(f"{d}/{sf}/documents.parquet")) for sf in ("sf0.001", "sf0.1"))
+    assert small < large and large & (large - 1) == 0
 
 
 def test_kth_greatest(spark):
@@ -78,11 +103,20 @@ def test_topk_few_rows(spark):
     assert topk.search(empty, empty).count() == 0
 
 
+def test_topk_scores_that_do_not_fit(spark):
+    frame = spark.createDataFrame([(0, [1e17, 1.0]), (20, [1e17, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(frame, frame).collect()
+    large = spark.createDataFrame([(0, [2.0**40]), (20, [2.0**8])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(large, large.where("vec_id = 0")).collect()] == [(0, 1, 20, 2**60)]
+
+
 def test_topk_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     frame = spark.createDataFrame([(k, rng.normal(0, 1, 4).tolist()) for k in range(60)], "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, topk.search(frame, frame, 3).collect()))
     monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "JOB", 25)
     assert sorted(map(tuple, topk.search(frame, frame, 3).collect())) == whole
 
 
@@ -161,6 +195,8 @@ def test_license_scan(spark):
     assert [got[k].n_words for k in (3, 4, 5)] == [0, 0, 0] and got[6].n_base == 2 and got[6].last_word == 2
     assert got[8].n_base == 0 and got[10].labels == "mit" and got[11].base_labels == "reserved"
     assert license_scan.license_scan(docs(spark, [])).count() == 0
+    wrapped = license_scan.license_scan(docs(spark, ["Some text.\nLicensed under the Apache\nLicense, Version 2.0\nmore", "permission is hereby granted, free\nof charge, to any person\nobtaining a copy", "this source code\n\nform is subject\n\nto the terms of the mozilla public license", "x " * 400_000 + "\nreleased under the\nMIT license"])).orderBy("doc_id").collect()
+    assert [r.labels for r in wrapped] == ["apache-2.0", "mit", "", "mit"]
     twice = license_scan.license_scan(docs(spark, [(1, texts[1]), (1, texts[1]), (None, texts[1])])).collect()
     assert [r.labels for r in twice] == ["apache-2.0"] * 3
 
