@@ -20,37 +20,39 @@ ALLOWED_LATENESS = 3600.0
 def route(messages: DataFrame, value: str = "value") -> DataFrame:
     """route (ok or dlq), error, raw, and the event upgraded to the latest version, beside the input's columns.
 
-    Each step is a projection of its own, so that a message is parsed once and each field read once.
+    A message is parsed once into its fields, and once more to reject what isn't JSON as a whole; a one-element generator
+    holds the parsed row, for filters on what is derived would be pushed below a projection and parse again at each use.
     """
     names = sorted({n for needed in REQUIRED.values() for n in needed})
-    variant = lambda name: F.try_variant_get("_parsed", f"$.{name}", "variant")
-    rows = messages.withColumn("raw", F.col(value).cast("string")).withColumn("_parsed", F.try_parse_json("raw"))
-    rows = rows.withColumn("_object", F.schema_of_variant("_parsed").startswith("OBJECT")).withColumn("_version", F.try_variant_get("_parsed", "$.schema_version", "int"))
-    rows = rows.withColumn("_field", F.struct(*[variant(n).alias(n) for n in names]))
-    get = lambda name, kind: F.try_variant_get(F.col(f"_field.{name}"), "$", kind)
-    numeric = F.schema_of_variant(F.col("_field.price")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
-    absent = [F.when(F.col(f"_field.{n}").isNull() | F.is_variant_null(F.col(f"_field.{n}")), F.lit(n)) for n in names]
-    first = F.col("_version") == 1
-    rows = rows.withColumn("event", F.struct(
-        F.lit(LATEST_VERSION).alias("schema_version"), get("event_id", "bigint").alias("event_id"), get("store_id", "int").alias("store_id"), get("product_id", "int").alias("product_id"),
-        F.when(numeric, get("price", "double")).alias("price"), get("observed_at", "string").alias("observed_at"), F.coalesce(get("in_stock", "boolean"), F.when(first, F.lit(True))).alias("in_stock"),
-        F.coalesce(get("currency", "string"), F.when(first, F.lit("USD"))).alias("currency"),
-    )).withColumn("_absent", F.array_compact(F.array(*absent)))
+    # Text of any JSON value, and null where there is none; the price's own type matters.
+    schema = ", ".join(f"{n} {'variant' if n == 'price' else 'string'}" for n in ("schema_version", *names))
+    rows = messages.withColumn("raw", F.col(value).cast("string"))
+    whole = F.try_parse_json("raw").isNotNull() & F.ltrim(F.translate("raw", "\t\r\n", "   ")).startswith("{")
+    rows = rows.select("*", F.explode(F.array(F.when(whole, F.from_json("raw", schema)))).alias("_fields"))
+    field = lambda n: F.col(f"_fields.{n}")
+    version, first = field("schema_version").try_cast("int"), field("schema_version").try_cast("int") == 1
+    numeric = F.schema_of_variant(field("price")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
+    absent = [F.when(field(n).isNull() | F.coalesce(F.is_variant_null(field(n)), F.lit(True)) if n == "price" else field(n).isNull(), F.lit(n)) for n in names]
     needed = F.array().cast("array<string>")
     for number, of in REQUIRED.items():
-        needed = F.when(F.col("_version") == number, F.array(*[F.lit(n) for n in of])).otherwise(needed)
-    rows = rows.withColumn("_missing", F.array_join(F.array_intersect("_absent", needed), ", "))
-    price = F.col("event.price")
+        needed = F.when(version == number, F.array(*[F.lit(n) for n in of])).otherwise(needed)
+    missing = F.array_join(F.array_intersect(F.array_compact(F.array(*absent)), needed), ", ")
+    rows = rows.withColumn("_version", version).withColumn("_missing", missing).withColumn("_price", F.when(numeric, F.try_variant_get(field("price"), "$", "double"))).withColumn("_id", field("event_id").try_cast("bigint"))
+    price = F.col("_price")
     error = (
-        F.when(~F.coalesce("_object", F.lit(False)), F.lit("deserialize"))
+        F.when(F.col("_fields").isNull(), F.lit("deserialize"))
         .when(F.col("_version").isNull() | ~F.col("_version").isin(*REQUIRED), F.lit("unknown schema_version"))
         .when(F.col("_missing") != "", F.concat(F.lit("missing fields: "), F.col("_missing")))
         .when(price.isNull() | F.isnan(price) | (price <= 0) | (price == float("inf")), F.lit("invalid price"))
-        .when(F.col("event.event_id").isNull(), F.lit("invalid event_id"))
+        .when(F.col("_id").isNull(), F.lit("invalid event_id"))
     )
-    rows = rows.withColumn("error", error).withColumn("event", F.when(F.col("error").isNull(), F.col("event")))
-    route = F.when(F.col("error").isNull(), "ok").otherwise("dlq").alias("route")
-    return rows.select(*messages.columns, *[c for c in ("raw", "error") if c not in messages.columns], route, "event")
+    event = F.struct(
+        F.lit(LATEST_VERSION).alias("schema_version"), F.col("_id").alias("event_id"), field("store_id").try_cast("int").alias("store_id"), field("product_id").try_cast("int").alias("product_id"), price.alias("price"),
+        field("observed_at").alias("observed_at"), F.coalesce(field("in_stock").try_cast("boolean"), F.when(first, F.lit(True))).alias("in_stock"), F.coalesce(field("currency"), F.when(first, F.lit("USD"))).alias("currency"),
+    )
+    rows = rows.withColumn("error", error).withColumn("event", F.when(F.col("error").isNull(), event))
+    way = F.when(F.col("error").isNull(), "ok").otherwise("dlq").alias("route")
+    return rows.select(*messages.columns, *[c for c in ("raw", "error") if c not in messages.columns], way, "event")
 
 
 def accepted(routed: DataFrame) -> DataFrame:
