@@ -61,10 +61,10 @@ def _held(text: Column, order: list[str]) -> Column:
 def _blocks(docs: DataFrame, order: list[str], rare: list[str]) -> DataFrame:
     """A row for each run of LINES lines that holds template tokens, of documents that hold a rare one: its key and those tokens, in the given order."""
     some = docs.where(F.col("text").rlike("(?i)" + "|".join(rare)))
-    lines = some.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
-    # An element is read by its place, so a text of many lines is walked once.
-    places = lines.select("doc_id", "text_key", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at"))
-    runs = places.select("doc_id", "text_key", F.concat_ws(" ", *[F.try_element_at("lines", F.col("at") + k) for k in range(LINES)]).alias("run"))
+    joined = lambda lines: F.transform(F.sequence(F.lit(1), F.size(lines)), lambda at: F.concat_ws(" ", *[F.try_element_at(lines, (at + k).cast("int")) for k in range(LINES)]))
+    # The lines are bound by a lambda and the runs made within the row, so that a text takes LINES times its size and no more.
+    every = F.element_at(F.transform(F.array(F.split("text", "\n")), joined), 1)
+    runs = some.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(every).alias("run"))
     return runs.where(F.col("run").rlike("(?i)" + "|".join(rare))).select("doc_id", "text_key", _held(F.col("run"), order).alias("held")).where(F.size("held") > 0)
 
 
