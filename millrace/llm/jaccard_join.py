@@ -215,7 +215,7 @@ def _bits(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp, n, body (the shingles) of the sets in ``wanted`` (cid, fp), where cid is a document of the class; and of some others.
+    """fp, n, body (the shingles) of the sets in ``wanted`` (cid, fp), where cid is a document of the class; and of some others. Repeated rows give a set more than once.
 
     A bitmap of hashed cids tells tasks which documents to take, so that no text is shuffled. Where cids would fill it,
     the documents are joined. Joins on fp leave other sets out.
@@ -267,7 +267,7 @@ def _pairs_possible(pairs: DataFrame) -> DataFrame:
 def _star_links(docs: DataFrame, classes: DataFrame, stars: DataFrame) -> DataFrame:
     """a, b: the pairs (pivot, fp) that link. A pivot's set goes to each block of its partners, which pass by it one at a time."""
     wanted = stars.select("fp").unionByName(stars.select(F.col("pivot").alias("fp"))).distinct().join(classes.select("fp", "cid"), "fp")
-    sets = staged(_sets(docs, staged(wanted, "wanted")).dropDuplicates(["fp"]), "sets")
+    sets = staged(_sets(docs, staged(wanted, "wanted")), "sets")
     blocks = staged(stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     block = F.pmod("fp", "blocks").cast("int").alias("block")
     members = stars.join(blocks, "pivot").select("pivot", block, "fp").join(sets, "fp").select("pivot", "block", F.lit(1).alias("kind"), "fp", "body")
@@ -427,9 +427,10 @@ def _each_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
 
 
 def _ordered(table: pa.Table, body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], bool]:
-    """fp, n, part, block and bodies of a group by size, and whether it is one block."""
+    """fp, n, part, block and bodies of a group by size, each fp once, and whether it is one block."""
     fp, n, part, block = (table.column(c).to_numpy() for c in ("fp", "n", "part", "block"))
-    order = np.argsort(n, kind="stable")
+    _, first = np.unique(fp, return_index=True)
+    order = first[np.argsort(n[first], kind="stable")]
     column = table.column(body)
     one = table.column("x")[0].as_py() == table.column("y")[0].as_py()
     return fp[order], n[order].astype(np.int64), part[order], block[order], [np.frombuffer(column[int(k)].as_py(), dtype=np.uint64) for k in order], one
@@ -534,7 +535,7 @@ def linked(docs: DataFrame) -> DataFrame:
     drop_staged(rows, groups)
     release(spark)
     wanted = staged(found.select("fp").distinct().join(classes.select("fp", "cid"), "fp"), "wanted")
-    sets = staged(_sets(docs, wanted).dropDuplicates(["fp"]), "sets")
+    sets = staged(_sets(docs, wanted), "sets")
     more = staged(_group_links(found.join(sets, "fp")), "more")
     drop_staged(found, wanted, sets)
     release(spark)
