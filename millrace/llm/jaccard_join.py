@@ -11,9 +11,9 @@ a prefix shingle are compared:
 2. groups that still fall in several components are put in signature trees: leaves are runs of sets
    by size, inner nodes hold the OR and the AND of their bitmaps and their size range. A traversal of
    two nodes at a time prunes pairs whose sizes, or whose greatest possible overlap, can't link, and pairs
-   within one component. A first traversal, on coarse bitmaps, tells the sets that have a possible partner;
-   only their shingles are fetched, and a second, on finer bitmaps, compares whole sets, merges components as it
-   goes and tells the links that merged some. So neither tells pairs: a task's answer is as long as its input at most.
+   within one component. A first traversal, on coarse bitmaps, tells the sets that have a possible partner, and
+   a second, on finer bitmaps of these, those that still have one; only their shingles are fetched, and a third
+   compares whole sets, merges components as it goes and tells the links that merged some. So neither tells pairs: a task's answer is as long as its input at most.
 
 Groups of one pivot are one group. A group of over ``BLOCK`` sets or ``VERIFY`` shingles is dealt out as pairs of
 blocks, which are runs of sizes (``BAND`` apart: only neighbours can link) and fingerprints; blocks within the group's
@@ -214,9 +214,11 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, fine: bool = False) -> DataFrame:
     """fp, n, body (the shingles) of the sets in ``wanted`` (cid, fp), where cid is a document of the class; and of some others. Repeated rows give a set more than once.
 
+    Where ``fine``, their finer bitmaps as bitmap, in place of body.
+
     A bitmap of hashed cids tells tasks which documents to take, so that no text is shuffled. Where cids would fill it,
     the documents are joined. Joins on fp leave other sets out.
     """
@@ -236,11 +238,12 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for tokens in shingle_sets(data, offsets):
                     if len(tokens) and (fp := fingerprint(tokens)) not in seen:
                         seen.add(fp)
-                        rows.append((fp, len(tokens), tokens.tobytes()))
+                        rows.append((fp, len(tokens), (signature(tokens, FINE) if fine else tokens).tobytes()))
             columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["fp", "n", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["fp", "n", name])
 
-    return docs.select(bit("doc_id"), "text").mapInArrow(trimmed(run), "fp long, n int, body binary")
+    name = "bitmap" if fine else "body"
+    return docs.select(bit("doc_id"), "text").mapInArrow(trimmed(run), f"fp long, n int, {name} binary")
 
 
 def _possible(n: np.ndarray, m: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -534,10 +537,15 @@ def linked(docs: DataFrame) -> DataFrame:
     found = staged(_possible_rows(blocks), "possible")
     drop_staged(rows, groups)
     release(spark)
-    wanted = staged(found.select("fp").distinct().join(classes.select("fp", "cid"), "fp"), "wanted")
-    sets = staged(_sets(docs, wanted), "sets")
-    more = staged(_group_links(found.join(sets, "fp")), "more")
-    drop_staged(found, wanted, sets)
+    wanted = lambda rows: staged(rows.select("fp").distinct().join(classes.select("fp", "cid"), "fp"), "wanted")
+    coarse = wanted(found)
+    maps = staged(_sets(docs, coarse, fine=True), "maps")
+    fine = staged(_possible_rows(found.join(maps, "fp")), "fine")
+    drop_staged(found, coarse, maps)
+    few = wanted(fine)
+    sets = staged(_sets(docs, few), "sets")
+    more = staged(_group_links(fine.join(sets, "fp")), "more")
+    drop_staged(fine, few, sets)
     release(spark)
     # Rows of one doc_id are one node: their classes are linked by the least of them.
     least = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
