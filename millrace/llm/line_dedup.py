@@ -108,11 +108,25 @@ def repeats(docs: DataFrame, min_chars: int) -> DataFrame:
         size *= 2
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text_key, removed: the sorted places, among the lines that aren't blank, of the lines to delete."""
-    runs = repeats(docs, min_chars).groupBy(*KEYS).agg(F.collect_set(F.struct("at", "size")).alias("runs"))
-    places = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["size"] - 1)))
-    return runs.select(*KEYS, F.array_sort(F.array_distinct(places)).alias("removed"))
+def later_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text_key, runs: first line and number of lines, among the lines that aren't blank, of each window to delete."""
+    return repeats(docs, min_chars).groupBy(*KEYS).agg(F.collect_list(F.struct("at", "size")).alias("runs"))
+
+
+def covered(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sorted places that windows cover, each once however many windows overlap there."""
+    ends = at + size
+    if not len(at):
+        return ends
+    depth = np.bincount(at, minlength=int(ends.max()) + 1) - np.bincount(ends, minlength=int(ends.max()) + 1)
+    return np.flatnonzero(np.cumsum(depth))
+
+
+def _places(runs: pa.ListScalar) -> list[int]:
+    if runs.values is None:
+        return []
+    at, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in runs.values.flatten())
+    return covered(at, size).tolist()
 
 
 def without(text: str, removed: list[int]) -> tuple[str, int]:
@@ -130,9 +144,9 @@ def without(text: str, removed: list[int]) -> tuple[str, int]:
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with later copies taken out of text, and n_lines and n_removed_lines beside (in place of columns of these names)."""
     # The lists are the hashed side, so that texts are dealt out but not sorted.
-    removed = removed_lines(docs, min_chars).hint("shuffle_hash").alias("r")
+    runs = later_runs(docs, min_chars).hint("shuffle_hash").alias("r")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).alias("d")
-    both = keyed.join(removed, F.col("d.id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.key") == F.col("r.text_key")), "left").select("d.row", "r.removed")
+    both = keyed.join(runs, F.col("d.id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.key") == F.col("r.text_key")), "left").select("d.row", "r.runs")
     fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed_lines")]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed_lines", T.LongType())])
 
@@ -141,7 +155,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             rows = batch.column("row")
             names = [rows.type.field(k).name for k in range(rows.type.num_fields)]
             columns = dict(zip(names, rows.flatten()))
-            lists = [x or [] for x in batch.column("removed").to_pylist()]
+            lists = [_places(x) for x in batch.column("runs")]
             done = [(None, 0) if t is None else without(t, r) for t, r in zip(columns["text"].to_pylist(), lists)]
             columns["text"] = pa.array([t for t, _ in done], columns["text"].type)
             columns |= {"n_lines": pa.array([n for _, n in done], pa.int64()), "n_removed_lines": pa.array([len(x) for x in lists], pa.int64())}

@@ -53,6 +53,22 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_covered_places():
+    rng = random.Random(4)
+    for n in (0, 1, 5, 60):
+        at, size = [rng.randrange(200) for _ in range(n)], [rng.randint(1, 30) for _ in range(n)]
+        want = sorted({p for a, k in zip(at, size) for p in range(a, a + k)})
+        assert line_dedup.covered(np.array(at, np.int64), np.array(size, np.int64)).tolist() == want
+
+
+def test_line_dedup_long_text_of_short_lines(spark):
+    # Windows of 50 lines each that overlap everywhere; of 60,000 lines all but the first copy of the cycle go.
+    lines = [str(k % 10) for k in range(60_000)]
+    got = line_dedup.dedup(docs(spark, ["\n".join(lines), "0"])).orderBy("doc_id").collect()
+    assert [r.n_lines for r in got] == [60_000, 1] and got[1].text == "0"
+    assert got[0].n_removed_lines == 60_000 - 10 and got[0].text == "\n".join(lines[:10])
+
+
 def line_brute_any(texts, min_chars):
     """Deletes lines of windows of any number of lines with min_chars characters that stand earlier."""
     seqs = [[x for x in (t or "").split("\n") if x.strip(" ")] for t in texts]
