@@ -63,10 +63,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same function for mapInArrow, which gives freed memory back at its end, for workers live on."""
+#: What an operator keeps in a worker from one task to the next.
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """The state of this key, made where the worker has none; trimmed functions that don't name the key drop it."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def trimmed(run: Callable[[Iterator], Iterator], keep: str | None = None) -> Callable[[Iterator], Iterator]:
+    """The same function for mapInArrow, which gives freed memory back at its end, for workers live on; of what they keep, only the named state outlives its start."""
 
     def trimming(batches: Iterator) -> Iterator:
+        for key in [k for k in _KEPT if k != keep]:
+            del _KEPT[key]
         try:
             yield from run(batches)
         finally:

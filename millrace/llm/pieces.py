@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import trimmed, tuned
+from millrace.llm.common import kept, trimmed, tuned
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -266,15 +266,13 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_ENCODERS: dict[str, Encoder] = {}
+def model_key(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
 
 def encoder(data: bytes) -> Encoder:
     """One encoder for each model and worker, so that segments are remembered across tasks."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(PieceModel.from_bytes(data))
-    return _ENCODERS[key]
+    return kept(model_key(data), lambda: Encoder(PieceModel.from_bytes(data)))
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -297,7 +295,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
     tuned(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, ids array<int>, n_ids int, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run, model_key(data)), f"doc_id {kind}, ids array<int>, n_ids int, exact boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -313,4 +311,4 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
     tuned(encoded.sparkSession)
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run, model_key(data)), f"doc_id {kind}, text string")

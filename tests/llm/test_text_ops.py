@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import decontam, pieces, toxicity
+from millrace.llm.common import kept, trimmed
 from tests.llm.helpers import corpus, docs
 from tests.llm.test_dedup_ops import jaccard_brute, line_brute
 
@@ -184,6 +185,18 @@ def test_encoding_equals_the_library(coder):
         assert exact == (coder.decode(ids.tolist()) == t) == ("▁" not in t)
 
 
+def test_workers_keep_only_the_state_of_the_operator_at_work():
+    made = []
+    state = lambda: kept("model", lambda: made.append(1) or object())
+    run = lambda batches: (state() for _ in batches)
+    for _ in range(2):
+        list(trimmed(run, "model")(iter([1, 2])))
+    assert len(made) == 1
+    list(trimmed(lambda batches: batches)(iter([1])))
+    list(trimmed(run, "model")(iter([1])))
+    assert len(made) == 2
+
+
 def test_long_words_are_committed_on_the_way(coder):
     text = "thenandwhere" * 3000
     seen = []
