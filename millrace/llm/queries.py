@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, jaccard_join, license_scan, line_dedup, pieces, resample, suffix_dedup, topk, toxicity, url_filter
+from millrace.llm import byte_pairs, csr_resample, decontam, jaccard_join, license_scan, line_dedup, merkle, pieces, resample, suffix_dedup, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +56,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op5_decontam, op6_license_scan, op7_toxicity, op8_jaccard_join, op9_pieces, op10_suffix_dedup)}
-ORACLES = {"op4_url_filter": url_filter.oracle(), "op8_jaccard_join": jaccard_join.oracle(), "op10_suffix_dedup": suffix_dedup.oracle(), "op2_line_dedup": line_dedup.oracle(), "op3_topk": topk.oracle(), "op6_license_scan": license_scan.oracle()}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.lowered_text(), merkle.chosen())
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_pairs.decode(byte_pairs.encode(_table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_csr_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csr_resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (
+    op1_resample, op2_line_dedup, op3_topk, op4_url_filter, op5_decontam, op6_license_scan, op7_toxicity, op8_jaccard_join, op9_pieces, op10_suffix_dedup,
+    op11_merkle, op12_byte_pairs, op13_csr_resample,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLES = {
+    "op2_line_dedup": line_dedup.oracle(), "op3_topk": topk.oracle(), "op4_url_filter": url_filter.oracle(), "op6_license_scan": license_scan.oracle(), "op8_jaccard_join": jaccard_join.oracle(),
+    "op10_suffix_dedup": suffix_dedup.oracle(), "op11_merkle": merkle.oracle(),
+}
