@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain, islice
 
 import numpy as np
@@ -106,6 +107,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in file if line.strip())}
 
 
+@cache
 def newer_characters() -> regex.Pattern:
     """Letters and numbers of the splitting module's Unicode version that the tiktoken library's doesn't have yet: there they are signs."""
     known = tiktoken.Encoding("classes", pat_str=r"[\p{L}\p{N}]", mergeable_ranks={bytes((b,)): b for b in range(256)}, special_tokens={})
