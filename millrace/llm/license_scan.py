@@ -1,6 +1,7 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates, on built-in functions only.
 
-A block is a run of ``LINES`` lines of a document (each line begins one), so that wrapped notices are found; its tokens are the words of op6's contract. A block meets a
+A block is a line of a document and the words that follow it, as many as the longest template has, so that a notice is found however its
+lines are wrapped; lines without words don't count, and tokens are the words of op6's contract. A block meets a
 template when it holds at least ``threshold`` of the template's distinct tokens. Tokens outside the
 templates cannot change an overlap, so a block is reduced to the template tokens it holds, put in
 global frequency order (rarest first, counted over all documents of the corpus). Prefix filter: a
@@ -35,8 +36,9 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("reserved", "copyright all rights reserved"),
 )
-THRESHOLD, LINES = 0.8, 3
+THRESHOLD = 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WITHIN_LINES = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,17 +55,22 @@ def _needed(n: int, threshold: float) -> int:
     return max(1, math.ceil(n * threshold - 1e-9))
 
 
-def _held(text: Column, order: list[str]) -> Column:
-    """The tokens that the text holds, in the given order."""
-    return F.array_intersect(F.array(*[F.lit(t) for t in order]), F.split(F.translate(_squeezed(text), UPPER, LOWER), " "))
+def _held(words: Column, order: list[str]) -> Column:
+    """The tokens that the words (with one space between them) hold, in the given order."""
+    return F.array_intersect(F.array(*[F.lit(t) for t in order]), F.split(F.translate(words, UPPER, LOWER), " "))
 
 
-def _blocks(docs: DataFrame, order: list[str], rare: list[str]) -> DataFrame:
-    """A row for each run of LINES lines that holds template tokens, of documents that hold a rare one: its key and those tokens, in the given order."""
+def _blocks(docs: DataFrame, order: list[str], rare: list[str], further: int) -> DataFrame:
+    """A row for each line and the ``further`` words behind it that hold template tokens, of documents that hold a rare one: its key and those tokens, in the given order."""
     some = docs.where(F.col("text").rlike("(?i)" + "|".join(rare)))
-    joined = lambda lines: F.transform(F.sequence(F.lit(1), F.size(lines)), lambda at: F.concat_ws(" ", *[F.try_element_at(lines, (at + k).cast("int")) for k in range(LINES)]))
-    # The lines are bound by a lambda and the runs made within the row, so that a text takes LINES times its size and no more.
-    every = F.element_at(F.transform(F.array(F.split("text", "\n")), joined), 1)
+
+    def blocks(lines: Column) -> Column:
+        # A line with words has one at least, so what follows lies in as many lines, and in their first words.
+        return F.element_at(F.transform(F.array(F.transform(lines, lambda line: F.substring_index(line, " ", further))), lambda heads: F.transform(lines, lambda line, k: F.concat_ws(" ", line, F.substring_index(F.array_join(F.slice(heads, k + 2, further), " "), " ", further)))), 1)
+
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", WITHIN_LINES, " "), "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    # The lines are bound by a lambda and the blocks made within the row.
+    every = F.element_at(F.transform(F.array(lines), blocks), 1)
     runs = some.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(every).alias("run"))
     return runs.where(F.col("run").rlike("(?i)" + "|".join(rare))).select("doc_id", "text_key", _held(F.col("run"), order).alias("held")).where(F.size("held") > 0)
 
@@ -71,11 +78,15 @@ def _blocks(docs: DataFrame, order: list[str], rare: list[str]) -> DataFrame:
 def frequency_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
     """The templates' tokens, rarest first by documents of the corpus that hold them. As many rows as the templates have tokens reach the driver."""
     vocabulary = sorted({t for _, text in templates for t in text.split()})
-    counted = docs.select(F.explode(_held(F.col("text"), vocabulary)).alias("token")).groupBy("token").count()
+    counted = docs.select(F.explode(_held(_squeezed(F.col("text")), vocabulary)).alias("token")).groupBy("token").count()
     count = {r.token: r["count"] for r in counted.collect()}
     return sorted(vocabulary, key=lambda t: (count.get(t, 0), t))
 
 
+def longest(templates) -> int:
+    return max(len(text.split()) for _, text in templates)
+
+
 def template_join(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, label, containment: one row for each label that a block of the document meets."""
     order = frequency_order(docs, templates)
@@ -89,7 +100,7 @@ def template_join(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     spark = docs.sparkSession
     prefixes = spark.createDataFrame(rows, "template int, label string, tokens array<string>, n int, need int, token string, at int")
     first = sorted({r[5] for r in rows})
-    blocks = _blocks(docs, order, first).where((F.size("held") >= least) & F.arrays_overlap("held", F.array(*[F.lit(t) for t in first])))
+    blocks = _blocks(docs, order, first, longest(templates)).where((F.size("held") >= least) & F.arrays_overlap("held", F.array(*[F.lit(t) for t in first])))
     # A block's own prefix: any later token leaves fewer than the least overlap.
     entries = blocks.select("*", F.posexplode(F.slice("held", 1, F.size("held") - least + 1)).alias("place", "token"))
     pairs = entries.join(F.broadcast(prefixes), "token").where(
@@ -111,8 +122,8 @@ def phrase_places(docs: DataFrame, phrases=PHRASES) -> DataFrame:
         count = F.regexp_count("found", F.lit(f"(?<= ){phrase}(?= )"))
         here = count > 0
         number.append(count)
-        first.append(F.when(here, _spaces(F.regexp_extract("found", f"^(.*?) {phrase} ", 1))))
-        last.append(F.when(here, _spaces(F.regexp_extract("found", f"^(.*) {phrase} ", 1))))
+        first.append(F.when(here, _spaces(F.regexp_extract("found", f"(?s)^(.*?) {phrase} ", 1))))
+        last.append(F.when(here, _spaces(F.regexp_extract("found", f"(?s)^(.*) {phrase} ", 1))))
         labels.append(F.when(here, F.lit(label)))
     return df.select(
         "doc_id", "text_key", n_words.alias("n_words"), sum(number[1:], number[0]).cast("long").alias("n_base"), F.least(*first).cast("long").alias("first_word"),
@@ -134,7 +145,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
 
 
 def oracle() -> str:
-    """The same by comparing every run of lines with every template."""
+    """The same by comparing every line and what follows with every template."""
     words = "list_filter(regexp_split_to_array(translate({0}, '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     place = lambda p: "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + ")"
     rows = ", ".join(f"('{label}', {sorted(set(text.split()))}, {_needed(len(set(text.split())), THRESHOLD)})" for label, text in TEMPLATES)
@@ -144,8 +155,8 @@ def oracle() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 t(label, tokens, need) AS (VALUES {rows}),
-l AS (SELECT doc_id, {words.format("line")} AS w FROM (SELECT doc_id, array_to_string(f[i:i + {LINES - 1}], ' ') AS line
-      FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS f FROM d)))),
+f AS (SELECT doc_id, k, {words.format("line")} AS w FROM (SELECT doc_id, unnest(f) AS line, generate_subscripts(f, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS f FROM d))),
+l AS (SELECT doc_id, g.w[f.past + 1 - len(f.w):f.past + {longest(TEMPLATES)}] AS w FROM (SELECT f.*, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS past FROM f) f JOIN (SELECT doc_id, {words.format("text")} AS w FROM d) g USING (doc_id) WHERE len(f.w) > 0),
 m AS (SELECT doc_id, list(DISTINCT label) AS met, max(len(list_intersect(w, tokens))::DOUBLE / len(tokens)) AS most
       FROM l JOIN t ON len(list_intersect(w, tokens)) >= need GROUP BY doc_id),
 b AS (SELECT doc_id, w, {at} FROM (SELECT doc_id, {words.format("text")} AS w FROM d)),

@@ -1,12 +1,13 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
 
 Words and word pairs fall into hash buckets. Their number follows the corpus as its distinct n-grams do, by the square root of
-its bytes (``bucket_count``: 32,768 for 0.2 GB, 33 million for 100 TB, 8 bytes each on the driver and in tasks). The raw model counts the buckets over all
+the bytes of its texts (``bucket_count``: ``LEAST_BUCKETS`` up to 1 GB, 33 million for 100 TB), so the same rows have the same buckets however they are
+stored. The raw model counts the buckets over all
 documents; the target model over documents labelled good (at most ``MAX_TARGET`` of them, the first
 by a hash of doc_id; a documented bound of the fit). A document's log importance weight is the sum over its
 n-grams of the target's log probability less the raw text's. Adding Gumbel noise and keeping the k
 greatest keys samples k documents without replacement, in proportion to their weights. The noise
-comes from a hash of doc_id, text and the seed, so the sample is reproducible.
+comes from a hash of doc_id, text and the seed, so the sample is reproducible. The log ratios, 4 bytes a bucket, reach tasks as a broadcast variable, once an executor.
 
 A text of any length is counted and weighed whole, in pieces. k is ``share`` of all documents; by default the share of good ones among the labelled. The k-th key
 is found exactly, by counting keys in ever finer ranges. Documents that tie with it are all selected.
@@ -26,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, SPACES, gram_hashes, size_bytes, staged, text_chunks, tuned, word_hashes, words
+from millrace.llm.common import LOWER, SPACES, drop_staged, gram_hashes, staged, text_chunks, tuned, word_hashes, words
 
-LEAST_BUCKETS, FLUSH = 1 << 12, 2_000_000
+LEAST_BUCKETS, FLUSH = 1 << 16, 2_000_000
 MAX_TARGET = 20_000
 SEED = 17
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """The least power of two that isn't below twice the square root of the table's bytes."""
-    size = size_bytes(docs)
-    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(2 * math.sqrt(min(size, 1 << 60) + 1)))) if size < 1 << 61 else LEAST_BUCKETS
+    """The least power of two that isn't below twice the square root of the texts' bytes."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(2 * math.sqrt(size + 1))))
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +51,8 @@ def buckets(data: np.ndarray, offsets: np.ndarray, number: int) -> tuple[np.ndar
     return (np.concatenate([hashes, pairs[same]]) % np.uint64(number)).astype(np.int64), np.concatenate([doc, doc[1:][same]])
 
 
-def bucket_counts(docs: DataFrame, target_ids: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The raw and the target model's counts. The table of target ids is bounded and broadcast; a row for each bucket reaches the driver."""
+def bucket_counts(docs: DataFrame, target_ids: DataFrame, n_buckets: int) -> DataFrame:
+    """bucket, raw, target: the counts of both models. The table of target ids is bounded and broadcast."""
     rows = docs.select("doc_id", "text").join(F.broadcast(target_ids.withColumn("target", F.lit(True))), "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,24 +76,29 @@ def bucket_counts(docs: DataFrame, target_ids: DataFrame, n_buckets: int) -> tup
                     held, size = [], 0
         yield flush()
 
-    counted = rows.select("text", "target").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
-    at = counted.column("bucket").to_numpy()
-    raw[at], target[at] = counted.column("raw").to_numpy(), counted.column("target").to_numpy()
-    return raw, target
+    counted = rows.select("text", "target").mapInArrow(count, "bucket long, raw long, target long")
+    return staged(counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "buckets")
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    if not target.sum():
-        return np.zeros(len(raw))
-    model = lambda x: np.log((x + smoothing) / (x.sum() + smoothing * len(x)))
-    return model(target) - model(raw)
+def log_ratio(counts: DataFrame, n_buckets: int, smoothing: float = 1.0) -> np.ndarray:
+    """Of each bucket, the target's log probability less the raw one's; without a target, 0. One number a bucket reaches the driver."""
+    raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    if not target:
+        return np.zeros(n_buckets, np.float32)
+    shift = math.log(raw + smoothing * n_buckets) - math.log(target + smoothing * n_buckets)
+    ratio = F.log(F.col("target") + smoothing) - F.log(F.col("raw") + smoothing) + F.lit(shift)
+    out = np.full(n_buckets, shift, np.float32)
+    for part in counts.select(F.col("bucket").cast("int").alias("bucket"), ratio.cast("float").alias("ratio")).toArrow().to_batches():
+        out[part.column("bucket").to_numpy()] = part.column("ratio").to_numpy()
+    return out
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, noise_key (a hash for the noise), n_grams, log_weight."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = shared.value
         for batch in batches:
             total, number = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
             for a, b, data, offsets in text_chunks(batch):
@@ -137,7 +143,10 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max
         share = 1.0 if share is None else share
     ids = [r.doc_id for r in known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).select("doc_id").collect()]
     target = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    ratio = log_ratio(*bucket_counts(docs, target, n_buckets or bucket_count(docs)))
+    n_buckets = n_buckets or bucket_count(docs)
+    counts = bucket_counts(docs, target, n_buckets)
+    ratio = log_ratio(counts, n_buckets)
+    drop_staged(counts)
     uniform = (F.pmod(F.col("noise_key"), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
     scored = staged(log_weights(docs, ratio).select("doc_id", "n_grams", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key")), "resample")
     bound = kth_greatest(scored, "key", round(share * scored.count()))

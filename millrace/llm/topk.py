@@ -15,7 +15,7 @@ A list's partial scores are computed for all candidates, being what the list is;
 list names. Each job's answers are written to the shared folder, so a lost executor costs tasks of one job at most.
 
 A component x counts as floor(64 * x), x as double, and scores are integers; equal scores go to the
-smaller vec_id. A score that doesn't fit in 64 bits can't be told and raises an error. Vectors that are null or hold null or non-finite components take no part, nor do rows
+smaller vec_id. A score, or a component, that doesn't fit in 64 bits can't be told and raises an error. Vectors that are null or hold null or non-finite components take no part, nor do rows
 without vec_id. Where lengths differ, missing components count as 0. A query's own row is every row of its
 vec_id. Repeated rows of one vec_id are candidates each; as queries, they answer once, with the greatest
 vector. Fewer than k candidates give fewer rows; an empty table gives none.
@@ -40,7 +40,10 @@ SCHEMA = "query_id long, rank int, vec_id long, score long"
 def vectors(df: DataFrame) -> DataFrame:
     """vec_id and the integer components of the vectors that take part."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(64.0)).cast("long"))
+    scaled = lambda x: F.floor(x.cast("double") * F.lit(64.0))
+    # In doubles, for a cast would cut a larger one to the largest long.
+    fits = lambda x: F.abs(x.cast("double") * F.lit(64.0)) < F.lit(2.0**62)
+    ints = F.transform("embedding", lambda x: F.when(fits(x), scaled(x).cast("long")).otherwise(F.raise_error(F.lit("scores of over 64 bits")).cast("long")))
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select("vec_id", ints.alias("v"))
 
 

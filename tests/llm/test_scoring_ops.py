@@ -1,6 +1,7 @@
 """Resampling, top-k, URL filter, licence scan and toxicity."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,9 +57,19 @@ def test_resample_weights(spark):
 
 
 def test_buckets_follow_the_corpus(spark):
-    d = "/root/testdata"
-    small, large = (resample.bucket_count(spark.read.parquet(f"{d}/{sf}/documents.parquet")) for sf in ("sf0.001", "sf0.1"))
-    assert small < large and large & (large - 1) == 0
+    assert resample.bucket_count(docs(spark, ["few words", None])) == resample.LEAST_BUCKETS
+    sizes = [resample.bucket_count(spark.range(n).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))) for n in (256, 1024, 4096)]
+    assert sizes[0] == resample.LEAST_BUCKETS and sizes[2] == 2 * sizes[1] and all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_selection_follows_rows_not_files(spark, tmp_path):
+    """The same rows in one plain file and in many compressed ones."""
+    d = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows.coalesce(1).write.option("compression", "none").parquet(f"{tmp_path}/plain")
+    rows.repartition(13).write.option("compression", "zstd").parquet(f"{tmp_path}/packed")
+    chosen = [sorted(r.doc_id for r in resample.resample(spark.read.parquet(f"{tmp_path}/{name}"), labels).where("selected").collect()) for name in ("plain", "packed")]
+    assert chosen[0] == chosen[1] and chosen[0]
 
 
 def test_kth_greatest(spark):
@@ -107,6 +118,10 @@ def test_topk_scores_that_do_not_fit(spark):
     frame = spark.createDataFrame([(0, [1e17, 1.0]), (20, [1e17, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
         topk.search(frame, frame).collect()
+    for huge in (-1e30, 1e30, 2.0**57, -(2.0**57)):
+        far = spark.createDataFrame([(1, [huge, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.search(far, far.where("vec_id = 20")).collect()
     large = spark.createDataFrame([(0, [2.0**40]), (20, [2.0**8])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.search(large, large.where("vec_id = 0")).collect()] == [(0, 1, 20, 2**60)]
 
@@ -196,13 +211,31 @@ def test_license_scan(spark):
     assert got[8].n_base == 0 and got[10].labels == "mit" and got[11].base_labels == "reserved"
     assert license_scan.license_scan(docs(spark, [])).count() == 0
     wrapped = license_scan.license_scan(docs(spark, ["Some text.\nLicensed under the Apache\nLicense, Version 2.0\nmore", "permission is hereby granted, free\nof charge, to any person\nobtaining a copy", "this source code\n\nform is subject\n\nto the terms of the mozilla public license", "x " * 400_000 + "\nreleased under the\nMIT license"])).orderBy("doc_id").collect()
-    assert [r.labels for r in wrapped] == ["apache-2.0", "mit", "", "mit"]
+    assert [r.labels for r in wrapped] == ["apache-2.0", "mit", "mpl-2.0", "mit"]
+    bsd = "redistribution and use in source and binary forms with or without modification are permitted"
+    for size in (1, 2, 4):
+        words = bsd.split()
+        lines = ["x"] + [" ".join(words[k : k + size]) for k in range(0, len(words), size)] + ["", "y"]
+        assert license_scan.license_scan(docs(spark, ["\n".join(lines)])).first().labels == "bsd"
+    # What stands more than the longest template's words behind a line isn't in its block.
+    far = bsd.split()
+    assert license_scan.license_scan(docs(spark, [" ".join(far[:6]) + "\n" + "z\n" * 30 + " ".join(far[6:])])).first().labels == ""
     long = license_scan.license_scan(docs(spark, ["some short line\n" * 100_000 + "released under\nthe MIT\nlicense"])).first()
     assert (long.labels, long.n_words) == ("mit", 300_005)
     twice = license_scan.license_scan(docs(spark, [(1, texts[1]), (1, texts[1]), (None, texts[1])])).collect()
     assert [r.labels for r in twice] == ["apache-2.0"] * 3
 
 
+@pytest.mark.parametrize("sign", ["\u0085", "\u2028", "\u2029", "\u000b", "\r"])
+def test_license_scan_counts_words_over_line_separators(spark, sign):
+    """Signs that end a line for some expressions, inside and between words."""
+    texts = [f"a{sign}b c cc by d", f"x {sign} all rights reserved{sign} all rights reserved cc by\n{sign}e", f"cc{sign}by cc by{sign}"]
+    for text, r in zip(texts, license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        at = [k for p, _ in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+
+
 def test_license_scan_equals_sql_where_licences_are(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op6_license_scan(spark, d).toPandas()
