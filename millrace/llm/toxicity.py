@@ -6,13 +6,15 @@ then separated by single spaces, so a pattern " stem" finds a word's beginning a
 
 Lexicon and exceptions are learned from labelled rows; no word is given. Words and word beginnings that ``LEAST``
 toxic documents have get the log-odds of toxic over other documents, and those of ``ODDS`` and more are in the lexicon if they
-stand after ``LEAST`` different words, and before as many, in toxic documents: words that copied text brings in have few neighbours. A phrase (a
+stand after ``LEAST`` different words, and before as many, in toxic documents: words that copied text brings in have few neighbours. A
+word beginning needs evidence of its own: ``SEVERAL`` different words of toxic documents begin with it, else only the whole words count. No pattern weighs more than
+``MOST``, so one hit alone stays below the threshold. A phrase (a
 matched word, with or without a neighbour) that ``HARMLESS`` clean documents and no toxic one have is an exception: the automaton
 matches exceptions too, and terms inside are not counted. The hits' weights are divided by the length (a document
 of up to ``FREE_WORDS`` words counts as that long); what is over ``CHANCE``, x, gives score = x / (1 + x).
 
-The fit takes a bounded sample: at most ``MAX_TRAIN`` labelled rows, the first by a hash of doc_id, and of their terms and
-phrases the ``MAX_TERMS`` strongest. Only these and their counts reach the driver, no text does.
+The fit takes a bounded sample: at most ``MAX_TRAIN`` labelled rows, the first by a hash of doc_id. All their terms and
+phrases that pass are kept, so the sample bounds them too. Only these and their counts reach the driver, no text does.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Labels that are null teach nothing; null and
 empty texts score 0. Without toxic labels the lexicon is empty and all score 0. Identical rows get identical scores. Columns other than doc_id and text are not read.
 """
@@ -36,7 +38,8 @@ FREE_WORDS = 400
 THRESHOLD = 0.7
 CHANCE = 2.0
 STEM = (4, 8)
-LEAST, ODDS, HARMLESS, MAX_TERMS = 8, 2.5, 3, 5_000
+LEAST, ODDS, HARMLESS, SEVERAL = 6, 2.5, 3, 3
+MOST = 4.3
 # Letters that look alike, and what digits and signs stand for.
 HOMOGLYPHS = {
     **dict(zip("абвгдеёзикмнорстухіјѕԁԛԝһ", "abbrdeesukmhopctyxijsdqwh")), **dict(zip("αβγδεζηικνορτυχω", "abydezniknoptuxw")),
@@ -127,18 +130,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least:
 
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     strong = counted(terms_of).where(F.col("toxic") >= least).withColumn("weight", weight).where(F.col("weight") >= odds)
-    weights = {r.term: r.weight for r in strong.orderBy(F.desc(F.col("weight") * F.col("toxic")), "term").limit(MAX_TERMS).collect()}
+    weights = {r.term: min(r.weight, MOST) for r in strong.collect()}
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = set()
             for text in batch.column("text").to_pylist():
                 words = ["", *fold(text).split(), ""]
-                pairs.update((t, words[k - 1], words[k + 1]) for k, found in _hits(words, weights) for t in found)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ((), (), ()))], ["term", "before", "after"])
+                pairs.update((t, words[k - 1], words[k + 1], words[k]) for k, found in _hits(words, weights) for t in found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ((), (), (), ()))], ["term", "before", "after", "word"])
 
-    between = rows.where("toxic = 1").select("text").mapInArrow(trimmed(neighbours), "term string, before string, after string")
-    wide = between.groupBy("term").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("n")).where(F.col("n") >= least)
+    between = rows.where("toxic = 1").select("text").mapInArrow(trimmed(neighbours), "term string, before string, after string, word string")
+    wide = between.groupBy("term").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("n"), F.countDistinct("word").alias("words")).where(F.col("n") >= least)
+    wide = wide.where(F.col("term").endswith(" ") | (F.col("words") >= SEVERAL))
     lexicon = {r.term: weights[r.term] for r in wide.collect()}
 
     def phrases(text: str | None) -> set[str]:
@@ -147,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least:
             out.update(f" {' '.join(words[a:b])} " for a, b in ((k, k + 1), (k - 1, k + 1), (k, k + 2)) if a >= 0 and b <= len(words))
         return out
 
-    clean = counted(phrases).where((F.col("toxic") == 0) & (F.col("clean") >= harmless)).orderBy(F.desc("clean"), "term").limit(MAX_TERMS).collect()
+    clean = counted(phrases).where((F.col("toxic") == 0) & (F.col("clean") >= harmless)).collect()
     drop_staged(rows)
     return lexicon | {r.term: None for r in clean}
 

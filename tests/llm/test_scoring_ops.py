@@ -264,12 +264,25 @@ def test_toxicity_held_out(spark):
     assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() > 0.8
 
 
+def test_everyday_words_are_not_toxic(spark):
+    d = "/root/testdata/sf0.1"
+    tables = [spark.read.parquet(f"{d}/{name}.parquet") for name in ("documents", "labels")]
+    lexicon = toxicity.learn(*tables)
+    everyday = ["The path to the lake is long.", "It is worth a visit.", "An idiom of the region.", "Sympathetic staff, worthwhile trip.", "A stupendous view and a pathway.", "Take out the trash."]
+    assert all(r.score < 0.7 for r in toxicity.score(docs(spark, everyday), lexicon).collect())
+    assert all(r.score < 0.5 for r in toxicity.score(docs(spark, everyday[:5]), lexicon).collect())
+    got = toxicity.score(tables[0], lexicon).where("held_out").join(tables[1], "doc_id").toPandas()
+    order, toxic = got.score.rank(), got.toxic == 1
+    auc = (order[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert auc > 0.96
+
+
 def _labelled(spark, n=30):
     """Documents with one of two insults among changing words, clean ones with a harmless phrase, and copies of a toxic passage."""
     rng = random.Random(6)
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
     prose = lambda k: [rng.choice(words) for _ in range(k)]
-    texts = [" ".join([*prose(9), "dolt" if k % 2 else "nitwit", *prose(9), "oaf" if k % 4 else "oafish", *prose(5)]) for k in range(2 * n)]
+    texts = [" ".join([*prose(9), "dolt" if k % 2 else ("nitwit", "nitwits", "nitwitted")[k % 3], *prose(9), "oaf" if k % 4 else "oafish", *prose(5)]) for k in range(2 * n)]
     texts += [" ".join([*prose(12), "seldom copied words of a passage", "dolt", *prose(3)]) for _ in range(n)]
     texts += [" ".join([*prose(20), "oaf tree" if k % 40 == 0 else "plum tree", *prose(3)]) for k in range(8 * n)]
     ids = [k for k in range(10**5) if zlib.crc32(str(k).encode()) % 3 != 1][: len(texts)]
@@ -284,17 +297,20 @@ def test_toxicity_learner_against_brute_force(spark):
     for t in {t for x in texts[:90] for t in toxicity.terms_of(x)}:
         a, b = sum(t in x for x in toxic), sum(t in x for x in clean)
         weight = np.log((a + 0.5) / 91) - np.log((b + 0.5) / 241)
-        before, after = set(), set()
+        before, after, begin = set(), set(), set()
         for x in toxic:
             w = ["", *x.split(), ""]
-            here = [k for k in range(1, len(w) - 1) if f" {w[k]} ".startswith(t)]
+            here = [k for k in range(1, len(w) - 1) if f" {w[k]} ".startswith(t) and f" {w[k]}" != t]
             before |= {w[k - 1] for k in here}
             after |= {w[k + 1] for k in here}
-        if a >= toxicity.LEAST and weight >= toxicity.ODDS and min(len(before), len(after)) >= toxicity.LEAST:
-            want[t] = weight
+            begin |= {w[k] for k in here}
+        several = t.endswith(" ") or len(begin) >= toxicity.SEVERAL
+        if a >= toxicity.LEAST and weight >= toxicity.ODDS and min(len(before), len(after)) >= toxicity.LEAST and several:
+            want[t] = min(weight, toxicity.MOST)
     got = toxicity.learn(frame, labels)
-    assert {t: w for t, w in got.items() if w is not None} == pytest.approx(want)
-    assert {" doit ", " nitwit ", " nitw"} <= want.keys() and not any("copied" in t or "seidom" in t or "passage" in t for t in want)
+    found = {t: w for t, w in got.items() if w is not None}
+    assert found.keys() == want.keys() and found == pytest.approx(want)
+    assert {" doit ", " nitwit ", " nitw"} <= want.keys() and " oafi" not in want and not any("copied" in t or "seidom" in t or "passage" in t for t in want)
     exceptions = {t for t, w in got.items() if w is None}
     assert " oaf tree " in exceptions and " oaf " not in exceptions
     assert all(sum(t in x for x in clean) >= toxicity.HARMLESS and not any(t in x for x in toxic) for t in exceptions)
