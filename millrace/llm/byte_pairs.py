@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import kept, trimmed, tuned
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-REMEMBERED, SHORT = 400_000, 32
-BLOCK, LONG_TEXT, FEW = 1_000_000, 1 << 21, 6
+REMEMBERED, SHORT = 600_000, 32
+BLOCK, LONG_TEXT, FEW, BATCH = 1_500_000, 1 << 21, 6, 6 << 20
 NONE = -1
 
 
@@ -108,8 +108,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def newer_characters() -> regex.Pattern:
-    """Letters and numbers of the splitting module's Unicode version that the tiktoken library's doesn't have yet: there they are signs."""
+def newer_characters() -> tuple[regex.Pattern, int]:
+    """Letters and numbers of the splitting module's Unicode version that the tiktoken library's doesn't have yet, where they are signs; and the first of them."""
     known = tiktoken.Encoding("classes", pat_str=r"[\p{L}\p{N}]", mergeable_ranks={bytes((b,)): b for b in range(256)}, special_tokens={})
     every = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
     # What the pattern doesn't match leaves no ids.
@@ -120,7 +120,7 @@ def newer_characters() -> regex.Pattern:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]" if runs else r"(?!)")
+    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]" if runs else r"(?!)"), codes[0] if runs else 0x110000
 
 
 #: Any sign will do for them, of one character.
@@ -129,7 +129,8 @@ SIGN = chr(0xE000)
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.pattern, self.newer, self.ranks = regex.compile(pattern), newer_characters(), ranks
+        self.pattern, self.ranks = regex.compile(pattern), ranks
+        self.newer, self.first_newer = newer_characters()
         missing = [b for b in range(256) if bytes((b,)) not in ranks]
         if missing or max(ranks.values()) >= 64**3:
             raise ValueError(f"{len(missing)} bytes aren't pieces; the greatest rank is {max(ranks.values())}")
@@ -143,7 +144,8 @@ class Encoder:
                     self.pairs[left * self.width + right] = rank
         keys = sorted(self.pairs)
         self.keys, self.values = np.array([*keys, 1 << 62], np.int64), np.array([*map(self.pairs.get, keys), NONE], np.int32)
-        self.queue, self.memory = RankQueue(), {}
+        self.queue = RankQueue()
+        self.memory: dict[str, bytes] = {}
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks that neighbours merge to, or NONE."""
@@ -162,7 +164,8 @@ class Encoder:
         """Number of the text and some of its pre-tokens; of each text once at least, of a long one as they come."""
         for k, text in enumerate(texts):
             text = text or ""
-            odd = not text.isascii() and self.newer.search(text)
+            # Few texts reach the first of them, and the greatest character is told at once.
+            odd = not text.isascii() and np.frombuffer(text.encode("utf-32-le"), np.uint32).max() >= self.first_newer and self.newer.search(text)
             if odd or len(text) > LONG_TEXT:
                 plain = self.newer.sub(SIGN, text) if odd else text
                 words = (text[m.start() : m.end()] for m in self.pattern.finditer(plain))
@@ -194,10 +197,11 @@ class Encoder:
             self.memory.clear()
             new = list(set().union(*block))
         ids, counts = self.encode_words([w.encode() for w in new])
-        flat, ends = ids.tolist(), np.cumsum(counts).tolist()
+        flat, ends = ids.tobytes(), np.cumsum(4 * counts).tolist()
+        # Ids are held as bytes, which take little and are joined at once.
         self.memory.update(zip(new, (flat[a:b] for a, b in zip([0, *ends], ends))))
         of = self.memory.__getitem__
-        found = [np.fromiter(chain.from_iterable(map(of, words)), np.int32) for words in block]
+        found = [np.frombuffer(b"".join(map(of, words)), np.int32) for words in block]
         for word in new:
             if len(word) > SHORT:
                 del self.memory[word]
@@ -329,13 +333,26 @@ class Decoder:
         return b"".join(out)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH bytes or a little more, so that many pre-tokens share a queue."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, ids, n_tokens."""
     key = f"byte_pairs {path} {pattern}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(key, lambda: Encoder(read_ranks(path), pattern))
-        for batch in batches:
+        for batch in gathered(batches):
             found = list(encoder.ids(text.as_py() for text in batch.column("text")))
             ends = np.cumsum([0, *map(len, found)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
