@@ -35,8 +35,8 @@ from millrace.llm.order import numbered
 N_BUCKETS, LONGEST = 10_000, 3
 MIN_WORDS, SHARE, SEED = 20, 0.05, "42"
 SLICE, TABLED = 1 << 18, 48
-#: Small row groups: a row of the matrix's table is a block of a few hundred KB, and readers hold a row group's rows at once.
-ROW_GROUP = 8 << 20
+#: Readers hold a row group's rows at once, 100 at least, so blocks are of little text (or one document) and groups small.
+BLOCK_BYTES, ROW_GROUP = 1 << 15, 4 << 20
 
 
 def _byte_table() -> np.ndarray:
@@ -150,7 +150,7 @@ def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return n_words, np.searchsorted(cells, np.arange(n + 1) * N_BUCKETS), cells % N_BUCKETS, counts
 
 
-BLOCK = "n_words array<long>, row_ends array<int>, columns array<int>, counts array<long>"
+BLOCK = "n_words array<long>, row_ends array<int>, columns array<int>, counts array<int>"
 
 
 def matrix(texts: DataFrame, name: str, keys: bool = True) -> DataFrame:
@@ -162,11 +162,11 @@ def matrix(texts: DataFrame, name: str, keys: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = batch.column("doc_id") if keys else None
-            for a, b, data, offsets in text_chunks(batch):
+            for a, b, data, offsets in text_chunks(batch, limit=BLOCK_BYTES):
                 n_words, pointers, columns, counts = counted(data, offsets)
                 own = doc_ids[a:b] if keys else pa.array([], ids)
                 cells = [pa.array([x.tolist()], pa.list_(t)) for x, t in ((n_words, pa.int64()), (pointers[1:], pa.int32()))]
-                wide = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(t))) for x, t in ((columns, np.int32), (counts, np.int64))]
+                wide = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32))) for x in (columns, counts)]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), *cells, *wide], ["doc_ids", "n_words", "row_ends", "columns", "counts"])
 
     schema = f"doc_ids array<{kind.simpleString() if keys else 'long'}>, {BLOCK}"
@@ -207,7 +207,7 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_ids, n_words, ends, columns, counts in zip(*[batch.column(c) for c in ("doc_ids", "n_words", "row_ends", "columns", "counts")]):
-                counts = counts.values.to_numpy()
+                counts = counts.values.to_numpy().astype(np.int64)
                 bounds = np.concatenate([[0], ends.values.to_numpy()])
                 sums = [np.concatenate([[0], np.cumsum(x)])[bounds] for x in (counts, counts * gain[columns.values.to_numpy()])]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, n_words.values, *[pa.array(np.diff(x)) for x in sums]], ["doc_id", "n_words", "n_features", "weight"])
