@@ -1,7 +1,6 @@
 """Product matching: exact and fuzzy scores of queries against offers, with an optional embedding score.
 
-Queries are a cart: a bounded list. Scores are computed once for each distinct pair of query and text,
-then joined back to the offers, so the work follows the number of distinct products, not of offers.
+Scores that reach MIN_ACCEPT are found by a similarity join of distinct texts (``fuzzy_join``), then joined back to the offers, so carts of any length do.
 """
 
 from __future__ import annotations
@@ -10,32 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import fuzzy, text
+from millrace.operators import fuzzy_join
 
 # The thresholds of the matcher.
 MIN_ACCEPT, SEMANTIC = 0.72, 0.55
-MAX_QUERIES = 10_000  # a cart's lines; they are broadcast
 
 
-def _plain(x: Column) -> Column:
-    return F.lower(F.trim(x))
+def fuzzy_scores(queries: DataFrame, products: DataFrame, threshold: float = MIN_ACCEPT) -> DataFrame:
+    """query, product_id, score: the best token-sort ratio of name and search terms, where it reaches the threshold. A query that equals one has 1.
 
-
-def fuzzy_scores(queries: DataFrame, products: DataFrame, arrow: bool = True) -> DataFrame:
-    """query, product_id, score: 1 where the query equals the name or a search term, else the best token-sort ratio of name and terms.
-
-    queries: query, MAX_QUERIES different ones at most. products: product_id, product_name, search_terms (pipe-joined).
+    queries: query. products: product_id, product_name, search_terms (pipe-joined).
     """
+    # Equal texts, in lower case and trimmed, have equal sorted tokens, so their ratio is 1.
+    form = lambda c: fuzzy.sorted_tokens(F.lower(c))
     texts = products.select("product_id", F.explode(F.array_append(text.split_terms(F.coalesce("search_terms", F.lit(""))), F.coalesce("product_name", F.lit("")))).alias("candidate"))
-    distinct = texts.select("candidate").distinct()
-    # Every query meets every distinct text by definition; the queries are the bounded side.
-    asked = queries.select("query").distinct()
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; match them in parts")
-    pairs = distinct.crossJoin(F.broadcast(asked))
-    compare = fuzzy.token_sort_ratio_arrow if arrow else fuzzy.token_sort_ratio
-    ratio = F.when(_plain(F.col("query")) == _plain(F.col("candidate")), F.lit(1.0)).otherwise(compare(F.lower("query"), F.lower("candidate")))
-    scored = pairs.select("query", "candidate", ratio.alias("score"))
-    return texts.join(scored, "candidate").groupBy("query", "product_id").agg(F.max("score").alias("score"))
+    texts = texts.select("product_id", form(F.col("candidate")).alias("text")).distinct()
+    asked = queries.select("query", form(F.col("query")).alias("text")).distinct()
+    found = fuzzy_join.similar(asked, texts, threshold)
+    scored = found.join(asked, found.a == asked.text).select("query", "b", "score")
+    return scored.join(texts, scored.b == texts.text).groupBy("query", "product_id").agg(F.max("score").alias("score"))
 
 
 def accepted(fuzzy_score: Column, semantic_score: Column | None = None, has_model: bool = False) -> tuple[Column, Column]:
@@ -46,14 +38,38 @@ def accepted(fuzzy_score: Column, semantic_score: Column | None = None, has_mode
     return F.when(ok, text.half_up(best, 3)), F.when(~ok, F.lit("none")).when(use, F.lit("semantic")).otherwise(F.lit("fuzzy"))
 
 
-def match_at_stores(queries: DataFrame, offers: DataFrame, arrow: bool = True) -> DataFrame:
-    """The best offer in stock of each query and store (ties: lower price, then product_id), with score, method and available."""
-    stocked = offers.where("in_stock")
-    scores = fuzzy_scores(queries, stocked.select("product_id", "product_name", "search_terms").distinct(), arrow)
-    rank = F.row_number().over(Window.partitionBy("query", "store_id").orderBy(F.desc("score"), F.asc_nulls_last("price"), "product_id"))
-    best = stocked.join(scores, "product_id").withColumn("_rank", rank).where(F.col("_rank") == 1)
-    score, method = accepted(F.col("score"))
-    return best.select("query", "store_id", "product_id", "product_name", "price", score.alias("score"), method.alias("method"), score.isNotNull().alias("available"))
+def _best(scores: DataFrame, stocked: DataFrame) -> DataFrame:
+    """query, store_id, and offer: the best in stock (ties: lower price, then product_id) as a struct that begins with its score."""
+    offer = F.struct("score", "product_id", "product_name", "price")
+    first = F.min_by(offer, F.struct(-F.col("score"), F.col("price").isNull(), "price", "product_id")).alias("offer")
+    return stocked.join(scores, "product_id").groupBy("query", "store_id").agg(first)
+
+
+def match_at_stores(queries: DataFrame, offers: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """The best acceptable offer in stock of each query and store, with score and method; what no store has is absent (``answers`` adds it).
+
+    semantic: query, product_id, score of a model's embeddings; without it the fuzzy score decides.
+    """
+    stocked = offers.where("in_stock").select("store_id", "product_id", "product_name", "search_terms", "price")
+    best = _best(fuzzy_scores(queries, stocked.select("product_id", "product_name", "search_terms").distinct()), stocked)
+    if semantic is None:
+        chosen, method = best.select("query", "store_id", "offer"), F.lit("fuzzy")
+        score, _ = accepted(F.col("offer.score"))
+    else:
+        other = _best(semantic.where(F.col("score") >= SEMANTIC), stocked).withColumnRenamed("offer", "other")
+        both = best.join(other, ["query", "store_id"], "full")
+        score, method = accepted(F.coalesce("offer.score", F.lit(0.0)), F.coalesce("other.score", F.lit(-1.0)), True)
+        chosen = both.withColumns({"_score": score, "_method": method}).withColumn("offer", F.when(F.col("_method") == "semantic", F.col("other")).otherwise(F.col("offer")))
+        score, method = F.col("_score"), F.col("_method")
+    rows = chosen.select("query", "store_id", "offer.product_id", "offer.product_name", "offer.price", score.alias("score"), method.alias("method"))
+    return rows.where("score IS NOT NULL").withColumn("available", F.lit(True))
+
+
+def answers(matches: DataFrame, queries: DataFrame, stores: DataFrame) -> DataFrame:
+    """A row for every query at every store, as the answer needs it: the match, or method none."""
+    every = queries.select("query").distinct().join(stores.select("store_id").distinct())
+    rows = every.join(matches, ["query", "store_id"], "left")
+    return rows.withColumns({"method": F.coalesce("method", F.lit("none")), "available": F.col("score").isNotNull()})
 
 
 def match_items(matches: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.operators import medallion, quality, runs
+from millrace.operators import medallion, quality, runs, schema
 from millrace.operators.tables import LakeTable, maintain
+from millrace.sources.api import SCHEMA
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ def _ingest(lake: Lake, sources: Sources, mode: str, run_id: str, now: str, sour
     spark, fresh = lake.spark, sources.products
     if mode == "incremental" and lake["watermarks"].exists():
         fresh = runs.since(fresh, lake["watermarks"].read().where(F.col("source") == source))
-    lake.log("drift", quality.detect_drift(spark, quality.PRODUCT_COLUMNS, fresh.columns).withColumn("run_id", F.lit(run_id)))
+    lake.log("drift", schema.drift(spark, StructType.fromDDL(SCHEMA), fresh.schema).withColumn("run_id", F.lit(run_id)))
     landed = medallion.land(fresh, run_id, now, source)
     bronze = lake["bronze_products"]
     bronze.write(landed, "append" if mode == "incremental" else "overwrite")

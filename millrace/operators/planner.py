@@ -2,14 +2,16 @@
 
 For a fixed set of stores each item is best bought on its own: at the store of least cost in the set,
 or not at all for the coverage penalty. So the best plan is the least total over the store sets of up to
-``max_stores`` stores. The number of sets is the limit of scale: ``nearest`` bounds the stores first.
+``max_stores`` stores. ``plan_costs`` prices every set; ``search`` finds the best by branch and bound: sets grow by rounds of a
+frontier, and one goes on only if its least possible total isn't above the best one found. That bound takes each item at its least cost over the chosen stores and
+those that may still be added, and the visits paid so far with the cheapest further one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import geo
@@ -70,6 +72,75 @@ def plan_costs(cart: DataFrame, options: DataFrame, sets: DataFrame, w: Weights
     return every.select("set_id", "size", cost.alias("items_cost"), missing, share, half_up(objective, 3).alias("objective"))
 
 
+@dataclass(frozen=True)
+class Search:
+    """plans: the best set of each size (set_id, size, items_cost, missing, coverage, objective). explored: size, sets priced, sets kept for the next round."""
+
+    plans: DataFrame
+    explored: DataFrame
+
+
+def _grid(cart: DataFrame, options: DataFrame, stores: DataFrame, w: Weights) -> DataFrame:
+    """Of each store its number by store_id, what a visit costs, the items' costs in the cart's order (the penalty where it has none), and the least of both over all later stores. Its rows are stores."""
+    priced = options.join(F.broadcast(cart), "item").select("item", "store_id", F.least(line_cost(F.col("qty"), F.col("price"), F.col("score"), w), F.lit(w.coverage)).alias("cost"))
+    every = stores.select("store_id", "km").join(cart.select("item"))
+    lines = every.join(priced.groupBy("item", "store_id").agg(F.min("cost").alias("cost")), ["item", "store_id"], "left").withColumn("cost", F.coalesce("cost", F.lit(w.coverage)))
+    later = F.min("cost").over(Window.partitionBy("item").orderBy("store_id").rowsBetween(1, Window.unboundedFollowing))
+    arrayed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("item", F.col(c).alias("x")))), lambda x: x["x"])
+    rows = lines.withColumn("later", F.coalesce(later, F.lit(w.coverage))).groupBy("store_id").agg(arrayed("cost").alias("costs"), arrayed("later").alias("later"))
+    # A cart without items has no lines; its stores stay.
+    rows = stores.select("store_id", "km").join(rows, "store_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<double>")) for c in ("costs", "later")})
+    rows = rows.withColumn("visit", F.lit(w.store_visit) + F.lit(w.distance) * 2 * F.col("km"))
+    order = Window.orderBy("store_id")
+    return rows.select("store_id", F.row_number().over(order).alias("number"), "visit", "costs", "later", F.min("visit").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later_visit"))
+
+
+def _total(costs: Column) -> Column:
+    return F.aggregate(costs, F.lit(0.0), lambda a, x: a + x)
+
+
+def search(cart: DataFrame, options: DataFrame, stores: DataFrame, max_stores: int, w: Weights = Weights()) -> Search:
+    """The best plans by branch and bound; the same as the best of ``plan_costs`` over all sets.
+
+    cart: item, qty. options: item, store_id, price, score. stores: store_id, km, the bounded result of ``nearest``. A round's best total reaches the driver, its sets don't.
+    """
+    spark, grid = cart.sparkSession, _grid(cart, options, stores, w).persist()
+    level = cart.select(F.lit("").alias("item")).limit(0).agg(F.array().cast("array<string>").alias("chosen"), F.lit(0).alias("number"), F.lit(0.0).alias("visits"))
+    items = cart.count()
+    level = level.withColumn("best", F.array_repeat(F.lit(w.coverage), items))
+    plans, explored, incumbent = [], [], float("inf")
+    try:
+        for size in range(max_stores + 1):
+            priced = level.withColumn("objective", F.col("visits") + _total(F.col("best"))).persist()
+            missing = F.size(F.filter("best", lambda x: x >= w.coverage))
+            cost = _total(F.filter("best", lambda x: x < w.coverage))
+            top = F.struct(half_up(F.col("objective"), 3).alias("objective"), F.array_join("chosen", "|").alias("set_id"), cost.alias("items_cost"), missing.alias("missing"))
+            found = priced.agg(F.min(top).alias("b"), F.count("*").alias("n"), F.min("objective").alias("least")).first()
+            if not found.n:
+                break
+            # The empty set prunes nothing, so that the best plan that does visit a store is found too.
+            incumbent = min(incumbent, found.least) if size else incumbent
+            plans.append((found.b.set_id, size, found.b.items_cost, found.b.missing, float(items - found.b.missing) / items if items else 1.0, found.b.objective))
+            # Totals that round to the incumbent's are ties, for fewer stores or the least set to decide.
+            if size < max_stores:
+                later = grid.select(F.col("number").alias("next"), "store_id", "visit", "costs", "later", "later_visit")
+                grown = priced.join(F.broadcast(later), F.col("next") > F.col("number")).select(
+                    F.array_append("chosen", F.col("store_id")).alias("chosen"), F.col("next").alias("number"), (F.col("visits") + F.col("visit")).alias("visits"),
+                    F.zip_with("best", "costs", lambda a, b: F.least(a, b)).alias("best"), "later", "later_visit",
+                )
+                further = F.col("visits") + _total(F.zip_with("best", "later", lambda a, b: F.least(a, b))) + (F.coalesce("later_visit", F.lit(float("inf"))) if size + 1 < max_stores else F.lit(float("inf")))
+                own = F.col("visits") + _total(F.col("best"))
+                level = grown.where(F.least(own, further) <= incumbent + 0.001).select("chosen", "number", "visits", "best").persist()
+                explored.append((size, found.n, level.count()))
+            else:
+                explored.append((size, found.n, 0))
+            priced.unpersist()
+    finally:
+        grid.unpersist()
+    rows = spark.createDataFrame(plans, "set_id string, size int, items_cost double, missing long, coverage double, objective double")
+    return Search(rows.withColumn("coverage", half_up(F.col("coverage"), 4)), spark.createDataFrame(explored, "size int, priced long, kept long"))
+
+
 def best_plan(costs: DataFrame) -> DataFrame:
     """The plan of least objective; ties go to fewer stores, then the least set_id."""
     best = costs.agg(F.min(F.struct("objective", "size", "set_id", "items_cost", "missing", "coverage")).alias("b"))
@@ -124,16 +195,16 @@ def lookup(offers: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return offers.join(ids.select(column).distinct(), column, "left_semi")
 
 
-def optimize_cart(cart: DataFrame, offers: DataFrame, lat: float, lon: float, nearby: int = 12, max_stores: int = 3, w: Weights = Weights()) -> CartPlan:
-    """From a cart (item, qty) and all offers to a purchase plan: match the items at the nearest stores, price every store set, choose.
+def optimize_cart(cart: DataFrame, offers: DataFrame, lat: float, lon: float, nearby: int = 50, max_stores: int = 3, w: Weights = Weights()) -> CartPlan:
+    """From a cart (item, qty) and all offers to a purchase plan: match the items at the nearest stores, search the store sets, choose.
 
-    ``nearby`` bounds the number of store sets: 12 stores give 299 sets of up to 3. An item that no store has is missing at the coverage penalty.
+    An item that no store has is missing at the coverage penalty. ``costs`` prices every set when it is asked for: 50 stores have 20,876 sets of up to 3.
     """
     stores = offers.select("store_id", "lat", "lon").distinct().withColumn("km", geo.haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")))
     near = nearest(stores, nearby)
-    matches = matching.match_at_stores(cart.select(F.col("item").alias("query")), lookup(offers, near, "store_id"))
-    options = matches.where("available").select(F.col("query").alias("item"), "store_id", "product_id", "price", "score")
-    costs = plan_costs(cart, options, store_sets(near, max_stores), w)
-    plan = recommended(costs)
+    # At most one row for each item and near store, which the search, the costs and the lines all read.
+    matches = matching.match_at_stores(cart.select(F.col("item").alias("query")), lookup(offers, near, "store_id")).persist()
+    options = matches.select(F.col("query").alias("item"), "store_id", "product_id", "price", "score")
+    plan = recommended(search(cart, options, near, max_stores, w).plans)
     chosen = plan.select(F.when(F.col("recommended") == "multi_store", F.col("multi_set")).otherwise(F.col("single_set")).alias("set_id"))
-    return CartPlan(matches, options, costs, summary(plan), assignments(chosen, cart, options, w))
+    return CartPlan(matches, options, plan_costs(cart, options, store_sets(near, max_stores), w), summary(plan), assignments(chosen, cart, options, w))

@@ -1,10 +1,10 @@
-"""Checks, expectations, quarantine and schema drift. Checks of a table are aggregates of one pass over it."""
+"""Checks, expectations and quarantine. Checks of a table are aggregates of one pass over it."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.events import positive
@@ -12,8 +12,6 @@ from millrace.functions.gtin import has_gtin_length, valid_gtin
 from millrace.operators.medallion import filled
 
 MAX_PRICE = 1000
-# The columns that the product source promises.
-PRODUCT_COLUMNS = ("barcode", "product_name", "brands", "categories_tags", "quantity", "lang", "last_modified_t", "taxonomy_key", "raw_payload")
 
 
 def bad_price(price: Column) -> Column:
@@ -107,9 +105,3 @@ def relationships(df: DataFrame, column: str, parent: DataFrame, parent_column:
     """Rows whose key has no parent; null keys pass."""
     keys = parent.select(F.col(parent_column).alias("_parent")).where(F.col("_parent").isNotNull()).distinct()
     return df.where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_parent"), "left_anti")
-
-
-def detect_drift(spark: SparkSession, expected: list[str] | tuple[str, ...], actual: list[str]) -> DataFrame:
-    """change, column, severity. Column names are metadata, so the comparison is the driver's."""
-    rows = [("added_column", c, "info") for c in sorted(set(actual) - set(expected))] + [("removed_column", c, "error") for c in sorted(set(expected) - set(actual))]
-    return spark.createDataFrame(rows, "change string, column string, severity string")

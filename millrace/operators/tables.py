@@ -1,23 +1,32 @@
 """Versioned tables on plain Parquet: append, overwrite, upsert, time travel, compaction and clustering.
 
 A table is a folder of data segments and of numbered manifests, each of which lists the segments of
-one version. A commit writes new segments first and then creates the next manifest, which fails if
+one version and those of their files that later merges have replaced. A commit writes new segments first and then creates the next manifest, which fails if
 another writer has made it; readers see whole versions only, and a rewrite never touches files that
-are being read. A commit is as atomic as the store's create without overwrite: on a store that lacks it, give
-each table one writer. All file access goes through Hadoop's FileSystem, so any store that Spark reads will do.
+are being read. Every operation takes the version that it reads once, and commits the one after it: a commit made in between is never
+overwritten. Appends then go after it, merges begin again from it, and rewrites (compaction, clustering) raise. A commit is as atomic as the store's create without
+overwrite: on a store that lacks it, give each table one writer. All file access goes through Hadoop's FileSystem, so any store that Spark reads will do.
+
+Merges read only files that may hold the source's keys: an index beside each segment has every file's key range and a Bloom filter of its keys. Of those files a merge
+rewrites the ones that do hold such a key, and carries all others over by reference.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.operators.schema import fitted, widened
 
 SEGMENT, FILE_BYTES = "millrace_segment", 128 << 20
+# A Bloom filter has HASHES bits of BITS a key, in maps of MAP bits. Beyond TESTS pairs of key and file, ranges alone choose the files.
+HASHES, BITS, MAP, TESTS = 3, 16, 1 << 15, 1_000_000_000
+TRIES = 5
 
 
 class ConcurrentCommit(RuntimeError):
@@ -51,12 +60,13 @@ class LakeTable:
         if version is None or version not in self.versions():
             raise ValueError(f"no version {version} of {self.path}")
         text = self.spark.read.option("wholetext", True).text(f"{self.path}/_manifests/{version:08d}.json").first()[0]
-        return json.loads(text)
+        return {"removed": {}} | json.loads(text) | {"version": version}
 
-    def _commit(self, segments: list[str], partition_by: list[str], schema: StructType, after: int | None) -> int:
+    def _commit(self, segments: list[str], partition_by: list[str], schema: StructType, after: int | None, removed: dict[str, list[str]] | None = None, **about: object) -> int:
+        """Creates the version after the one given; ``removed`` has files of the segments that the version doesn't have."""
         version = 0 if after is None else after + 1
         target = self._path(f"{self.path}/_manifests/{version:08d}.json")
-        body = json.dumps({"segments": segments, "partition_by": partition_by, "schema": json.loads(schema.json())})
+        body = json.dumps({"segments": segments, "removed": removed or {}, "partition_by": partition_by, "schema": json.loads(schema.json()), **about})
         try:
             out = self._fs.create(target, False)
         except Exception as error:  # the JVM's exception type varies with the store
@@ -71,21 +81,51 @@ class LakeTable:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{segment}")
         return segment
 
-    # Reading
+    def _again(self, attempt: Callable[[int | None], int]) -> int:
+        """The attempt from the current version on, and anew from the next one if another writer was first."""
+        for k in range(TRIES):
+            try:
+                return attempt(self.version())
+            except ConcurrentCommit:
+                if k == TRIES - 1:
+                    raise
+        raise AssertionError
+
+    # Files
+
+    def _files(self, manifest: dict) -> dict[str, int]:
+        """Path and size of each file of a version."""
+        out = {}
+        for segment in manifest["segments"]:
+            gone = set(manifest["removed"].get(segment, ()))
+            found = self._fs.listFiles(self._path(f"{self.path}/{segment}"), True)
+            while found.hasNext():
+                status = found.next()
+                path = status.getPath().toString()
+                path = path[path.index(segment) :]
+                if path.endswith(".parquet") and path not in gone:
+                    out[path] = status.getLen()
+        return out
+
+    def _scan(self, manifest: dict, paths: list[str]) -> DataFrame:
+        """Folders or files as one table; a segment's folder is named like a partition's, so that one scan reads any number of them."""
+        schema = StructType.fromJson(manifest["schema"])
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.option("basePath", f"{self.path}/data").schema(schema).parquet(*[f"{self.path}/{p}" for p in paths])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The current or an earlier version; partition filters prune folders."""
-        manifest = self._manifest(version)
-        schema = StructType.fromJson(manifest["schema"])
-        if not manifest["segments"]:
-            return self.spark.createDataFrame([], schema)
-        # A segment's folder is named like a partition's, so that one scan reads any number of them.
-        rows = self.spark.read.option("basePath", f"{self.path}/data").schema(schema).parquet(*[f"{self.path}/{s}" for s in manifest["segments"]])
-        return rows.select(*schema.names)
+        return self._read(self._manifest(version))
+
+    def _read(self, manifest: dict) -> DataFrame:
+        whole = [s for s in manifest["segments"] if not manifest["removed"].get(s)]
+        parts = list(self._files(manifest | {"segments": [s for s in manifest["segments"] if s not in whole]}))
+        return self._scan(manifest, whole + parts).select(*StructType.fromJson(manifest["schema"]).names)
 
     def size_bytes(self) -> int:
         """Bytes of the current version's files."""
-        return sum(self._fs.getContentSummary(self._path(f"{self.path}/{s}")).getLength() for s in self._manifest()["segments"])
+        return sum(self._files(self._manifest()).values())
 
     def file_count(self) -> int:
         return len(self.read().inputFiles())
@@ -96,10 +136,51 @@ class LakeTable:
         name = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys]) if keys else F.lit("")
         return self.read().select(name.alias("partition"), F.input_file_name().alias("file")).distinct().groupBy("partition").agg(F.count("*").alias("files"))
 
+    def rewritten(self, version: int | None = None) -> int:
+        """Files that the merge of this version replaced."""
+        return self._manifest(version).get("rewritten", 0)
+
+    # The index
+
+    def _index(self, manifest: dict, keys: list[str]) -> DataFrame:
+        """file, low, high, log, bucket, bits: of each file of the version the keys' range and Bloom filter of 2 ** log bits; made for segments that have none yet."""
+        name = "_".join(keys)
+        at = {s: f"{self.path}/_index/{name}/{s.partition('=')[2]}" for s in manifest["segments"]}
+        missing = [s for s in at if not self._fs.exists(self._path(f"{at[s]}/_SUCCESS"))]
+        for segment in missing:
+            rows = self._scan(manifest, [segment]).select(F.struct(*keys).alias("key"), _file())
+            files = rows.groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.greatest(F.lit(15), F.ceil(F.log2(F.count("*") * BITS))).cast("int").alias("log"))
+            bits = rows.join(files, "file").select("file", "low", "high", "log", F.explode(_places("key", F.col("log"))).alias("place"))
+            maps = bits.groupBy("file", "low", "high", "log", F.floor(F.col("place") / MAP).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(MAP))).alias("bits"))
+            maps.write.mode("overwrite").parquet(at[segment])
+        found = self.spark.read.parquet(*at.values())
+        gone = [f for files in manifest["removed"].values() for f in files]
+        return found.join(self.spark.createDataFrame([(f,) for f in gone], "file string"), "file", "left_anti") if gone else found
+
+    def _hit_files(self, manifest: dict, keys: list[str], source: DataFrame) -> list[str]:
+        """The files that may hold a key of the source: by key ranges and Bloom filters, without reading data. Paths of files reach the driver."""
+        if not manifest["segments"]:
+            return []
+        index, wanted = self._index(manifest, keys), source.select(F.struct(*keys).alias("key")).distinct()
+        n, low, high = wanted.agg(F.count("*"), F.min("key").alias("low"), F.max("key").alias("high")).first()
+        if not n:
+            return []
+        ends = wanted.agg(F.min("key").alias("first"), F.max("key").alias("last"))
+        near = index.join(F.broadcast(ends), (F.col("low") <= F.col("last")) & (F.col("high") >= F.col("first"))).drop("first", "last")
+        files = {r.log: r.n for r in near.groupBy("log").agg(F.countDistinct("file").alias("n")).collect()}
+        if n * sum(files.values()) > TESTS or not files:
+            return [r.file for r in near.select("file").distinct().collect()]
+        asked = wanted.select("key", F.explode(F.array(*[F.lit(x) for x in sorted(files)])).alias("log"))
+        asked = asked.select("key", "log", F.explode(_places("key", F.col("log"))).alias("place")).withColumn("bucket", F.floor(F.col("place") / MAP))
+        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.pmod("place", F.lit(MAP)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = near.join(asked, ["log", "bucket"]).where((F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")))
+        bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("place"), F.lit(8)))), F.lit(2)) == 1
+        return [r.file for r in held.where(bit).groupBy("file", "key").agg(F.countDistinct("place").alias("n"), F.first("log").alias("log")).where(F.col("n") == F.size(F.array_distinct(_places("key", F.col("log"))))).select("file").distinct().collect()]
+
     # Writing
 
     def write(self, df: DataFrame, mode: str = "overwrite", partition_by: list[str] | None = None) -> int:
-        """Overwrites (the schema too) or appends; new columns of an append are null in older rows."""
+        """Overwrites (the schema too) or appends; new columns of an append are null in older rows. Columns of an append that don't fit the table's raise before anything is written."""
         now = self.version()
         if mode not in ("overwrite", "append"):
             raise ValueError(f"mode {mode}")
@@ -107,10 +188,17 @@ class LakeTable:
             keys = list(partition_by or [])
             return self._commit([self._write(df, keys)], keys, _stored(df, keys), now)
         manifest = self._manifest(now)
-        old, keys = StructType.fromJson(manifest["schema"]), manifest["partition_by"]
-        segment = self._write(df, keys)
-        both = StructType(old.fields + [f for f in df.schema.fields if f.name not in old.names])
-        return self._commit([*manifest["segments"], segment], keys, both, now)
+        segment = self._write(fitted(df, StructType.fromJson(manifest["schema"])), manifest["partition_by"])
+
+        def after(version: int | None) -> int:
+            # An append goes after whatever was committed meanwhile, if that still fits.
+            current = manifest if version == now else self._manifest(version)
+            schema = widened(StructType.fromJson(current["schema"]), df.schema)
+            if current["partition_by"] != manifest["partition_by"]:
+                raise ValueError(f"{self.path} has other partitions by now")
+            return self._commit([*current["segments"], segment], current["partition_by"], schema, version, current["removed"])
+
+        return self._again(after)
 
     def upsert(self, source: DataFrame, key: str | list[str], order_by: list[Column] | None = None, partition_by: list[str] | None = None, newer: str | None = None) -> int:
         """Updates rows of the source's keys and inserts the others. The first write creates the table.
@@ -120,50 +208,93 @@ class LakeTable:
         """
         keys = [key] if isinstance(key, str) else list(key)
         source = first_of_key(source, keys, order_by)
-        if not self.exists():
-            return self.write(source, "overwrite", partition_by)
-        target = self.read()
-        if newer:
-            held = target.select(*keys, F.col(newer).alias("_held"))
-            source = source.join(held, keys, "left").where(F.col("_held").isNull() | (F.col(newer) >= F.col("_held"))).drop("_held")
-        kept = target.join(source.select(*keys), keys, "left_anti")
-        manifest = self._manifest()
-        merged = kept.unionByName(source, allowMissingColumns=True)
-        segment = self._write(merged, manifest["partition_by"])
-        return self._commit([segment], manifest["partition_by"], _stored(merged, manifest["partition_by"]), self.version())
+        return self._again(lambda version: self._merge(source, keys, version, partition_by, newer))
+
+    def _merge(self, source: DataFrame, keys: list[str], version: int | None, partition_by: list[str] | None, newer: str | None) -> int:
+        if version is None:
+            return self._commit([self._write(source, list(partition_by or []))], list(partition_by or []), _stored(source, list(partition_by or [])), None)
+        manifest = self._manifest(version)
+        schema = widened(StructType.fromJson(manifest["schema"]), source.schema)
+        source = fitted(source, StructType.fromJson(manifest["schema"]))
+        near, hit = self._hit_files(manifest, keys, source), []
+        if near:
+            held = self._scan(manifest, near).select(*keys, *([F.col(newer).alias("_held")] if newer else []), _file()).join(source.select(*keys), keys, "left_semi")
+            if newer:
+                source = source.join(held.select(*keys, "_held"), keys, "left").where(F.col("_held").isNull() | (F.col(newer) >= F.col("_held"))).drop("_held")
+                held = held.join(source.select(*keys), keys, "left_semi")
+            hit = sorted(r.file for r in held.select("file").distinct().collect())
+        kept = self._scan(manifest, hit).select(*StructType.fromJson(manifest["schema"]).names).join(source.select(*keys), keys, "left_anti")
+        segment = self._write(kept.unionByName(source, allowMissingColumns=True), manifest["partition_by"])
+        removed = {s: [*manifest["removed"].get(s, ()), *[f for f in hit if f.startswith(s)]] for s in manifest["segments"]}
+        left = self._files(manifest | {"removed": removed})
+        segments = [s for s in manifest["segments"] if any(f.startswith(s) for f in left)]
+        return self._commit([*segments, segment], manifest["partition_by"], schema, version, {s: f for s, f in removed.items() if f and s in segments}, rewritten=len(hit))
 
     def insert_new(self, source: DataFrame, key: str | list[str], order_by: list[Column] | None = None, partition_by: list[str] | None = None) -> int:
-        """Appends rows whose key isn't there; rows without a key are left out."""
+        """Appends rows whose key isn't there; rows without a key are left out. Keys of another writer that commits meanwhile are there, too."""
         keys = [key] if isinstance(key, str) else list(key)
         source = first_of_key(source.dropna(subset=keys), keys, order_by)
-        if not self.exists():
-            return self.write(source, "overwrite", partition_by)
-        return self.write(source.join(self.read().select(*keys), keys, "left_anti"), "append")
+
+        def insert(version: int | None) -> int:
+            if version is None:
+                return self._merge(source, keys, None, partition_by, None)
+            manifest = self._manifest(version)
+            rows = fitted(source, StructType.fromJson(manifest["schema"]))
+            there = self._scan(manifest, self._hit_files(manifest, keys, rows)).select(*keys)
+            segment = self._write(rows.join(there, keys, "left_anti"), manifest["partition_by"])
+            schema = widened(StructType.fromJson(manifest["schema"]), source.schema)
+            return self._commit([*manifest["segments"], segment], manifest["partition_by"], schema, version, manifest["removed"])
+
+        return self._again(insert)
 
     # Maintenance
 
     def compact(self, files_per_partition: int | None = None) -> dict[str, int]:
-        """Rewrites each partition into a few files, by default of about FILE_BYTES; rows are the same."""
-        manifest, before = self._manifest(), self.file_count()
-        df, keys = self.read(), manifest["partition_by"]
-        if files_per_partition is None:
-            partitions = df.select(*keys).distinct().count() if keys else 1
-            files_per_partition = max(1, -(-self.size_bytes() // (FILE_BYTES * max(partitions, 1))))
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-        df = df.withColumn("_salt", salt)
-        df = (df.repartition(*keys, "_salt") if keys else df.repartition(files_per_partition, "_salt")).drop("_salt")
-        self._commit([self._write(df, keys)], keys, StructType.fromJson(manifest["schema"]), self.version())
-        return {"before": before, "after": self.file_count()}
+        """Rewrites small files (below half of FILE_BYTES), where a partition has several, into few of about FILE_BYTES and carries the others over; with
+        ``files_per_partition``, all files of each partition into so many. Rows are the same. Raises if another writer commits meanwhile."""
+        manifest = self._manifest()
+        files, keys = self._files(manifest), manifest["partition_by"]
+        folder = lambda path: path.partition("/")[2].partition("/")[2].rpartition("/")[0]
+        sizes: dict[str, list[int]] = {}
+        for path, size in files.items():
+            if files_per_partition or size < FILE_BYTES // 2:
+                sizes.setdefault(folder(path), []).append(size)
+        several = {f for f, x in sizes.items() if len(x) > 1 or files_per_partition}
+        small = [path for path, size in files.items() if folder(path) in several and (files_per_partition or size < FILE_BYTES // 2)]
+        if not small:
+            return {"before": len(files), "after": len(files)}
+        number = files_per_partition or max(-(-sum(sizes[f]) // FILE_BYTES) for f in several)
+        df = self._scan(manifest, manifest["segments"] if len(small) == len(files) and not manifest["removed"] else small).select(*StructType.fromJson(manifest["schema"]).names)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(number)))
+        df = (df.repartition(*keys, "_salt") if keys else df.repartition(number, "_salt")).drop("_salt")
+        segment = self._write(df, keys)
+        gone = set(small)
+        removed = {s: [*manifest["removed"].get(s, ()), *[f for f in small if f.startswith(s)]] for s in manifest["segments"]}
+        segments = [s for s in manifest["segments"] if any(f.startswith(s) and f not in gone for f in files)]
+        self._commit([*segments, segment], keys, StructType.fromJson(manifest["schema"]), manifest["version"], {s: f for s, f in removed.items() if f and s in segments}, rewritten=len(small))
+        return {"before": len(files), "after": self.file_count()}
 
     def zorder(self, columns: list[str], files: int | None = None) -> int:
-        """Rewrites the table clustered by the columns: by range for one, by interleaved rank bits for several; by default in files of about FILE_BYTES."""
-        manifest, df = self._manifest(), self.read()
-        keys, files = manifest["partition_by"], files or max(1, -(-self.size_bytes() // FILE_BYTES))
+        """Rewrites the table clustered by the columns: by range for one, by interleaved rank bits for several; by default in files of about FILE_BYTES. Raises if another writer commits meanwhile."""
+        manifest = self._manifest()
+        df, keys = self._read(manifest), manifest["partition_by"]
+        files = files or max(1, -(-sum(self._files(manifest).values()) // FILE_BYTES))
         if len(columns) == 1:
             df = df.repartitionByRange(files, *keys, columns[0]).sortWithinPartitions(*keys, columns[0])
         else:
             df = df.withColumn("_z", z_value(df, columns)).repartitionByRange(files, *keys, "_z").sortWithinPartitions(*keys, "_z").drop("_z")
-        return self._commit([self._write(df, keys)], keys, StructType.fromJson(manifest["schema"]), self.version())
+        return self._commit([self._write(df, keys)], keys, StructType.fromJson(manifest["schema"]), manifest["version"])
+
+
+def _file() -> Column:
+    """The file of a row, from the table's folder on."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(path, f"(data/{SEGMENT}=.*)$", 1).alias("file")
+
+
+def _places(key: str, log: Column) -> Column:
+    """The bits of a key in a filter of 2 ** log bits."""
+    return F.array(*[F.pmod(F.xxhash64(key, F.lit(k)), F.pow(F.lit(2), log).cast("long")) for k in range(HASHES)])
 
 
 def _stored(df: DataFrame, partition_by: list[str]) -> StructType:

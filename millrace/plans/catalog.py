@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import embed, events, fuzzy, geo, gtin, price, text
-from millrace.operators import matching, medallion, pipeline, planner, quality, runs
+from millrace.operators import matching, medallion, pipeline, planner, quality, runs, schema
 from millrace.operators.tables import LakeTable, first_of_key
 from millrace.plans import tables as t
 from millrace.plans.tables import ROUND, sql
@@ -139,10 +140,22 @@ def j7_relationships(spark, d):
     return quality.relationships(table(spark, d, "lineitem"), "l_partkey", parents, "p_partkey").select("l_orderkey", "l_partkey")
 
 
-@query("SELECT * FROM (VALUES ('added_column', 'new_field', 'info'), ('removed_column', 'brands', 'error')) AS v(change, column_name, severity)")
+PAIRS = (("supplier", "customer"), ("customer", "supplier"), ("labels", "conversations"), ("conversations", "labels"), ("orders", "lineitem"))
+# The tables' columns by their meaning, so that two tables have some in common.
+MEANING = {"doc_id": "id", "conv_id": "id", "quality": "turn"}
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz"}
+KINDS = "CASE data_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TYPES.items()) + " END"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT table_name AS t, CASE column_name {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in MEANING.items())} ELSE regexp_replace(column_name, '^[a-z]_', '') END AS path, {KINDS} AS kind FROM duckdb_columns()),
+p(old, new) AS (VALUES {', '.join(map(str, PAIRS))})
+SELECT pair, path, CASE WHEN actual IS NULL THEN 'removed_column' WHEN expected IS NULL THEN 'added_column' WHEN expected = 'int' AND actual = 'bigint' THEN 'widened_type' WHEN expected = 'bigint' AND actual = 'int' THEN 'narrowed_type' ELSE 'changed_type' END AS change,
+  expected, actual, CASE WHEN expected IS NULL OR (expected = 'int' AND actual = 'bigint') THEN 'info' ELSE 'error' END AS severity
+FROM (SELECT old || ' ' || new AS pair, path, max(CASE WHEN t = old THEN kind END) AS expected, max(CASE WHEN t = new THEN kind END) AS actual FROM p JOIN c ON t IN (old, new) GROUP BY old, new, path) WHERE expected IS DISTINCT FROM actual""")
 def j10_drift(spark, d):
-    actual = [c for c in quality.PRODUCT_COLUMNS if c != "brands"] + ["new_field"]
-    return quality.detect_drift(spark, quality.PRODUCT_COLUMNS, actual).withColumnRenamed("column", "column_name")
+    """Structural drift between given tables, by the meaning of their columns."""
+    named = lambda name: (rows := table(spark, d, name)).select(*[F.col(c).alias(MEANING.get(c) or re.sub("^[a-z]_", "", c)) for c in rows.columns]).schema
+    return reduce(DataFrame.unionByName, [schema.drift(spark, named(old), named(new)).withColumn("pair", F.lit(f"{old} {new}")) for old, new in PAIRS])
 
 
 # Aggregates
@@ -476,38 +489,57 @@ def q9_accepted_values(spark, d):
 # Table layer
 
 
-def _versions(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    old = orders.where("o_orderkey % 3 <> 0")
-    new = orders.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return old, new
+def _orders(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+def _dearer(orders):
+    return orders.withColumn("o_totalprice", F.col("o_totalprice") + 1)
 
 
-MERGED = "SELECT o_orderkey, o_custkey, CASE WHEN {upd} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0"
+MERGED = "SELECT o_orderkey, o_custkey, CASE WHEN {upd} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders"
 
 
 @query(MERGED.format(upd="o_orderkey % 2 = 0"))
 def k2_j4_upsert(spark, d):
-    lake = LakeTable(spark, t.scratch(spark, "orders"))
-    old, new = _versions(spark, d)
-    lake.upsert(old, "o_orderkey", partition_by=["o_orderstatus"])
+    """All orders, then the even ones at another price, twice each."""
+    lake, orders = LakeTable(spark, t.scratch(spark, "orders")), _orders(spark, d)
+    lake.upsert(orders, "o_orderkey", partition_by=["o_orderstatus"])
+    new = _dearer(orders.where("o_orderkey % 2 = 0"))
     lake.upsert(new.unionByName(new), "o_orderkey")
     return lake.read()
 
 
-@query(MERGED.format(upd="o_orderkey % 2 = 0 AND o_orderkey % 3 = 0"))
+@query(MERGED.format(upd="o_orderkey % 3 = 0"))
 def k3_j5_insert_new(spark, d):
-    lake = LakeTable(spark, t.scratch(spark, "orders"))
-    old, new = _versions(spark, d)
-    lake.insert_new(old, "o_orderkey")
-    lake.insert_new(new, "o_orderkey")
+    """Two thirds of the orders, then all at another price: the last third is new."""
+    lake, orders = LakeTable(spark, t.scratch(spark, "orders")), _orders(spark, d)
+    lake.insert_new(orders.where("o_orderkey % 3 <> 0"), "o_orderkey")
+    lake.insert_new(_dearer(orders), "o_orderkey")
     return lake.read()
 
 
+FEW = "o_orderkey IN (SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3)"
+
+
+@query(f"SELECT *, 32::BIGINT AS n_files, true AS few_rewritten FROM ({MERGED.format(upd=FEW)})")
+def k2_k9_merge_by_files(spark, d):
+    """All orders in files by ranges of the key, then an upsert of a few: a file without such a key is carried over."""
+    lake, orders = LakeTable(spark, t.scratch(spark, "orders")), _orders(spark, d)
+    lake.write(orders.repartitionByRange(32, "o_orderkey"))
+    n_files, version = lake.file_count(), lake.version()
+    place = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    few = orders.withColumn("n", place).where("n <= 3").drop("n")
+    merged = lake.upsert(_dearer(few), "o_orderkey")
+    touched = orders.join(few.select("o_orderkey"), "o_orderkey", "left_semi").count()
+    return lake.read().withColumns({"n_files": F.lit(n_files).cast("long"), "few_rewritten": F.lit(0 < lake.rewritten(merged) <= touched and merged == version + 1)})
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
 def s1_k13_time_travel(spark, d):
     lake = LakeTable(spark, t.scratch(spark, "orders"))
-    old, new = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), _versions(spark, d)[1]
+    old = _orders(spark, d)
+    new = _dearer(old.where("o_orderkey % 2 = 0"))
     lake.write(old, "overwrite", ["o_orderstatus"])
     lake.upsert(new, "o_orderkey")
     return lake.read(version=0).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
@@ -516,7 +548,7 @@ def s1_k13_time_travel(spark, d):
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def s4_k4_k11_partition_read(spark, d):
     lake = LakeTable(spark, t.scratch(spark, "orders"))
-    lake.write(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), "overwrite", ["o_orderstatus"])
+    lake.write(_orders(spark, d), "overwrite", ["o_orderstatus"])
     lake.zorder(["o_custkey", "o_totalprice"], files=4)
     return lake.read().where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
@@ -694,7 +726,8 @@ texts AS (SELECT product_id, unnest(list_append(list_filter(string_split(coalesc
 pairs AS (SELECT query, candidate, {SORTED.format('query')} AS a, {SORTED.format('candidate')} AS b FROM q, (SELECT DISTINCT candidate FROM texts)),
 scored AS (SELECT query, candidate, CASE WHEN lower(trim(query)) = lower(trim(candidate)) THEN 1.0::DOUBLE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {LCS} / (length(a) + length(b)) END AS score FROM pairs),
 best AS (SELECT query, product_id, max(score) AS score FROM texts JOIN scored USING (candidate) GROUP BY query, product_id),
-matches AS (SELECT query, store_id, product_id, product_name, price, CASE WHEN score >= 0.72 THEN {ROUND('score', 3)} END AS score, CASE WHEN score >= 0.72 THEN 'fuzzy' ELSE 'none' END AS method, score >= 0.72 AS available
+matches AS (SELECT query, store_id, CASE WHEN score >= 0.72 THEN product_id END AS product_id, CASE WHEN score >= 0.72 THEN product_name END AS product_name, CASE WHEN score >= 0.72 THEN price END AS price,
+  CASE WHEN score >= 0.72 THEN {ROUND('score', 3)} END AS score, CASE WHEN score >= 0.72 THEN 'fuzzy' ELSE 'none' END AS method, score >= 0.72 AS available
   FROM stocked JOIN best USING (product_id) QUALIFY row_number() OVER (PARTITION BY query, store_id ORDER BY score DESC, price, product_id) = 1)"""
 
 
@@ -708,7 +741,8 @@ def matched(body: str):
 
 @matched("SELECT * FROM matches")
 def b2_x9_match(spark, d):
-    return matching.match_at_stores(_cart(spark), t.offers(spark, d))
+    offers = t.offers(spark, d)
+    return matching.answers(matching.match_at_stores(_cart(spark), offers), _cart(spark), offers.where("in_stock"))
 
 
 @matched(f"SELECT query, arg_min(product_name, k) AS product_name, arg_min(store_id, k) AS store_id, max(score) AS score, count(*) AS num_stores, {ROUND('min(price)')} AS min_price, {ROUND('max(price)')} AS max_price FROM (SELECT *, {{'s': -score, 'p': price, 't': store_id, 'i': product_id}} AS k FROM matches WHERE available) GROUP BY query")
@@ -717,7 +751,7 @@ def b3_a12_match_items(spark, d):
 
 
 OPTIONS = f"""cart(item, qty) AS (VALUES ('milk', 2), ('rice', 1), ('eggs', 1), ('bread', 3), ('caviar', 1)),
-near AS (SELECT store_id, {KM} AS km FROM stores ORDER BY 2, 1 LIMIT 6),
+near AS (SELECT store_id, {KM} AS km FROM stores ORDER BY 2, 1 LIMIT 50),
 opts AS (SELECT category AS item, store_id, price, 0.9::DOUBLE AS score FROM offers WHERE in_stock AND store_id IN (SELECT store_id FROM near) QUALIFY row_number() OVER (PARTITION BY category, store_id ORDER BY price, product_id) = 1),
 sets AS (SELECT [] ::VARCHAR[] AS s, 0.0::DOUBLE AS km UNION ALL SELECT [store_id], 2 * km FROM near
   UNION ALL SELECT [a.store_id, b.store_id], 2 * a.km + 2 * b.km FROM near a JOIN near b ON a.store_id < b.store_id
@@ -730,10 +764,10 @@ priced AS (SELECT set_id, size, items_cost, missing, {ROUND('(5 - missing) / 5.0
 
 def _plans(spark, d):
     cart = spark.createDataFrame([("milk", 2), ("rice", 1), ("eggs", 1), ("bread", 3), ("caviar", 1)], "item string, qty int")
-    near = planner.nearest(_near(spark, d), 6)
+    near = planner.nearest(_near(spark, d), 50)
     stocked = t.offers(spark, d).where("in_stock").join(F.broadcast(near.select("store_id")), "store_id")
     cheapest = stocked.groupBy(F.col("category").alias("item"), "store_id").agg(F.min("price").alias("price")).withColumn("score", F.lit(0.9))
-    return cart, cheapest, planner.plan_costs(cart, cheapest, planner.store_sets(near, 3))
+    return cart, cheapest, near
 
 
 def _planned(body: str) -> str:
@@ -750,35 +784,40 @@ def planned(body: str):
 
 @planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, coverage, objective FROM priced")
 def a13_x20_plan_costs(spark, d):
-    return _plans(spark, d)[2].withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
+    cart, options, near = _plans(spark, d)
+    return planner.plan_costs(cart, options, planner.store_sets(near, 3)).withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
+
+
+def _searched(spark, d) -> DataFrame:
+    return planner.search(*_plans(spark, d), 3).plans
 
 
 @planned(f"SELECT set_id, size, {ROUND('items_cost', 4)} AS items_cost, missing, coverage, objective FROM priced ORDER BY objective, size, set_id LIMIT 1")
 def a15_b5_b6_best_plan(spark, d):
-    return planner.best_plan(_plans(spark, d)[2]).withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
+    return planner.best_plan(_searched(spark, d)).withColumn("items_cost", text.half_up(F.col("items_cost"), 4))
 
 
 @planned("SELECT set_id, objective FROM priced WHERE size = 1 ORDER BY objective, size, set_id LIMIT 1")
 def b4_single_store(spark, d):
-    return planner.single_store_plan(_plans(spark, d)[2]).select("set_id", "objective")
+    return planner.single_store_plan(_searched(spark, d)).select("set_id", "objective")
 
 
 @planned(f"SELECT s.objective AS single_objective, s.set_id AS single_set, m.objective AS multi_objective, m.set_id AS multi_set, {ROUND('s.objective - m.objective', 3)} AS savings, CASE WHEN m.objective < s.objective THEN 'multi_store' ELSE 'single_store' END AS recommended FROM (SELECT * FROM priced WHERE size = 1 ORDER BY objective, size, set_id LIMIT 1) s, (SELECT * FROM priced WHERE size >= 1 ORDER BY objective, size, set_id LIMIT 1) m")
 def b7_b8_recommended(spark, d):
-    return planner.recommended(_plans(spark, d)[2])
+    return planner.recommended(_searched(spark, d))
 
 
-@planned("""SELECT item, qty, l.store_id, l.price, l.score, l.cost, a.store_id AS alternative_store, a.price AS alternative_price
+@planned("""SELECT item, qty, l.store_id, l.price, l.score, l.cost, a.store_id AS alternative_store, a.price AS alternative_price, coalesce(printf('%s at %.2f', l.store_id, l.price), 'not carried at an acceptable cost') AS explanation
 FROM cart LEFT JOIN (SELECT item, arg_min(o, k) AS l FROM (SELECT item, {'store_id': store_id, 'price': price, 'score': score, 'cost': cost} AS o, {'c': cost, 's': store_id} AS k
     FROM (SELECT item, store_id, price, score, 1.0::DOUBLE * qty * price + 6.0::DOUBLE * (1.0::DOUBLE - score) AS cost FROM opts JOIN cart USING (item)
           WHERE store_id IN (SELECT unnest(string_split(set_id, '|')) FROM (SELECT set_id FROM priced ORDER BY objective, size, set_id LIMIT 1))) WHERE cost < 25) GROUP BY item) b USING (item)
 LEFT JOIN LATERAL (SELECT arg_min({'store_id': opts.store_id, 'price': opts.price}, {'p': opts.price, 's': opts.store_id}) AS a FROM opts WHERE opts.item = cart.item AND opts.store_id <> l.store_id) x ON true""")
 def o6_b7_assignments(spark, d):
-    cart, options, costs = _plans(spark, d)
-    return planner.assignments(planner.best_plan(costs), cart, options).drop("explanation")
+    cart, options, near = _plans(spark, d)
+    return planner.assignments(planner.best_plan(planner.search(cart, options, near, 3).plans), cart, options)
 
 
-NEAR = f"near AS (SELECT store_id, {KM} AS km FROM (SELECT DISTINCT store_id, lat, lon FROM offers) ORDER BY 2, 1 LIMIT 12)"
+NEAR = f"near AS (SELECT store_id, {KM} AS km FROM (SELECT DISTINCT store_id, lat, lon FROM offers) ORDER BY 2, 1 LIMIT 50)"
 CART_OPTIONS = OPTIONS[OPTIONS.index("sets AS ("):]
 
 
