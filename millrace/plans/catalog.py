@@ -711,6 +711,20 @@ def t10_k7_published(spark, d):
     return sent.select("key", F.from_json("value", "event_id bigint, price double").alias("v")).select("key", "v.event_id", "v.price")
 
 
+@query(f"""WITH b AS (SELECT event_id, ts, ntile(3) OVER (ORDER BY event_id) AS batch FROM events WHERE {OK}),
+w AS (SELECT *, (SELECT date_trunc('second', max(o.ts)) - INTERVAL 1 HOUR FROM b o WHERE o.batch < b.batch - 1) AS mark FROM b)
+SELECT event_id FROM w WHERE mark IS NULL OR date_trunc('second', ts) > mark""")
+def t4_t5_watermarked_stream(spark, d):
+    """Messages in three batches, the first of them delivered again at the end: each event once, and none that is later than the watermark of the batch before."""
+    source, state = t.scratch(spark, "messages"), t.scratch(spark, "checkpoint")
+    events = routing.accepted(routing.route(t.messages(spark, d))).withColumn("batch", F.ntile(3).over(Window.orderBy("event_id"))).persist()
+    for k in (1, 2, 3, 1):
+        routing.to_message(events.where(F.col("batch") == k).drop("batch")).select("value").coalesce(1).write.mode("append").text(source)
+    on_time, late = LakeTable(spark, t.scratch(spark, "on-time")), LakeTable(spark, t.scratch(spark, "late"))
+    jobs.start_flagged(jobs.file_messages(spark, source, 1), on_time, late, state, once=True).awaitTermination()
+    return on_time.read().select("event_id").unionByName(late.read().select("event_id"))
+
+
 # Matching and planning
 
 CART = ["milk", "rice", "chicken breast", "spinach", "oat drink"]

@@ -86,21 +86,51 @@ def publish(events: DataFrame, path: str, checkpoint: str | None = None) -> Stre
     return None
 
 
+def watermarked(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Accepted events with event_ts, each event_id once: later copies within the delay are dropped, and so is what is later than the watermark; states expire with it."""
+    stamped = events if "event_ts" in events.columns else with_times(events)
+    return stamped.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def late_flags(events: DataFrame, key: str = "store_id", lateness: float = ALLOWED_LATENESS) -> DataFrame:
-    """event_id, key, observed_at, _late on a stream: lateness against the greatest event time that the key's state has seen.
+    """The events with _late, on a stream: lateness against the greatest event time that the key's state has seen.
 
-    Each key has its own state, so that the stream is dealt out by key; a constant key gives one order for all.
+    Each key has its own state, so that the stream is dealt out by key; a constant key gives one order for all. A key's state expires when the watermark passes that
+    time: what comes later is dropped or newer, so nothing is flagged otherwise. Events without a watermark get one of ``lateness``.
     """
-    fields = f"event_id long, {key} {events.schema[key].dataType.simpleString()}, observed_at string, _late boolean"
+    stamped = events if "event_ts" in events.columns else with_times(events).withWatermark("event_ts", f"{int(lateness)} seconds")
+    columns = [c for c in stamped.columns if c != "_t"]
+    fields = ", ".join(f"`{c}` {stamped.schema[c].dataType.simpleString()}" for c in columns) + ", _late boolean"
 
     def flag(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (top,) = state.get if state.exists else (0.0,)
         for rows in batches:
             late = []
             for t in rows["_t"]:
                 late.append(top > 0 and t < top - lateness)
                 top = max(top, t)
-            yield rows.assign(_late=late)[["event_id", key, "observed_at", "_late"]]
+            yield rows.assign(_late=late)[[*columns, "_late"]]
         state.update((top,))
+        state.setTimeoutTimestamp(max(int(top * 1000), state.getCurrentWatermarkMs()) + 1)
+
+    return stamped.withColumn("_t", event_seconds(F.col("observed_at"))).groupBy(key).applyInPandasWithState(flag, fields, "top double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_flagged(messages: DataFrame, on_time: LakeTable, late: LakeTable, checkpoint: str, delay: str = "1 hour", lateness: float = ALLOWED_LATENESS, once: bool = False) -> StreamingQuery:
+    """The stream of messages, each event once, into a table of events in time and a side table of late ones. What is later than the watermark is dropped; the query's progress
+    tells how many (``numRowsDroppedByWatermark``) and how many states are held."""
 
-    return events.withColumn("_t", event_seconds(F.col("observed_at"))).groupBy(key).applyInPandasWithState(flag, fields, "top double", "append", GroupStateTimeout.NoTimeout)
+    def sink(batch: DataFrame, _: int) -> None:
+        rows = batch.persist()
+        try:
+            for table, flag in ((on_time, False), (late, True)):
+                table.insert_new(rows.where(F.col("_late") == flag).drop("_late"), "event_id")
+        finally:
+            rows.unpersist()
+
+    flagged = late_flags(watermarked(accepted(route(messages)), delay), lateness=lateness)
+    writer = flagged.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -53,6 +54,30 @@ def test_stateful_late_flags(spark, tmp_path):
     assert {r.event_id: r._late for r in spark.table("late").collect()} == {1: False, 2: False, 3: True}
 
 
+def test_watermarks_drop_and_states_expire(spark, tmp_path):
+    """Batches of one file each: a copy, a late event, one later than the watermark, and keys that go quiet."""
+    path = str(tmp_path / "in")
+    batches = [
+        [(1, 1, "10:00"), (2, 2, "10:05"), (1, 1, "10:00")],
+        [(3, 1, "13:00"), (1, 1, "10:00"), (4, 3, "10:10")],
+        [(5, 1, "12:20"), (6, 1, "11:50"), (3, 1, "13:00"), (7, 2, "09:00")],
+        [(8, 1, "16:00"), (9, 4, "11:00")],
+    ]
+    for rows in batches:
+        message = lambda k, store, at: json.dumps(V2 | {"event_id": k, "store_id": store, "observed_at": f"2024-01-01T{at}:00"})
+        spark.createDataFrame([(message(*r),) for r in rows], "value string").coalesce(1).write.mode("append").text(path)
+        time.sleep(0.05)
+    on_time, late = LakeTable(spark, f"file://{tmp_path}/on_time"), LakeTable(spark, f"file://{tmp_path}/late")
+    query = jobs.start_flagged(jobs.file_messages(spark, path, 1), on_time, late, str(tmp_path / "c"), delay="1 hour", lateness=1800.0, once=True)
+    query.awaitTermination()
+    ids = lambda table: sorted(r.event_id for r in table.read().collect())
+    # Rows are dropped by the watermark of the batch before: 09:05 for the third, 12:00 for the fourth.
+    assert (ids(on_time), ids(late)) == ([1, 2, 3, 4, 8], [5, 6])
+    states = [[op.numRowsTotal for op in p.stateOperators] for p in query.recentProgress]
+    assert sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators) == 2
+    assert states[-1] == [1, 1]
+
+
 def test_publishing(spark, tmp_path):
     good = routing.accepted(routed(spark, [json.dumps(V2)]))
     jobs.publish(good, str(tmp_path / "out"))
