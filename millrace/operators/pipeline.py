@@ -44,23 +44,29 @@ def _ingest(lake: Lake, sources: Sources, mode: str, run_id: str, now: str, sour
     lake.log("drift", schema.drift(spark, StructType.fromDDL(SCHEMA), fresh.schema).withColumn("run_id", F.lit(run_id)))
     landed = medallion.land(fresh, run_id, now, source)
     bronze = lake["bronze_products"]
-    bronze.write(landed, "append" if mode == "incremental" else "overwrite")
+    # Rows, failing rows and metrics are counted by the jobs that write the tables.
+    seen = {"raw_products": quality.watch(landed, "raw_products")}
+    bronze.write(seen["raw_products"].rows, "append" if mode == "incremental" else "overwrite")
     new = bronze.read().where(F.col("run_id") == run_id)
-    ingested, rejected = new.count(), runs.rejected(new).first().n
     lake.log("quarantine", quality.quarantine(new, run_id, now))
 
-    lake["dim_product"].write(medallion.dim_product(bronze.read(), medallion.category_map(spark)))
-    lake["dim_store"].write(medallion.dim_store(sources.stores))
+    seen["dim_product"] = quality.watch(medallion.dim_product(bronze.read(), medallion.category_map(spark)), "dim_product")
+    lake["dim_product"].write(seen["dim_product"].rows)
+    seen["dim_store"] = quality.Watch(medallion.dim_store(sources.stores))
+    lake["dim_store"].write(seen["dim_store"].rows)
     lake["fact_inventory"].write(medallion.fact_inventory(sources.events))
     products, stores, inventory = (lake[n].read() for n in ("dim_product", "dim_store", "fact_inventory"))
-    lake["store_product_offers"].write(medallion.offers(inventory, stores, products))
+    seen["store_product_offers"] = quality.watch(medallion.offers(inventory, stores, products), "store_product_offers")
+    lake["store_product_offers"].write(seen["store_product_offers"].rows)
     offers = lake["store_product_offers"].read()
     gold = {"product_catalog": medallion.product_catalog(products), "cheapest_products": medallion.cheapest_products(offers), "category_price_stats": medallion.category_price_stats(offers), "product_search_index": medallion.product_search_index(offers)}
     for name, rows in gold.items():
         lake[name].write(rows)
 
-    lake.log("quality_results", quality.run_checks(new, products, offers, run_id, now))
-    lake.log("metrics", runs.row_counts({n: lake[n].read() for n in ("dim_product", "dim_store", "store_product_offers")}, run_id, now))
+    counts = {name: w.counts() for name, w in seen.items()}
+    ingested, rejected = counts["raw_products"]["total"], counts["raw_products"]["malformed_records"]
+    lake.log("quality_results", quality.checked(counts, quality.duplicates(products, "barcode").first().failed_count, spark, run_id, now))
+    lake.log("metrics", runs.metric_rows(spark, {n: counts[n]["total"] for n in ("dim_product", "dim_store", "store_product_offers")}, run_id, now))
     if gated:
         quality.gate(lake["quality_results"].read().where(F.col("run_id") == run_id))
     # Only a run that passed moves the watermarks, and never back.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.events import positive
@@ -54,6 +54,38 @@ def run_checks(bronze: DataFrame, products: DataFrame, offers: DataFrame, run_id
     )
 
 
+class Watch:
+    """Counts of rows and of failing rows, taken by the job that writes them: write ``rows``, then read ``counts``."""
+
+    def __init__(self, df: DataFrame, **failing: Column):
+        self._seen = Observation()
+        self.rows = df.observe(self._seen, F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(name) for name, c in failing.items()])
+
+    def counts(self) -> dict[str, int]:
+        """Waits for the job; without one it would wait for ever."""
+        return self._seen.get
+
+
+#: The standard checks that a row fails on its own; duplicates take a shuffle.
+ROW_CHECKS = {
+    "raw_products": lambda: {"malformed_records": ~filled("barcode", "product_name")},
+    "dim_product": lambda: {"missing_categories": ~filled("category"), "invalid_upcs": ~valid_gtin(F.col("barcode"))},
+    "store_product_offers": lambda: {"invalid_prices": bad_price(F.col("price"))},
+}
+
+
+def watch(df: DataFrame, table: str) -> Watch:
+    """The table's standard checks, for the job that writes it."""
+    return Watch(df, **ROW_CHECKS[table]())
+
+
+def checked(counts: dict[str, dict[str, int]], duplicate_products: int, spark: SparkSession, run_id: str, now: str) -> DataFrame:
+    """The rows of ``run_checks`` from what the writing jobs counted."""
+    failed = {name: n for table in counts.values() for name, n in table.items()} | {"duplicate_products": duplicate_products}
+    rows = [(run_id, *c[:4], failed[c[0]], counts[c[2]]["total"], failed[c[0]] == 0, c[4], now) for c in CHECKS]
+    return spark.createDataFrame(rows, "run_id string, check_name string, layer string, table string, severity string, failed_count long, total_count long, passed boolean, detail string, checked_at string")
+
+
 class QualityGate(RuntimeError):
     """Checks of severity error failed."""
 

@@ -84,7 +84,10 @@ def offers(spark: SparkSession, d: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a table: in the cluster's shared checkpoint folder, else in the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/millrace-tables/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import pipeline, planner, quality
+from millrace.operators import pipeline, planner, quality, runs
 from millrace.operators.tables import LakeTable
 from millrace.plans import tables as t
 from millrace.streaming import jobs
@@ -23,6 +23,22 @@ def test_failed_run_is_logged_and_moves_no_watermark(spark, tmp_path):
         pipeline.run(lake, None, "weekly")
 
 
+def test_runs_count_while_they_write(spark, tmp_path):
+    """Checks and metrics equal those of a second pass, also where every check fails."""
+    lake = pipeline.Lake(spark, f"file://{tmp_path}/lake")
+    raw = t.raw_products(spark, SF).drop("ingested_at")
+    events = t.price_events(spark, SF).withColumn("price", F.when(F.col("event_id").endswith("1"), -1.0).otherwise(F.col("price")))
+    pipeline.run(lake, pipeline.Sources(raw, t.raw_stores(spark, SF), events), "full", "r1", "2024-01-01T00:00:00")
+    tables = [lake[n].read() for n in ("bronze_products", "dim_product", "store_product_offers")]
+    want = quality.run_checks(*tables, "r1", "2024-01-01T00:00:00").collect()
+    got = lake["quality_results"].read().select(*want[0].asDict()).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r.failed_count for r in got) > 0
+    metrics = runs.row_counts({n: lake[n].read() for n in ("dim_product", "dim_store", "store_product_offers")}, "r1", "2024-01-01T00:00:00")
+    assert sorted(map(tuple, lake["metrics"].read().collect())) == sorted(map(tuple, metrics.collect()))
+    log = lake["runs"].read().first()
+    assert (log.rows_ingested, log.rows_rejected) == (raw.count(), lake["quarantine"].read().count())
+
+
 def test_dead_letters_of_other_batches_of_one_number(spark, tmp_path):
     events, dead = LakeTable(spark, f"file://{tmp_path}/events"), LakeTable(spark, f"file://{tmp_path}/dead")
     batch = lambda *values: spark.createDataFrame([(v,) for v in values], "value string")
