@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import kept, trimmed, tuned
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-REMEMBERED, SHORT = 600_000, 32
-BLOCK, LONG_TEXT, FEW, BATCH = 1_500_000, 1 << 21, 6, 6 << 20
+REMEMBERED, SHORT = 400_000, 32
+BLOCK, LONG_TEXT, FEW, BATCH = 1_000_000, 1 << 20, 6, 4 << 20
 NONE = -1
 
 
