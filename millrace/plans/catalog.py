@@ -598,6 +598,23 @@ def s7_t11_replay_from(spark, d):
     return files.replay_from(log, middle)
 
 
+@query(f"SELECT * FROM ({LOG}) WHERE ts_ms >= (SELECT (min(ts_ms) + max(ts_ms)) // 2 FROM ({LOG})) ORDER BY ts_ms, key, value LIMIT 100")
+def o11_limited_replay(spark, d):
+    log = table(spark, d, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"))
+    middle = log.agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("long")).first()[0]
+    return files.replay_from(log, middle, 100)
+
+
+@query("SELECT barcode, product_name, brands, last_modified_t, taxonomy_key FROM raw_products", "raw_products")
+def s9_s10_json_source(spark, d):
+    """Raw products written as files of one JSON array each, and read with the fixed schema."""
+    path = t.scratch(spark, "json")
+    rows = t.raw_products(spark, d).select("barcode", "product_name", "brands", "last_modified_t", "taxonomy_key")
+    arrays = rows.groupBy(F.floor(F.col("barcode").cast("long") / 1000).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("*"))), ","), F.lit("]")).alias("value"))
+    arrays.repartition("file").write.partitionBy("file").text(path)
+    return files.read_products_json(spark, path).select(*rows.columns)
+
+
 # Runs
 
 NEWER = "SELECT count(*) FROM part WHERE p_partkey % 4 = 0"

@@ -3,8 +3,9 @@
     spark.dataSource.register(ProductApi)
     spark.read.format("product_api").option("categories", "milk=Milks,rice=Rices").load("https://host/search")
 
-Requests are tried four times with growing delays; a category that still fails is logged and left out. Records
-come with ``last_modified_t`` above the category's watermark only. A category ends with an empty or
+Requests are tried four times with growing delays. A category of which a page still fails, or that has more than ``max_pages`` pages, is logged and left out as a whole: rows
+of some pages would move its watermark past those of the others, which would then never be asked for. So a task holds a category's new rows, page_size * max_pages at most,
+until it has all of them. Records come with ``last_modified_t`` above the category's watermark only. A category ends with an empty or
 short page. A path that isn't HTTP is a folder of pages ``<category>/<page>.json``, for tests and replays.
 """
 
@@ -65,7 +66,7 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
         self.base = options["path"]
-        self.page_size, self.max_pages = int(options.get("page_size", "100")), int(options.get("max_pages", "1"))
+        self.page_size, self.max_pages = int(options.get("page_size", "100")), int(options.get("max_pages", "1000"))
         self.delay = float(options.get("delay_s", "1"))
 
     def partitions(self) -> list[Category]:
@@ -85,18 +86,18 @@ class Reader(DataSourceReader):
             return []
 
     def read(self, partition: Category) -> Iterator[tuple]:
+        rows: list[tuple] = []
         for number in range(1, self.max_pages + 1):
             try:
                 products = with_retry(lambda n=number: self.page(partition, n), self.delay)
             except Exception as error:
-                log.warning("category %s left out: %s", partition.key, error)
+                log.warning("category %s left out, page %d: %s", partition.key, number, error)
                 return
-            for raw in products:
-                row = record(raw, partition.key)
-                if row[6] > partition.since:
-                    yield row
+            rows += [row for raw in products if (row := record(raw, partition.key))[6] > partition.since]
             if len(products) < self.page_size:
+                yield from rows
                 return
+        log.warning("category %s left out: more than %d pages", partition.key, self.max_pages)
 
 
 class ProductApi(DataSource):

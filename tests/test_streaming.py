@@ -99,6 +99,14 @@ def test_sources(spark, tmp_path):
     source = ProductSource(str(tmp_path), {"milk": "Milks", "rice": "Rices"}, page_size="2", max_pages="5", delay_s="0")
     assert sorted(r.barcode for r in source.fetch(spark, {}).collect()) == ["1", "2", "3"]
     assert sorted(r.barcode for r in source.fetch(spark, {"milk": 20}).collect()) == ["3"]
+    # A failed page, or more pages than asked for, leaves the whole category for the next run.
+    (folder / "2.json").write_text(page((3, 30), (4, 40)))
+    (folder / "3.json").write_text("{broken")
+    assert source.fetch(spark, {}).count() == 0
+    (folder / "3.json").write_text(page((5, 5)))
+    assert source.fetch(spark, {}).count() == 5
+    few = ProductSource(str(tmp_path), {"milk": "Milks"}, page_size="2", max_pages="2", delay_s="0")
+    assert few.fetch(spark, {}).count() == 0
     waits, calls = [], []
 
     def fails():
