@@ -71,19 +71,16 @@ def stage_price_events(raw: DataFrame) -> DataFrame:
 
 # Silver
 
-def dim_product(raw: DataFrame, categories: DataFrame, english_only: bool = True, strict_latest: bool = False) -> DataFrame:
-    """The latest well-formed row of each bar code of a known category, typed and enriched.
+def latest_products(raw: DataFrame) -> DataFrame:
+    """The latest well-formed staged row of each bar code."""
+    return latest(stage_products(raw).where(filled("barcode", "product_name")), ["barcode"], ["last_modified_t", "ingested_at"])
 
-    ``strict_latest`` takes the latest row first, so that a malformed newer row hides an older one.
-    """
-    staged = stage_products(raw)
-    if strict_latest:
-        staged = latest(staged, ["barcode"], ["last_modified_t", "ingested_at"]).where(filled("barcode", "product_name"))
-    else:
-        staged = latest(staged.where(filled("barcode", "product_name")), ["barcode"], ["last_modified_t", "ingested_at"])
+
+def enriched_products(rows: DataFrame, categories: DataFrame, english_only: bool = True) -> DataFrame:
+    """Staged rows of known categories, typed and enriched."""
     if english_only:
-        staged = staged.where((F.col("lang").isNull() | F.col("lang").isin("en", "")) & text.is_ascii(F.col("product_name")))
-    joined = staged.join(F.broadcast(categories), "taxonomy_key").withColumn("product_name", text.squeeze(F.col("product_name")))
+        rows = rows.where((F.col("lang").isNull() | F.col("lang").isin("en", "")) & text.is_ascii(F.col("product_name")))
+    joined = rows.join(F.broadcast(categories), "taxonomy_key").withColumn("product_name", text.squeeze(F.col("product_name")))
     return joined.select(
         "barcode", "product_name", F.coalesce("brands", F.lit("")).alias("brands"), F.col("taxonomy_key").alias("category"), "product_group",
         text.quantity_value(F.col("quantity")).alias("size_value"), text.quantity_unit(F.col("quantity")).alias("size_unit"),
@@ -92,16 +89,44 @@ def dim_product(raw: DataFrame, categories: DataFrame, english_only: bool = True
     )
 
 
+def dim_product(raw: DataFrame, categories: DataFrame, english_only: bool = True, strict_latest: bool = False) -> DataFrame:
+    """The latest well-formed row of each bar code of a known category, typed and enriched.
+
+    ``strict_latest`` takes the latest row first, so that a malformed newer row hides an older one.
+    """
+    if strict_latest:
+        rows = latest(stage_products(raw), ["barcode"], ["last_modified_t", "ingested_at"]).where(filled("barcode", "product_name"))
+    else:
+        rows = latest_products(raw)
+    return enriched_products(rows, categories, english_only)
+
+
+def latest_stores(raw: DataFrame) -> DataFrame:
+    return latest(stage_stores(raw), ["store_id"], ["ingested_at"])
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Staged stores that have coordinates."""
+    return rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("store_id", "name", "chain", "lat", "lon")
+
+
 def dim_store(raw: DataFrame) -> DataFrame:
     """The latest row of each store, if it has coordinates."""
-    rows = latest(stage_stores(raw), ["store_id"], ["ingested_at"])
-    return rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("store_id", "name", "chain", "lat", "lon")
+    return located(latest_stores(raw))
+
+
+def latest_prices(events: DataFrame) -> DataFrame:
+    """The latest staged event of each store and product."""
+    return latest(stage_price_events(events), ["store_id", "barcode"], ["observed_at", "event_id"])
+
+
+def keyed_prices(rows: DataFrame) -> DataFrame:
+    return rows.select(inventory_key(F.col("store_id"), F.col("barcode")).alias("inv_key"), "store_id", "barcode", "price", "in_stock", "observed_at")
 
 
 def fact_inventory(events: DataFrame) -> DataFrame:
     """The latest price of each store and product."""
-    rows = latest(stage_price_events(events), ["store_id", "barcode"], ["observed_at", "event_id"])
-    return rows.select(inventory_key(F.col("store_id"), F.col("barcode")).alias("inv_key"), "store_id", "barcode", "price", "in_stock", "observed_at")
+    return keyed_prices(latest_prices(events))
 
 
 # Gold

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.operators import medallion, quality, runs, schema
+from millrace.operators import incremental, medallion, quality, runs, schema
 from millrace.operators.tables import LakeTable, maintain
 from millrace.sources.api import SCHEMA
 
 
 @dataclass(frozen=True)
 class Sources:
-    """Raw inputs: products as a function of the watermarks (category, watermark_ts), stores and price events."""
+    """Raw inputs: products, stores and price events."""
 
     products: DataFrame
     stores: DataFrame
@@ -45,28 +45,16 @@ def _ingest(lake: Lake, sources: Sources, mode: str, run_id: str, now: str, sour
     landed = medallion.land(fresh, run_id, now, source)
     bronze = lake["bronze_products"]
     # Rows, failing rows and metrics are counted by the jobs that write the tables.
-    seen = {"raw_products": quality.watch(landed, "raw_products")}
-    bronze.write(seen["raw_products"].rows, "append" if mode == "incremental" else "overwrite")
+    seen = quality.watch(landed, "raw_products")
+    bronze.write(seen.rows, "append" if mode == "incremental" else "overwrite")
     new = bronze.read().where(F.col("run_id") == run_id)
     lake.log("quarantine", quality.quarantine(new, run_id, now))
-
-    seen["dim_product"] = quality.watch(medallion.dim_product(bronze.read(), medallion.category_map(spark)), "dim_product")
-    lake["dim_product"].write(seen["dim_product"].rows)
-    seen["dim_store"] = quality.Watch(medallion.dim_store(sources.stores))
-    lake["dim_store"].write(seen["dim_store"].rows)
-    lake["fact_inventory"].write(medallion.fact_inventory(sources.events))
-    products, stores, inventory = (lake[n].read() for n in ("dim_product", "dim_store", "fact_inventory"))
-    seen["store_product_offers"] = quality.watch(medallion.offers(inventory, stores, products), "store_product_offers")
-    lake["store_product_offers"].write(seen["store_product_offers"].rows)
-    offers = lake["store_product_offers"].read()
-    gold = {"product_catalog": medallion.product_catalog(products), "cheapest_products": medallion.cheapest_products(offers), "category_price_stats": medallion.category_price_stats(offers), "product_search_index": medallion.product_search_index(offers)}
-    for name, rows in gold.items():
-        lake[name].write(rows)
-
-    counts = {name: w.counts() for name, w in seen.items()}
+    counts = {"raw_products": seen.counts()} | incremental.apply(lake, mode == "full", new, sources.stores, sources.events)
     ingested, rejected = counts["raw_products"]["total"], counts["raw_products"]["malformed_records"]
-    lake.log("quality_results", quality.checked(counts, quality.duplicates(products, "barcode").first().failed_count, spark, run_id, now))
+    lake.log("quality_results", quality.checked(counts, _repeated_products(lake, "touched" in counts), spark, run_id, now))
     lake.log("metrics", runs.metric_rows(spark, {n: counts[n]["total"] for n in ("dim_product", "dim_store", "store_product_offers")}, run_id, now))
+    if "touched" in counts:
+        lake.log("metrics", runs.metric_rows(spark, {"products": counts["touched"]["total"]}, run_id, now, "touched"))
     if gated:
         quality.gate(lake["quality_results"].read().where(F.col("run_id") == run_id))
     # Only a run that passed moves the watermarks, and never back.
@@ -74,8 +62,15 @@ def _ingest(lake: Lake, sources: Sources, mode: str, run_id: str, now: str, sour
     return ingested, rejected
 
 
+def _repeated_products(lake: Lake, by_changes: bool) -> int:
+    """Bar codes of dim_product with several rows; after changes only those touched can be new ones."""
+    products = lake["dim_product"].matching(lake["touched"].read(), "barcode") if by_changes else lake["dim_product"].read()
+    return quality.duplicates(products, "barcode").first().failed_count
+
+
 def run(lake: Lake, sources: Sources, mode: str = "full", run_id: str | None = None, now: str | None = None, source: str = "openfoodfacts", gated: bool = False) -> str:
-    """One run; returns its id. ``full`` replaces bronze, ``incremental`` adds what is past the watermarks. A failure is logged and raised again."""
+    """One run; returns its id. ``full`` replaces bronze and rebuilds, ``incremental`` adds what is past the watermarks
+    and carries the changes to silver and gold; its stores and events are those that are new, and others among them have no effect. A failure is logged and raised again."""
     if mode not in ("full", "incremental"):
         raise ValueError(f"mode {mode}")
     run_id, started, clock = run_id or runs.new_run_id(), now or runs.utc_now(), time.monotonic()
@@ -90,9 +85,9 @@ def run(lake: Lake, sources: Sources, mode: str = "full", run_id: str | None = N
 
 
 def maintain_lake(lake: Lake, cluster: dict[str, list[str]] | None = None) -> dict[str, dict[str, int]]:
-    """Compacts the tables of all layers, and clusters those named."""
-    names = ("bronze_products", "dim_product", "dim_store", "fact_inventory", "store_product_offers", "product_catalog", "cheapest_products", "category_price_stats", "product_search_index")
-    return maintain({n: lake[n] for n in names}, cluster)
+    """Compacts the tables of all layers, and clusters those named. The rows of a key stay together, so that runs by changes go on reading few files."""
+    by = incremental.DERIVED | {name: keys[-1] for name, (keys, _) in incremental.STATES.items()}
+    return maintain({n: lake[n] for n in ("bronze_products", *by)}, cluster, by)
 
 
 def export_marts(lake: Lake, folder: str, names: tuple[str, ...] = ("product_catalog", "cheapest_products", "category_price_stats", "product_search_index")) -> dict[str, str]:

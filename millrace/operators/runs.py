@@ -52,9 +52,9 @@ def row_counts(tables: dict[str, DataFrame], run_id: str, now: str) -> DataFrame
     return reduce(DataFrame.unionByName, [one(n, d) for n, d in sorted(tables.items())])
 
 
-def metric_rows(spark: SparkSession, counts: dict[str, int], run_id: str, now: str) -> DataFrame:
+def metric_rows(spark: SparkSession, counts: dict[str, int], run_id: str, now: str, metric: str = "row_count") -> DataFrame:
     """The rows of ``row_counts`` from counts that are known already."""
-    rows = [(run_id, "row_count", name, float(n), now) for name, n in sorted(counts.items())]
+    rows = [(run_id, metric, name, float(n), now) for name, n in sorted(counts.items())]
     return spark.createDataFrame(rows, "run_id string, metric string, target string, value double, captured_at string")
 
 

@@ -26,6 +26,8 @@ from millrace.operators.schema import fitted, widened
 SEGMENT, FILE_BYTES = "millrace_segment", 128 << 20
 # A Bloom filter has HASHES bits of BITS a key, in maps of MAP bits. Beyond TESTS pairs of key and file, ranges alone choose the files.
 HASHES, BITS, MAP, TESTS = 3, 16, 1 << 15, 1_000_000_000
+# Of so few files all are read: the index would cost as much.
+FEW = 8
 TRIES = 5
 
 
@@ -59,7 +61,9 @@ class LakeTable:
         version = self.version() if version is None else version
         if version is None or version not in self.versions():
             raise ValueError(f"no version {version} of {self.path}")
-        text = self.spark.read.option("wholetext", True).text(f"{self.path}/_manifests/{version:08d}.json").first()[0]
+        stream = self._fs.open(self._path(f"{self.path}/_manifests/{version:08d}.json"))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
         return {"removed": {}} | json.loads(text) | {"version": version}
 
     def _commit(self, segments: list[str], partition_by: list[str], schema: StructType, after: int | None, removed: dict[str, list[str]] | None = None, **about: object) -> int:
@@ -123,6 +127,13 @@ class LakeTable:
         parts = list(self._files(manifest | {"segments": [s for s in manifest["segments"] if s not in whole]}))
         return self._scan(manifest, whole + parts).select(*StructType.fromJson(manifest["schema"]).names)
 
+    def matching(self, source: DataFrame, key: str | list[str]) -> DataFrame:
+        """Rows of the current version with a key of the source, read from the files that may hold one."""
+        keys = [key] if isinstance(key, str) else list(key)
+        manifest = self._manifest()
+        rows = self._scan(manifest, self._hit_files(manifest, keys, source)).select(*StructType.fromJson(manifest["schema"]).names)
+        return rows.join(source.select(*keys).distinct(), keys, "left_semi")
+
     def size_bytes(self) -> int:
         """Bytes of the current version's files."""
         return sum(self._files(self._manifest()).values())
@@ -159,12 +170,14 @@ class LakeTable:
 
     def _hit_files(self, manifest: dict, keys: list[str], source: DataFrame) -> list[str]:
         """The files that may hold a key of the source: by key ranges and Bloom filters, without reading data. Paths of files reach the driver."""
-        if not manifest["segments"]:
-            return []
-        index, wanted = self._index(manifest, keys), source.select(F.struct(*keys).alias("key")).distinct()
-        n, low, high = wanted.agg(F.count("*"), F.min("key").alias("low"), F.max("key").alias("high")).first()
+        files = list(self._files(manifest)) if len(manifest["segments"]) <= FEW else []
+        if not manifest["segments"] or 0 < len(files) <= FEW:
+            return files
+        wanted = source.select(F.struct(*keys).alias("key")).distinct()
+        n = wanted.count()
         if not n:
             return []
+        index = self._index(manifest, keys)
         ends = wanted.agg(F.min("key").alias("first"), F.max("key").alias("last"))
         near = index.join(F.broadcast(ends), (F.col("low") <= F.col("last")) & (F.col("high") >= F.col("first"))).drop("first", "last")
         files = {r.log: r.n for r in near.groupBy("log").agg(F.countDistinct("file").alias("n")).collect()}
@@ -210,20 +223,28 @@ class LakeTable:
         source = first_of_key(source, keys, order_by)
         return self._again(lambda version: self._merge(source, keys, version, partition_by, newer))
 
-    def _merge(self, source: DataFrame, keys: list[str], version: int | None, partition_by: list[str] | None, newer: str | None) -> int:
+    def replace(self, touched: DataFrame, rows: DataFrame, key: str | list[str]) -> int:
+        """Takes out all rows with a key of ``touched`` and puts in ``rows``, any number a key, in one version. Keys of rows must be among those touched."""
+        keys = [key] if isinstance(key, str) else list(key)
+        touched = touched.select(*keys).distinct()
+        return self._again(lambda version: self._merge(rows, keys, version, None, None, touched))
+
+    def _merge(self, source: DataFrame, keys: list[str], version: int | None, partition_by: list[str] | None, newer: str | None, touched: DataFrame | None = None) -> int:
         if version is None:
             return self._commit([self._write(source, list(partition_by or []))], list(partition_by or []), _stored(source, list(partition_by or [])), None)
         manifest = self._manifest(version)
         schema = widened(StructType.fromJson(manifest["schema"]), source.schema)
         source = fitted(source, StructType.fromJson(manifest["schema"]))
-        near, hit = self._hit_files(manifest, keys, source), []
+        out = source.select(*keys) if touched is None else touched
+        near, hit = self._hit_files(manifest, keys, out), []
         if near:
-            held = self._scan(manifest, near).select(*keys, *([F.col(newer).alias("_held")] if newer else []), _file()).join(source.select(*keys), keys, "left_semi")
+            held = self._scan(manifest, near).select(*keys, *([F.col(newer).alias("_held")] if newer else []), _file()).join(out, keys, "left_semi")
             if newer:
                 source = source.join(held.select(*keys, "_held"), keys, "left").where(F.col("_held").isNull() | (F.col(newer) >= F.col("_held"))).drop("_held")
-                held = held.join(source.select(*keys), keys, "left_semi")
+                out = source.select(*keys)
+                held = held.join(out, keys, "left_semi")
             hit = sorted(r.file for r in held.select("file").distinct().collect())
-        kept = self._scan(manifest, hit).select(*StructType.fromJson(manifest["schema"]).names).join(source.select(*keys), keys, "left_anti")
+        kept = self._scan(manifest, hit).select(*StructType.fromJson(manifest["schema"]).names).join(out, keys, "left_anti")
         segment = self._write(kept.unionByName(source, allowMissingColumns=True), manifest["partition_by"])
         removed = {s: [*manifest["removed"].get(s, ()), *[f for f in hit if f.startswith(s)]] for s in manifest["segments"]}
         left = self._files(manifest | {"removed": removed})
@@ -249,9 +270,9 @@ class LakeTable:
 
     # Maintenance
 
-    def compact(self, files_per_partition: int | None = None) -> dict[str, int]:
+    def compact(self, files_per_partition: int | None = None, by: str | None = None) -> dict[str, int]:
         """Rewrites small files (below half of FILE_BYTES), where a partition has several, into few of about FILE_BYTES and carries the others over; with
-        ``files_per_partition``, all files of each partition into so many. Rows are the same. Raises if another writer commits meanwhile."""
+        ``files_per_partition``, all files of each partition into so many; with ``by``, rows of one value of that column into one file. Rows are the same. Raises if another writer commits meanwhile."""
         manifest = self._manifest()
         files, keys = self._files(manifest), manifest["partition_by"]
         folder = lambda path: path.partition("/")[2].partition("/")[2].rpartition("/")[0]
@@ -265,7 +286,7 @@ class LakeTable:
             return {"before": len(files), "after": len(files)}
         number = files_per_partition or max(-(-sum(sizes[f]) // FILE_BYTES) for f in several)
         df = self._scan(manifest, manifest["segments"] if len(small) == len(files) and not manifest["removed"] else small).select(*StructType.fromJson(manifest["schema"]).names)
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(number)))
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in ([by] if by else df.columns)]), F.lit(number)))
         df = (df.repartition(*keys, "_salt") if keys else df.repartition(number, "_salt")).drop("_salt")
         segment = self._write(df, keys)
         gone = set(small)
@@ -330,12 +351,12 @@ def _not_above(value: Column):
     return lambda x: x <= value
 
 
-def maintain(tables: dict[str, LakeTable], cluster: dict[str, list[str]] | None = None) -> dict[str, dict[str, int]]:
-    """Compacts each table that exists, and clusters those that ``cluster`` names."""
+def maintain(tables: dict[str, LakeTable], cluster: dict[str, list[str]] | None = None, by: dict[str, str] | None = None) -> dict[str, dict[str, int]]:
+    """Compacts each table that exists, those in ``by`` with the rows of a key kept in one file, and clusters those that ``cluster`` names."""
     report = {}
     for name, table in tables.items():
         if table.exists():
-            report[name] = table.compact()
+            report[name] = table.compact(by=(by or {}).get(name))
             if cluster and name in cluster:
                 table.zorder(cluster[name])
     return report

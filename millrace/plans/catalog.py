@@ -642,6 +642,56 @@ def m2_watermarks_after_runs(spark, d):
     return _lake(spark, d)["watermarks"].read().select("wm_key", "watermark_ts")
 
 
+# Three runs of changes after a full one: products renamed, and others in French, which goes; stores that move, and others without a place; prices by line of the order, so
+# that many arrive late. The SQL takes everything at once.
+
+NEXT, FRENCH = 1_000_000_000, 2_000_000_000
+
+
+def _changed(body: str) -> str:
+    text = sql(body, "offers")
+    columns = "brands, categories_tags, quantity"
+    text = text.replace("raw_products AS (SELECT * FROM first_products UNION ALL", f"""raw_products AS (SELECT * FROM first_products
+  UNION ALL SELECT barcode, product_name || ' next', {columns}, lang, last_modified_t + {NEXT}, taxonomy_key, ingested_at FROM first_products WHERE last_modified_t % 40 = 0
+  UNION ALL SELECT barcode, product_name, {columns}, 'fr', last_modified_t + {FRENCH}, taxonomy_key, ingested_at FROM first_products WHERE last_modified_t % 70 = 0
+  UNION ALL""")
+    return text.replace("raw_stores AS (", "old_stores AS (").replace("stores AS (SELECT store_id, trim(name)", """raw_stores AS (SELECT store_id, name || CASE WHEN store_id::BIGINT % 10 = 3 THEN 'moved' ELSE '' END AS name, chain,
+  CASE WHEN store_id::BIGINT % 9 <> 0 THEN lat END AS lat, lon FROM old_stores),
+stores AS (SELECT store_id, trim(name)""")
+
+
+def after_changes(spark: SparkSession, d: str) -> pipeline.Lake:
+    lake = pipeline.Lake(spark, t.scratch(spark, "changes"))
+    raw, stores, prices = t.raw_products(spark, d).drop("ingested_at"), t.raw_stores(spark, d), t.price_events(spark, d)
+    once = raw.where("last_modified_t % 10 = 0")
+    later = lambda rows, by: rows.withColumn("last_modified_t", F.col("last_modified_t") + by)
+    line, key = F.substring("event_id", -4, 4).cast("int"), F.col("store_id").cast("long")
+    moved = stores.where((key % 10 == 3) | (key % 9 == 0)).withColumns({"name": F.when(key % 10 == 3, F.concat("name", F.lit("moved"))).otherwise(F.col("name")), "lat": F.when(key % 9 != 0, F.col("lat")), "ingested_at": F.lit("2024-02-01T00:00:00")})
+    none = raw.limit(0)
+    steps = [
+        ("full", raw, stores, prices.where(line <= 2)),
+        ("incremental", later(once.where("last_modified_t % 40 = 0").withColumn("product_name", F.concat("product_name", F.lit(" next"))), NEXT), stores, prices.where((line == 3) | (line == 4))),
+        ("incremental", none, moved, prices.where(line == 5)),
+        ("incremental", later(once.where("last_modified_t % 70 = 0").withColumn("lang", F.lit("fr")), FRENCH), stores, prices.where(line >= 5)),
+    ]
+    for k, (mode, *of) in enumerate(steps):
+        pipeline.run(lake, pipeline.Sources(*of), mode, f"r{k}", f"2024-01-0{k + 1}T00:00:00")
+    return lake
+
+
+@query()
+def m4_a1_a2_w4_gold_after_changes(spark, d):
+    """The products' rows, and beside each its category's."""
+    lake = after_changes(spark, d)
+    index = lake["product_search_index"].read().select("product_id", "category", "product_name", "search_terms", "num_stores_in_stock", F.col("min_price").alias("min_offer"))
+    cheapest = lake["cheapest_products"].read().select("product_id", "cheapest_price", F.col("cheapest_store").alias("store"))
+    return index.join(cheapest, "product_id", "left").join(lake["category_price_stats"].read(), "category", "full")
+
+
+ORACLES["m4_a1_a2_w4_gold_after_changes"] = _changed(f"""SELECT * FROM (SELECT product_id, min(category) AS category, min(product_name) AS product_name, min(search_terms) AS search_terms, count(*) FILTER (in_stock) AS num_stores_in_stock, {ROUND('min(price)')} AS min_offer,
+  {ROUND('min(price) FILTER (in_stock)')} AS cheapest_price, arg_min(store_name, {{'p': price, 's': store_id}}) FILTER (in_stock) AS store FROM offers GROUP BY product_id) FULL JOIN ({STATS}) USING (category)""")
+
+
 @query("SELECT barcode AS product_id, category, base_price FROM products", "products")
 def k5_k14_k16_exported_mart(spark, d):
     """The catalog after maintenance, as exported; newer records differ in their time alone."""
