@@ -883,11 +883,19 @@ def b4_single_store(spark, d):
     return planner.single_store_plan(_searched(spark, d)).select("set_id", "objective")
 
 
-@planned(f"SELECT s.objective AS single_objective, s.set_id AS single_set, m.objective AS multi_objective, m.set_id AS multi_set, {ROUND('s.objective - m.objective', 3)} AS savings, CASE WHEN m.objective < s.objective THEN 'multi_store' ELSE 'single_store' END AS recommended FROM (SELECT * FROM priced WHERE size = 1 ORDER BY objective, size, set_id LIMIT 1) s, (SELECT * FROM priced WHERE size >= 1 ORDER BY objective, size, set_id LIMIT 1) m")
+RECOMMENDED = f"SELECT s.objective AS single_objective, s.set_id AS single_set, m.objective AS multi_objective, m.set_id AS multi_set, {ROUND('s.objective - m.objective', 3)} AS savings, CASE WHEN m.objective < s.objective THEN 'multi_store' ELSE 'single_store' END AS recommended FROM (SELECT * FROM priced WHERE size = 1 ORDER BY objective, size, set_id LIMIT 1) s, (SELECT * FROM priced WHERE size >= 1 ORDER BY objective, size, set_id LIMIT 1) m"
+
+
+@planned(RECOMMENDED)
 def b7_b8_recommended(spark, d):
     return planner.recommended(_searched(spark, d))
 
 
+@planned(f"SELECT recommended, CASE WHEN recommended = 'multi_store' THEN printf('shop at %s and save %.2f over one store', multi_set, savings) ELSE 'shop at ' || single_set END AS explanation FROM ({RECOMMENDED})")
+def x21_b8_explained(spark, d):
+    return planner.summary(planner.recommended(_searched(spark, d))).select("recommended", "explanation")
+
+
 @planned("""SELECT item, qty, l.store_id, l.price, l.score, l.cost, a.store_id AS alternative_store, a.price AS alternative_price, coalesce(printf('%s at %.2f', l.store_id, l.price), 'not carried at an acceptable cost') AS explanation
 FROM cart LEFT JOIN (SELECT item, arg_min(o, k) AS l FROM (SELECT item, {'store_id': store_id, 'price': price, 'score': score, 'cost': cost} AS o, {'c': cost, 's': store_id} AS k
     FROM (SELECT item, store_id, price, score, 1.0::DOUBLE * qty * price + 6.0::DOUBLE * (1.0::DOUBLE - score) AS cost FROM opts JOIN cart USING (item)
