@@ -58,7 +58,7 @@ def category_states(states: DataFrame) -> DataFrame:
 
 def category_stats(states: DataFrame) -> DataFrame:
     """The rows of ``medallion.category_price_stats``; with prices that aren't finite the average is NaN."""
-    average = F.when(F.col("odd") > 0, F.lit(float("nan"))).when(F.col("priced") > 0, F.col("total").cast("double") / F.col("priced"))
+    average = F.when(F.col("odd") > 0, F.lit(float("nan"))).when(F.col("priced") > 0, half_up(F.col("total").cast("double") / F.col("priced")))
     return states.select(
         "category", F.col("products").alias("num_products"), F.col("offers").alias("num_offers"), half_up(F.col("low")).alias("min_price"), average.alias("avg_price"),
         half_up(F.col("high")).alias("max_price"), F.col("cheapest.store_name").alias("cheapest_store"),
