@@ -125,14 +125,21 @@ def advance(lake, name: str, rows: DataFrame) -> DataFrame:
     if not table.exists():
         table.write(_arranged(rows, keys[-1]))
         return rows
-    held = table.matching(rows, keys).select(*rows.columns)
-    changes.write(medallion.latest(held.unionByName(rows), keys, order).subtract(held))
+    changes.write(_newer(table.matching(rows, keys).select(*rows.columns), rows, keys, order))
     changed = changes.read()
     if not changed.isEmpty():
         table.replace(changed, changed, keys)
     return changed
 
 
+def _newer(held: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest rows of both, as ``medallion.latest`` takes them, where they aren't the held ones; held has one row a key. Each row is shuffled once."""
+    row = F.struct(*order, *[c for c in rows.columns if c not in [*keys, *order]])
+    both = held.withColumn("_held", F.lit(True)).unionByName(rows.withColumn("_held", F.lit(False)))
+    best = both.groupBy(*keys).agg(F.max(row).alias("_best"), F.max(F.when(F.col("_held"), row)).alias("_old"))
+    return best.where(~F.col("_best").eqNullSafe(F.col("_old"))).select(*keys, "_best.*").select(*rows.columns)
+
+
 def rebuild(lake) -> dict[str, dict[str, int]]:
     """Silver and gold from the states; gives what the standard checks counted."""
     spark, seen = lake.spark, {}

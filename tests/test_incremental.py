@@ -116,6 +116,15 @@ def test_few_files_are_read_for_a_small_change(spark, tmp_path):
     equal(lake, stores, events.unionByName(change))
 
 
+def test_newer_rows_are_what_the_latest_of_both_has_more(spark):
+    schema = "k string, at int, name string, price double"
+    held = spark.createDataFrame([("a", 1, "x", 1.0), ("b", 2, "x", float("nan")), ("c", 3, None, None), ("d", 1, "x", 0.0), ("g", 1, "x", 1.0)], schema)
+    batch = spark.createDataFrame([("a", 2, "x", 1.0), ("b", 2, "x", float("nan")), ("c", 3, None, None), ("d", 1, "x", 5.0), ("e", None, None, None), ("f", 1, "x", 1.0), ("g", 0, "y", 9.0)], schema)
+    want = medallion.latest(held.unionByName(batch), ["k"], ["at"]).subtract(held)
+    got = incremental._newer(held, batch, ["k"], ["at"])
+    assert rows(got) == rows(want) and {r.k for r in got.collect()} == {"a", "d", "e", "f"}
+
+
 def test_states_with_prices_that_are_not_numbers(spark):
     offers = spark.createDataFrame([("1", "rice", "A", float("nan"), True), ("1", "rice", "B", 2.0, True), ("2", "rice", "A", None, True), ("3", "milk", None, float("inf"), True), ("4", "eggs", "A", None, True), ("5", "tea", "A", 1.0, None)], "product_id string, category string, store_name string, price double, in_stock boolean")
     got = {r.category: r for r in incremental.category_stats(incremental.category_states(incremental.price_states(offers))).collect()}

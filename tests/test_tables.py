@@ -83,6 +83,22 @@ def test_a_merge_rewrites_hit_files_only(spark, tmp_path):
     assert table.insert_new(_rows(spark, (12, "x"), (40_000, "x")), "k") and table.read().where("v = 'x'").count() == 1
 
 
+def test_many_keys_a_file_make_no_bloom_filters(spark, tmp_path):
+    """They would leave out no file; ranges still do, and few keys are looked up in filters."""
+    table = LakeTable(spark, f"file://{tmp_path}/wide")
+    rows = spark.range(4_000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    table.write(rows.repartitionByRange(20, "k"))
+    new = rows.where("k >= 3000 AND k % 2 = 0").withColumn("v", F.lit("new"))
+    assert 0 < len(table._hit_files(table._manifest(), ["k"], new)) <= 7
+    assert {r.k for r in table.matching(new, "k").collect()} == set(range(3_000, 4_000, 2))
+    table.upsert(new.unionByName(new), "k")
+    assert 0 < table.rewritten() <= 7 and table.read().where("v = 'new'").count() == 500 and table.read().count() == 4_000
+    table.insert_new(rows.withColumn("k", F.col("k") + 3_500), "k")
+    assert table.read().count() == 7_500 == table.read().select("k").distinct().count()
+    assert not (tmp_path / "wide/_index").exists()
+    assert len(table._hit_files(table._manifest(), ["k"], _rows(spark, (12, "x")))) >= 1 and (tmp_path / "wide/_index").exists()
+
+
 def test_merges_in_partitions_with_odd_names(spark, tmp_path):
     table = LakeTable(spark, f"file://{tmp_path}/odd folder")
     rows = lambda v: spark.createDataFrame([(k, v, p) for k, p in enumerate(["a b", "c:d", "e/f", "g%h", "i+j", None])], "k long, v string, p string")
