@@ -75,24 +75,24 @@ def to_message(event: DataFrame) -> DataFrame:
     return checked.select("key", value.alias("value"))
 
 
-def late_in_order(events: DataFrame, order: str, lateness: float = ALLOWED_LATENESS, seconds: Column | None = None, groups: list[str] | None = None) -> DataFrame:
+def late_in_order(events: DataFrame, order: str, lateness: float = ALLOWED_LATENESS, seconds: Column | None = None, groups: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Adds _late: event time more than ``lateness`` before the greatest seen earlier in ``order``.
 
     One order over all events can't be dealt out, unless blocks of it are summed up first: the greatest
     time of each block of the order goes to all later blocks, and rows are compared within their block.
-    With ``groups``, each group has its own order.
+    With ``groups``, each group has its own order. Rows of equal ``order`` go by the columns of ``ties``.
     """
     t = event_seconds(F.col("observed_at")) if seconds is None else seconds
-    rows = events.withColumn("_t", t)
+    rows, whole = events.withColumn("_t", t), [order, *(ties or [])]
     if groups:
-        before = F.max("_t").over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        before = F.max("_t").over(Window.partitionBy(*groups).orderBy(*whole).rowsBetween(Window.unboundedPreceding, -1))
         return rows.withColumn("_late", F.coalesce((before > 0) & (F.col("_t") < before - lateness), F.lit(False))).drop("_t")
     size = 100_000
     rows = rows.withColumn("_block", F.floor(F.col(order) / size))
     tops = rows.groupBy("_block").agg(F.max("_t").alias("_top"))
     # One row for each block of the order: a window over these is small.
     tops = tops.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    within = F.max("_t").over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    within = F.max("_t").over(Window.partitionBy("_block").orderBy(*whole).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_within", within).join(tops, "_block")
     before = F.greatest("_within", "_carried")
     return rows.withColumn("_late", F.coalesce((before > 0) & (F.col("_t") < before - lateness), F.lit(False))).drop("_t", "_block", "_within", "_carried")

@@ -35,6 +35,19 @@ def test_late_flags(spark):
         assert [r._late for r in got] == [False, False, True, False]
 
 
+def test_late_flags_by_parts_of_seconds_and_in_a_total_order(spark, tmp_path):
+    """An hour less a tenth of a second behind is in time, an hour and a tenth is late; event 1,000,005 has the place of event 2 in the order and comes after it."""
+    from millrace.plans import catalog
+    from tests.oracle import duck
+
+    times = [(0, "2024-01-01 10:00:00.9"), (2, "2024-01-01 12:00:00.95"), (1_000_005, "2024-01-01 11:00:00.9"), (700_000, "2024-01-01 11:00:00.99")]
+    spark.createDataFrame(times, "event_id long, ts string").selectExpr("event_id", "ts::timestamp_ntz AS ts").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.late for r in catalog.w5_t4_late_flags(spark, str(tmp_path)).collect()}
+    assert got == {0: False, 2: False, 1_000_005: True, 700_000: False}
+    once = duck(catalog.ORACLES["w5_t4_late_flags"].replace("FROM events", "FROM events WHERE event_id < 1000003"), str(tmp_path))
+    assert {k: v for k, v in got.items() if k < 1_000_003} == dict(zip(once.event_id, once.late))
+
+
 def test_stream_to_bronze_twice(spark, tmp_path):
     lines = [json.dumps(V2), json.dumps(V2), json.dumps(V1), "{not json"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / "in"))
