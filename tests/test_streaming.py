@@ -48,6 +48,28 @@ def test_late_flags_by_parts_of_seconds_and_in_a_total_order(spark, tmp_path):
     assert {k: v for k, v in got.items() if k < 1_000_003} == dict(zip(once.event_id, once.late))
 
 
+def test_thirds_equal_ntile(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from millrace.plans import catalog
+
+    for n in (1, 2, 4, 8, 9):
+        rows = spark.range(n).select((F.col("id") * 50_021 + 7).alias("event_id"))
+        want = rows.withColumn("batch", F.ntile(3).over(Window.orderBy("event_id"))).collect()
+        assert sorted(map(tuple, catalog._thirds(rows, n).select("event_id", "batch").collect())) == sorted(map(tuple, want)), n
+
+
+def test_batches_of_several_files(spark, monkeypatch):
+    """No file takes a whole batch, and the result is the SQL's."""
+    from millrace.plans import catalog
+    from tests.oracle import same
+
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100)
+    name = "t4_t5_watermarked_stream"
+    same(spark, catalog.QUERIES[name], catalog.ORACLES[name])
+
+
 def test_stream_to_bronze_twice(spark, tmp_path):
     lines = [json.dumps(V2), json.dumps(V2), json.dumps(V1), "{not json"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / "in"))
