@@ -6,6 +6,8 @@ a product that no longer passes the filters, or whose stores lost their coordina
 indexes. Category statistics are sums of what came less what went, over one row a product; only where a category's lowest or highest price or cheapest offer went
 is the category taken from its products' rows anew. Sums are decimals, so that they don't drift.
 
+Where the touched products are as many as all, gold is rebuilt from the states instead.
+
 A marker is set before the first table changes and cleared after the last. Where it is still set, or a table is missing, the next run rebuilds all from the states and bronze.
 Rows whose key is null take part nowhere: they join nothing.
 """
@@ -165,7 +167,10 @@ def rebuild(lake) -> dict[str, dict[str, int]]:
 
 
 def propagate(lake, products: DataFrame, stores: DataFrame, prices: DataFrame) -> dict[str, dict[str, int]]:
-    """Carries changed states into silver and gold. Gives the checks' counts of the whole tables, and under ``touched`` the number of products made anew."""
+    """Carries changed states into silver and gold. Gives the checks' counts of the whole tables, and under ``touched`` the number of products made anew.
+
+    Where as many are touched as there are products, all is made anew: replacing would rewrite every file, too, and read all tables more than once.
+    """
     spark, tallies = lake.spark, _tallies(lake)
 
     def swap(name: str, touched: DataFrame, rows: DataFrame, key: str | list[str]) -> None:
@@ -177,19 +182,22 @@ def propagate(lake, products: DataFrame, stores: DataFrame, prices: DataFrame) -
             gone, new = (quality.tally(df, name) for df in (old, table.matching(touched, key)))
             tallies[name] = {check: n - gone[check] + new[check] for check, n in tallies[name].items()}
 
-    if not stores.isEmpty():
-        swap("dim_store", stores, medallion.located(stores), "store_id")
-    if not products.isEmpty():
-        swap("dim_product", products, medallion.enriched_products(products, medallion.category_map(spark)), "barcode")
-    if not prices.isEmpty():
-        swap("fact_inventory", prices, medallion.keyed_prices(prices), ["store_id", "barcode"])
-    inventory = lake["fact_inventory"]
+    inventory, moved = lake["fact_inventory"], not stores.isEmpty()
     asked = products.select("barcode").union(prices.select("barcode"))
-    if not stores.isEmpty():
+    if moved:
         asked = asked.union(inventory.matching(stores, "store_id").select("barcode"))
     lake["touched"].write(asked.distinct().select("barcode", F.col("barcode").alias("product_id")))
     touched = lake["touched"].read()
     tallies["touched"] = {"total": touched.count()}
+    if tallies["touched"]["total"] >= max(tallies["dim_product"]["total"], 1):
+        return rebuild(lake) | {"touched": tallies["touched"]}
+
+    if moved:
+        swap("dim_store", stores, medallion.located(stores), "store_id")
+    if not products.isEmpty():
+        swap("dim_product", products, medallion.enriched_products(products, medallion.category_map(spark)), "barcode")
+    if not prices.isEmpty():
+        swap("fact_inventory", prices, medallion.keyed_prices(prices), ["store_id", "barcode"])
     if not tallies["touched"]["total"]:
         return tallies
 

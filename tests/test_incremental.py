@@ -116,6 +116,17 @@ def test_few_files_are_read_for_a_small_change(spark, tmp_path):
     equal(lake, stores, events.unionByName(change))
 
 
+def test_all_is_made_anew_where_every_product_is_touched(spark, tmp_path):
+    lake = pipeline.Lake(spark, f"file://{tmp_path}/lake")
+    raw, stores, events = t.raw_products(spark, SF).drop("ingested_at"), t.raw_stores(spark, SF), t.price_events(spark, SF)
+    pipeline.run(lake, pipeline.Sources(raw, stores, events), "full", "r0", "2024-01-01T00:00:00")
+    change = events.withColumns({"price": F.col("price") + 1, "observed_at": F.lit("2030-01-01T00:00:00")})
+    pipeline.run(lake, pipeline.Sources(raw.limit(0), stores.limit(0), change), "incremental", "r1", "2024-01-02T00:00:00")
+    assert lake["metrics"].read().where("metric = 'touched'").first().value == events.select("barcode").distinct().count()
+    assert lake["store_product_offers"].version() == 1 and lake["store_product_offers"].rewritten() == 0
+    equal(lake, stores, events.unionByName(change))
+
+
 def test_newer_rows_are_what_the_latest_of_both_has_more(spark):
     schema = "k string, at int, name string, price double"
     held = spark.createDataFrame([("a", 1, "x", 1.0), ("b", 2, "x", float("nan")), ("c", 3, None, None), ("d", 1, "x", 0.0), ("g", 1, "x", 1.0)], schema)

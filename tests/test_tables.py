@@ -159,3 +159,12 @@ def test_drift_at_any_depth(spark):
         ("m{value}", "changed_type", "error"), ("gone", "removed_column", "error"), ("added", "added_column", "info"),
     }
     assert not list(schema.changes(old, old)) and {c[1] for c in schema.changes(LongType(), IntegerType())} == {"narrowed_type"}
+
+
+def test_small_tables_are_merged_without_an_index(spark, tmp_path):
+    table = LakeTable(spark, f"file://{tmp_path}/small")
+    rows = spark.range(4_000).select("id", F.lit("old").alias("v"))
+    table.write(rows.repartitionByRange(20, "id"))
+    table.upsert(rows.where("id IN (7, 3999)").withColumn("v", F.lit("new")), "id")
+    assert table.rewritten() == 2 and table.matching(rows.where("id = 7"), "id").first().v == "new"
+    assert not (tmp_path / "small/_ranges").exists() and not (tmp_path / "small/_index").exists()
