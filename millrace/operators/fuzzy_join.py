@@ -67,7 +67,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     total = F.col("m") + F.col("n")
     need = (3 * least_common(total, threshold) + 1 - total).cast("int")
     # The left side is taken for each length that the right side has and that can meet its own.
-    sizes = two.select(F.col("size").alias("n")).distinct()
+    sizes = right.select(F.length("text").alias("n")).distinct()
     spread = one.select(F.col("text").alias("a"), F.col("size").alias("m"), F.col("tokens").alias("tokens_a"), "unknown", F.col("chars").alias("chars_a")).join(
         sizes, (2 * F.least("m", "n") >= least_common(total, threshold) * 2) & (F.col("n") <= F.ceil(F.col("m") * ((2 - threshold) / threshold) + 1e-9)) & (F.col("m") <= F.ceil(F.col("n") * ((2 - threshold) / threshold) + 1e-9))
     )

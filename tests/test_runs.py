@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import pipeline, planner, quality, runs
 from millrace.operators.tables import LakeTable
+from millrace.plans import catalog
 from millrace.plans import tables as t
 from millrace.streaming import jobs
 from tests.oracle import SF
@@ -58,6 +59,11 @@ def test_upserting_sink_takes_the_newer_price(spark, tmp_path):
     assert [r.price for r in events.read().collect()] == [2.5]
 
 
+def test_matching_reads_offers_that_are_written_once(spark):
+    files = catalog.QUERIES["b2_x9_match"](spark, SF).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+
+
 def test_cart(spark):
     """Two near stores that together are worth a second visit; an item that none has; the explanation names the saving."""
     offers = spark.createDataFrame(
