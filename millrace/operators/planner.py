@@ -196,12 +196,12 @@ def lookup(offers: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def optimize_cart(cart: DataFrame, offers: DataFrame, lat: float, lon: float, nearby: int = 50, max_stores: int = 3, w: Weights = Weights()) -> CartPlan:
-    """From a cart (item, qty) and all offers to a purchase plan: match the items at the nearest stores, search the store sets, choose.
+    """From a cart (item, qty) and all offers to a purchase plan: match the items at the nearest stores, search the store sets, choose. Offers are read more than once, so let them be a table.
 
     An item that no store has is missing at the coverage penalty. ``costs`` prices every set when it is asked for: 50 stores have 20,876 sets of up to 3.
     """
     stores = offers.select("store_id", "lat", "lon").distinct().withColumn("km", geo.haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")))
-    near = nearest(stores, nearby)
+    near = nearest(stores, nearby).persist()
     # At most one row for each item and near store, which the search, the costs and the lines all read.
     matches = matching.match_at_stores(cart.select(F.col("item").alias("query")), lookup(offers, near, "store_id")).persist()
     options = matches.select(F.col("query").alias("item"), "store_id", "product_id", "price", "score")
