@@ -168,3 +168,19 @@ def test_small_tables_are_merged_without_an_index(spark, tmp_path):
     table.upsert(rows.where("id IN (7, 3999)").withColumn("v", F.lit("new")), "id")
     assert table.rewritten() == 2 and table.matching(rows.where("id = 7"), "id").first().v == "new"
     assert not (tmp_path / "small/_ranges").exists() and not (tmp_path / "small/_index").exists()
+
+
+def test_ranges_of_files_are_found_without_sorting_rows(spark, tmp_path):
+    """A sort by path would take memory for all rows of a task's files."""
+    table = LakeTable(spark, f"file://{tmp_path}/ends")
+    table.write(spark.range(1_000).select("id", F.when(F.col("id") % 10 > 0, F.lpad(F.col("id").cast("string"), 4, "0")).alias("b")).repartitionByRange(10, "id"))
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = ran().size()
+    ends = table._ranges(table._manifest(), ["b", "id"])
+    plans = [ran().apply(k).physicalPlanDescription() for k in range(before, ran().size())]
+    assert any("partial_min" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+    # A null is less than any text, so a file's range begins with its first id that 10 divides.
+    first, last = F.min(F.when(F.col("b").isNull(), F.col("id"))), F.max("b")
+    want = table.read().groupBy(F.input_file_name().alias("file")).agg(first.alias("first"), last.alias("last")).collect()
+    for found in (ends, table._index(table._manifest(), ["b", "id"])):
+        assert {(r.low.b, r.low.id, r.high.b) for r in found.select("low", "high").collect()} == {(None, r["first"], r["last"]) for r in want}
