@@ -6,7 +6,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringT
 
 from millrace.operators import schema
 from millrace.operators.schema import SchemaMismatch
-from millrace.operators.tables import ConcurrentCommit, LakeTable
+from millrace.operators.tables import ConcurrentCommit, LakeTable, first_of_key
 
 
 def _rows(spark, *rows):
@@ -184,3 +184,12 @@ def test_ranges_of_files_are_found_without_sorting_rows(spark, tmp_path):
     want = table.read().groupBy(F.input_file_name().alias("file")).agg(first.alias("first"), last.alias("last")).collect()
     for found in (ends, table._index(table._manifest(), ["b", "id"])):
         assert {(r.low.b, r.low.id, r.high.b) for r in found.select("low", "high").collect()} == {(None, r["first"], r["last"]) for r in want}
+
+
+def test_the_greatest_row_is_found_without_a_copy_of_its_columns(spark):
+    rows = spark.createDataFrame([(1, None, "z", 1.0), (1, 5, None, 2.0), (1, 5, "a", None), (2, None, None, None), (2, None, None, float("nan")), (2, None, None, 7.0), (3, 4, "b", 0.5), (3, 4, "b", 0.5)], "k long, n int, s string, x double")
+    found = first_of_key(rows, ["k"])
+    greatest = rows.groupBy("k").agg(F.max(F.struct("n", "s", "x")).alias("r")).select("k", "r.*")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, greatest.collect())) and found.count() == 3
+    assert "struct" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.k for r in first_of_key(rows.select("k"), ["k"]).collect()) == [1, 2, 3]
