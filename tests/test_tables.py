@@ -193,3 +193,19 @@ def test_the_greatest_row_is_found_without_a_copy_of_its_columns(spark):
     assert sorted(map(repr, found.collect())) == sorted(map(repr, greatest.collect())) and found.count() == 3
     assert "struct" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.k for r in first_of_key(rows.select("k"), ["k"]).collect()) == [1, 2, 3]
+
+
+def test_ranges_of_a_number_are_found_by_its_values(spark, tmp_path):
+    """A struct a row, and a set beside its ends, took longer than reading the keys."""
+    table, ran = LakeTable(spark, f"file://{tmp_path}/number"), lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    table.write(spark.range(2_000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("k"), F.lit("old").alias("v")).repartitionByRange(20, "k"))
+    before = ran().size()
+    ends = table._ranges(table._manifest(), ["k"])
+    plans = [ran().apply(k).physicalPlanDescription() for k in range(before, ran().size())]
+    assert any("partial_min" in p for p in plans) and not any(x in p for p in plans for x in ("ObjectHashAggregate", "SortAggregate"))
+    files = table.read().groupBy(F.input_file_name().alias("file")).agg(F.min("k").alias("low"), F.max("k").alias("high")).collect()
+    assert len(files) > 8 and {(r.low.k, r.high.k) for r in ends.collect()} == {(r.low, r.high) for r in files}
+    # Asked for by ranges: a null in the source doesn't widen its range to all files.
+    asked = spark.createDataFrame([(None,), *[(k,) for k in range(1_001, 1_099)]], "k long")
+    near = table._hit_files(table._manifest(), ["k"], asked)
+    assert 0 < len(near) < len(files) and sorted(near) == sorted(x for x in table._files(table._manifest()) if any(r.file.endswith(x) and r.high and r.high >= 1_001 and r.low <= 1_098 for r in files))
