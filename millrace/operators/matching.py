@@ -1,6 +1,7 @@
 """Product matching: exact and fuzzy scores of queries against offers, with an optional embedding score.
 
-Scores that reach MIN_ACCEPT are found by a similarity join of distinct texts (``fuzzy_join``), then joined back to the offers, so carts of any length do.
+Scores that reach MIN_ACCEPT are found by a similarity join of distinct texts (``fuzzy_join``), then joined back to the offers, so carts of any length do. Answers also give
+the best score where none reaches it: queries that a store has no match for are compared with every distinct text.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from millrace.operators import fuzzy_join
 MIN_ACCEPT, SEMANTIC = 0.72, 0.55
 
 
-def fuzzy_scores(queries: DataFrame, products: DataFrame, threshold: float = MIN_ACCEPT) -> DataFrame:
-    """query, product_id, score: the best token-sort ratio of name and search terms, where it reaches the threshold. A query that equals one has 1.
+def fuzzy_scores(queries: DataFrame, products: DataFrame, threshold: float | None = MIN_ACCEPT) -> DataFrame:
+    """query, product_id, score: the best token-sort ratio of name and search terms, where it reaches the threshold (None: of all). A query that equals one has 1.
 
     queries: query. products: product_id, product_name, search_terms (pipe-joined).
     """
@@ -25,7 +26,11 @@ def fuzzy_scores(queries: DataFrame, products: DataFrame, threshold: float = MIN
     texts = products.select("product_id", F.explode(F.array_append(text.split_terms(F.coalesce("search_terms", F.lit(""))), F.coalesce("product_name", F.lit("")))).alias("candidate"))
     texts = texts.select("product_id", form(F.col("candidate")).alias("text")).distinct()
     asked = queries.select("query", form(F.col("query")).alias("text")).distinct()
-    found = fuzzy_join.similar(asked, texts, threshold)
+    if threshold is None:
+        pairs = asked.select(F.col("text").alias("a")).distinct().join(texts.select(F.col("text").alias("b")).distinct())
+        found = pairs.select("a", "b", fuzzy.token_sort_ratio_arrow("a", "b").alias("score"))
+    else:
+        found = fuzzy_join.similar(asked, texts, threshold)
     scored = found.join(asked, found.a == asked.text).select("query", "b", "score")
     return scored.join(texts, scored.b == texts.text).groupBy("query", "product_id").agg(F.max("score").alias("score"))
 
@@ -65,11 +70,16 @@ def match_at_stores(queries: DataFrame, offers: DataFrame, semantic: DataFrame |
     return rows.where("score IS NOT NULL").withColumn("available", F.lit(True))
 
 
-def answers(matches: DataFrame, queries: DataFrame, stores: DataFrame) -> DataFrame:
-    """A row for every query at every store, as the answer needs it: the match, or method none."""
-    every = queries.select("query").distinct().join(stores.select("store_id").distinct())
-    rows = every.join(matches, ["query", "store_id"], "left")
-    return rows.withColumns({"method": F.coalesce("method", F.lit("none")), "available": F.col("score").isNotNull()})
+def answers(matches: DataFrame, queries: DataFrame, offers: DataFrame) -> DataFrame:
+    """A row for every query at every store, as the answer needs it: the match, or method none with the best fuzzy score there, for which no product is named."""
+    stocked = offers.where("in_stock").select("store_id", "product_id", "product_name", "search_terms")
+    every = queries.select("query").distinct().join(stocked.select("store_id").distinct())
+    unmatched = every.join(matches, ["query", "store_id"], "left_anti").select("query").distinct()
+    scores = fuzzy_scores(unmatched, stocked.select("product_id", "product_name", "search_terms").distinct(), None)
+    best = stocked.select("store_id", "product_id").join(scores, "product_id").groupBy("query", "store_id").agg(text.half_up(F.max("score"), 3).alias("_best"))
+    rows = every.join(matches, ["query", "store_id"], "left").join(best, ["query", "store_id"], "left")
+    answered = {"available": F.col("score").isNotNull(), "score": F.coalesce("score", "_best"), "method": F.coalesce("method", F.lit("none"))}
+    return rows.withColumns(answered).drop("_best")
 
 
 def match_items(matches: DataFrame) -> DataFrame:

@@ -105,6 +105,21 @@ def test_matching(spark):
     assert [(r["query"], r.product_name, r.num_stores) for r in summary] == [("milk", "Whole milk", 2)]
 
 
+def test_answers_score_what_no_store_has(spark):
+    """Below the threshold the best score is given without its product, by comparing the query with every text."""
+    offers = spark.createDataFrame(
+        [("s1", "p1", "Almond drink", "almond|drink", 1.0, True), ("s2", "p2", "Milk", "milk", 3.0, True), ("s2", "p3", "Silk", "", 3.0, False), ("s3", "p4", "xyx", None, 1.0, True)],
+        "store_id string, product_id string, product_name string, search_terms string, price double, in_stock boolean",
+    )
+    cart = spark.createDataFrame([("milk",), ("silk",)], "query string")
+    got = {(r["query"], r.store_id): (r.product_id, r.price, r.score, r.method, r.available) for r in matching.answers(matching.match_at_stores(cart, offers), cart, offers).collect()}
+    none = lambda score: (None, None, score, "none", False)
+    assert got == {
+        ("milk", "s1"): none(0.444), ("milk", "s2"): ("p2", 3.0, 1.0, "fuzzy", True), ("milk", "s3"): none(0.0),
+        ("silk", "s1"): none(0.444), ("silk", "s2"): ("p2", 3.0, 0.75, "fuzzy", True), ("silk", "s3"): none(0.0),
+    }
+
+
 def test_plans_are_optimal(spark):
     import itertools
     import random
