@@ -31,6 +31,8 @@ DERIVED = {
     "cheapest_products": "product_id", "product_search_index": "product_id", "price_states": "product_id", "category_states": "category", "category_price_stats": "category",
 }
 SUM = "decimal(28,10)"
+# A batch with a row for so many of a state makes it anew: hardly any of its files is without one.
+MANY = 8
 
 
 # Aggregate states
@@ -109,24 +111,37 @@ def _arranged(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key)
 
 
-def store_states(lake, **rows: DataFrame) -> None:
-    """States from whole tables of latest rows."""
-    for name, df in rows.items():
-        keys = STATES[name][0]
-        lake[name].write(_arranged(df.dropna(subset=keys), keys[-1]))
+def _latest(staged: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key, arranged by the last of them: one shuffle by it serves both."""
+    return medallion.latest(_arranged(staged.dropna(subset=keys), keys[-1]), keys, order)
 
 
-def advance(lake, name: str, rows: DataFrame) -> DataFrame:
-    """Brings a state up to a batch of latest staged rows; gives the rows that are new or differ, also when read later."""
+def store_states(lake, **staged: DataFrame) -> None:
+    """States from all staged rows."""
+    for name, df in staged.items():
+        lake[name].write(_latest(df, *STATES[name]))
+
+
+def advance(lake, name: str, staged: DataFrame) -> DataFrame:
+    """Brings a state up to a batch of staged rows; gives the latest rows that are new or differ, also when read later.
+
+    A batch of many rows would have every file rewritten and the state read and shuffled several times for that: it makes the state anew, in one shuffle of both, and each row tells whether it changed.
+    """
     keys, order = STATES[name]
-    table, batch, changes = lake[name], lake[f"batch_{name}"], lake[f"changed_{name}"]
-    batch.write(rows.dropna(subset=keys))
-    rows = batch.read()
-    if rows.isEmpty():
-        return rows
+    table, batch, changes, staged = lake[name], lake[f"batch_{name}"], lake[f"changed_{name}"], staged.dropna(subset=keys)
     if not table.exists():
-        table.write(_arranged(rows, keys[-1]))
-        return rows
+        table.write(_latest(staged, keys, order))
+        return table.read()
+    n = staged.count()
+    if not n:
+        return lake.spark.createDataFrame([], staged.schema)
+    held = table.read().select(*staged.columns)
+    if n * MANY >= held.count():
+        best = _best(held, staged, keys, order, keys[-1])
+        table.write(best.select(*keys, "_best.*", _moved().alias("_changed")).select(*staged.columns, "_changed"))
+        return table.read().where("_changed").select(*staged.columns)
+    batch.write(medallion.latest(staged, keys, order))
+    rows = batch.read()
     changes.write(_newer(table.matching(rows, keys).select(*rows.columns), rows, keys, order))
     changed = changes.read()
     if not changed.isEmpty():
@@ -134,30 +149,42 @@ def advance(lake, name: str, rows: DataFrame) -> DataFrame:
     return changed
 
 
-def _newer(held: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The latest rows of both, as ``medallion.latest`` takes them, where they aren't the held ones; held has one row a key. Each row is shuffled once."""
+def _best(held: DataFrame, rows: DataFrame, keys: list[str], order: list[str], by: str | None = None) -> DataFrame:
+    """keys, _best (the latest of both, as ``medallion.latest`` takes them) and _old (the held one). Each row is shuffled once; with ``by`` whole, to files of that column's values."""
     row = F.struct(*order, *[c for c in rows.columns if c not in [*keys, *order]])
     both = held.withColumn("_held", F.lit(True)).unionByName(rows.withColumn("_held", F.lit(False)))
-    best = both.groupBy(*keys).agg(F.max(row).alias("_best"), F.max(F.when(F.col("_held"), row)).alias("_old"))
-    return best.where(~F.col("_best").eqNullSafe(F.col("_old"))).select(*keys, "_best.*").select(*rows.columns)
+    both = _arranged(both, by) if by else both
+    return both.groupBy(*keys).agg(F.max(row).alias("_best"), F.max(F.when(F.col("_held"), row)).alias("_old"))
+
+
+def _moved() -> Column:
+    return ~F.col("_best").eqNullSafe(F.col("_old"))
+
+
+def _newer(held: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest rows of both where they aren't the held ones; held has one row a key."""
+    return _best(held, rows, keys, order).where(_moved()).select(*keys, "_best.*").select(*rows.columns)
 
 
 def rebuild(lake) -> dict[str, dict[str, int]]:
     """Silver and gold from the states; gives what the standard checks counted."""
     spark, seen = lake.spark, {}
 
-    def put(name: str, df: DataFrame, watch: quality.Watch | None = None) -> DataFrame:
-        lake[name].write(_arranged(watch.rows if watch else df, DERIVED[name]))
+    def put(name: str, df: DataFrame, watch: quality.Watch | None = None, there: bool = False) -> DataFrame:
+        """``there``: the rows of a key are in one task already."""
+        rows = watch.rows if watch else df
+        lake[name].write(rows if there else _arranged(rows, DERIVED[name]))
         if watch:
             seen[name] = watch.counts()
         return lake[name].read()
 
-    watched = lambda name, df: put(name, df, quality.watch(df, name))
+    watched = lambda name, df, there=False: put(name, df, quality.watch(df, name), there)
     products = watched("dim_product", medallion.enriched_products(lake["latest_products"].read(), medallion.category_map(spark)))
     located = medallion.located(lake["latest_stores"].read())
     stores = put("dim_store", located, quality.Watch(located))
-    inventory = put("fact_inventory", medallion.keyed_prices(lake["latest_prices"].read()))
-    offers = watched("store_product_offers", medallion.offers(inventory, stores, products))
+    # A state that was made anew has the rows of a product in one file, which one task reads.
+    inventory = put("fact_inventory", medallion.keyed_prices(lake["latest_prices"].read()), there=lake["latest_prices"].made_anew())
+    offers = watched("store_product_offers", medallion.offers(inventory, stores, products, arranged=True), there=True)
     put("product_catalog", medallion.product_catalog(products))
     put("cheapest_products", medallion.cheapest_products(offers))
     put("product_search_index", medallion.product_search_index(offers))
@@ -225,11 +252,11 @@ def propagate(lake, products: DataFrame, stores: DataFrame, prices: DataFrame) -
 
 def apply(lake, full: bool, fresh: DataFrame, raw_stores: DataFrame, events: DataFrame) -> dict[str, dict[str, int]]:
     """The rows landed by a run, carried to gold. ``full``: stores and events are all there are, else those that are new (older ones have no effect); bronze is in the lake."""
-    stores, prices = medallion.latest_stores(raw_stores), medallion.latest_prices(events)
+    stores, prices = medallion.stage_stores(raw_stores), medallion.stage_price_events(events)
     whole = full or not clean(lake)
     mark(lake, "begun")
     if whole:
-        store_states(lake, latest_products=medallion.latest_products(lake["bronze_products"].read()))
+        store_states(lake, latest_products=medallion.well_formed_products(lake["bronze_products"].read()))
         if full:
             store_states(lake, latest_stores=stores, latest_prices=prices)
         else:
@@ -237,7 +264,7 @@ def apply(lake, full: bool, fresh: DataFrame, raw_stores: DataFrame, events: Dat
             advance(lake, "latest_prices", prices)
         counts = rebuild(lake)
     else:
-        counts = propagate(lake, advance(lake, "latest_products", medallion.latest_products(fresh)), advance(lake, "latest_stores", stores), advance(lake, "latest_prices", prices))
+        counts = propagate(lake, advance(lake, "latest_products", medallion.well_formed_products(fresh)), advance(lake, "latest_stores", stores), advance(lake, "latest_prices", prices))
     rows = [(table, check, n) for table, of in counts.items() if table != "touched" for check, n in of.items()]
     lake["tallies"].write(lake.spark.createDataFrame(rows, "table string, check string, n long"))
     mark(lake, "whole")

@@ -127,6 +127,24 @@ def test_all_is_made_anew_where_every_product_is_touched(spark, tmp_path):
     equal(lake, stores, events.unionByName(change))
 
 
+def test_a_batch_of_many_rows_makes_the_state_anew(spark, tmp_path):
+    """In one shuffle, without tables of batch and changes beside it; a product's rows stay in one file, also in what is made of the state. A small batch goes by changes again."""
+    lake = pipeline.Lake(spark, f"file://{tmp_path}/lake")
+    raw, stores, events = t.raw_products(spark, SF).drop("ingested_at"), t.raw_stores(spark, SF), t.price_events(spark, SF)
+    pipeline.run(lake, pipeline.Sources(raw, stores, events), "full", "r0", "2024-01-01T00:00:00")
+    change = events.where("price % 3 < 2").withColumn("observed_at", F.when(F.col("price") % 2 < 1, "2030-01-01T00:00:00").otherwise(F.lit("1990-01-01T00:00:00"))).withColumn("price", F.col("price") + 1)
+    pipeline.run(lake, pipeline.Sources(raw.limit(0), stores.limit(0), change), "incremental", "r1", "2024-01-02T00:00:00")
+    assert not lake["batch_latest_prices"].exists() and not lake["changed_latest_prices"].exists() and lake["latest_prices"].made_anew()
+    for name, key in (("latest_prices", "barcode"), ("fact_inventory", "barcode"), ("store_product_offers", "product_id")):
+        files = lake[name].read().select(key, F.input_file_name().alias("file")).distinct().groupBy(key).agg(F.count("*").alias("n"))
+        assert lake[name].version() == 1 and files.where("n > 1").isEmpty(), name
+    equal(lake, stores, events.unionByName(change))
+    one = events.limit(1).withColumns({"price": F.lit(0.5), "observed_at": F.lit("2031-01-01T00:00:00")})
+    pipeline.run(lake, pipeline.Sources(raw.limit(0), stores.limit(0), one), "incremental", "r2", "2024-01-03T00:00:00")
+    assert lake["changed_latest_prices"].read().count() == 1 and not lake["latest_prices"].made_anew()
+    equal(lake, stores, events.unionByName(change).unionByName(one))
+
+
 def test_newer_rows_are_what_the_latest_of_both_has_more(spark):
     schema = "k string, at int, name string, price double"
     held = spark.createDataFrame([("a", 1, "x", 1.0), ("b", 2, "x", float("nan")), ("c", 3, None, None), ("d", 1, "x", 0.0), ("g", 1, "x", 1.0)], schema)
