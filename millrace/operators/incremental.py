@@ -179,13 +179,13 @@ def rebuild(lake) -> dict[str, dict[str, int]]:
         return lake[name].read()
 
     watched = lambda name, df, there=False: put(name, df, quality.watch(df, name), there)
-    products = watched("dim_product", medallion.enriched_products(lake["latest_products"].read(), medallion.category_map(spark)))
+    # A state that was made anew has the rows of a product in one file, which one task reads.
+    products = watched("dim_product", medallion.enriched_products(lake["latest_products"].read(), medallion.category_map(spark)), there=lake["latest_products"].made_anew())
     located = medallion.located(lake["latest_stores"].read())
     stores = put("dim_store", located, quality.Watch(located))
-    # A state that was made anew has the rows of a product in one file, which one task reads.
     inventory = put("fact_inventory", medallion.keyed_prices(lake["latest_prices"].read()), there=lake["latest_prices"].made_anew())
     offers = watched("store_product_offers", medallion.offers(inventory, stores, products, arranged=True), there=True)
-    put("product_catalog", medallion.product_catalog(products))
+    put("product_catalog", medallion.product_catalog(products), there=True)
     put("cheapest_products", medallion.cheapest_products(offers))
     put("product_search_index", medallion.product_search_index(offers))
     categories = put("category_states", category_states(put("price_states", price_states(offers))))
